@@ -1,0 +1,62 @@
+"""From raw documents to shards: quality, near duplicates, benchmark leaks, source weights, shards.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and reread as the next
+stage's ``docs``.  All but the last return the columns of their input.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from rangeloom.llm import decontam, mixing, ngram, quality, sharding
+from rangeloom.llm.common import stored
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts.
+
+    It is trained on the labelled documents of the input that aren't held out.
+    """
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.keep_good(docs, model, least=0.5)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of texts that share four fifths of their runs of five words."""
+    return ngram.keep_first(docs, words=5, threshold=0.8)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item occurs, with up to a tenth of its characters edited."""
+    return decontam.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), rate=0.1)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources by weights 5, 2, 1 takes them, three times at most."""
+    return mixing.mix(docs, weights=(5, 2, 1), max_repeats=3)
+
+
+def into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their shard (0 to 15, of about equal bytes) and their slot in it."""
+    return sharding.shard(docs, shards=16)
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("benchmark decontamination", drop_leaks),
+    ("mixing sources", mix_sources),
+    ("sharding", into_shards),
+]
+
+#: SQL has no compressor, so the first stage can't be expressed; the stages are tested one by one by brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if stage is not STAGES[-1][1]:
+            docs = stored(docs, name.replace(" ", "-"))
+    return docs
