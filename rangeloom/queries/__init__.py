@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("rows",)
+MODULES: tuple[str, ...] = ("rows", "joins")
 
 
 def _all(kind: str) -> dict:
