@@ -179,11 +179,11 @@ def list_cov(a, b) -> Column:
     n = F.size(a)
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, e: s + e)
     ma, mb = list_mean(a), list_mean(b)
-    return total(F.zip_with(a, b, lambda x, y: (x - ma) * (y - mb))) / (n - 1)
+    return F.try_divide(total(F.zip_with(a, b, lambda x, y: (x - ma) * (y - mb))), (n - 1).cast("double"))
 
 
 def list_cor(a, b) -> Column:
-    return list_cov(a, b) / (list_sd(a) * list_sd(b))
+    return F.try_divide(list_cov(a, b), list_sd(a) * list_sd(b))
 
 
 def average_ranks(a) -> Column:
@@ -204,7 +204,7 @@ def list_kendall(a, b) -> Column:
     over = lambda f: F.aggregate(pairs, F.lit(0.0), lambda s, p: s + F.aggregate(pairs, F.lit(0.0), lambda t, q: t + f(p, q)))
     same = over(lambda p, q: F.signum(p["x"] - q["x"]) * F.signum(p["y"] - q["y"]))
     nx, ny = over(lambda p, q: F.abs(F.signum(p["x"] - q["x"]))), over(lambda p, q: F.abs(F.signum(p["y"] - q["y"])))
-    return same / F.sqrt(nx * ny)
+    return F.try_divide(same, F.sqrt(nx * ny))
 
 
 # ---- order, sets, places ---------------------------------------------------------------------------------------------
@@ -366,7 +366,7 @@ def running_median(a, k: int, *, rule: str = "median") -> Column:
     windows with Tukey's rule for the first and last element.
     """
     a = _c(a)
-    inner = F.transform(_frames(a, k), list_median)
+    inner = F.transform(_frames(a, k), lambda w: list_median(w))
     if rule == "constant":
         return _edges(a, inner, k, "constant")
     side = k // 2
@@ -376,6 +376,20 @@ def running_median(a, k: int, *, rule: str = "median") -> Column:
     return kept if rule == "keep" else smooth_ends(kept, k, original=a)
 
 
+def _replaced(a: Column, from_start: dict[int, Column], from_end: dict[int, Column], n: Column) -> Column:
+    """The list with new elements at places counted from its start (0 first) and its end (1 last)."""
+
+    def pick(e: Column, j: Column) -> Column:
+        out = F.when(F.lit(False), e)
+        for i, value in from_start.items():
+            out = out.when(j == i, value)
+        for i, value in from_end.items():
+            out = out.when(j == n - i, value)
+        return out.otherwise(e)
+
+    return F.transform(a, pick)
+
+
 def smooth_ends(y, k: int = 3, original=None) -> Column:
     """End-point smoothing of a running median: shorter medians toward the ends, then Tukey's rule at the very end."""
     y = _c(y)
@@ -387,15 +401,14 @@ def smooth_ends(y, k: int = 3, original=None) -> Column:
         odd = 2 * i - 1
         left = list_median(F.slice(x, 1, odd))
         right = list_median(F.slice(x, F.greatest(n - odd + 1, F.lit(1)), F.lit(odd)))
-        place = i
-        out = F.transform(out, lambda e, j, place=place, left=left, right=right: F.when(j == place - 1, left).when(j == n - place, right).otherwise(e))
+        out = _replaced(out, {i - 1: left}, {i: right}, n)
     done = out
     med3 = lambda a, b, c: a + b + c - F.least(a, b, c) - F.greatest(a, b, c)
     g = lambda i: F.get(done, F.lit(i))
     h = lambda i: F.get(done, n - 1 - i)
     xf, xl = F.get(x, F.lit(0)).cast("double"), F.get(x, n - 1).cast("double")
     first, last = med3(xf, g(1), 3 * g(1) - 2 * g(2)), med3(xl, h(1), 3 * h(1) - 2 * h(2))
-    return F.when(n > 2, F.transform(done, lambda e, j: F.when(j == 0, first).when(j == n - 1, last).otherwise(e))).otherwise(y)
+    return F.when(n > 2, _replaced(done, {0: first}, {1: last}, n)).otherwise(y)
 
 
 # ---- strings ---------------------------------------------------------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("rows", "joins")
+MODULES: tuple[str, ...] = ("rows", "joins", "sweeps", "lists")
 
 
 def _all(kind: str) -> dict:
