@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,6 +54,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hinted(df: DataFrame, most_rows: int) -> DataFrame:
+    """``df`` (already cut) with a broadcast hint if it is found to have at most ``most_rows`` rows."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like ``names`` that no column of ``df`` has (compared without case, as Spark does)."""
     taken = {c.lower() for c in df.columns}
@@ -79,6 +86,42 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold a few MB where the session has Spark's defaults: rows here carry whole texts, and the JVM
+    keeps the largest batch's memory outside its heap for good."""
+    for key, default, ours in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m")):
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, ours)
+
+
+#: Called when a task ends: what a module keeps between batches only to be fast.
+at_task_end: list[Callable[[], None]] = []
+
+
+def _give_back() -> None:
+    """Return memory that the task no longer needs: Python workers live on and share the executor's limit."""
+    for clear in at_task_end:
+        clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A function for ``mapInArrow`` that gives its memory back when its task ends."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return whole
+
+
 def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut an Arrow batch so that a slice holds about ``most_bytes`` of the given text column (one row at least)."""
     col = batch.column(column)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import c, cut, fresh, slices, text_or_empty
+from .common import bounded_batches, c, cut, fresh, slices, text_or_empty, tidied
 
 
 def normal(text: str) -> str:
@@ -152,13 +152,14 @@ def _hits(held, rate: float, n: int):
                 at = pa.array(row, pa.int32())
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(1, n + 1)), pa.array(item, pa.int64()), pa.array(distance, pa.int32())], [*batch.schema.names[1:], "place", "distance"])
 
-    return run
+    return tidied(run)
 
 
 def find_leaks(
     df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = 0.1, least_chars: int = 20, pass_chars: int = 4 << 20
 ) -> DataFrame:
     """Per document and item that occurs in it: id, item, distance, item_chars."""
+    bounded_batches(df.sparkSession)
     spark = df.sparkSession
     kind, item_kind = df.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     items = benchmark.select(c(item_col).alias("item"), text_or_empty(item_text_col).alias("text")).filter(F.length("text") >= least_chars)

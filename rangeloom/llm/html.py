@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import c, slices
+from .common import bounded_batches, c, slices, tidied
 
 # ---- the tree --------------------------------------------------------------------------------------------------------
 
@@ -308,11 +308,12 @@ def _extract(held, least: float):
                 texts = [main_text(x or "", model, least=least) for x in batch.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(1, batch.num_columns)), pa.array(texts, pa.string())], [*batch.schema.names[1:], "text"])
 
-    return run
+    return tidied(run)
 
 
 def extract(df: DataFrame, *, model: Model | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: float = 0.5) -> DataFrame:
     """Per page: id, url and text."""
+    bounded_batches(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(model or default_model())
     kinds = [df.schema[x].dataType.simpleString() for x in (id_col, url_col)]
     rows = df.select(c(html_col).cast("string").alias("html"), c(id_col).alias("id"), c(url_col).alias("url"))

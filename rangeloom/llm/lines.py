@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import c, cut, fresh, slices, text_or_empty
+from .common import bounded_batches, c, cut, fresh, slices, text_or_empty, tidied
 
 BLANKS = b" \t\n\x0b\x0c\r"
 
@@ -44,7 +44,7 @@ def _hashes(min_chars: int):
                 rest = [batch.column(j).take(pa.array(row, pa.int32())) for j in range(1, batch.num_columns)]
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), *rest], ["hash", *batch.schema.names[1:]])
 
-    return run
+    return tidied(run)
 
 
 def _rewrite(text: bytes, common) -> tuple[bytes, int, int]:
@@ -69,7 +69,7 @@ def _with_set(held, extra: list[str]):
             for batch in slices(whole, 0):
                 yield _emit(batch, [_rewrite(x.as_buffer().to_pybytes(), common) for x in batch.column(0)], extra)
 
-    return run
+    return tidied(run)
 
 
 def _with_lists(extra: list[str]):
@@ -78,11 +78,12 @@ def _with_lists(extra: list[str]):
             for batch in slices(whole, 0):
                 yield _emit(batch, [_rewrite(x.as_buffer().to_pybytes(), set(y.as_py() or ())) for x, y in zip(batch.column(0), batch.column(1), strict=True)], extra)
 
-    return run
+    return tidied(run)
 
 
 def common_lines(df: DataFrame, *, text_col: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """The hashes of the lines that at least ``min_docs`` documents hold: hash, n_docs."""
+    bounded_batches(df.sparkSession)
     lines = df.select(F.encode(text_or_empty(text_col), "UTF-8").alias("text")).mapInArrow(_hashes(min_chars), "hash binary")
     return lines.groupBy("hash").agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") >= min_docs)
 

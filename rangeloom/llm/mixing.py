@@ -17,10 +17,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import c, cut, fresh, text_or_empty, word_count
+from .common import c, cut, fresh, hinted, text_or_empty, word_count
 
 BITS, LEVELS = 14, 3
 SPAN = 1 << BITS * LEVELS
+#: Up to so many sources the documents meet their sources' thresholds by broadcast, which leaves them where they are.
+SOURCES = 100_000
 
 
 def hash_position(id_col: str, text_col: str) -> Column:
@@ -84,7 +86,8 @@ def thresholds(slim: DataFrame, weights: Sequence[float] = (5, 2, 1), max_repeat
         )
     last = edge.select("key", (F.col("bucket") + (F.col("rest") * 2 > F.col("n")).cast("long")).alias("edge"))
     threshold = F.coalesce("edge", F.when(F.col("rest") > 0, F.lit(SPAN)).otherwise(F.lit(0)))
-    return goal.join(last, "key", "left").select("key", "source_size", "target", "repeats", threshold.cast("long").alias("threshold"))
+    out = goal.join(last, "key", "left").select("key", "source_size", "target", "repeats", threshold.cast("long").alias("threshold"))
+    return hinted(cut(out), SOURCES)
 
 
 def measured(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -116,7 +119,7 @@ def mix(
     """The mixed corpus: the rows of ``df`` with all their columns, each as often as the mix takes it."""
     cuts = thresholds(cut(measured(df, id_col, text_col, source_col)), weights, max_repeats)
     key, position, repeats, threshold, times = fresh(df, "key", "position", "repeats", "threshold", "times")
-    cuts = cuts.select(F.col("key").alias(key), F.col("repeats").alias(repeats), F.col("threshold").alias(threshold))
+    cuts = cuts.select(F.col("key").alias(key), F.col("repeats").alias(repeats), F.col("threshold").alias(threshold))  # a broadcast hint stays
     return (
         df.withColumn(key, source_key(source_col))
         .withColumn(position, hash_position(id_col, text_col))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import c, cut, fresh, slices, stored, text_or_empty
+from .common import at_task_end, bounded_batches, c, cut, fresh, hinted, slices, stored, text_or_empty, tidied
 from .components import components
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -45,10 +45,11 @@ def banding(threshold: float, recall: float, most: int = 256) -> tuple[int, int]
 # ---- sets of runs ----------------------------------------------------------------------------------------------------
 
 _words: dict[str, int] = {}
+at_task_end.append(_words.clear)
 
 
 def _word_hashes(words: list[str]) -> np.ndarray:
-    if len(_words) > 500_000:
+    if len(_words) > 200_000:
         _words.clear()
     for w in words:
         if w not in _words:
@@ -106,7 +107,7 @@ def _signatures(n: int, bands: int, rows: int):
                 lists = pa.ListArray.from_arrays(offsets, pa.array(out.reshape(-1)), mask=pa.array(many == 0))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(1, batch.num_columns)), lists], [*batch.schema.names[1:], "bands"])
 
-    return run
+    return tidied(run)
 
 
 # ---- verification ----------------------------------------------------------------------------------------------------
@@ -198,12 +199,7 @@ def _verified(n: int, threshold: float):
             close()
         yield emit()
 
-    return run
-
-
-def hinted(df: DataFrame, most_rows: int) -> DataFrame:
-    """``df`` (already cut) with a broadcast hint if it is found to have at most ``most_rows`` rows."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+    return tidied(run)
 
 
 def node_of(text_col: str) -> Column:
@@ -214,6 +210,7 @@ def join(
     df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, recall: float = 0.9995, block_rows: int = 512, block_bytes: int = 16 << 20, broadcast_rows: int = 200_000
 ) -> DataFrame:
     """Per document: id, node (its text's digest), class_id (least id of its group), n_links (documents linked directly, copies included)."""
+    bounded_batches(df.sparkSession)
     bands, rows = banding(threshold, recall)
     kind = df.schema[id_col].dataType.simpleString()
     docs = df.select(text_or_empty(text_col).alias("text"), node_of(text_col).alias("node"), c(id_col).alias("id"), F.octet_length(text_or_empty(text_col)).cast("long").alias("bytes"))

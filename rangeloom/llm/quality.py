@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import c, fresh, slices, text_or_empty
+from .common import bounded_batches, c, slices, text_or_empty, tidied
 
 BLOCK = 2048
 
@@ -142,35 +142,40 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     return train([t.encode() for t in got["text"] if t], [int(q) for q, t in zip(got["label"], got["text"], strict=True) if t])
 
 
-def _scores(held, n: int):
+def _scores(held, least: float | None):
+    """Rows (text, further columns) with their score; with ``least`` only those that reach it, without the score."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for whole in batches:
             for batch in slices(whole, 0):
-                scores = [score_text(x.as_buffer().to_pybytes(), model) for x in batch.column(0)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(1, n + 1)), pa.array(scores, pa.float64())], [*batch.schema.names[1:], "score"])
+                scores = [score_text(x.as_buffer().to_pybytes() if x.is_valid else b"", model) for x in batch.column(0)]
+                if least is None:
+                    yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.float64())], [*batch.schema.names[1:], "score"])
+                else:
+                    yield batch.filter(pa.array([s >= least for s in scores], pa.bool_()))
 
-    return run
+    return tidied(run)
 
 
 def score(df: DataFrame, model: Model, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (default all) and score, from each row's whole text."""
+    bounded_batches(df.sparkSession)
     keep = df.columns if keep is None else keep
     if "score" in {k.lower() for k in keep}:
         raise ValueError("the input has a column named score")
     held = df.sparkSession.sparkContext.broadcast(model)
-    body, row = fresh(df, "body", "row")
-    packed = df.select(F.encode(text_or_empty(text_col), "UTF-8").alias(body), F.struct(*[c(k) for k in keep]).alias(row))
-    kind = packed.schema[row].dataType.simpleString()
-    out = packed.mapInArrow(_scores(held, 1), f"`{row}` {kind}, score double")
-    return out.select(*[F.col(row).getField(k).alias(k) for k in keep], "score")
+    packed = df.select(c(text_col).cast("string").alias("text"), F.struct(*[c(k) for k in keep]).alias("row"))
+    out = packed.mapInArrow(_scores(held, None), f"row {packed.schema['row'].dataType.simpleString()}, score double")
+    return out.select(*[F.col("row").getField(k).alias(k) for k in keep], "score")
 
 
 def keep_good(df: DataFrame, model: Model, *, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The rows, with all their columns, whose text scores at least ``least``."""
-    if "score" not in {x.lower() for x in df.columns}:
-        return score(df, model, text_col=text_col).filter(F.col("score") >= least).drop("score")
-    (row,) = fresh(df, "all")
-    packed = df.select(F.struct(*[c(x) for x in df.columns]).alias(row), c(text_col).alias("text"))
-    good = score(packed, model, keep=[row]).filter(F.col("score") >= least)
-    return good.select(*[F.col(row).getField(x).alias(x) for x in df.columns])
+    bounded_batches(df.sparkSession)
+    held = df.sparkSession.sparkContext.broadcast(model)
+    others = [x for x in df.columns if x != text_col]
+    rest = F.struct(*[c(x) for x in others]) if others else F.struct(F.lit(0).alias("none"))
+    packed = df.select(c(text_col).cast("string").alias("text"), rest.alias("row"))
+    good = packed.mapInArrow(_scores(held, least), f"text string, row {packed.schema['row'].dataType.simpleString()}")
+    return good.select(*[F.col("text").alias(x) if x == text_col else F.col("row").getField(x).alias(x) for x in df.columns])

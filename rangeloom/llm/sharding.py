@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import c, cut, fresh, text_or_empty
+from .common import c, cut, text_or_empty
 
 LAW = "bytes"
 
@@ -52,35 +52,38 @@ def _sample(rows: DataFrame, step: float, salt: int) -> tuple[np.ndarray, np.nda
     return got["key"].to_numpy("i8"), np.maximum(got["weight"].to_numpy("f8"), step)
 
 
+def _measured(df: DataFrame, id_col: str, text_col: str, keep: Column) -> DataFrame:
+    text = text_or_empty(text_col)
+    return df.select(
+        keep.alias("row"),
+        c(id_col).alias("id"),
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.xxhash64(text).alias("group"),
+        F.xxhash64(c(id_col), text).alias("record"),
+    )
+
+
 def place(
-    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, ranges_per_shard: int = 128, sample_per_range: int = 16, rounds: int = 4
+    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, ranges_per_shard: int = 128, sample_per_range: int = 16, rounds: int = 4, whole: bool = False
 ) -> DataFrame:
-    """Per record: id, size, text_crc32, record (a hash of id and text), shard, slot.
+    """Per record: id, size, text_crc32, shard, slot, and with ``whole`` the record itself (a struct, row).
 
     The driver gets a sample of about ``shards * ranges_per_shard * sample_per_range`` keys and a row per range;
     neither grows with the table.  A record's weight is its part of all bytes plus its part of all rows, so that no
-    range has too many bytes or too many rows.
+    range has too many bytes or too many rows.  All of that is done on a slim table; the records themselves move once,
+    to be numbered inside their ranges.
     """
     spark = df.sparkSession
-    text = text_or_empty(text_col)
-    slim = cut(
-        df.select(
-            c(id_col).alias("id"),
-            (F.octet_length(text) + 1).cast("long").alias("size"),
-            F.crc32(text).alias("text_crc32"),
-            F.xxhash64(text).alias("group"),
-            F.xxhash64(c(id_col), text).alias("record"),
-        )
-    )
+    slim = cut(_measured(df, id_col, text_col, F.lit(0)))
     total, n = slim.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     parts = shards * ranges_per_shard
     most = 2.0 / parts
     weight = F.col("size") / float(max(total, 1)) + F.lit(1.0 / max(n, 1))
-    slim = slim.withColumn("weight", weight)
     # fewer than ``parts`` texts can weigh over ``most`` of 2 in all
-    heavy = slim.groupBy("group").agg(F.sum("weight").alias("w")).filter(F.col("w") > most).select("group", F.lit(True).alias("heavy"))
-    keyed = slim.join(F.broadcast(heavy), "group", "left").withColumn("key", _order_key(F.coalesce("heavy", F.lit(False)))).drop("heavy", "group")
-    keyed = cut(keyed)
+    heavy = cut(slim.groupBy("group").agg(F.sum(weight).alias("w")).filter(F.col("w") > most).select("group", F.lit(True).alias("heavy")))
+    key = lambda rows: rows.join(F.broadcast(heavy), "group", "left").withColumn("key", _order_key(F.coalesce("heavy", F.lit(False)))).drop("heavy", "group")
+    keyed = cut(key(slim.withColumn("weight", weight)))
     splitters = _quantiles(*_sample(keyed, 2.0 / (parts * sample_per_range), 0), parts)
     for salt in range(1, rounds + 1):
         find = _range_of(spark.sparkContext.broadcast(splitters))
@@ -100,24 +103,17 @@ def place(
     stats["offset"] = stats.groupby("shard")["n"].cumsum() - stats["n"]
     rows = [(int(r.range), int(r.shard), int(r.offset)) for r in stats.itertuples()]
     where = spark.createDataFrame(rows, "range int, shard int, offset long")
+    if whole:
+        records = key(_measured(df, id_col, text_col, F.struct(*[c(x) for x in df.columns])))
+        ranged = records.withColumn("range", find("key"))
     inside = Window.partitionBy("range").orderBy("key", F.col("id").asc_nulls_first(), "record")
-    return (
-        ranged.withColumn("rank", F.row_number().over(inside) - 1)
-        .join(F.broadcast(where), "range")
-        .select("id", "size", "text_crc32", "record", "shard", (F.col("offset") + F.col("rank")).alias("slot"))
-    )
+    placed = ranged.withColumn("rank", F.row_number().over(inside) - 1).join(F.broadcast(where), "range")
+    return placed.select(*["row"] * whole, "id", "size", "text_crc32", "shard", (F.col("offset") + F.col("rank")).alias("slot"))
 
 
 def shard(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, **options) -> DataFrame:
-    """``df`` with all its columns and, behind them, shard and slot.
-
-    Repeated rows have the same hash of id and text; they are numbered on both sides so that each gets one slot.
-    """
+    """``df`` with all its columns and, behind them, shard and slot."""
     if clash := {"shard", "slot"} & {x.lower() for x in df.columns}:
         raise ValueError(f"the input has columns that the result adds: {sorted(clash)}")
-    record, copy = fresh(df, "record", "copy")
-    slots = place(df, id_col=id_col, text_col=text_col, shards=shards, **options)
-    slots = slots.select(F.col("record").alias(record), F.row_number().over(Window.partitionBy("record").orderBy("slot", "shard")).alias(copy), "shard", "slot")
-    numbered = df.withColumn(record, F.xxhash64(c(id_col), text_or_empty(text_col)))
-    numbered = numbered.withColumn(copy, F.row_number().over(Window.partitionBy(record).orderBy(record)))
-    return numbered.join(slots, [record, copy]).drop(record, copy)
+    placed = place(df, id_col=id_col, text_col=text_col, shards=shards, whole=True, **options)
+    return placed.select(*[F.col("row").getField(x).alias(x) for x in df.columns], "shard", "slot")

@@ -25,9 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import c, cut, stored
+from .common import bounded_batches, c, cut, hinted, stored, tidied
 from .components import components
-from .ngram import hinted
 
 # ---- the index -------------------------------------------------------------------------------------------------------
 
@@ -119,7 +118,7 @@ def _read(width: int):
                 group.append(name), vec.append(raw), node.append(hashlib.md5(name.encode() + raw, usedforsecurity=False).digest())
             yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(group, pa.string()), pa.array(node, pa.binary()), pa.array(vec, pa.binary())], ["id", "group", "node", "vec"])
 
-    return run
+    return tidied(run)
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -151,7 +150,7 @@ def _place(held):
                 yield pa.RecordBatch.from_arrays(own, names)
                 yield pa.RecordBatch.from_arrays(seen, names)
 
-    return run
+    return tidied(run)
 
 
 def _group_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -227,13 +226,14 @@ def _meet(threshold: float):
             close()
         yield emit()
 
-    return run
+    return tidied(run)
 
 
 def near_duplicates(
     df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, recall: float = 0.999, sample: int = 20_000, cell_rows: int = 32, most_words: int = 256, block_rows: int = 1024
 ) -> DataFrame:
     """Per vector: id, n_links (other vectors linked directly), component_id (least id reachable by links, itself included)."""
+    bounded_batches(df.sparkSession)
     spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
     width = df.agg(F.max(F.size(c(vector_col)))).first()[0] or 1
