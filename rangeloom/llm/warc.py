@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import c, new_path, slices, stored
+from .common import bounded_batches, c, new_path, slices, stored, tidied
 
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -81,7 +81,7 @@ def _members(date: str, row_bytes: int):
         if out:
             yield row()
 
-    return run
+    return tidied(run)
 
 
 def write_archive(df: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", min_bytes: int = 0, date: str = "2000-01-01T00:00:00Z", row_bytes: int = 1 << 20) -> None:
@@ -90,6 +90,7 @@ def write_archive(df: DataFrame, path: str, *, id_col: str = "page_id", url_col:
 
     Only payloads that occur more than once are joined back, so the join's small side has a row per repeated payload.
     """
+    bounded_batches(df.sparkSession)
     rows = df.select(F.encode(F.coalesce(c(body_col).cast("string"), F.lit("")), "UTF-8").alias("payload"), c(id_col).alias("id"), c(url_col).cast("string").alias("url"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     large = F.octet_length("payload") >= min_bytes
@@ -105,45 +106,46 @@ def write_archive(df: DataFrame, path: str, *, id_col: str = "page_id", url_col:
 
 
 class Members:
-    """Puts candidates together to members.  ``feed`` takes what follows a magic; results come out of ``done``."""
+    """Puts candidates together to members.
+
+    ``feed`` takes what follows a magic, with a tag; members come out of ``done``, and lines that belong to no member
+    that could be decided, with their tags, out of ``lost``.
+    """
 
     def __init__(self):
         self.done: list[bytes] = []
-        self.raw: list[bytes] = []  # the open member's pieces
+        self.lost: list[tuple[int, bytes]] = []
+        self.raw: list[tuple[int, bytes]] = []  # the open member's lines
         self.open = None
         self.out: list[bytes] = []
 
-    def feed(self, line: bytes) -> bool:
-        """Whether the line was taken: as the rest of the open member, or as the start of one."""
+    def feed(self, line: bytes, tag: int = 0) -> None:
+        """Take a line as the rest of the open member, or as the start of one."""
         if self.open is not None:
-            try:
-                self._take(self.open, line)
-                return True
-            except zlib.error:
-                self._drop()
-        z = zlib.decompressobj(31)
-        if line[:1] and line[0] & 0xE0:  # reserved flags
-            return False
+            if self._take(self.open, line, tag):
+                return
+            self.close()
+        if (line[:1] and line[0] & 0xE0) or not self._take(zlib.decompressobj(31), line, tag):  # reserved flags
+            self.close()
+            self.lost.append((tag, line))
+
+    def _take(self, z, line: bytes, tag: int) -> bool:
         try:
-            self._take(z, line)
-            return True
+            self.out.append(z.decompress(MAGIC + line))
         except zlib.error:
-            self._drop()
             return False
-
-    def _take(self, z, line: bytes) -> None:
-        got = z.decompress(MAGIC + line)
-        self.out.append(got)
+        self.open = z
+        self.raw.append((tag, line))
         if z.eof:
             whole = b"".join(self.out)
-            self._drop()
+            self.open, self.out, self.raw = None, [], []
             if whole.startswith(b"WARC/"):
                 self.done.append(whole)
-        else:
-            self.open = z
-            self.raw.append(line)
+        return True
 
-    def _drop(self) -> None:
+    def close(self) -> None:
+        """Give up the open member."""
+        self.lost += self.raw
         self.open, self.out, self.raw = None, [], []
 
 
@@ -183,6 +185,7 @@ def _parsed(found: list[bytes]) -> pa.RecordBatch:
 SCAN_DDL = f"{DDL}, file string, split long, seq long, piece binary"
 
 
+@tidied
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Decode the members of each range; what can't be decided inside the range comes out as pieces."""
     at, members, seq = None, Members(), 0
@@ -197,10 +200,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cols += [pa.concat_arrays([pa.nulls(n, t), pa.array(x, t)]) for x, t in zip(more, (pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
             yield pa.RecordBatch.from_arrays(cols, [*FIELDS.names, "file", "split", "seq", "piece"])
 
-    def rest() -> list[tuple]:
-        left = [(*at, seq + i, x) for i, x in enumerate(members.raw)] if members.open is not None else []
-        members._drop()
-        return left
+    def undecided() -> list[tuple]:
+        out = [(*at, tag, line) for tag, line in members.lost]
+        members.lost = []
+        return out
 
     for whole in batches:
         for batch in slices(whole, 0, 4 << 20):
@@ -208,16 +211,18 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for line, file, start in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if (file, start) != at:
                     if at:
-                        pieces += rest()
+                        members.close()
+                        pieces += undecided()
                     at, seq = (file, start), 0
                     if start == 0:
                         continue  # what stands before the file's first member
-                if not members.feed(line):
-                    pieces.append((*at, seq, line))
+                members.feed(line, seq)
+                pieces += undecided()
                 seq += 1
             yield from emit(pieces)
     if at:
-        yield from emit(rest())
+        members.close()
+        yield from emit(undecided())
 
 
 def _join_pieces(table: pa.Table) -> pa.Table:
@@ -233,6 +238,7 @@ def read_archive(spark: SparkSession, path: str, *, payloads: bool = True) -> Da
     Pieces that no range could decide on its own (a member cut by a false magic near a range's end) are few whatever
     the input: three given bytes come up once in 16 MB of compressed data.  They are kept apart and joined by file.
     """
+    bounded_batches(spark)
     lines = spark.read.option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
     lines = lines.select(F.col("value").cast("binary").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
     found = lines.mapInArrow(_scan, SCAN_DDL)
