@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..model import positions  # noqa: F401  (part of this module's vocabulary)
 from ..plans.binning import Bins, dealt, edges
+from ..plans.sweep import CHUNK, running
 
 TYPES = ("any", "start", "end", "within", "extend", "equal")
 
@@ -97,10 +98,33 @@ def points(df: DataFrame, pos: str) -> DataFrame:
     return df.withColumns({"start": F.col(pos).cast("long"), "end": F.col(pos).cast("long")})
 
 
-def count(query: DataFrame, subject: DataFrame, **how) -> DataFrame:
-    """Per query row, with all its columns: n, the number of subjects that it hits."""
-    hits = find(query, subject, **how).groupBy("space", F.col("query_id").alias("rid")).agg(F.count(F.lit(1)).alias("n"))
-    return query.join(hits, ["space", "rid"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+def count(query: DataFrame, subject: DataFrame, *, chunk: int | None = None, **how) -> DataFrame:
+    """Per query row, with all its columns: n, the number of subjects that it hits.
+
+    For overlaps of any kind no pairs are made: a query hits the subjects that start before its end, less those that
+    end before its start, and both numbers are running counts over sorted positions.
+    """
+    if how.get("type", "any") == "any" and not how.get("minoverlap", 0):
+        counts = _ranked(query, subject, how.get("maxgap", -1), chunk)
+    else:
+        counts = find(query, subject, **how).groupBy("space", F.col("query_id").alias("rid")).agg(F.count(F.lit(1)).alias("n"))
+    return query.join(counts, ["space", "rid"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def _ranked(query: DataFrame, subject: DataFrame, maxgap: int, chunk: int | None) -> DataFrame:
+    """Counts by rank: axis 0 has the subjects' starts, axis 1 their ends; queries stand behind equal positions."""
+    ends = lambda first, last: F.explode(F.array(F.struct(F.lit(0).alias("axis"), first.alias("pos")), F.struct(F.lit(1).alias("axis"), last.alias("pos"))))
+    marks = subject.select("space", ends(F.col("start"), F.col("end")).alias("_e")).groupBy("space", "_e.axis", "_e.pos").agg(F.count(F.lit(1)).alias("_one"))
+    marks = marks.select("space", "axis", "pos", F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("rid"), "_one")
+    asks = query.select("space", "rid", ends(F.col("end") + maxgap + 1, F.col("start") - maxgap - 2).alias("_e")).select("space", "_e.axis", "_e.pos", F.lit(1).alias("_kind"), "rid", F.lit(0).cast("long").alias("_one"))
+    rows = running(marks.unionByName(asks), {"_before": ("sum", F.col("_one"))}, "pos", ["pos", "_kind"], chunk=chunk or CHUNK, by=("space", "axis"))
+    out = rows.filter("_kind = 1").groupBy("space", "rid").agg(F.sum(F.when(F.col("axis") == 0, F.col("_before")).otherwise(-F.col("_before"))).alias("n"))
+    if maxgap >= 0:
+        return out
+    # an empty query has been charged for the empty subjects at its own place, which neither start before nor hit it
+    twins = subject.filter("end < start").groupBy("space", "start").agg(F.count(F.lit(1)).alias("_twins"))
+    hollow = query.filter("end < start").join(twins, ["space", "start"]).select("space", "rid", "_twins")
+    return out.join(hollow, ["space", "rid"], "left").select("space", "rid", (F.col("n") + F.coalesce("_twins", F.lit(0))).alias("n"))
 
 
 def touched(query: DataFrame, subject: DataFrame, **how) -> DataFrame:

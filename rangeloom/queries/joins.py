@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import compare
 from ..operators import algebra, groups, nearest, overlaps
-from ..plans.binning import tune
 from .base import L, O, P, Registry, T
 
 R = Registry()
@@ -82,8 +81,7 @@ add("j13_local_ids", lambda s, d: overlaps.find_local(*ab(s, d)), "SELECT x.spac
 
 
 def flagship(s, d):
-    q, x = O(s, d), L(s, d).select("space", "rid", "start", "end")
-    return overlaps.count(q, x, bins=tune(q, x))
+    return overlaps.count(O(s, d), L(s, d).select("space", "rid", "start", "end"))
 
 
 #: Counted per order: lines that end before it starts and lines that start behind its end are those that don't overlap.

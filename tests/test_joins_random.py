@@ -45,3 +45,13 @@ def test_against_definition(spark, type):
             rows = [(r.query_id, r.subject_id) for r in overlaps.find(fq, fs, type=type, maxgap=maxgap, minoverlap=minoverlap, bins=bins).collect()]
             assert len(rows) == len(set(rows))
             assert set(rows) == plain(q, s, type, maxgap, minoverlap), (maxgap, minoverlap, bins)
+
+
+@pytest.mark.parametrize("maxgap", [-1, 0, 3])
+def test_counts_by_rank(spark, maxgap):
+    rng = random.Random(5)
+    some = lambda n: [(a, a + rng.choice([0, 0, 1, 3, 40]) - 1) for a in (rng.randint(-20, 20) for _ in range(n))]
+    q, s = some(80), some(80)
+    got = {r.rid: r.n for r in overlaps.count(frame(spark, q), frame(spark, s), maxgap=maxgap, chunk=7).collect()}
+    hits = plain(q, s, "any", maxgap, 0)
+    assert got == {i: sum(a == i for a, _ in hits) for i in range(1, len(q) + 1)}
