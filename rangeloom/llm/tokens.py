@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import c, new_path, slices, text_or_empty
+from .common import bounded_batches, c, new_path, slices, text_or_empty, tidied
 
 MAGIC = b"BPL1"
 FOOTER = struct.Struct("<QQQQI4s")
@@ -123,28 +123,41 @@ class WordEncoder:
         self.start, self.size = np.zeros(self.most * 2, "i8"), np.zeros(self.most * 2, "i8")
 
     def _learn(self, words: list[str]) -> None:
-        for a in range(0, len(words), 20_000):
-            some = words[a : a + 20_000]
+        # words of letters alone are one piece each: many go through the library as one text
+        plain = [w for w in words if w.isalpha() and w.lower().isalpha()]
+        other = [w for w in words if not (w.isalpha() and w.lower().isalpha())]
+        for a in range(0, len(plain), 5000):
+            some = plain[a : a + 5000]
+            got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            sizes = np.bincount(np.array(got.word_ids, "i8"), minlength=len(some))
+            if len(sizes) == len(some) and sizes.all():
+                self._keep(some, np.array(got.ids, "u4"), sizes)
+            else:
+                other += some
+        for a in range(0, len(other), 20_000):
+            some = other[a : a + 20_000]
             got = [e.ids for e in self.tokenizer.encode_batch(some, add_special_tokens=False)]
             sizes = np.fromiter(map(len, got), "i8", len(got))
-            flat = np.fromiter((x for ids in got for x in ids), "u4", int(sizes.sum()))
-            while self.used + len(flat) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.ids[self.used : self.used + len(flat)] = flat
-            n = len(self.place)
-            while n + len(some) > len(self.start):
-                self.start, self.size = np.concatenate([self.start, self.start]), np.concatenate([self.size, self.size])
-            self.start[n : n + len(some)] = self.used + np.cumsum(sizes) - sizes
-            self.size[n : n + len(some)] = sizes
-            self.used += len(flat)
-            self.place.update(zip(some, range(n, n + len(some)), strict=True))
+            self._keep(some, np.fromiter((x for ids in got for x in ids), "u4", int(sizes.sum())), sizes)
+
+    def _keep(self, words: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        n = len(self.place)
+        while n + len(words) > len(self.start):
+            self.start, self.size = np.concatenate([self.start, self.start]), np.concatenate([self.size, self.size])
+        self.start[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
+        self.size[n : n + len(words)] = sizes
+        self.used += len(flat)
+        self.place.update(zip(words, range(n, n + len(words)), strict=True))
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, each text's followed by ``end_id``, and the number of ids of each text."""
         pieces = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, LETTER_MARK, r"\1 \2"))
         counts = pc.list_value_length(pieces).to_numpy(zero_copy_only=False).astype("i8")
         coded = pieces.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.place) + len(words) > self.most:
             self._empty()
         place = self.place
@@ -208,13 +221,14 @@ def _write(vocabulary: str, end_id: int, file_ids: int, chunk: int, bits: int):
         if ids:
             yield close()
 
-    return run
+    return tidied(run)
 
 
 def write_tokens(
     df: DataFrame, path: str, *, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", file_ids: int = 1 << 20, chunk: int = 1 << 16, bits: int = 1
 ) -> None:
     """Encode every text and write the ids in ascending id order as bit-plane files of about ``file_ids`` ids."""
+    bounded_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     docs = df.select(text_or_empty(text_col).alias("text"), c(id_col).alias("id"))
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -223,6 +237,7 @@ def write_tokens(
     ordered.mapInArrow(_write(vocabulary, end_id, file_ids, chunk, bits), out).write.parquet(path)
 
 
+@tidied
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(len(batch)):
@@ -241,6 +256,7 @@ def token_report(spark, path: str) -> DataFrame:
 
     Starts come from the files' counts: first over the parts (as many as the writer had partitions), then inside each.
     """
+    bounded_batches(spark)
     files = spark.read.parquet(path)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
