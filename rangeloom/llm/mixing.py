@@ -75,7 +75,7 @@ def thresholds(slim: DataFrame, weights: Sequence[float] = (5, 2, 1), max_repeat
     edge = goal.filter("rest > 0").select("key", F.lit(0).cast("long").alias("bucket"), "rest")
     for level in range(LEVELS):
         here, above = BITS * (LEVELS - 1 - level), BITS * (LEVELS - level)
-        inside = slim.withColumn("bucket", F.shiftright("position", above)).join(edge, ["key", "bucket"])
+        inside = slim.withColumn("bucket", F.shiftright("position", above)).join(hinted(edge, SOURCES), ["key", "bucket"])
         sums = inside.groupBy("key", F.shiftright("position", here).alias("bucket")).agg(F.sum("size").alias("n"), F.first("rest").alias("rest"))
         w = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         sums = sums.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
