@@ -10,7 +10,8 @@ The writer puts members into files through Spark's text writer, byte for byte, s
 writes.  That writer ends each row with a separator: here the zero byte with which a member's length field ends (where it
 doesn't, an empty member follows).
 
-Names that end in ``.gz`` would make Spark unpack the file as one stream; such files are read whole, one task each.
+Names that end in ``.gz`` would make Spark unpack the file as one stream.  Such files are read under another name (a mount
+of Hadoop's view file system, which adds an ending and leads to the same bytes in any store), in byte ranges like all others.
 
 Defined results: a null or empty payload has 0 bytes and the digest of nothing; rows that repeat both page_id and payload
 are each written as a response if theirs is the smallest page_id; a null page_id comes after all others; an empty table
@@ -24,6 +25,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -215,6 +217,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         pieces += undecided()
                     at, seq = (file, start), 0
                     if start == 0:
+                        if line.startswith(b"WARC/"):
+                            raise ValueError(f"not an archive of gzip members: {file}")
                         continue  # what stands before the file's first member
                 members.feed(line, seq)
                 pieces += undecided()
@@ -232,6 +236,28 @@ def _join_pieces(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_parsed(members.done)])
 
 
+def _candidates(spark: SparkSession, path: str) -> DataFrame:
+    """What stands between two magics: line, file, start of the byte range.  No file is unpacked, whatever its name."""
+
+    def lines(paths: str | list[str], **options: str) -> DataFrame:
+        found = spark.read.option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").options(**options).text(paths)
+        return found.select(F.col("value").cast("binary").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+
+    plain = lines(path)
+    files = plain.inputFiles()
+    if not any(f.endswith(".gz") for f in files):
+        return plain
+    by_store: dict[str, list[str]] = {}
+    for parts in map(urlsplit, files):
+        by_store.setdefault(f"{parts.scheme}://{parts.netloc}", []).append(parts.path.replace("*", "%2A"))  # as in a URI, which the mount makes of it again
+    out = None
+    for store, names in sorted(by_store.items()):
+        mount = "rangeloom-" + hashlib.sha1(store.encode(), usedforsecurity=False).hexdigest()
+        own = lines([f"viewfs://{mount}{name}.members" for name in names], **{f"fs.viewfs.mounttable.{mount}.linkRegex.#.^(?<name>.+)[.]members$": store + "${name}"})
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def read_archive(spark: SparkSession, path: str, *, payloads: bool = True) -> DataFrame:
     """The records of all archives at ``path``: see ``DDL`` for the columns; without ``payloads`` that one is null.
 
@@ -239,9 +265,7 @@ def read_archive(spark: SparkSession, path: str, *, payloads: bool = True) -> Da
     the input: three given bytes come up once in 16 MB of compressed data.  They are kept apart and joined by file.
     """
     bounded_batches(spark)
-    lines = spark.read.option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
-    lines = lines.select(F.col("value").cast("binary").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
-    found = lines.mapInArrow(_scan, SCAN_DDL)
+    found = _candidates(spark, path).mapInArrow(_scan, SCAN_DDL)
     scanned = stored(found if payloads else found.withColumn("payload", F.lit(None).cast("binary")), "records")
     names = FIELDS.names
     pieces = scanned.filter("piece is not null").select("file", "split", "seq", "piece")
@@ -249,20 +273,6 @@ def read_archive(spark: SparkSession, path: str, *, payloads: bool = True) -> Da
     return scanned.filter("piece is null").select(*names).unionByName(joined)
 
 
-def read_whole(spark: SparkSession, path: str) -> DataFrame:
-    """Records of archives whose names end in ``.gz``: one task reads a file from end to end."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column(0):
-                members = Members()
-                for line in content.as_py().split(MAGIC)[1:]:
-                    members.feed(line)
-                yield _parsed(members.done)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, DDL)
-
-
 def archive_report(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", min_bytes: int = 0) -> DataFrame:
     """Write ``df`` as archives in the shared folder, read them back, and report each record:
     id, payload_bytes, payload_digest, record_type and refers_to (the response's id)."""

@@ -335,6 +335,40 @@ def test_false_magic():
         assert whole + len(warc._join_pieces(pieces.select(["file", "split", "seq", "piece"]))) == len(bodies)
 
 
+@pytest.mark.parametrize("split", ["2k", "256m"])
+def test_gz_names(spark, split, tmp_path):
+    """Archives with the usual name give every record once, and are read in byte ranges."""
+    rng = random.Random(17)
+    names = ["a.warc.gz", "b c.warc.gz", "plain.warc", "d%20$1.gz"]
+    want = Counter()
+    for name in names:
+        members = []
+        for i in range(40):
+            body = rng.randbytes(rng.randint(0, 900)) + warc.MAGIC * (i % 3)
+            want[f"urn:page:{name[0]}{i}", body] += 1
+            members.append(warc.member(warc.record(f"{name[0]}{i}", "u", body, None, "d"), level=i % 2))
+        (tmp_path / name).write_bytes(b"".join(members))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        for path in (str(tmp_path), f"file://{tmp_path}/*.warc.gz", str(tmp_path / "a.warc.gz")):
+            some = {k: n for k, n in want.items() if path == str(tmp_path) or k[0][9] in ("ab" if "*" in path else "a")}
+            got = warc.read_archive(spark, path)
+            assert Counter((r.record_id, bytes(r.payload)) for r in got.collect()) == some
+        ranges = Counter(r.file for r in warc._candidates(spark, str(tmp_path)).select("file", "start").distinct().collect())
+        assert len(ranges) == len(names) and (split != "2k" or min(ranges.values()) > 4)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_unpacked_archive_is_an_error(spark, tmp_path):
+    (tmp_path / "x.warc").write_bytes(warc.record("1", "u", b"body", None, "d"))
+    with pytest.raises(Exception, match="not an archive of gzip members"):
+        warc.read_archive(spark, str(tmp_path)).collect()
+
+
 # ---- leaks -----------------------------------------------------------------------------------------------------------
 
 
