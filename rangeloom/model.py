@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .plans.sweep import preceding, running
+
 KEY = ("space", "rid", "start", "end")
 LIMIT = 2**31 - 1
 
@@ -89,15 +91,16 @@ def to_text(start: Column | str = "start", end: Column | str = "end") -> Column:
     return F.when(s == e, s.cast("string")).otherwise(F.concat_ws("-", s.cast("string"), e.cast("string")))
 
 
-def _islands(df: DataFrame, first: Column, order: Sequence[str] = ("rid",)) -> DataFrame:
-    w = Window.partitionBy("space").orderBy(*order)
-    return df.withColumn("island", F.sum(first.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def _islands(df: DataFrame, value: str, next_to: str) -> DataFrame:
+    """Rows in row order with the number of their island: one begins where ``value`` isn't the row before's ``next_to`` + 1."""
+    rows = preceding(df, {"_before": F.col(next_to)}, "rid", ["rid"])
+    first = F.coalesce(F.col(value) != F.col("_before") + 1, F.lit(True))
+    return running(rows, {"island": ("sum", first.cast("long"))}, "rid", ["rid"])
 
 
 def from_integers(df: DataFrame, value: str = "pos") -> DataFrame:
     """Runs of values that grow by one, in row order, as ranges (columns space, rid, value)."""
-    w = Window.partitionBy("space").orderBy("rid")
-    marked = _islands(df, F.coalesce(F.col(value) != F.lag(value).over(w) + 1, F.lit(True)))
+    marked = _islands(df, value, value)
     runs = marked.groupBy("space", "island").agg(F.min(value).alias("start"), F.max(value).alias("end"))
     return runs.select("space", F.col("island").alias("rid"), "start", "end")
 
@@ -121,9 +124,7 @@ def positions(df: DataFrame) -> DataFrame:
 
 def stitch(df: DataFrame) -> DataFrame:
     """Neighbouring rows of which one starts right behind the other's end, merged in row order; empty ranges are dropped."""
-    w = Window.partitionBy("space").orderBy("rid")
-    some = df.filter("end >= start")
-    marked = _islands(some, F.coalesce(F.col("start") != F.lag("end").over(w) + 1, F.lit(True)))
+    marked = _islands(df.filter("end >= start"), "start", "end")
     return marked.groupBy("space", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("space", F.col("island").alias("rid"), "start", "end")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import col
-from ..plans.sweep import CHUNK, merged, running, segments
+from ..plans.sweep import CHUNK, merged, preceding, running, segments
 
 
 def numbered(df: DataFrame, *order: str) -> DataFrame:
@@ -246,9 +246,9 @@ def align(*runs: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 def runs_of(df: DataFrame, value: str = "value") -> DataFrame:
     """Run-length encoding of a vector (space, rid, value) with rows numbered from 1 without holes."""
-    w = Window.partitionBy("space").orderBy("rid")
-    first = (F.row_number().over(w) == 1) | ~F.col(value).eqNullSafe(F.lag(value).over(w))
-    marked = df.withColumn("_island", F.sum(first.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = preceding(df, {"_there": F.lit(True), "_before": F.col(value)}, "rid", ["rid"])
+    first = F.col("_there").isNull() | ~F.col(value).eqNullSafe(F.col("_before"))
+    marked = running(rows, {"_island": ("sum", first.cast("long"))}, "rid", ["rid"])
     out = marked.groupBy("space", "_island").agg(F.min("rid").alias("start"), F.max("rid").alias("end"), F.first(value).alias("value"))
     return out.drop("_island")
 

@@ -39,6 +39,17 @@ def running(df: DataFrame, values: dict[str, tuple[str, Column]], at: str, order
     return rows.withColumns(done).drop("_chunk", *raw, *[f"_c_{k}" for k in values])
 
 
+def preceding(df: DataFrame, values: dict[str, Column], at: str, order: Sequence[str], *, chunk: int = CHUNK, by: Sequence[str] = ("space",)) -> DataFrame:
+    """Add what each expression is in the row before along ``order`` (which starts with position ``at``) in each group
+    ``by``; null in the first row."""
+    rows = df.withColumns({"_chunk": F.floor(F.col(at) / chunk).cast("long"), "_own": F.struct(*[e.alias(k) for k, e in values.items()])})
+    lasts = rows.groupBy(*by, "_chunk").agg(F.max_by("_own", F.struct(*order)).alias("_last"))
+    lasts = lasts.select(*by, "_chunk", F.lag("_last").over(Window.partitionBy(*by).orderBy("_chunk")).alias("_last"))
+    inside = Window.partitionBy(*by, "_chunk").orderBy(*order)
+    rows = rows.join(lasts, [*by, "_chunk"]).withColumn("_last", F.coalesce(F.lag("_own").over(inside), F.col("_last")))
+    return rows.withColumns({k: F.col("_last")[k] for k in values}).drop("_chunk", "_own", "_last")
+
+
 def following(df: DataFrame, name: str, at: str, *, chunk: int = CHUNK, by: Sequence[str] = ("space",)) -> DataFrame:
     """Add the next larger position to a table of distinct positions (null behind the last)."""
     rows = df.withColumn("_chunk", F.floor(F.col(at) / chunk).cast("long"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.sweep import running
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,9 +27,9 @@ def line_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as ranges of days; rows are numbered in the order of five columns."""
     lines = table(spark, sf_dir, "lineitem")
     start = day("l_shipdate")
-    w = Window.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+    lines = running(lines, {"_rid": ("sum", F.lit(1).cast("long"))}, "l_orderkey", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"], by=())
     return lines.select(
-        (F.col("l_suppkey") % 8).cast("long").alias("space"), F.row_number().over(w).cast("long").alias("rid"), start.alias("start"), (start + F.col("l_quantity").cast("int") - 1).cast("long").alias("end"), F.col("l_quantity").cast("long").alias("weight")
+        (F.col("l_suppkey") % 8).cast("long").alias("space"), F.col("_rid").alias("rid"), start.alias("start"), (start + F.col("l_quantity").cast("int") - 1).cast("long").alias("end"), F.col("l_quantity").cast("long").alias("weight")
     )
 
 
