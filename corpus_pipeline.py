@@ -27,8 +27,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item occurs, with up to a tenth of its characters edited."""
-    return decontam.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), rate=0.1)
+    """Documents in which no benchmark item occurs, with up to a tenth of its characters edited.
+
+    Documents are kept that hold no more than items of fewer than 20 characters: any text may.
+    """
+    return decontam.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), rate=0.1, short_items=False)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

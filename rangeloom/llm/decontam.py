@@ -10,12 +10,13 @@ Items go to the executors in passes of at most ``pass_chars`` characters; a larg
 documents, not more memory.
 
 Texts are compared in lower case with runs of white space as one blank.  Defined results: null, empty or blank texts and
-items match nothing, nor do items of fewer than ``least_chars`` characters (names and phrases that any text may hold);
-repeated items and rows each give their own result; of several occurrences in a document the nearest counts.
+items match nothing; items of fewer than ``least_chars`` characters match exactly and between word boundaries only, or
+nothing without ``short_items`` (any text may hold such names and phrases); repeated items and rows each give their own result; of several occurrences in a document the nearest counts.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,6 +30,17 @@ def normal(text: str) -> str:
     return " ".join(text.lower().split())
 
 
+#: Letters of scripts that put no blanks between words: each side of one may be a word's end.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+
+
+def bounded(text: str, a: int, b: int) -> bool:
+    """Whether text[a:b] begins and ends at word boundaries."""
+    spaced = lambda ch: ch.isalnum() and not UNSPACED.match(ch)
+    inside = lambda i: 0 < i < len(text) and spaced(text[i - 1]) and spaced(text[i])
+    return not inside(a) and not inside(b)
+
+
 def masks(pattern: str) -> dict[str, int]:
     out: dict[str, int] = {}
     for i, ch in enumerate(pattern):
@@ -61,11 +73,11 @@ def least_distance(mask: dict[str, int], m: int, text: str) -> int:
 
 
 class Item:
-    """An item, its pieces, and for each piece the nodes of the tree above it."""
+    """An item, its pieces, and for each piece the nodes of the tree above it.  A short one has no budget."""
 
-    def __init__(self, key: int, text: str, rate: float):
-        self.key, self.text = key, text
-        k = int(len(text) * rate)
+    def __init__(self, key: int, text: str, rate: float, short: bool = False):
+        self.key, self.text, self.short = key, text, short
+        k = 0 if short else int(len(text) * rate)
         self.budget = k
         cuts = [len(text) * i // (k + 1) for i in range(k + 2)]
         self.pieces = [(cuts[i], text[cuts[i] : cuts[i + 1]]) for i in range(k + 1)]
@@ -96,10 +108,10 @@ class Item:
 
 
 class Matcher:
-    def __init__(self, items: list[tuple[int, str]], rate: float):
+    def __init__(self, items: list[tuple[int, str]], rate: float, least_chars: int = 0):
         import ahocorasick
 
-        self.items = [Item(key, text, rate) for key, text in items]
+        self.items = [Item(key, text, rate, len(text) < least_chars) for key, text in items]
         found: dict[str, list[tuple[int, int]]] = {}
         for i, item in enumerate(self.items):
             for j, (_, piece) in enumerate(item.pieces):
@@ -123,6 +135,8 @@ class Matcher:
                 if best.get(i) == 0:
                     continue
                 item = self.items[i]
+                if item.short and not bounded(text, place, end + 1):
+                    continue
                 first = place - item.pieces[j][0]
                 if i in best and (i, first, -1) in tried:
                     continue  # the same alignment has been measured
@@ -136,12 +150,12 @@ class Matcher:
 _matcher: dict[int, tuple[object, Matcher]] = {}
 
 
-def _hits(held, rate: float, n: int):
+def _hits(held, rate: float, n: int, least_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = held.value
         cached = _matcher.get(0)
         if cached is None or cached[0] is not items:
-            cached = _matcher[0] = (items, Matcher(items, rate))
+            cached = _matcher[0] = (items, Matcher(items, rate, least_chars))
         matcher = cached[1]
         for whole in batches:
             for batch in slices(whole, 0):
@@ -156,13 +170,17 @@ def _hits(held, rate: float, n: int):
 
 
 def find_leaks(
-    df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = 0.1, least_chars: int = 20, pass_chars: int = 4 << 20
+    df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = 0.1, least_chars: int = 20, short_items: bool = True, pass_chars: int = 4 << 20
 ) -> DataFrame:
-    """Per document and item that occurs in it: id, item, distance, item_chars."""
+    """Per document and item that occurs in it: id, item, distance, item_chars.
+
+    Items of fewer than ``least_chars`` characters must occur exactly, between word boundaries; without ``short_items``
+    they are left out.
+    """
     bounded_batches(df.sparkSession)
     spark = df.sparkSession
     kind, item_kind = df.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    items = benchmark.select(c(item_col).alias("item"), text_or_empty(item_text_col).alias("text")).filter(F.length("text") >= least_chars)
+    items = benchmark.select(c(item_col).alias("item"), text_or_empty(item_text_col).alias("text")).filter(F.length("text") >= (1 if short_items else least_chars))
     items = cut(items.withColumn("place", F.monotonically_increasing_id()))
     passes = max(1, -(-int(items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]) // pass_chars))
     docs = df.select(text_or_empty(text_col).alias("text"), c(id_col).alias("id"))
@@ -170,8 +188,8 @@ def find_leaks(
     for p in range(passes):
         some = items.filter(F.pmod(F.xxhash64("place"), F.lit(passes)) == p).select("place", "text").orderBy("place").collect()
         normed = [(r[0], normal(r[1])) for r in some]
-        held = spark.sparkContext.broadcast([(k, t) for k, t in normed if len(t) >= least_chars])
-        hits = docs.mapInArrow(_hits(held, rate, 1), f"id {kind}, place long, distance int")
+        held = spark.sparkContext.broadcast([(k, t) for k, t in normed if t and (short_items or len(t) >= least_chars)])
+        hits = docs.mapInArrow(_hits(held, rate, 1, least_chars), f"id {kind}, place long, distance int")
         found = hits if found is None else found.unionByName(hits)
     named = items.select("place", "item", F.length("text").cast("int").alias("item_chars"))
     return found.join(named, "place").select("id", F.col("item").cast(item_kind).alias("item"), "distance", "item_chars")

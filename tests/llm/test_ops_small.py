@@ -421,6 +421,19 @@ def test_leaks(spark, pass_chars):
     assert decontam.find_leaks(df, bench.limit(0)).collect() == decontam.find_leaks(df.limit(0), bench).collect() == []
 
 
+def test_short_items(spark):
+    """Items under the least length match exactly at word boundaries; only who asks for it leaves them out."""
+    bench = spark.createDataFrame([(1, "Blue  whale"), (2, "42"), (3, "漢字"), (4, " \n"), (5, None), (6, "c++")], "item_id long, text string")
+    texts = ["a blue\nWHALE.", "blue whales", "the bluewhale", "is 42", "is 421 or x42", "(42)", "これは漢字です", "use c++ now", "blue whole", "c++", "", None]
+    df = documents(spark, [row(i, t) for i, t in enumerate(texts)])
+    for size in (4, 1 << 20):
+        found = decontam.find_leaks(df, bench, pass_chars=size).collect()
+        assert Counter((r.id, r.item, r.distance) for r in found) == Counter([(0, 1, 0), (3, 2, 0), (5, 2, 0), (6, 3, 0), (7, 6, 0), (9, 6, 0)])
+    assert {r.doc_id for r in decontam.without_leaks(df, bench).collect()} == {1, 2, 4, 8, 10, 11}
+    assert decontam.find_leaks(df, bench, short_items=False).collect() == []
+    assert decontam.without_leaks(df, bench, short_items=False).count() == len(texts)
+
+
 # ---- lines -----------------------------------------------------------------------------------------------------------
 
 
