@@ -1,7 +1,9 @@
-"""A folder for intermediate files: the one that the session names in ``spark.checkpoint.dir``, else a local one."""
+"""Folders for intermediate files: under the one that the session names in ``spark.checkpoint.dir``."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -10,9 +12,37 @@ from pyspark.sql import SparkSession
 _own: dict[str, str] = {}
 
 
-def path(spark: SparkSession, name: str) -> str:
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Only where the session names none and runs in one process (tests) is a local folder made; it goes with the process.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        app = spark.sparkContext.applicationId
-        root = _own.setdefault(app, "") or _own.__setitem__(app, tempfile.mkdtemp(prefix="rangeloom-")) or _own[app]
-    return f"{root.rstrip('/')}/rangeloom/{name}-{uuid.uuid4().hex}"
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="rangeloom-")
+        atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
+    return _own[app]
+
+
+def own_folder(spark: SparkSession) -> str:
+    """Where this application's intermediate files stand."""
+    return f"{shared_root(spark)}/rangeloom/{spark.sparkContext.applicationId}"
+
+
+def path(spark: SparkSession, name: str) -> str:
+    """A path there that nothing has used yet."""
+    return f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def forget(spark: SparkSession) -> bool:
+    """Remove the intermediate files of this application, when no result that reads them is needed any more.
+
+    (Checkpoints go by themselves under ``spark.cleaner.referenceTracking.cleanCheckpoints``.)
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
