@@ -5,40 +5,19 @@ from __future__ import annotations
 import ctypes
 import functools
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import path as new_path
+from ..sources.scratch import shared_root
+
 #: White space of every contract here: the six ASCII characters.
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_RE = re.compile(WORD)
 
-_own: dict[str, str] = {}
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests on one machine) is a local folder made.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="rangeloom-")
-    return _own[app]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has used yet."""
-    return f"{shared_root(spark)}/rangeloom/{name}-{uuid.uuid4().hex}"
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into the shared checkpoint folder and drop its lineage (for slim tables)."""
     sc = df.sparkSession.sparkContext
@@ -72,6 +51,20 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def aside(names: list[str], *added: str) -> list[str]:
+    """``names`` with underscores before those that a result adds itself, until all are different (without case)."""
+    taken = {x.lower() for x in (*names, *added)}
+    out = []
+    for name in names:
+        new = name
+        if name.lower() in {x.lower() for x in added}:
+            while new.lower() in taken:
+                new = f"_{new}"
+            taken.add(new.lower())
+        out.append(new)
+    return out
+
+
 def c(name: str) -> Column:
     """A column by its exact name, dots and back-ticks included."""
     return F.col("`" + name.replace("`", "``") + "`")
