@@ -74,45 +74,92 @@ def pack(ids: np.ndarray, lengths: np.ndarray, *, chunk: int = 1 << 16, bits: in
     return b"".join([*out, table, sizes, footer])
 
 
-def unpack(content: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The ids and the documents' lengths of a file."""
+def _tables(content: bytes) -> tuple[list[tuple[int, int, list[int]]], np.ndarray, int]:
+    """The chunks (offset, ids, plane lengths), the documents' lengths and the plane width of a file."""
     index_at, chunks, sizes_at, docs, bits, magic = FOOTER.unpack(content[-FOOTER.size :])
     if magic != MAGIC or content[:4] != MAGIC:
         raise ValueError("not a bit-plane file")
-    z = zstandard.ZstdDecompressor()
     index = np.frombuffer(content[index_at:sizes_at], "<u4").tolist()
-    sizes = z.decompress(content[sizes_at : -FOOTER.size], max_output_size=max(8 * docs, 1))
-    parts, at, i = [np.zeros(0, "<u4")], len(MAGIC), 0
+    sizes = zstandard.ZstdDecompressor().decompress(content[sizes_at : -FOOTER.size], max_output_size=max(8 * docs, 1))
+    table, at, i = [], len(MAGIC), 0
     for _ in range(chunks):
         n, planes = index[i : i + 2]
-        lengths = index[i + 2 : i + 2 + planes]
+        table.append((at, n, index[i + 2 : i + 2 + planes]))
+        at += sum(table[-1][2])
         i += 2 + planes
-        got = []
-        for length in lengths:
-            got.append(z.decompress(content[at : at + length], max_output_size=n))
-            at += length
-        parts.append(from_planes(got, n, bits))
-    return np.concatenate(parts), np.frombuffer(sizes, "<u8").astype("i8")
+    return table, np.frombuffer(sizes, "<u8").astype("i8"), bits
+
+
+def _chunk(content: bytes, at: int, n: int, lengths: list[int], bits: int) -> np.ndarray:
+    z, got = zstandard.ZstdDecompressor(), []
+    for length in lengths:
+        got.append(z.decompress(content[at : at + length], max_output_size=n))
+        at += length
+    return from_planes(got, n, bits)
+
+
+def unpack(content: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The ids and the documents' lengths of a file."""
+    table, sizes, bits = _tables(content)
+    return np.concatenate([np.zeros(0, "<u4"), *(_chunk(content, at, n, lengths, bits) for at, n, lengths in table)]), sizes
+
+
+def unpack_run(content: bytes, first: int, count: int) -> np.ndarray:
+    """The ids from place ``first`` of a file on, ``count`` at most: only the chunks that hold them are decompressed."""
+    table, _, bits = _tables(content)
+    out, place = [np.zeros(0, "<u4")], 0
+    for at, n, lengths in table:
+        if place < first + count and first < place + n:
+            out.append(_chunk(content, at, n, lengths, bits)[max(first - place, 0) : first + count - place])
+        place += n
+    return np.concatenate(out)
 
 
 # ---- encoding --------------------------------------------------------------------------------------------------------
 
-#: A letter, then punctuation that the vocabulary's splitter never joins to it; a space between changes no token.
-LETTER_MARK = r"(\pL)([.,!?;:%*#$&]+)"
+#: A Latin letter, then punctuation that the splitter below never joins to it; a space between changes no token.  The
+#: letters are those that composing and lower-casing leave letters (a capital dotted I, say, would leave a mark behind it).
+LETTER_MARK = r"([A-Za-zÀ-ÖØ-öø-įı-ſ])([.,!?;:%*#$&]+)"
+
+#: The normaliser and the splitter with which a text's ids are its pieces' ids in a row.
+KNOWN_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+KNOWN_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
+def cuts_at_spaces(tokenizer) -> bool:
+    """Whether a tokenizer composes and lower-cases characters and then cuts at white space and around letters, so that
+    no token crosses such a cut and :class:`WordEncoder` may be used."""
+    import json
+
+    told = json.loads(tokenizer.to_str())
+    split = (told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    rest = [x.get("type") == "ByteLevel" and not x.get("add_prefix_space") and not x.get("use_regex") for x in split[1:]]
+    plain = all(not x.get("lstrip") and not x.get("rstrip") and not x.get("single_word") and " " not in x.get("content", "") for x in told.get("added_tokens", []))
+    return told.get("normalizer") == KNOWN_NORMALIZER and split[0] == KNOWN_SPLIT and all(rest) and plain and told.get("post_processor") is None
+
+
+class TextEncoder:
+    """Encodes whole texts by the library alone: for any tokenizer."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in a row, each text's followed by ``end_id``, and the number of ids of each text."""
+        got = [[*e.ids, end_id] for e in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+        sizes = np.fromiter(map(len, got), "i8", len(got))
+        return np.fromiter((x for ids in got for x in ids), "u4", int(sizes.sum())), sizes
 
 
 class WordEncoder:
-    """Encodes texts piece by piece and remembers the pieces.
+    """Encodes texts piece by piece and remembers the pieces: for tokenizers of which :func:`cuts_at_spaces` holds.
 
-    This tokenizer first composes and lower-cases characters and cuts at white space and between letters and
-    punctuation; no token crosses such a cut.  So a text's ids are its pieces' ids in a row, and each distinct piece is
-    encoded by the library once.  The memory of pieces is emptied when it holds ``most`` pieces.
+    A text's ids are its pieces' ids in a row, and each distinct piece is encoded by the library once.  The memory of
+    pieces is emptied when it holds ``most`` pieces.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+    def __init__(self, tokenizer, most: int = 400_000):
+        self.tokenizer = tokenizer
         self.most = most
         self._empty()
 
@@ -177,15 +224,19 @@ class WordEncoder:
         return out, np.diff(last, prepend=0)
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[str, WordEncoder | TextEncoder] = {}
 
 
-def _encoder(path: str) -> WordEncoder:
+def encoder(path: str) -> WordEncoder | TextEncoder:
+    """The encoder for a vocabulary file, made once a process."""
     if path not in _encoders:
         import os
 
+        from tokenizers import Tokenizer
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _encoders[path] = WordEncoder(path)
+        tokenizer = Tokenizer.from_file(path)
+        _encoders[path] = WordEncoder(tokenizer) if cuts_at_spaces(tokenizer) else TextEncoder(tokenizer)
     return _encoders[path]
 
 
@@ -193,7 +244,7 @@ def _write(vocabulary: str, end_id: int, file_ids: int, chunk: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part, file = _encoder(vocabulary), TaskContext.get().partitionId(), 0
+        codes, part, file = encoder(vocabulary), TaskContext.get().partitionId(), 0
         ids, lengths, waiting = [], [], 0
 
         def close() -> pa.RecordBatch:
@@ -213,7 +264,7 @@ def _write(vocabulary: str, end_id: int, file_ids: int, chunk: int, bits: int):
 
         for whole in batches:
             for batch in slices(whole, 0, 2 << 20):
-                flat, sizes = encoder.encode(batch.column(0), end_id)
+                flat, sizes = codes.encode(batch.column(0), end_id)
                 ids.append(flat), lengths.append(sizes), names.append(batch.column(1))
                 waiting += len(flat)
                 if waiting >= file_ids:
@@ -225,13 +276,18 @@ def _write(vocabulary: str, end_id: int, file_ids: int, chunk: int, bits: int):
 
 
 def write_tokens(
-    df: DataFrame, path: str, *, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", file_ids: int = 1 << 20, chunk: int = 1 << 16, bits: int = 1
+    df: DataFrame, path: str, *, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", file_ids: int = 1 << 20, chunk: int = 1 << 16, bits: int = 1, task_bytes: int = 64 << 20
 ) -> None:
-    """Encode every text and write the ids in ascending id order as bit-plane files of about ``file_ids`` ids."""
+    """Encode every text and write the ids in ascending id order as bit-plane files of about ``file_ids`` ids.
+
+    A task sorts about ``task_bytes`` bytes of text: there are as many tasks as the measured texts need, and at least
+    ``spark.sql.shuffle.partitions``.
+    """
     bounded_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     docs = df.select(text_or_empty(text_col).alias("text"), c(id_col).alias("id"))
-    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // task_bytes))
     ordered = docs.repartitionByRange(parts, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"))
     out = f"part int, file int, n_ids long, ids array<{kind}>, content binary"
     ordered.mapInArrow(_write(vocabulary, end_id, file_ids, chunk, bits), out).write.parquet(path)
