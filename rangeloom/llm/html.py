@@ -9,12 +9,18 @@ page's text.  Both kinds of potential are trained on labelled pages (``labelled_
 Text inside a block has its white space turned into single blanks and is trimmed; blocks are joined by line ends.  A
 ``br`` ends a run like a block does.
 
+Pages are cut into tags as browsers do it, in one pass over the page whatever its quotes and brackets.  Not read are
+scripts, styles and what else never shows, and form controls.  A control or an element of raw text that isn't closed
+hides no more than what stands before the next block; an unclosed script, style or comment hides the rest, as in
+browsers.  All other text is read, that of formulas, figures and of elements that no one knows included.
+
 Defined results: null or empty pages, and pages without content, give an empty text; text outside any element is read as
 the body's; unclosed elements end with what holds them; repeated pages give repeated results.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import math
 import random
@@ -30,19 +36,21 @@ from .common import bounded_batches, c, slices, tidied
 
 # ---- the tree --------------------------------------------------------------------------------------------------------
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-NAME = re.compile(r"""(?:^|\s)(class|id|role|y|n)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
-#: Fixed values of HTML: elements without content, elements whose content isn't markup, elements that flow in a line.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object select option button canvas audio video".split())
-UNREAD = RAW - {"textarea", "noscript", "select", "option", "button", "title"}
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+#: Fixed values of HTML: elements without content, elements whose content never shows or isn't markup, form controls,
+#: elements that make a block of their own.
+VOID = frozenset("area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr".split())
+RAW = frozenset("script style textarea title iframe noembed noframes xmp template desc metadata".split())
+CONTROL = frozenset("select option optgroup datalist button".split())
+BLOCK = frozenset("address article aside blockquote body caption center colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup legend li listing main menu nav ol p plaintext pre search section summary table tbody td tfoot th thead tr ul".split())
 #: Elements that end an open paragraph or item of the same kind.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+ATTRIBUTE = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)(\s*=\s*)?")
+VALUE = re.compile(r"[^\s>]*")
 #: Words in class and id that tell what an element is for.
 NOISE = frozenset("ad ads advert advertisement alert banner breadcrumb breadcrumbs comment comments cookie cookies copyright disclaimer discussion footer header legal login menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion related reply replies share sharing sidebar signup social sponsor sponsored subscribe tags topbar widget".split())
 GOOD = frozenset("article articletext body content entry main post story text".split())
-SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
+CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+SPLIT = re.compile(r"[^a-z]+")
 SPACE = re.compile(r"\s+")
 
 
@@ -55,27 +63,89 @@ class Node:
     chars: int = 0
     linked: int = 0
     mark: int = 0
+    around: bool = False  # an article or the main part stands in it
     kids: list[int] = field(default_factory=list)
 
 
-def _names(attributes: str) -> tuple[tuple[str, ...], int]:
-    words, mark = [], 0
-    if attributes and not attributes.isspace():
-        for key, value in NAME.findall(attributes):
-            key = key.lower()
-            if key in ("y", "n"):
-                mark = 1 if key == "y" else -1
-            else:
-                words += [w for w in SPLIT.split(entities.unescape(value.strip("\"'")).lower()) if w]
-    return tuple(words), mark
+class Cutter:
+    """Cuts a page into text and tags.  What is looked for ahead is known to be there, so that no search is in vain."""
+
+    def __init__(self, page: str):
+        self.page = page
+        close = page.rfind(">")
+        #: The last place of each thing sought; quotes count only where a tag's end still follows.
+        self.last = {">": close, "-->": page.rfind("-->")} | {q: page.rfind(q, 0, max(close, 0)) for q in "\"'"}
+        self.ends: dict[str, list[int]] = {}
+
+    def find(self, what: str, at: int) -> int:
+        return self.page.find(what, at) if self.last[what] >= at else -1
+
+    def tag(self, at: int) -> tuple[int, str, bool, dict[str, str]] | None:
+        """The tag that begins at ``at`` (a "<"): the place behind it, its name (empty for comments and the like), whether
+        it closes, and its attributes.  Nothing if no tag begins there."""
+        page = self.page
+        if page.startswith("<!--", at):
+            stop = self.find("-->", at + 2)
+            return (len(page) if stop < 0 else stop + 3), "", False, {}
+        closing = page.startswith("</", at)
+        first = at + 2 if closing else at + 1
+        ch = page[first : first + 1]
+        if ch in ("!", "?") or (closing and ch and not (ch.isascii() and ch.isalpha())):
+            stop = self.find(">", first)
+            return None if stop < 0 else (stop + 1, "", False, {})
+        if not (ch.isascii() and ch.isalpha()) or self.find(">", first) < 0:
+            return None
+        stop = first
+        while page[stop] not in " \t\n\r\f/>":
+            stop += 1
+        name, found = page[first:stop].lower(), {}
+        while True:
+            while page[stop : stop + 1] in (" ", "\t", "\n", "\r", "\f", "/"):
+                stop += 1
+            if page[stop : stop + 1] in (">", ""):
+                break
+            m = ATTRIBUTE.match(page, stop)
+            if m is None:
+                stop += 1
+                continue
+            stop, value = m.end(), ""
+            if m[2]:
+                quote = page[stop : stop + 1]
+                close = self.find(quote, stop + 1) if quote in ('"', "'") else -1
+                if close >= 0:
+                    value, stop = page[stop + 1 : close], close + 1
+                else:
+                    v = VALUE.match(page, stop)
+                    value, stop = v[0], v.end()
+            found.setdefault(m[1].lower(), value)
+        return stop + 1, name, closing, found
+
+    def end_of(self, tag: str, at: int) -> int:
+        """The place behind the next end tag of that name, or -1."""
+        if tag not in self.ends:
+            self.ends[tag] = [m.end() for m in re.finditer(rf"</{re.escape(tag)}(?:\s[^>]*)?>", self.page, re.I)]
+        i = bisect.bisect_right(self.ends[tag], at)
+        return self.ends[tag][i] if i < len(self.ends[tag]) else -1
+
+
+def _names(attributes: dict[str, str]) -> tuple[tuple[str, ...], int]:
+    """The words of class, id and role, and a training page's mark."""
+    words = []
+    for key in ("class", "id", "role"):
+        if key in attributes:
+            told = CAMEL.sub(" ", entities.unescape(attributes[key]))
+            words += [w for w in SPLIT.split(told.lower()) if w]
+    return tuple(words), 1 if "y" in attributes else -1 if "n" in attributes else 0
 
 
 def parse(page: str) -> list[Node]:
     """The blocks and runs of a page; node 0 is the body."""
     nodes = [Node("body", -1)]
     stack = [0]  # open blocks
+    open_tags: dict[str, int] = {}  # how many of each are in the stack
     run: list[str] = []
     links, linked = 0, 0
+    hidden: list[str] = []  # open form controls
 
     def end_run() -> None:
         nonlocal linked
@@ -86,73 +156,103 @@ def parse(page: str) -> list[Node]:
             nodes.append(Node("#run", stack[-1], text=text, chars=len(text), linked=min(linked, len(text))))
         linked = 0
 
-    at, n = 0, len(page)
-    search = TOKEN.search
-    while at < n:
-        m = search(page, at)
-        if m is None:
-            run.append(page[at:])
-            break
-        if m.start() > at:
-            run.append(page[at : m.start()])
+    def shut(depth: int) -> None:
+        for i in stack[depth:]:
+            open_tags[nodes[i].tag] -= 1
+        del stack[depth:]
+
+    def text(a: int, b: int) -> None:
+        nonlocal linked
+        if b > a and not hidden:
+            run.append(page[a:b])
             if links:
-                linked += m.start() - at
-        at = m.end()
-        tag = m[2]
-        if tag is None:
+                linked += b - a
+
+    cut = Cutter(page)
+    at, since, n = 0, 0, len(page)  # since: where the text before the next tag begins
+    while True:
+        place = page.find("<", at)
+        got = cut.tag(place) if place >= 0 else None
+        if place >= 0 and got is None:
+            at = place + 1  # a bracket that begins no tag is text
             continue
-        tag = tag.lower()
-        closing = bool(m[1])
+        text(since, n if got is None else place)
+        if got is None:
+            break
+        at, tag, closing, attributes = got
+        since = at
         if tag in RAW and not closing:
-            if m[3].endswith("/") or tag in VOID:
-                continue
-            stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = stop.end() if stop else n
+            stop = cut.end_of(tag, at)
+            if stop < 0 and tag in ("script", "style"):
+                stop = n
+            at = since = max(stop, at)
             continue
-        if tag in INLINE:
-            if tag == "a":
-                links = max(0, links + (-1 if closing else 1))
+        if tag in CONTROL:
+            if not closing:
+                hidden.append(tag)
+            elif tag in hidden:
+                del hidden[len(hidden) - 1 - hidden[::-1].index(tag) :]
             continue
-        if tag in VOID:
-            if tag in ("br", "hr"):
-                end_run()
+        if tag in ("br", "hr"):
+            end_run()
             continue
-        if tag in ("html", "head"):
+        if tag == "a":
+            links = max(0, links + (-1 if closing else 1))
             continue
+        if tag not in BLOCK and "-" not in tag:  # flows in a line, or has no content
+            continue
+        if hidden:  # inside a control that closes later, or else the control has ended
+            if cut.end_of(hidden[0], at) >= 0 and not _opens_again(page, hidden[0], at, cut):
+                continue
+            hidden.clear()
         end_run()
         links = 0
         if closing:
-            for depth in range(len(stack) - 1, 0, -1):
-                if nodes[stack[depth]].tag == tag:
-                    del stack[depth:]
-                    break
+            if open_tags.get(tag):
+                for depth in range(len(stack) - 1, 0, -1):
+                    if nodes[stack[depth]].tag == tag:
+                        shut(depth)
+                        break
             continue
-        names, mark = _names(m[3])
+        names, mark = _names(attributes)
         if tag == "body":
             nodes[0].names, nodes[0].mark = names, mark
             continue
         if nodes[stack[-1]].tag == "p":
-            stack.pop()
-        if tag in CLOSES:
+            shut(len(stack) - 1)
+        if tag in CLOSES and any(open_tags.get(x) for x in CLOSES[tag]):
             for depth in range(len(stack) - 1, 0, -1):
                 open_tag = nodes[stack[depth]].tag
                 if open_tag in CLOSES[tag]:
-                    del stack[depth:]
+                    shut(depth)
                     break
                 if open_tag in ("ul", "ol", "dl", "table"):
                     break
         nodes[stack[-1]].kids.append(len(nodes))
         nodes.append(Node(tag, stack[-1], names, mark=mark))
-        if not m[3].endswith("/"):
-            stack.append(len(nodes) - 1)
+        stack.append(len(nodes) - 1)
+        open_tags[tag] = open_tags.get(tag, 0) + 1
     end_run()
     for node in reversed(nodes):
         if node.parent >= 0:
-            nodes[node.parent].chars += node.chars
-            nodes[node.parent].linked += node.linked
+            parent = nodes[node.parent]
+            parent.chars += node.chars
+            parent.linked += node.linked
+            own = (node.tag in ("article", "main") or "article" in node.names) and not any(w in NOISE for w in node.names)
+            parent.around = parent.around or node.around or own
     return nodes
 
 
+def _opens_again(page: str, tag: str, at: int, cut: Cutter) -> bool:
+    """Whether a control opens before the next end tag of its name, which then isn't that of an earlier one."""
+    key = "<" + tag
+    if key not in cut.ends:
+        cut.ends[key] = [m.start() for m in re.finditer(rf"<{re.escape(tag)}[\s/>]", page, re.I)]
+    starts = cut.ends[key]
+    i = bisect.bisect_left(starts, at)
+    return i < len(starts) and starts[i] < cut.end_of(tag, at)
+
+
 # ---- potentials ------------------------------------------------------------------------------------------------------
 
 
@@ -162,7 +262,7 @@ def looks(node: Node, whole: int) -> tuple[str, ...]:
     if node.tag != "#run":
         noise = any(w in NOISE for w in node.names)
         if noise:
-            out.append("noise name")
+            out.append("noise name around" if node.around else "noise name")
         if not noise and any(w in GOOD for w in node.names):
             out.append("good name")
     share = node.linked / node.chars if node.chars else 0.0

@@ -32,4 +32,9 @@ PAGES = [
     """<body y><h1>~</h1><p>@ @</p><p>@</p><p>@ @ @</p><p>~</p></body>""",
     """<body><div><a>~</a><a>~</a><a>~</a></div><div y><p>@ @ @</p><p>@ @</p><p>@ @ @</p></div><div><p>~ <a>~</a></p></div></body>""",
     """<body><div class="modal popup"><p>@</p><button>~</button></div><div class="text" y><h2>~</h2><p>@ @</p><p>@</p></div><div class="login"><form><input><p>~</p></form></div><div class="tags"><a>~</a><a>~</a></div></body>""",
+    """<body class="home has-sidebar"><div class="page-wrap comment-open"><div class="top-bar"><a>~</a> <a>~</a></div><article y><h1>~</h1><p>@ @</p><p>@</p><p>@ @</p></article><div class="footer"><a>~</a><p>@</p></div></div></body>""",
+    """<body><div id="wrapper" class="sidebar-right comments-closed"><div class="navMenu"><a>~</a><a>~</a><a>~</a></div><main y><h1>~</h1><p>@ @</p><p>@ @ @</p><ul><li>@</li><li>~</li></ul><p>@</p></main>
+    <div class="sideBar"><p>@</p></div></div><div class="cookieBanner"><p>@ @</p></div></body>""",
+    """<body><div class="site header-fixed"><div id="siteHeader"><p>~</p><a>~</a></div><div class="content-area"><div class="post-content" y><p>@</p><p>@ @</p><blockquote>@</blockquote><p>@ @</p></div></div><div class="relatedLinks"><a>~</a><a>~</a></div></div></body>""",
+    """<body><div class="layout with-nav"><nav><a>~</a><a>~</a></nav><article y><h2>~</h2><p>@</p><p>~</p></article><section class="reader-comments"><div class="comment-body"><p>@ @</p></div><div class="comment-body"><p>@ @ @</p></div><div class="comment-body"><p>@</p></div></section></div></body>""",
 ]
