@@ -13,6 +13,9 @@ doesn't, an empty member follows).
 Names that end in ``.gz`` would make Spark unpack the file as one stream.  Such files are read under another name (a mount
 of Hadoop's view file system, which adds an ending and leads to the same bytes in any store), in byte ranges like all others.
 
+Ids and URLs stand in header lines: characters that would break a line or the brackets around an id are written as %XX,
+the percent sign too in ids, and read back.
+
 Defined results: a null or empty payload has 0 bytes and the digest of nothing; rows that repeat both page_id and payload
 are each written as a response if theirs is the smallest page_id; a null page_id comes after all others; an empty table
 gives no records.
@@ -25,13 +28,13 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
-from urllib.parse import urlsplit
+from urllib.parse import unquote, urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, c, new_path, slices, stored, tidied
+from .common import bounded_batches, c, cut, new_path, slices, stored, tidied
 
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -43,18 +46,22 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload, usedforsecurity=False).digest()).decode()
 
 
-def _field(value: str) -> str:
+def _field(value: str, also: str = "") -> str:
     """A header value on one line."""
-    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", value)
+    return re.sub(rf"[\x00-\x20\x7f{also}]", lambda m: f"%{ord(m[0]):02X}", value)
+
+
+def _urn(name: str) -> str:
+    return f"<urn:page:{_field(name, '<>%')}>"
 
 
 def record(name: str, url: str, payload: bytes, refers_to: str | None, date: str) -> bytes:
     """One record: the response with its HTTP head and payload, or a revisit with the head alone."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if refers_to is not None else head + payload
-    lines = ["WARC/1.0", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{name}>", f"WARC-Date: {date}", f"WARC-Target-URI: {_field(url)}", f"WARC-Payload-Digest: sha1:{digest_of(payload)}"]
+    lines = ["WARC/1.0", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_urn(name)}", f"WARC-Date: {date}", f"WARC-Target-URI: {_field(url)}", f"WARC-Payload-Digest: sha1:{digest_of(payload)}"]
     if refers_to is not None:
-        lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {PROFILE}"]
+        lines += [f"WARC-Refers-To: {_urn(refers_to)}", f"WARC-Profile: {PROFILE}"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
 
@@ -86,20 +93,26 @@ def _members(date: str, row_bytes: int):
     return tidied(run)
 
 
-def write_archive(df: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", min_bytes: int = 0, date: str = "2000-01-01T00:00:00Z", row_bytes: int = 1 << 20) -> None:
+def write_archive(df: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", min_bytes: int = 0, date: str = "2000-01-01T00:00:00Z", row_bytes: int = 1 << 20, broadcast_rows: int = 200_000) -> None:
     """Write a record per row.  Of rows with equal payloads of at least ``min_bytes`` bytes the one with the smallest
     id is a response and the others revisit it; smaller payloads are all responses.
 
-    Only payloads that occur more than once are joined back, so the join's small side has a row per repeated payload.
+    Who revisits whom is found on digests and ids alone.  Up to ``broadcast_rows`` repeated payloads are then sent to the
+    executors, a digest and an id each, and the payloads stay where they are; beyond that the rows meet their marks by
+    digest and id, so that a payload which very many rows share is dealt out by their ids.
     """
     bounded_batches(df.sparkSession)
     rows = df.select(F.encode(F.coalesce(c(body_col).cast("string"), F.lit("")), "UTF-8").alias("payload"), c(id_col).alias("id"), c(url_col).cast("string").alias("url"))
-    rows = rows.withColumn("digest", F.sha1("payload"))
-    large = F.octet_length("payload") >= min_bytes
-    first = rows.filter(large).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first")
-    own = F.col("first").isNull() | F.coalesce(F.col("id") == F.col("first"), F.lit(False)) | ~large
-    refers_to = F.when(~own, F.col("first").cast("string"))
-    marked = rows.join(first, "digest", "left").select("payload", F.col("id").cast("string").alias("id"), "url", refers_to.alias("refers_to"))
+    rows = rows.withColumn("digest", F.unhex(F.sha1("payload")))
+    large = rows.filter(F.octet_length("payload") >= min_bytes).select("digest", "id")
+    first = cut(large.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first"))
+    if first.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        told = rows.join(F.broadcast(first), "digest", "left")
+    else:
+        marks = large.distinct().join(first, "digest").select(F.col("digest").alias("_digest"), F.col("id").alias("_id"), "first")
+        told = rows.join(marks, (F.col("digest") == F.col("_digest")) & F.col("id").eqNullSafe(F.col("_id")), "left")
+    own = F.col("first").isNull() | F.coalesce(F.col("id") == F.col("first"), F.lit(False))
+    marked = told.select("payload", F.col("id").cast("string").alias("id"), "url", F.when(~own, F.col("first").cast("string")).alias("refers_to"))
     data = marked.mapInArrow(_members(date, row_bytes), "data binary")
     data.select(F.col("data").cast("string").alias("value")).write.option("lineSep", "\x00").text(path)
 
@@ -110,25 +123,43 @@ def write_archive(df: DataFrame, path: str, *, id_col: str = "page_id", url_col:
 class Members:
     """Puts candidates together to members.
 
-    ``feed`` takes what follows a magic, with a tag; members come out of ``done``, and lines that belong to no member
-    that could be decided, with their tags, out of ``lost``.
+    ``feed`` takes what follows a magic, with a tag; members come out of ``done``, and lines before the first of them
+    that belong to no member that could be decided, with their tags, out of ``lost``.
     """
 
     def __init__(self):
         self.done: list[bytes] = []
+        self.restart()
+
+    def restart(self) -> None:
+        """Forget everything but the members that are done."""
         self.lost: list[tuple[int, bytes]] = []
         self.raw: list[tuple[int, bytes]] = []  # the open member's lines
         self.open = None
         self.out: list[bytes] = []
+        self.count = 0  # members decided
 
     def feed(self, line: bytes, tag: int = 0) -> None:
-        """Take a line as the rest of the open member, or as the start of one."""
-        if self.open is not None:
-            if self._take(self.open, line, tag):
-                return
-            self.close()
-        if (line[:1] and line[0] & 0xE0) or not self._take(zlib.decompressobj(31), line, tag):  # reserved flags
-            self.close()
+        """Take a line as the rest of the open member, or as the start of one.
+
+        If the open member fails, its first line is lost and those behind it are tried as starts themselves.
+        """
+        waiting = [(tag, line)]
+        while waiting:
+            tag, line = waiting.pop()
+            if self.open is not None:
+                if self._take(self.open, line, tag):
+                    continue
+                waiting.append((tag, line))
+                waiting += self.raw[:0:-1]
+                self._lose(*self.raw[0])
+                self.open, self.out, self.raw = None, [], []
+            elif (line[:1] and line[0] & 0xE0) or not self._take(zlib.decompressobj(31), line, tag):  # reserved flags
+                self.open, self.out, self.raw = None, [], []
+                self._lose(tag, line)
+
+    def _lose(self, tag: int, line: bytes) -> None:
+        if self.count == 0:
             self.lost.append((tag, line))
 
     def _take(self, z, line: bytes, tag: int) -> bool:
@@ -141,15 +172,11 @@ class Members:
         if z.eof:
             whole = b"".join(self.out)
             self.open, self.out, self.raw = None, [], []
+            self.count += 1
             if whole.startswith(b"WARC/"):
                 self.done.append(whole)
         return True
 
-    def close(self) -> None:
-        """Give up the open member."""
-        self.lost += self.raw
-        self.open, self.out, self.raw = None, [], []
-
 
 FIELDS = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("url", pa.string()), ("date", pa.string()), ("payload_digest", pa.string()), ("refers_to", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64())])
 DDL = "record_id string, record_type string, url string, date string, payload_digest string, refers_to string, payload binary, payload_bytes long"
@@ -174,7 +201,7 @@ def parse(whole: bytes) -> tuple:
     digest = fields.get("warc-payload-digest")
     if payload is not None and kind == "response":
         digest = "sha1:" + digest_of(payload)
-    bare = lambda x: x and x.removeprefix("<").removesuffix(">")
+    bare = lambda x: x and (unquote if x.startswith("<urn:page:") else str)(x.removeprefix("<").removesuffix(">"))
     return bare(fields.get("warc-record-id")), kind, fields.get("warc-target-uri"), fields.get("warc-date"), digest and digest.rpartition(":")[2], bare(fields.get("warc-refers-to")), payload, size
 
 
@@ -184,56 +211,73 @@ def _parsed(found: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cols, FIELDS, strict=True)], schema=FIELDS)
 
 
-SCAN_DDL = f"{DDL}, file string, split long, seq long, piece binary"
+#: A row is a record, or a piece of what a range can't decide alone (seq from 0), or says that a range has been read
+#: (seq -1): ``open`` if a member runs on behind its end, ``through`` if it decided nothing.
+SCAN_DDL = f"{DDL}, file string, split long, seq long, piece binary, open boolean, through boolean"
+EXTRA = {"file": pa.string(), "split": pa.int64(), "seq": pa.int64(), "piece": pa.binary(), "open": pa.bool_(), "through": pa.bool_()}
 
 
 @tidied
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Decode the members of each range; what can't be decided inside the range comes out as pieces."""
+    """Decode the members of each range.  Undecided are the lines before its first member, which may go on one from the
+    range before, and the open member at its end; what fails between two members is damage and is left out."""
     at, members, seq = None, Members(), 0
 
-    def emit(pieces: list[tuple]) -> Iterator[pa.RecordBatch]:
-        if members.done or pieces:
+    def emit(more: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if members.done or more:
             known = _parsed(members.done)
             members.done = []
-            n, k = len(known), len(pieces)
+            n, k = len(known), len(more)
             cols = [pa.concat_arrays([known.column(i), pa.nulls(k, f.type)]) for i, f in enumerate(FIELDS)]
-            more = list(zip(*pieces, strict=True)) if pieces else [[]] * 4
-            cols += [pa.concat_arrays([pa.nulls(n, t), pa.array(x, t)]) for x, t in zip(more, (pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
-            yield pa.RecordBatch.from_arrays(cols, [*FIELDS.names, "file", "split", "seq", "piece"])
+            extra = list(zip(*more, strict=True)) if more else [[]] * len(EXTRA)
+            cols += [pa.concat_arrays([pa.nulls(n, t), pa.array(x, t)]) for x, t in zip(extra, EXTRA.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays(cols, [*FIELDS.names, *EXTRA])
 
     def undecided() -> list[tuple]:
-        out = [(*at, tag, line) for tag, line in members.lost]
-        members.lost = []
+        lost, members.lost = members.lost, []
+        return [(*at, tag, line, None, None) for tag, line in lost]
+
+    def end() -> list[tuple]:
+        out = undecided() + [(*at, tag, line, None, None) for tag, line in members.raw]
+        if seq:
+            out.append((*at, -1, None, members.open is not None, members.count == 0))
+        members.restart()
         return out
 
     for whole in batches:
         for batch in slices(whole, 0, 4 << 20):
-            pieces: list[tuple] = []
+            more: list[tuple] = []
             for line, file, start in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if (file, start) != at:
                     if at:
-                        members.close()
-                        pieces += undecided()
+                        more += end()
                     at, seq = (file, start), 0
                     if start == 0:
                         if line.startswith(b"WARC/"):
                             raise ValueError(f"not an archive of gzip members: {file}")
                         continue  # what stands before the file's first member
                 members.feed(line, seq)
-                pieces += undecided()
+                more += undecided()
                 seq += 1
-            yield from emit(pieces)
+            yield from emit(more)
     if at:
-        members.close()
-        yield from emit(undecided())
+        yield from emit(end())
 
 
-def _join_pieces(table: pa.Table) -> pa.Table:
-    members = Members()
-    for piece in table.sort_by([("split", "ascending"), ("seq", "ascending")]).column("piece").to_pylist():
-        members.feed(piece)
-    return pa.Table.from_batches([_parsed(members.done)])
+@tidied
+def _join_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Put pieces together: input sorted by (file, chain, split, seq).  What is held is one open member."""
+    key, members = None, Members()
+    for batch in batches:
+        for file, chain, piece in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if (file, chain) != key:
+                members.restart()
+                key = (file, chain)
+            members.feed(piece)
+            members.lost.clear()
+        if members.done:
+            found, members.done = members.done, []
+            yield _parsed(found)
 
 
 def _candidates(spark: SparkSession, path: str) -> DataFrame:
@@ -261,16 +305,26 @@ def _candidates(spark: SparkSession, path: str) -> DataFrame:
 def read_archive(spark: SparkSession, path: str, *, payloads: bool = True) -> DataFrame:
     """The records of all archives at ``path``: see ``DDL`` for the columns; without ``payloads`` that one is null.
 
-    Pieces that no range could decide on its own (a member cut by a false magic near a range's end) are few whatever
-    the input: three given bytes come up once in 16 MB of compressed data.  They are kept apart and joined by file.
+    Pieces that no range could decide on its own (members cut by a false magic near a range's end) are few whatever the
+    input: three given bytes come up once in 16 MB of compressed data.  A range's pieces go on those of the range before
+    it if a member was open there; such chains are put together side by side, a line at a time.  A damaged or foreign
+    file opens no members, so its pieces don't hang together and are left out.
     """
     bounded_batches(spark)
     found = _candidates(spark, path).mapInArrow(_scan, SCAN_DDL)
     scanned = stored(found if payloads else found.withColumn("payload", F.lit(None).cast("binary")), "records")
     names = FIELDS.names
-    pieces = scanned.filter("piece is not null").select("file", "split", "seq", "piece")
-    joined = pieces.groupBy("file").applyInArrow(_join_pieces, DDL)
-    return scanned.filter("piece is null").select(*names).unionByName(joined)
+    along = Window.partitionBy("file").orderBy("split")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    # a range goes on if the one before it left a member open, or decided nothing and went on itself from an open one
+    reach = F.last(F.when(F.col("open") | ~F.col("through"), F.col("open")), ignorenulls=True).over(before)
+    goes_on = F.coalesce((F.lag("open").over(along) | F.lag("through").over(along)) & reach, F.lit(False))
+    ranges = scanned.filter("seq = -1").select("file", "split", "open", (~goes_on).cast("int").alias("new"))
+    ranges = ranges.withColumn("chain", F.sum("new").over(along)).select("file", "split", "chain", (F.max("open").over(Window.partitionBy("file", "chain"))).alias("some"))
+    pieces = scanned.filter("piece is not null").select("file", "split", "seq", "piece").join(ranges.filter("some"), ["file", "split"])
+    ordered = pieces.repartition("file", "chain").sortWithinPartitions("file", "chain", "split", "seq").select("file", "chain", "piece")
+    joined = ordered.mapInArrow(_join_pieces, DDL)
+    return scanned.filter("file is null").select(*names).unionByName(joined)
 
 
 def archive_report(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", min_bytes: int = 0) -> DataFrame:
