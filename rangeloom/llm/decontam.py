@@ -11,7 +11,9 @@ documents, not more memory.
 
 Texts are compared in lower case with runs of white space as one blank.  Defined results: null, empty or blank texts and
 items match nothing; items of fewer than ``least_chars`` characters match exactly and between word boundaries only, or
-nothing without ``short_items`` (any text may hold such names and phrases); repeated items and rows each give their own result; of several occurrences in a document the nearest counts.
+nothing without ``short_items`` (any text may hold such names and phrases); repeated items and rows each give their own
+result; of several occurrences in a document the nearest counts; null ids are ids like others; an empty table or
+benchmark gives an empty result.
 """
 
 from __future__ import annotations
@@ -159,12 +161,12 @@ def _hits(held, rate: float, n: int, least_chars: int):
         matcher = cached[1]
         for whole in batches:
             for batch in slices(whole, 0):
-                row, item, distance = [], [], []
+                row, item, distance, chars = [], [], [], []
                 for r, text in enumerate(batch.column(0).to_pylist()):
                     for i, d in matcher.find(normal(text)).items():
-                        row.append(r), item.append(matcher.items[i].key), distance.append(d)
+                        row.append(r), item.append(matcher.items[i].key), distance.append(d), chars.append(len(matcher.items[i].text))
                 at = pa.array(row, pa.int32())
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(1, n + 1)), pa.array(item, pa.int64()), pa.array(distance, pa.int32())], [*batch.schema.names[1:], "place", "distance"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(1, n + 1)), pa.array(item, pa.int64()), pa.array(distance, pa.int32()), pa.array(chars, pa.int32())], [*batch.schema.names[1:], "place", "distance", "item_chars"])
 
     return tidied(run)
 
@@ -172,7 +174,7 @@ def _hits(held, rate: float, n: int, least_chars: int):
 def find_leaks(
     df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = 0.1, least_chars: int = 20, short_items: bool = True, pass_chars: int = 4 << 20
 ) -> DataFrame:
-    """Per document and item that occurs in it: id, item, distance, item_chars.
+    """Per document and item that occurs in it: id, item, distance, item_chars (of the item as it is compared).
 
     Items of fewer than ``least_chars`` characters must occur exactly, between word boundaries; without ``short_items``
     they are left out.
@@ -189,9 +191,9 @@ def find_leaks(
         some = items.filter(F.pmod(F.xxhash64("place"), F.lit(passes)) == p).select("place", "text").orderBy("place").collect()
         normed = [(r[0], normal(r[1])) for r in some]
         held = spark.sparkContext.broadcast([(k, t) for k, t in normed if t and (short_items or len(t) >= least_chars)])
-        hits = docs.mapInArrow(_hits(held, rate, 1, least_chars), f"id {kind}, place long, distance int")
+        hits = docs.mapInArrow(_hits(held, rate, 1, least_chars), f"id {kind}, place long, distance int, item_chars int")
         found = hits if found is None else found.unionByName(hits)
-    named = items.select("place", "item", F.length("text").cast("int").alias("item_chars"))
+    named = items.select("place", "item")
     return found.join(named, "place").select("id", F.col("item").cast(item_kind).alias("item"), "distance", "item_chars")
 
 
