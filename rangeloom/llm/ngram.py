@@ -1,10 +1,13 @@
 """N-gram Jaccard join by MinHash banding.
 
-Texts are sets of runs of five words.  Equal texts are one node.  A node's MinHash values are grouped in bands; nodes
-that agree in a band are candidates, and candidates that hang together form a cluster.  The texts of a cluster come
-together, and every pair in it is verified on the full sets.  Large clusters are cut into blocks and each pair of blocks
-is a task of its own, so that no task holds more than two blocks.  No rows are made for pairs: a task returns, for each
-text, the number of its links and its group.
+Texts are sets of runs of five words.  Equal texts are one node.  A node's MinHash values are grouped in bands, and nodes
+that agree in a band are candidates: those pairs, and no others, are verified on the full sets.
+
+Texts meet in tasks.  Candidates that hang together form a cluster, and the texts of a cluster that fits a task go there
+once.  A larger cluster goes one of two ways, by the number of texts to be moved: either band by band, where the nodes of
+one full band meet and a pair counts in the first band that it shares; or, where nearly all share their bands anyway, in
+blocks, each two of which are a task.  A band too full for one task is cut into blocks too.  No task holds more than two
+blocks, and no rows are made for pairs: a task returns, for each text, the number of its links and its group.
 
 ``bands`` bands of ``rows`` values find a pair of similarity s with probability 1 - (1 - s^rows)^bands; the counts are
 chosen for the target recall at the threshold.
@@ -148,33 +151,59 @@ def _roots(links: np.ndarray) -> np.ndarray:
         label = new
 
 
-def verify(sets: list[np.ndarray], threshold: float, side: np.ndarray | None = None) -> np.ndarray:
-    """Which pairs of sets are at least ``threshold`` similar; with ``side``, only pairs of different sides."""
-    both = _overlaps(sets).astype("f8")
+def candidates(bands: np.ndarray, band: int) -> np.ndarray:
+    """Which pairs of rows meet: all that share a band (``band`` -1), or those that share none before ``band``."""
+    m = len(bands)
+    out = np.zeros((m, m), bool)
+    for column in bands.T if band < 0 else bands.T[:band]:
+        out |= column[:, None] == column[None, :]
+    if band >= 0:
+        out = ~out
+    np.fill_diagonal(out, False)
+    return out
+
+
+def verify(sets: list[np.ndarray], threshold: float, pairs: np.ndarray) -> np.ndarray:
+    """Which of the given pairs (a symmetric matrix) are at least ``threshold`` similar."""
     size = np.array([len(s) for s in sets], "f8")
-    links = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9
-    np.fill_diagonal(links, False)
-    if side is not None:
-        links &= side[:, None] != side[None, :]
+    a, b = np.nonzero(np.triu(pairs))
+    both = np.zeros(len(a))
+    if len(a) > 4 * len(sets):
+        both = _overlaps(sets).astype("f8")[a, b]
+    else:
+        # sets of too different sizes can't be similar
+        near = np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b]) - 1e-9
+        for k in np.flatnonzero(near).tolist():
+            x, y = sets[a[k]], sets[b[k]]
+            at = np.searchsorted(y, x)
+            both[k] = (y[np.minimum(at, len(y) - 1)] == x).sum()
+    good = both >= threshold * (size[a] + size[b] - both) - 1e-9
+    links = np.zeros_like(pairs)
+    links[a[good], b[good]] = links[b[good], a[good]] = True
     return links
 
 
+GROUP = ["cluster", "band", "value", "i", "j"]
+
+
 def _verified(n: int, threshold: float):
-    """Input sorted by (cluster, i, j); a group has one block (i = j) or two."""
+    """Input sorted by ``GROUP``; a group has one block (i = j) or two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, nodes, sides, weights, sets = None, [], [], [], []
+        key, nodes, sides, weights, sets, marks = None, [], [], [], [], []
         out: list[tuple] = []
 
         def close() -> None:
             if len(nodes) > 1:
-                side = np.array(sides) if key[1] != key[2] else None
-                links = verify(sets, threshold, side)
-                w = np.array(weights, "i8")
-                label = _roots(links)
+                pairs = candidates(np.array(marks, "i8"), key[1])
+                if key[3] != key[4]:
+                    side = np.array(sides)
+                    pairs &= side[:, None] != side[None, :]
+                links = verify(sets, threshold, pairs)
                 if links.any():
-                    out.extend((x, k, nodes[r]) for x, k, r in zip(nodes, (links @ w).tolist(), label.tolist(), strict=True))
-            nodes.clear(), sides.clear(), weights.clear(), sets.clear()
+                    counts, label = links @ np.array(weights, "i8"), _roots(links)
+                    out.extend((x, k, nodes[r]) for x, k, r in zip(nodes, counts.tolist(), label.tolist(), strict=True) if k)
+            nodes.clear(), sides.clear(), weights.clear(), sets.clear(), marks.clear()
 
         def emit() -> pa.RecordBatch:
             cols = list(zip(*out, strict=True)) if out else [[], [], []]
@@ -186,13 +215,13 @@ def _verified(n: int, threshold: float):
             for batch in slices(whole, 0, 4 << 20):
                 x, many = runs(batch.column(0), n)
                 stop = np.cumsum(many)
-                rows = zip(*(batch.column(k).to_pylist() for k in range(1, 7)), (stop - many).tolist(), stop.tolist(), strict=True)
-                for cluster, i, j, own, node, weight, a, b in rows:
-                    if (cluster, i, j) != key:
+                rows = zip(*(batch.column(k).to_pylist() for k in range(1, 10)), (stop - many).tolist(), stop.tolist(), strict=True)
+                for *group, own, node, weight, bands, a, b in rows:
+                    if group != key:
                         if key:
                             close()
-                        key = (cluster, i, j)
-                    nodes.append(node), sides.append(own), weights.append(weight), sets.append(np.unique(x[a:b]))
+                        key = group
+                    nodes.append(node), sides.append(own), weights.append(weight), sets.append(np.unique(x[a:b])), marks.append(bands)
                 if len(out) > 10_000:
                     yield emit()
         if key:
@@ -202,6 +231,29 @@ def _verified(n: int, threshold: float):
     return tidied(run)
 
 
+def _groups(members: DataFrame, banded: DataFrame, block_rows: int, block_bytes: int) -> DataFrame:
+    """Where nodes meet: node, cluster, band (-1: the whole cluster), value, blocks, own.  ``members`` has node, cluster,
+    bytes; a node of a large cluster may stand in several bands."""
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / block_rows), F.ceil(F.sum("bytes") / block_bytes)).cast("int")
+    sizes = cut(members.groupBy("cluster").agg(blocks.alias("blocks"), F.sum("bytes").alias("all")))
+    together = members.join(sizes.select("cluster", "blocks"), "cluster").select("node", "cluster", F.lit(-1).alias("band"), F.lit(0).cast("long").alias("value"), "blocks")
+    large = sizes.filter("blocks > 1")
+    if not large.isEmpty():
+        theirs = cut(banded.join(members.join(large.select("cluster"), "cluster", "left_semi"), "node"))
+        buckets = theirs.groupBy("cluster", "band", "value").agg(F.count(F.lit(1)).alias("n"), blocks.alias("blocks"), F.sum("bytes").alias("bytes")).filter("n > 1")
+        moved = buckets.groupBy("cluster").agg(F.sum(F.col("bytes") * F.col("blocks")).alias("moved"))
+        apart = cut(large.join(moved, "cluster").filter("moved < all * blocks").select("cluster"))
+        own = theirs.join(apart, "cluster", "left_semi").join(buckets.select("cluster", "band", "value", "blocks"), ["cluster", "band", "value"])
+        together = together.join(apart, "cluster", "left_anti").unionByName(own.select("node", "cluster", "band", "value", "blocks"))
+    return together.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+
+
+def _repeats(members: DataFrame, signed: DataFrame) -> bool:
+    """Whether a text that meets others stands on several rows of one id."""
+    ids = signed.join(members.select("node"), "node", "left_semi").groupBy("node", "id").agg(F.count(F.lit(1)).alias("n"))
+    return not ids.filter("n > 1").isEmpty()
+
+
 def node_of(text_col: str) -> Column:
     return F.unhex(F.md5(text_or_empty(text_col)))
 
@@ -223,16 +275,18 @@ def join(
     heads = banded.groupBy("band", "value").agg(F.min("node").alias("head"), F.max("node").alias("tail")).filter("head <> tail").select("band", "value", "head")
     stars = banded.join(heads, ["band", "value"]).filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
     clusters = components(stars)
-    members = clusters.join(nodes, "node").select("node", F.col("root").alias("cluster"), "least", "copies", "bytes")
-    members = cut(members)
-    sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_rows), F.ceil(F.sum("bytes") / block_bytes)).cast("int").alias("blocks"))
-    placed = members.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = cut(placed)
-    texts = docs.select("text", "node", "id").join(hinted(placed, broadcast_rows), "node").filter("id <=> least")
-    texts = texts.dropDuplicates(["node"])
+    members = cut(clusters.join(nodes, "node").select("node", F.col("root").alias("cluster"), "bytes"))
+    marks = cut(one.join(members.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+    groups = _groups(members, marks.select("node", F.posexplode("bands").alias("band", "value")), block_rows, block_bytes)
+    placed = cut(groups.join(nodes.select("node", "least", "copies"), "node").join(marks, "node").withColumnsRenamed({"node": "of", "least": "whose"}))
+    # a copy's text is as good as another's: that of the least id, which deals out copies by their ids
+    same = (F.col("node") == F.col("of")) & F.col("id").eqNullSafe(F.col("whose"))
+    texts = docs.select("text", "node", "id").join(hinted(placed, broadcast_rows), same).drop("of", "whose")
+    if _repeats(members, signed):
+        texts = texts.dropDuplicates(["node", "band", "value"])
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    paired = texts.withColumn("other", other).select("text", "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "copies")
-    sorted_ = paired.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    paired = texts.withColumn("other", other).select("text", "cluster", "band", "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "copies", "bands")
+    sorted_ = paired.repartition(*GROUP).sortWithinPartitions(*GROUP)
     found = cut(sorted_.mapInArrow(_verified(words, threshold), "node binary, n_links long, root binary"))
     counts = found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
