@@ -6,8 +6,10 @@ to it, in the order in which a multi-sequence traversal meets them.  How many ce
 made at exactly the threshold, the hardest case, must be in the visited cells with the target recall.  Pairs found are
 verified by cosine in double precision.
 
-Equal vectors of a label are one node.  A cell's vectors and its visitors meet in one task; cells with many are cut into
-blocks and each pair of blocks is a task.  Tasks return, per vector, its number of links and its group, not pairs.
+Equal vectors of a label are one node.  Cells and visits are worked out on ids alone: visits to cells without another
+vector are dropped, and only then do vectors go to the cells where they meet others.  A cell's vectors and its visitors
+meet in one task; cells with many are cut into blocks and each pair of blocks is a task.  Tasks return, per vector, its
+number of links and its group, not pairs.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and vectors without a label,
 link with nothing; vectors of different lengths aren't compared; repeated rows are copies and count as links of each
@@ -16,6 +18,7 @@ other; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -59,6 +62,19 @@ def _codebook(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12)
     return book
 
 
+@functools.lru_cache(maxsize=4)
+def _reach(visits: int, first: int, second: int) -> np.ndarray:
+    return np.array([(i, j) for i in range(min(visits, first)) for j in range(min(visits // (i + 1), second))]).T
+
+
+def _ranked(distances: np.ndarray, most: int) -> np.ndarray:
+    """The ``most`` nearest codewords of each row, nearest first (ties by number)."""
+    if most < distances.shape[1]:
+        some = np.sort(np.argpartition(distances, most - 1, 1)[:, :most], 1)
+        return np.take_along_axis(some, np.argsort(np.take_along_axis(distances, some, 1), 1, kind="stable"), 1)
+    return np.argsort(distances, 1, kind="stable")
+
+
 def nearest_cells(x: np.ndarray, first: np.ndarray, second: np.ndarray, visits: int) -> np.ndarray:
     """The ``visits`` nearest cells of each unit vector, nearest first.
 
@@ -67,8 +83,8 @@ def nearest_cells(x: np.ndarray, first: np.ndarray, second: np.ndarray, visits:
     """
     half = x.shape[1] // 2
     a, b = _distances(x[:, :half], first), _distances(x[:, half:], second)
-    by_a, by_b = np.argsort(a, 1, kind="stable"), np.argsort(b, 1, kind="stable")
-    i, j = np.array([(i, j) for i in range(min(visits, len(first))) for j in range(min(visits // (i + 1), len(second)))]).T
+    by_a, by_b = _ranked(a, min(visits, len(first))), _ranked(b, min(visits, len(second)))
+    i, j = _reach(visits, len(first), len(second))
     rows = np.arange(len(x))[:, None]
     cost = a[rows, by_a[:, i]] + b[rows, by_b[:, j]]
     order = np.argsort(cost, 1, kind="stable")[:, : min(visits, len(i))]
@@ -128,11 +144,8 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return unit(x / scale)
 
 
-CELLS = "`group` string, cell int, visitor boolean, home int, visits array<int>, node binary, copies long, vec binary"
-
-
 def _place(held):
-    """A row for a vector in its own cell, and one for each cell that it visits (its own among them)."""
+    """Adds to each vector's row the cells that it visits, its own first, and leaves the vector out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = held.value
@@ -142,13 +155,7 @@ def _place(held):
                 cells = nearest_cells(_vectors(batch.column("vec")), index.first, index.second, index.visits).astype("i4")
                 n, v = cells.shape
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * v + 1, v), pa.int32()), pa.array(cells.reshape(-1)))
-                home = pa.array(cells[:, 0])
-                own = [batch.column("group"), home, pa.array(np.zeros(n, bool)), home, lists, batch.column("node"), batch.column("copies"), batch.column("vec")]
-                at = pa.array(np.repeat(np.arange(n), v), pa.int32())
-                seen = [batch.column("group").take(at), pa.array(cells.reshape(-1)), pa.array(np.ones(n * v, bool)), home.take(at), pa.nulls(n * v, lists.type), batch.column("node").take(at), batch.column("copies").take(at), batch.column("vec").take(at)]
-                names = ["group", "cell", "visitor", "home", "visits", "node", "copies", "vec"]
-                yield pa.RecordBatch.from_arrays(own, names)
-                yield pa.RecordBatch.from_arrays(seen, names)
+                yield pa.RecordBatch.from_arrays([batch.column("group"), batch.column("node"), batch.column("copies"), lists], ["group", "node", "copies", "visits"])
 
     return tidied(run)
 
@@ -229,15 +236,37 @@ def _meet(threshold: float):
     return tidied(run)
 
 
+def _dealt(placed: DataFrame, block_rows: int) -> DataFrame:
+    """Where vectors meet: group, cell, i, j (the blocks), visitor, home, visits (of a cell's own vectors), node, copies."""
+    home = F.get("visits", F.lit(0))
+    own = placed.select("group", home.alias("cell"), F.lit(False).alias("visitor"), home.alias("home"), "visits", "node", "copies")
+    seen = placed.select("group", F.explode("visits").alias("cell"), F.lit(True).alias("visitor"), home.alias("home"), F.lit(None).cast("array<int>").alias("visits"), "node", "copies")
+    filled = own.groupBy("group", "cell").agg(F.count(F.lit(1)).alias("own_n"))
+    # a visit finds something only where another vector is at home
+    met = cut(seen.join(filled, ["group", "cell"]).filter("own_n > 1 or cell <> home"))
+    load = met.groupBy("group", "cell").agg(F.max("own_n").alias("own_n"), F.count(F.lit(1)).alias("seen_n"))
+    blocks = cut(load.select("group", "cell", F.ceil(F.col("own_n") / block_rows).cast("int").alias("own_blocks"), F.ceil(F.col("seen_n") / block_rows).cast("int").alias("seen_blocks")))
+    spread = own.unionByName(met.drop("own_n")).join(hinted(blocks, 100_000), ["group", "cell"])
+    mine = F.pmod(F.xxhash64("node"), F.when(F.col("visitor"), F.col("seen_blocks")).otherwise(F.col("own_blocks"))).cast("int")
+    others = F.explode(F.sequence(F.lit(0), F.when(F.col("visitor"), F.col("own_blocks")).otherwise(F.col("seen_blocks")) - 1))
+    spread = spread.withColumn("mine", mine).withColumn("other", others)
+    i, j = F.when(F.col("visitor"), F.col("other")).otherwise(F.col("mine")), F.when(F.col("visitor"), F.col("mine")).otherwise(F.col("other"))
+    return spread.select("group", "cell", i.alias("i"), j.alias("j"), "visitor", "home", "visits", "node", "copies")
+
+
 def near_duplicates(
-    df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, recall: float = 0.999, sample: int = 20_000, cell_rows: int = 32, most_words: int = 256, block_rows: int = 1024
+    df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, recall: float = 0.999, sample: int = 20_000, cell_rows: int = 32, block_rows: int = 1024
 ) -> DataFrame:
-    """Per vector: id, n_links (other vectors linked directly), component_id (least id reachable by links, itself included)."""
+    """Per vector: id, n_links (other vectors linked directly), component_id (least id reachable by links, itself included).
+
+    The codebooks are fitted on ``sample`` vectors and grow with the table, so that a cell has about ``cell_rows``
+    vectors, up to an eighth as many words as the sample has vectors (6 million cells a label by default).
+    """
     bounded_batches(df.sparkSession)
     spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
     width = df.agg(F.max(F.size(c(vector_col)))).first()[0] or 1
-    width += width % 2
+    width = max(width, 1) + max(width, 1) % 2
     base = df.select(c(vector_col).alias("vec"), c(label_col).cast("string").alias("label"), c(id_col).alias("id"))
     rows = stored(base.mapInArrow(_read(width), f"id {kind}, `group` string, node binary, vec binary"), "vectors")
     valid = rows.filter("node is not null")
@@ -248,21 +277,12 @@ def near_duplicates(
     got = [r[0] for r in nodes.orderBy(F.xxhash64("node"), "node").limit(sample).select("vec").collect()]
     if not got:
         return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    words = int(min(most_words, max(2, np.ceil(np.sqrt(n / groups / cell_rows)))))
+    words = int(min(max(2, sample // 8), max(2, np.ceil(np.sqrt(n / groups / cell_rows)))))
     index = build(_vectors(pa.array(got, pa.binary())), words, threshold, recall)
     held = spark.sparkContext.broadcast(index)
-    cells = nodes.select("group", "node", "copies", "vec").mapInArrow(_place(held), CELLS)
-    # cells that are too full for one task; the counts come from the nodes' cells alone
-    load = cells.drop("vec", "visits").groupBy("group", "cell").agg(
-        F.ceil(F.count_if(~F.col("visitor")) / block_rows).cast("int").alias("own_blocks"), F.ceil(F.count_if("visitor") / block_rows).cast("int").alias("seen_blocks")
-    )
-    full = cut(load.filter("own_blocks > 1 or seen_blocks > 1"))
-    spread = cells.join(hinted(full, 100_000), ["group", "cell"], "left").withColumns({"own_blocks": F.greatest(F.coalesce("own_blocks", F.lit(1)), F.lit(1)), "seen_blocks": F.greatest(F.coalesce("seen_blocks", F.lit(1)), F.lit(1))})
-    mine = F.pmod(F.xxhash64("node"), F.when(F.col("visitor"), F.col("seen_blocks")).otherwise(F.col("own_blocks"))).cast("int")
-    others = F.explode(F.sequence(F.lit(0), F.when(F.col("visitor"), F.col("own_blocks")).otherwise(F.col("seen_blocks")) - 1))
-    spread = spread.withColumn("mine", mine).withColumn("other", others)
-    spread = spread.withColumns({"i": F.when(F.col("visitor"), F.col("other")).otherwise(F.col("mine")), "j": F.when(F.col("visitor"), F.col("mine")).otherwise(F.col("other"))})
-    dealt = spread.select("group", "cell", "i", "j", "visitor", "home", "visits", "node", "copies", "vec").repartition("group", "cell", "i", "j").sortWithinPartitions("group", "cell", "i", "j")
+    placed = stored(nodes.select("group", "node", "copies", "vec").mapInArrow(_place(held), "`group` string, node binary, copies long, visits array<int>"), "cells")
+    dealt = _dealt(placed, block_rows).join(nodes.select("node", "vec"), "node")
+    dealt = dealt.select("group", "cell", "i", "j", "visitor", "home", "visits", "node", "copies", "vec").repartition("group", "cell", "i", "j").sortWithinPartitions("group", "cell", "i", "j")
     found = cut(dealt.mapInArrow(_meet(threshold), "node binary, n_links long, root binary"))
     sums = found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
