@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import col
-from ..plans.sweep import CHUNK, merged, preceding, running, segments
+from ..plans.sweep import chunked, merged, preceding, running, segments, swept
 
 
 def numbered(df: DataFrame, *order: str) -> DataFrame:
@@ -20,20 +20,20 @@ def hull(df: DataFrame, *, revmap: bool = False) -> DataFrame:
     return df.groupBy("space").agg(F.min("start").alias("start"), F.max("end").alias("end"), *more)
 
 
-def islands(df: DataFrame, *, min_gap: int = 1, chunk: int = CHUNK) -> DataFrame:
+def islands(df: DataFrame, *, min_gap: int = 1, chunk: int | None = None) -> DataFrame:
     """Add ``island``, the row (start, end, rid) that begins the island to which each range belongs.
 
     In order of start and end, a range begins an island if it starts at least ``min_gap`` positions behind everything
     before it.
     """
     order = ["start", "end", "rid"]
-    rows = running(df, {"_reach": ("max", F.col("end"))}, "start", order, before=["_reach"], chunk=chunk)
+    rows = swept(chunked(df, "start", chunk=chunk), {"_reach": ("max", F.col("end"))}, order, before=["_reach"])
     first = F.col("_reach").isNull() | (F.col("start") - F.col("_reach") - 1 >= min_gap)
-    rows = running(rows, {"island": ("max", F.when(first, F.struct(*order)))}, "start", order, chunk=chunk)
-    return rows.drop("_reach")
+    rows = swept(rows, {"island": ("max", F.when(first, F.struct(*order)))}, order)
+    return rows.drop("_reach", "_chunk")
 
 
-def reduce(df: DataFrame, *, drop_empty: bool = False, min_gap: int = 1, revmap: bool = False, chunk: int = CHUNK) -> DataFrame:
+def reduce(df: DataFrame, *, drop_empty: bool = False, min_gap: int = 1, revmap: bool = False, chunk: int | None = None) -> DataFrame:
     """Merge ranges that overlap or lie fewer than ``min_gap`` positions apart.
 
     ``drop_empty``: islands of empty ranges go, and empty ranges don't move an island's start.  ``revmap``: the numbers
@@ -54,7 +54,7 @@ def reduce(df: DataFrame, *, drop_empty: bool = False, min_gap: int = 1, revmap:
     return out.drop("island", "_full")
 
 
-def inframe(df: DataFrame, *, chunk: int = CHUNK) -> DataFrame:
+def inframe(df: DataFrame, *, chunk: int | None = None) -> DataFrame:
     """Each range's start after the gaps between the reduced ranges are squeezed out (which then begin at 1)."""
     rows = islands(df, chunk=chunk)
     whole = rows.groupBy("space", "island").agg(F.min("start").alias("_from"), F.max("end").alias("_to"))
@@ -63,7 +63,7 @@ def inframe(df: DataFrame, *, chunk: int = CHUNK) -> DataFrame:
     return out.withColumn("inframe", F.col("start") - F.col("_from") + F.col("_before") + 1).drop("island", "_from", "_before")
 
 
-def gaps(df: DataFrame, low: Column | int | None = None, high: Column | int | None = None, *, spaces: DataFrame | None = None, chunk: int = CHUNK) -> DataFrame:
+def gaps(df: DataFrame, low: Column | int | None = None, high: Column | int | None = None, *, spaces: DataFrame | None = None, chunk: int | None = None) -> DataFrame:
     """What the ranges leave uncovered between the bounds; without bounds, between the ranges.
 
     Spaces without ranges are known only from ``spaces`` (column space); there both bounds together give a whole gap.
@@ -86,7 +86,7 @@ def gaps(df: DataFrame, low: Column | int | None = None, high: Column | int | No
     return rows.filter("_reach is not null").select("space", first.alias("start"), last.alias("end")).filter("end >= start")
 
 
-def disjoin(df: DataFrame, *, revmap: bool = False, chunk: int = CHUNK) -> DataFrame:
+def disjoin(df: DataFrame, *, revmap: bool = False, chunk: int | None = None) -> DataFrame:
     """The segments between all starts and ends that some range covers; empty ranges only cut.
 
     ``revmap``: for each segment the numbers of the rows that cover it.
@@ -145,26 +145,27 @@ def disjoint_bins(df: DataFrame) -> DataFrame:
 # ---- set operations --------------------------------------------------------------------------------------------------
 
 
-def _two(x: DataFrame, y: DataFrame, chunk: int) -> DataFrame:
+def _two(x: DataFrame, y: DataFrame, chunk: int | None) -> DataFrame:
     """Segments with the numbers of ranges of x (cx) and of y (cy) that cover them."""
 
     def events(df: DataFrame, dx: int, dy: int) -> DataFrame:
         ends = F.array(*[F.struct(p.alias("pos"), F.lit(sign * dx).alias("cx"), F.lit(sign * dy).alias("cy")) for p, sign in ((F.col("start"), 1), (F.col("end") + 1, -1))])
         return df.filter("end >= start").select("space", F.explode(ends).alias("_e")).select("space", "_e.*")
 
-    return segments(events(x, 1, 0).unionByName(events(y, 0, 1)), ["cx", "cy"], chunk=chunk)
+    cuts = (F.col("cx") != 0) | (F.col("cy") != 0)
+    return segments(events(x, 1, 0).unionByName(events(y, 0, 1)), ["cx", "cy"], keep=cuts, chunk=chunk, dealt=True)
 
 
-def union(x: DataFrame, y: DataFrame, *, chunk: int = CHUNK) -> DataFrame:
-    return merged(_two(x, y, chunk).filter("cx > 0 or cy > 0").select("space", "start", "end"), chunk=chunk)
+def union(x: DataFrame, y: DataFrame, *, chunk: int | None = None) -> DataFrame:
+    return merged(_two(x, y, chunk).filter("cx > 0 or cy > 0").drop("cx", "cy"))
 
 
-def intersect(x: DataFrame, y: DataFrame, *, chunk: int = CHUNK) -> DataFrame:
-    return merged(_two(x, y, chunk).filter("cx > 0 and cy > 0").select("space", "start", "end"), chunk=chunk)
+def intersect(x: DataFrame, y: DataFrame, *, chunk: int | None = None) -> DataFrame:
+    return merged(_two(x, y, chunk).filter("cx > 0 and cy > 0").drop("cx", "cy"))
 
 
-def setdiff(x: DataFrame, y: DataFrame, *, chunk: int = CHUNK) -> DataFrame:
-    return merged(_two(x, y, chunk).filter("cx > 0 and cy = 0").select("space", "start", "end"), chunk=chunk)
+def setdiff(x: DataFrame, y: DataFrame, *, chunk: int | None = None) -> DataFrame:
+    return merged(_two(x, y, chunk).filter("cx > 0 and cy = 0").drop("cx", "cy"))
 
 
 # ---- coverage --------------------------------------------------------------------------------------------------------
@@ -183,13 +184,14 @@ def circular(df: DataFrame, length: Column | int) -> DataFrame:
 
 
 def coverage(
-    df: DataFrame, *, shift: Column | str | int = 0, width: Column | str | int | None = None, weight: Column | str | int | float = 1, low: Column | int | None = 1, decimals: int = 12, chunk: int = CHUNK
+    df: DataFrame, *, shift: Column | str | int = 0, width: Column | str | int | None = None, weight: Column | str | int | float = 1, low: Column | int | None = 1, decimals: int = 12, chunk: int | None = None, dealt: bool = False
 ) -> DataFrame:
     """How many ranges (by weight) cover each position, as runs: space, start, end, value.
 
     Runs go from 1 to ``width``, or to the largest end; positions outside are left out, zeros inside are kept.  With
     ``low`` None they go from the least start.  Integer weights give integers; others are summed as decimals, so that
-    the result doesn't depend on the order of summing and no residue is left.
+    the result doesn't depend on the order of summing and no residue is left.  ``dealt`` runs keep the chunks of the sweep
+    (column ``_chunk``), which :func:`slice_runs` uses again.
     """
     by = col(shift) if not isinstance(shift, str) else F.col(shift)
     w = F.lit(weight) if isinstance(weight, (int, float)) else col(weight)
@@ -201,12 +203,14 @@ def coverage(
     clipped = moved.drop("_width").join(lengths, "space").withColumns({"start": F.greatest(F.col("start"), bottom), "end": F.least("end", "_top")}).filter("end >= start")
     ends = F.array(F.struct(F.col("start").alias("pos"), F.col("w").alias("value")), F.struct((F.col("end") + 1).alias("pos"), (-F.col("w")).alias("value")))
     events = clipped.select("space", F.explode(ends).alias("_e")).select("space", "_e.pos", "_e.value")
-    frame = lengths.filter(F.col("_top") >= bottom).select("space", F.explode(F.array(bottom, F.col("_top") + 1)).alias("pos"), F.lit(0).cast(dict(events.dtypes)["value"]).alias("value"))
-    runs = merged(segments(events.unionByName(frame), ["value"], chunk=chunk), ["value"], chunk=chunk)
+    frame = lengths.filter(F.col("_top") >= bottom).select("space", F.explode(F.array(bottom, F.col("_top") + 1)).alias("pos"), F.lit(0).cast(dict(events.dtypes)["value"]).alias("value"), F.lit(1).alias("_edge"))
+    # a run ends where the changes at a position don't cancel out, and at the frame's edges
+    cuts = (F.col("value") != 0) | (F.col("_edge") > 0)
+    runs = segments(events.withColumn("_edge", F.lit(0)).unionByName(frame), ["value", "_edge"], keep=cuts, chunk=chunk, dealt=dealt).drop("_edge")
     return runs.withColumn("value", F.col("value").cast("double")) if real else runs
 
 
-def window_coverage(df: DataFrame, low: int | None = None, high: int | None = None, *, weight=1, collapse: bool = True, chunk: int = CHUNK) -> DataFrame:
+def window_coverage(df: DataFrame, low: int | None = None, high: int | None = None, *, weight=1, collapse: bool = True, chunk: int | None = None) -> DataFrame:
     """Coverage over the window [low, high] (default each space's hull), as runs or, not collapsed, a row per position."""
     some = df if high is None else df.filter(F.col("start") <= high)
     out = coverage(some, weight=weight, low=low, width=None if high is None else F.lit(high).cast("long"), chunk=chunk)
@@ -215,20 +219,20 @@ def window_coverage(df: DataFrame, low: int | None = None, high: int | None = No
     return out.withColumn("pos", F.explode(F.sequence("start", "end"))).select("space", "pos", "value")
 
 
-def slice_runs(runs: DataFrame, lower: float | None = None, upper: float | None = None, *, include_lower: bool = True, include_upper: bool = True, chunk: int = CHUNK) -> DataFrame:
+def slice_runs(runs: DataFrame, lower: float | None = None, upper: float | None = None, *, include_lower: bool = True, include_upper: bool = True, chunk: int | None = None) -> DataFrame:
     """The longest stretches of a run table whose values lie in the bounds, as ranges."""
     ok = F.col("value").isNotNull()
     if lower is not None:
         ok = ok & ((F.col("value") >= lower) if include_lower else (F.col("value") > lower))
     if upper is not None:
         ok = ok & ((F.col("value") <= upper) if include_upper else (F.col("value") < upper))
-    return merged(runs.filter(ok).select("space", "start", "end"), chunk=chunk)
+    return merged(runs.filter(ok).drop("value"), chunk=chunk)
 
 
 # ---- run tables ------------------------------------------------------------------------------------------------------
 
 
-def align(*runs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def align(*runs: DataFrame, chunk: int | None = None) -> DataFrame:
     """Run tables side by side: common runs with the values v1, v2, ... (null where a table has no run)."""
     from .overlaps import find
 

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.compare import distance
-from ..plans.sweep import CHUNK, running
+from ..plans.sweep import running
 from .overlaps import find
 
 
-def _asof(query: DataFrame, marks: DataFrame, *, strict: bool, chunk: int) -> DataFrame:
+def _asof(query: DataFrame, marks: DataFrame, *, strict: bool, chunk: int | None) -> DataFrame:
     """Per query (space, rid, pos): near, the largest mark at or before pos (strictly before it if ``strict``)."""
     q = query.select("space", F.col("pos"), F.lit(0 if strict else 1).alias("_kind"), F.col("rid"), F.lit(None).cast("long").alias("_mark"))
     m = marks.select("space", "pos").distinct().select("space", "pos", F.lit(1 if strict else 0).alias("_kind"), F.lit(None).cast("long").alias("rid"), F.col("pos").alias("_mark"))
@@ -18,13 +18,13 @@ def _asof(query: DataFrame, marks: DataFrame, *, strict: bool, chunk: int) -> Da
     return rows.filter(F.col("rid").isNotNull() & (F.col("_kind") == (0 if strict else 1))).select("space", "rid", "near")
 
 
-def follow(x: DataFrame, subject: DataFrame, *, all: bool = False, chunk: int = CHUNK) -> DataFrame:
+def follow(x: DataFrame, subject: DataFrame, *, all: bool = False, chunk: int | None = None) -> DataFrame:
     """Per row of x the subject that ends nearest before it starts: the last of several by number, or all of them."""
     near = _asof(x.select("space", "rid", F.col("start").alias("pos")), subject.select("space", F.col("end").alias("pos")), strict=True, chunk=chunk)
     return _back(x, near, subject.select("space", F.col("end").alias("near"), F.col("rid").alias("found")), all, F.max)
 
 
-def precede(x: DataFrame, subject: DataFrame, *, all: bool = False, chunk: int = CHUNK) -> DataFrame:
+def precede(x: DataFrame, subject: DataFrame, *, all: bool = False, chunk: int | None = None) -> DataFrame:
     """Per row of x the subject that starts nearest behind its end: the first of several by number, or all of them."""
     near = _asof(x.select("space", "rid", (-F.col("end")).alias("pos")), subject.select("space", (-F.col("start")).alias("pos")), strict=True, chunk=chunk)
     return _back(x, near, subject.select("space", (-F.col("start")).alias("near"), F.col("rid").alias("found")), all, F.min)
@@ -38,14 +38,14 @@ def _back(x: DataFrame, near: DataFrame, at: DataFrame, all: bool, pick) -> Data
     return x.select("space", "rid").join(hits, ["space", "rid"], "left").select("space", F.col("rid").alias("query_id"), F.col("found").alias("subject_id"))
 
 
-def last_at_or_before(query: DataFrame, blocks: DataFrame, *, chunk: int = CHUNK) -> DataFrame:
+def last_at_or_before(query: DataFrame, blocks: DataFrame, *, chunk: int | None = None) -> DataFrame:
     """Per query (space, rid, pos): found, the number of the block that starts nearest at or before pos."""
     near = _asof(query, blocks.select("space", F.col("start").alias("pos")), strict=False, chunk=chunk)
     at = blocks.groupBy("space", F.col("start").alias("near")).agg(F.max("rid").alias("found"))
     return near.join(at, ["space", "near"], "left").select("space", "rid", "found")
 
 
-def find_run(query: DataFrame, runs: DataFrame, *, chunk: int = CHUNK) -> DataFrame:
+def find_run(query: DataFrame, runs: DataFrame, *, chunk: int | None = None) -> DataFrame:
     """Per query (space, rid, pos): the run (start, end, value) that holds the position; null outside all runs."""
     near = _asof(query, runs.select("space", F.col("start").alias("pos")), strict=False, chunk=chunk)
     out = query.join(near, ["space", "rid"]).join(runs.withColumn("near", F.col("start")), ["space", "near"], "left")
@@ -53,7 +53,7 @@ def find_run(query: DataFrame, runs: DataFrame, *, chunk: int = CHUNK) -> DataFr
     return out.select("space", "rid", "pos", *[F.when(inside, F.col(c)).alias(c) for c in ("start", "end", "value")])
 
 
-def nearest(x: DataFrame, subject: DataFrame, *, all: bool = False, chunk: int = CHUNK) -> DataFrame:
+def nearest(x: DataFrame, subject: DataFrame, *, all: bool = False, chunk: int | None = None) -> DataFrame:
     """Per row of x the nearest subject: one that it overlaps or touches, else the closer of those before and behind.
 
     One subject: the first it overlaps or touches; of two that are equally far the one before.  All: every subject
@@ -75,7 +75,7 @@ def nearest(x: DataFrame, subject: DataFrame, *, all: bool = False, chunk: int =
     return x.select("space", F.col("rid").alias("query_id")).join(one, ["space", "query_id"], "left")
 
 
-def distance_to_nearest(x: DataFrame, subject: DataFrame, *, all: bool = False, chunk: int = CHUNK) -> DataFrame:
+def distance_to_nearest(x: DataFrame, subject: DataFrame, *, all: bool = False, chunk: int | None = None) -> DataFrame:
     """The nearest hits with their distance; rows without any are left out."""
     hits = nearest(x, subject, all=all, chunk=chunk).filter("subject_id is not null")
     return with_distance(hits, x, subject)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..model import positions  # noqa: F401  (part of this module's vocabulary)
 from ..plans.binning import Bins, dealt, edges
-from ..plans.sweep import CHUNK, running
+from ..plans.sweep import running
 
 TYPES = ("any", "start", "end", "within", "extend", "equal")
 
@@ -117,7 +117,7 @@ def _ranked(query: DataFrame, subject: DataFrame, maxgap: int, chunk: int | None
     marks = subject.select("space", ends(F.col("start"), F.col("end")).alias("_e")).groupBy("space", "_e.axis", "_e.pos").agg(F.count(F.lit(1)).alias("_one"))
     marks = marks.select("space", "axis", "pos", F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("rid"), "_one")
     asks = query.select("space", "rid", ends(F.col("end") + maxgap + 1, F.col("start") - maxgap - 2).alias("_e")).select("space", "_e.axis", "_e.pos", F.lit(1).alias("_kind"), "rid", F.lit(0).cast("long").alias("_one"))
-    rows = running(marks.unionByName(asks), {"_before": ("sum", F.col("_one"))}, "pos", ["pos", "_kind"], chunk=chunk or CHUNK, by=("space", "axis"))
+    rows = running(marks.unionByName(asks), {"_before": ("sum", F.col("_one"))}, "pos", ["pos", "_kind"], chunk=chunk, by=("space", "axis"))
     out = rows.filter("_kind = 1").groupBy("space", "rid").agg(F.sum(F.when(F.col("axis") == 0, F.col("_before")).otherwise(-F.col("_before"))).alias("n"))
     if maxgap >= 0:
         return out

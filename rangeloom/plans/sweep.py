@@ -1,9 +1,14 @@
 """Running values over sorted positions, in two levels.
 
-A window over a whole space would put that space into one task.  Here positions are dealt to chunks of fixed width; a
-small table holds what each chunk hands on (its largest end, its sum), a window over chunks turns that into what each
-chunk starts from, and the running values are finished inside chunks.  The table and the rows are partitioned alike, by
-(space, chunk).
+A window over a whole group would put that group into one task.  Here a group's positions are dealt to chunks, each chunk
+sums up what it hands on (a row), a window over those few rows turns them into what each chunk receives from those before
+and behind it, and the values are finished inside the chunks.
+
+Rows move once, when they are dealt to chunks: the sums and the rows read the same exchange, and further sweeps along the
+same positions (``dealt`` frames, which have the column ``_chunk``) need no other.
+
+Chunks are as wide as a group's rows need: each group has about a chunk per ``ROWS`` rows, however sparse or dense its
+positions are, so what is handed on stays small beside the rows.  (A chunk of rows that crowd together may hold more.)
 """
 
 from __future__ import annotations
@@ -13,75 +18,95 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Positions in a chunk, unless the caller knows better.
-CHUNK = 1 << 16
+#: Rows in a chunk, about, and the number of chunks that groups of fewer rows are cut into (of 64 rows at least).
+ROWS, SOME = 1 << 17, 8
+
+#: How a running value is made: "sum" and "max" of the rows before, "next": the least of the rows behind.
+_AGG = {"sum": F.sum, "max": F.max, "next": F.min}
 
 
-def running(df: DataFrame, values: dict[str, tuple[str, Column]], at: str, order: Sequence[str], *, before: Sequence[str] = (), chunk: int = CHUNK, by: Sequence[str] = ("space",)) -> DataFrame:
-    """Add running values along ``order`` (which starts with position ``at``) in each group ``by``.
+def chunked(df: DataFrame, at: str, *, chunk: int | None = None, by: Sequence[str] = ("space",)) -> DataFrame:
+    """Deal rows to chunks of positions ``at``: adds ``_chunk`` and moves the rows there.
 
-    ``values`` maps a new column to ("max" | "sum", expression).  Columns named in ``before`` leave the row itself out;
-    a running sum before any row is 0, a running max is null.
+    ``chunk`` is the number of positions in a chunk; if it isn't given, one pass over the rows finds each group's.
+    """
+    if chunk is not None:
+        return df.withColumn("_chunk", F.floor(F.col(at) / chunk).cast("long")).repartition(*by, "_chunk")
+    n = F.count(F.lit(1))
+    chunks = F.greatest(F.ceil(n / ROWS), F.least(F.lit(SOME), F.ceil(n / 64)))
+    width = F.greatest(F.ceil((F.max(at).cast("double") - F.min(at) + 1) / chunks), F.lit(1))
+    stats = df.groupBy(*by).agg(F.min(at).alias("_low"), width.cast("double").alias("_width"))
+    rows = df.join(stats, list(by)) if by else df.crossJoin(F.broadcast(stats))  # one row
+    place = F.floor((F.col(at).cast("double") - F.col("_low")) / F.col("_width")).cast("long")
+    return rows.withColumn("_chunk", place).drop("_low", "_width").repartition(*by, "_chunk")
+
+
+def swept(rows: DataFrame, values: dict[str, tuple[str, Column]], order: Sequence[str], *, before: Sequence[str] = (), by: Sequence[str] = ("space",)) -> DataFrame:
+    """Add running values along ``order`` in each group ``by`` to rows from :func:`chunked`, in one window pass.
+
+    ``values`` maps a new column to ("sum" | "max" | "next", expression).  Sums and maxima include the row itself unless
+    their column is named in ``before``; "next" is the least value of all rows behind.  A sum of no rows is 0, the others
+    are null.
     """
-    agg = {"max": F.max, "sum": F.sum}
     raw = {f"_v_{k}": e for k, (_, e) in values.items()}
-    rows = df.withColumns({"_chunk": F.floor(F.col(at) / chunk).cast("long"), **raw})
-    carry = rows.groupBy(*by, "_chunk").agg(*[agg[how](f"_v_{k}").alias(f"_c_{k}") for k, (how, _) in values.items()])
-    over = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = carry.select(*by, "_chunk", *[agg[how](f"_c_{k}").over(over).alias(f"_c_{k}") for k, (how, _) in values.items()])
+    rows = rows.withColumns(raw)
+    carry = rows.groupBy(*by, "_chunk").agg(*[_AGG[how](f"_v_{k}").alias(f"_c_{k}") for k, (how, _) in values.items()])
+    earlier = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(*by).orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
+    carry = carry.select(*by, "_chunk", *[_AGG[how](f"_c_{k}").over(later if how == "next" else earlier).alias(f"_c_{k}") for k, (how, _) in values.items()])
     rows = rows.join(carry, [*by, "_chunk"])
     inside = Window.partitionBy(*by, "_chunk").orderBy(*order)
+    behind = Window.partitionBy(*by, "_chunk").orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
     done = {}
     for k, (how, _) in values.items():
-        frame = inside.rowsBetween(Window.unboundedPreceding, -1 if k in before else 0)
-        own, earlier = agg[how](f"_v_{k}").over(frame), F.col(f"_c_{k}")
-        done[k] = F.greatest(earlier, own) if how == "max" else F.coalesce(earlier, F.lit(0)) + F.coalesce(own, F.lit(0))
-    return rows.withColumns(done).drop("_chunk", *raw, *[f"_c_{k}" for k in values])
+        frame = behind if how == "next" else inside.rowsBetween(Window.unboundedPreceding, -1 if k in before else 0)
+        own, other = _AGG[how](f"_v_{k}").over(frame), F.col(f"_c_{k}")
+        done[k] = {"max": F.greatest, "next": F.least}[how](other, own) if how != "sum" else F.coalesce(other, F.lit(0)) + F.coalesce(own, F.lit(0))
+    return rows.withColumns(done).drop(*raw, *[f"_c_{k}" for k in values])
+
 
+def running(df: DataFrame, values: dict[str, tuple[str, Column]], at: str, order: Sequence[str], *, before: Sequence[str] = (), chunk: int | None = None, by: Sequence[str] = ("space",)) -> DataFrame:
+    """:func:`swept` over rows that aren't dealt yet; ``order`` starts with position ``at``."""
+    return swept(chunked(df, at, chunk=chunk, by=by), values, order, before=before, by=by).drop("_chunk")
 
-def preceding(df: DataFrame, values: dict[str, Column], at: str, order: Sequence[str], *, chunk: int = CHUNK, by: Sequence[str] = ("space",)) -> DataFrame:
+
+def preceding(df: DataFrame, values: dict[str, Column], at: str, order: Sequence[str], *, chunk: int | None = None, by: Sequence[str] = ("space",)) -> DataFrame:
     """Add what each expression is in the row before along ``order`` (which starts with position ``at``) in each group
     ``by``; null in the first row."""
-    rows = df.withColumns({"_chunk": F.floor(F.col(at) / chunk).cast("long"), "_own": F.struct(*[e.alias(k) for k, e in values.items()])})
-    lasts = rows.groupBy(*by, "_chunk").agg(F.max_by("_own", F.struct(*order)).alias("_last"))
-    lasts = lasts.select(*by, "_chunk", F.lag("_last").over(Window.partitionBy(*by).orderBy("_chunk")).alias("_last"))
-    inside = Window.partitionBy(*by, "_chunk").orderBy(*order)
-    rows = rows.join(lasts, [*by, "_chunk"]).withColumn("_last", F.coalesce(F.lag("_own").over(inside), F.col("_last")))
-    return rows.withColumns({k: F.col("_last")[k] for k in values}).drop("_chunk", "_own", "_last")
+    return _with_last(chunked(df, at, chunk=chunk, by=by), values, order, by).drop("_chunk")
 
 
-def following(df: DataFrame, name: str, at: str, *, chunk: int = CHUNK, by: Sequence[str] = ("space",)) -> DataFrame:
-    """Add the next larger position to a table of distinct positions (null behind the last)."""
-    rows = df.withColumn("_chunk", F.floor(F.col(at) / chunk).cast("long"))
-    firsts = rows.groupBy(*by, "_chunk").agg(F.min(at).alias("_first"))
-    firsts = firsts.select(*by, "_chunk", F.lead("_first").over(Window.partitionBy(*by).orderBy("_chunk")).alias("_first"))
-    inside = Window.partitionBy(*by, "_chunk").orderBy(at)
-    return rows.join(firsts, [*by, "_chunk"]).withColumn(name, F.coalesce(F.lead(at).over(inside), F.col("_first"))).drop("_chunk", "_first")
+def _with_last(rows: DataFrame, values: dict[str, Column], order: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """The row before is the largest of those before, if rows are compared by ``order`` first."""
+    own = F.struct(F.struct(*order).alias("o"), F.struct(*[e.alias(k) for k, e in values.items()]).alias("v"))
+    rows = swept(rows, {"_last": ("max", own)}, order, before=["_last"], by=by)
+    return rows.withColumns({k: F.col("_last.v")[k] for k in values}).drop("_last")
 
 
-def segments(events: DataFrame, changes: Sequence[str], *, chunk: int = CHUNK, by: Sequence[str] = ("space",)) -> DataFrame:
+def segments(events: DataFrame, changes: Sequence[str], *, keep: Column | None = None, chunk: int | None = None, by: Sequence[str] = ("space",), dealt: bool = False) -> DataFrame:
     """From events (position, changes) the segments between positions: start, end and the running sum of each change.
 
-    Changes at one position are summed first, so a position that very many ranges share is a single row.
+    Changes at one position are summed first, so a position that very many ranges share is a single row.  Of those rows
+    only the ones for which ``keep`` holds cut (the others must change nothing).  ``dealt`` keeps ``_chunk``.
     """
     summed = events.groupBy(*by, "pos").agg(*[F.sum(c).alias(c) for c in changes])
-    run = running(summed, {f"_r_{c}": ("sum", F.col(c)) for c in changes}, "pos", ["pos"], chunk=chunk, by=by)
-    run = following(run.drop(*changes), "_next", "pos", chunk=chunk, by=by).filter(F.col("_next").isNotNull())
-    return run.select(*by, F.col("pos").alias("start"), (F.col("_next") - 1).alias("end"), *[F.col(f"_r_{c}").alias(c) for c in changes])
+    rows = chunked(summed if keep is None else summed.filter(keep), "pos", chunk=chunk, by=by)
+    values = {f"_r_{c}": ("sum", F.col(c)) for c in changes} | {"_next": ("next", F.col("pos"))}
+    run = swept(rows, values, ["pos"], by=by).filter(F.col("_next").isNotNull())
+    return run.select(*by, *["_chunk"] * dealt, F.col("pos").alias("start"), (F.col("_next") - 1).alias("end"), *[F.col(f"_r_{c}").alias(c) for c in changes])
 
 
-def merged(parts: DataFrame, same: Sequence[str] = (), *, chunk: int = CHUNK, by: Sequence[str] = ("space",)) -> DataFrame:
-    """Merge disjoint segments that touch and agree in the columns ``same``."""
+def merged(parts: DataFrame, same: Sequence[str] = (), *, chunk: int | None = None, by: Sequence[str] = ("space",)) -> DataFrame:
+    """Merge disjoint segments that touch and agree in the columns ``same``; ``parts`` may be dealt already.
+
+    A part that begins an island also tells where the one before ends; the last island of a group ends with its last
+    part.  So only the beginnings are left to be swept.
+    """
+    rows = parts if "_chunk" in parts.columns else chunked(parts, "start", chunk=chunk, by=by)
     key = F.struct(*[F.col(c) for c in same]) if same else F.lit(0)
-    rows = parts.withColumns({"_key": key, "_chunk": F.floor(F.col("start") / chunk).cast("long")})
-    # what the segment before looks like: inside the chunk by lag, across its edge from the chunk before
-    lasts = rows.groupBy(*by, "_chunk").agg(F.max(F.struct("start", "end", "_key")).alias("_last"))
-    lasts = lasts.select(*by, "_chunk", F.lag("_last").over(Window.partitionBy(*by).orderBy("_chunk")).alias("_last"))
-    inside = Window.partitionBy(*by, "_chunk").orderBy("start")
-    end = F.coalesce(F.lag("end").over(inside), F.col("_last.end"))
-    other = F.coalesce(F.lag("_key").over(inside), F.col("_last._key"))
-    first = end.isNull() | (end != F.col("start") - 1) | ~other.eqNullSafe(F.col("_key"))
-    marked = rows.join(lasts, [*by, "_chunk"]).withColumn("_first", F.when(first, F.col("start")))
-    marked = running(marked.drop("_chunk", "_last", "_key"), {"_island": ("max", F.col("_first"))}, "start", ["start"], chunk=chunk, by=by)
-    out = marked.groupBy(*by, "_island", *same).agg(F.max("end").alias("end"))
-    return out.select(*by, F.col("_island").alias("start"), "end", *same)
+    rows = _with_last(rows.withColumn("_key", key), {"_before": F.col("end"), "_other": F.col("_key")}, ["start"], by)
+    first = F.col("_before").isNull() | (F.col("_before") != F.col("start") - 1) | ~F.col("_other").eqNullSafe(F.col("_key"))
+    ends = rows.groupBy(*by).agg(F.max("end").alias("_top"))
+    island = F.struct(F.col("start").alias("s"), F.col("_before").alias("e"))
+    rows = swept(rows.filter(first), {"_next": ("next", island)}, ["start"], by=by).join(ends, list(by))
+    return rows.select(*by, "start", F.coalesce("_next.e", "_top").alias("end"), *same)
