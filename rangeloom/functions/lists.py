@@ -118,19 +118,37 @@ def any_null(a) -> Column:
     return F.exists(_c(a), lambda e: e.isNull())
 
 
-def which_min(a) -> Column:
-    """First place of the least element, nulls left out; null if there is none."""
+def which_min(a, *, before: Column | str | None = None) -> Column:
+    """First place of the least element, nulls left out; null if there is none.  With ``before``, the number of elements
+    in the lists before this one, the place counts through all of them."""
     a = _c(a)
-    return F.when(F.size(present(a)) > 0, F.array_position(a, F.array_min(a)))
+    place = F.when(F.size(present(a)) > 0, F.array_position(a, F.array_min(a)))
+    return place if before is None else place + _c(before)
 
 
-def which_max(a) -> Column:
+def which_max(a, *, before: Column | str | None = None) -> Column:
     a = _c(a)
-    return F.when(F.size(present(a)) > 0, F.array_position(a, F.array_max(a)))
+    place = F.when(F.size(present(a)) > 0, F.array_position(a, F.array_max(a)))
+    return place if before is None else place + _c(before)
 
 
-def list_mean(a, *, na_rm: bool = False) -> Column:
-    return _guard(a, na_rm, lambda x: F.when(F.size(x) > 0, F.aggregate(x, F.lit(0.0), lambda s, e: s + e.cast("double")) / F.size(x)))
+def trimmed(a, trim: float) -> Column:
+    """A sorted list without the share ``trim`` (at most a half) of its elements at each end; from a half on the median
+    is left, once or as the two in the middle."""
+    a = F.array_sort(_c(a))
+    n = F.size(a)
+    cut = F.floor(n * F.lit(float(trim))).cast("int") if trim < 0.5 else F.floor((n - 1) / 2).cast("int")
+    return F.slice(a, cut + 1, F.greatest(n - 2 * cut, F.lit(0)))
+
+
+def list_mean(a, *, na_rm: bool = False, trim: float = 0.0) -> Column:
+    """The mean, of the middle elements alone if ``trim`` cuts a share off both ends."""
+
+    def mean(x: Column) -> Column:
+        x = trimmed(x, trim) if trim > 0 else x
+        return F.when(F.size(x) > 0, F.aggregate(x, F.lit(0.0), lambda s, e: s + e.cast("double")) / F.size(x))
+
+    return _guard(a, na_rm, mean)
 
 
 def list_var(a, *, na_rm: bool = False) -> Column:
@@ -173,25 +191,68 @@ def list_mad(a, *, constant: float = 1.4826, na_rm: bool = False) -> Column:
     return constant * list_median(F.transform(_c(a), lambda e: F.abs(e - m)), na_rm=na_rm)
 
 
-def list_cov(a, b) -> Column:
-    """Sample covariance of two lists of one length."""
+#: What cov and cor do about nulls: an error, a null result, or only the pairs without any (none left: null or an error).
+USES = ("all.obs", "everything", "complete.obs", "na.or.complete", "pairwise.complete.obs")
+
+
+def _complete(a, b, use: str) -> tuple[Column, Column]:
+    if use not in USES:
+        raise ValueError(f"use must be one of {USES}")
     a, b = _c(a), _c(b)
+    if use == "everything":
+        return a, b
+    both = F.zip_with(a, b, lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    whole = F.filter(both, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
+    wrong = F.size(whole) < F.size(both) if use == "all.obs" else F.size(whole) == 0 if use == "complete.obs" else F.lit(False)
+    checked = F.when(wrong, F.raise_error(F.lit("missing values in cov or cor" if use == "all.obs" else "no complete pairs")).cast("array<double>"))
+    return checked.otherwise(F.transform(whole, lambda p: p["x"].cast("double"))), F.transform(whole, lambda p: p["y"].cast("double"))
+
+
+def list_cov(a, b, *, use: str = "everything") -> Column:
+    """Sample covariance of two lists of one length; ``use`` says what becomes of nulls."""
+    a, b = _complete(a, b, use)
     n = F.size(a)
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, e: s + e)
     ma, mb = list_mean(a), list_mean(b)
     return F.try_divide(total(F.zip_with(a, b, lambda x, y: (x - ma) * (y - mb))), (n - 1).cast("double"))
 
 
-def list_cor(a, b) -> Column:
+def list_cor(a, b, *, use: str = "everything") -> Column:
+    a, b = _complete(a, b, use)
     return F.try_divide(list_cov(a, b), list_sd(a) * list_sd(b))
 
 
+def _tagged(a: Column) -> Column:
+    """The elements with their places, sorted (nulls first)."""
+    return F.array_sort(F.transform(a, lambda e, i: F.struct(e.isNotNull().alias("n"), e.alias("v"), i.alias("i"))))
+
+
+def _below(ordered: Column, x: Column) -> Column:
+    """How many elements of a sorted list are less than x, by halving: the steps grow with the logarithm of the list."""
+    n = F.size(ordered)
+    steps = F.sequence(F.lit(0), F.floor(F.log2(F.greatest(n, F.lit(1)).cast("double"))).cast("int"))
+    start = F.struct(F.lit(0).alias("a"), n.alias("b"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["a"] + s["b"]) / 2).cast("int")
+        low = (s["a"] < s["b"]) & (F.get(ordered, mid) < x)
+        return F.struct(F.when(low, mid + 1).otherwise(s["a"]).alias("a"), F.when(low | (s["a"] >= s["b"]), s["b"]).otherwise(mid).alias("b"))
+
+    return F.aggregate(steps, start, halve, lambda s: s["a"])
+
+
+def _with(value: Column, body: Fn) -> Column:
+    """``body`` of a value that is worked out once a row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _key(e: Column, i: Column | int) -> Column:
+    return F.struct(e.isNotNull().alias("n"), e.alias("v"), (F.lit(i) if isinstance(i, int) else i).alias("i"))
+
+
 def average_ranks(a) -> Column:
     """Each element's rank, ties averaged."""
-    a = _c(a)
-    smaller = lambda x: F.size(F.filter(a, lambda e: e < x))
-    equal = lambda x: F.size(F.filter(a, lambda e: e == x))
-    return F.transform(a, lambda x: smaller(x) + (equal(x) + 1) / 2)
+    return rank(a, "average")
 
 
 def list_spearman(a, b) -> Column:
@@ -199,12 +260,25 @@ def list_spearman(a, b) -> Column:
 
 
 def list_kendall(a, b) -> Column:
-    """Kendall's coefficient with ties (tau-b)."""
-    pairs = F.zip_with(_c(a), _c(b), lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")))
-    over = lambda f: F.aggregate(pairs, F.lit(0.0), lambda s, p: s + F.aggregate(pairs, F.lit(0.0), lambda t, q: t + f(p, q)))
-    same = over(lambda p, q: F.signum(p["x"] - q["x"]) * F.signum(p["y"] - q["y"]))
-    nx, ny = over(lambda p, q: F.abs(F.signum(p["x"] - q["x"]))), over(lambda p, q: F.abs(F.signum(p["y"] - q["y"])))
-    return F.try_divide(same, F.sqrt(nx * ny))
+    """Kendall's coefficient with ties (tau-b): the work grows with the square of the number of different pairs."""
+    pairs = F.array_sort(F.zip_with(_c(a), _c(b), lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))))
+
+    def tau(ordered: Column) -> Column:
+        first = F.filter(F.transform(ordered, lambda p, i: F.when((i == 0) | (F.get(ordered, i - 1) != p), i)), lambda i: i.isNotNull())
+
+        def counted(starts: Column) -> Column:
+            times = F.zip_with(starts, F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(ordered))), lambda s, e: (e - s).cast("double"))
+            return F.zip_with(starts, times, lambda s, n: F.struct(F.get(ordered, s)["x"].alias("x"), F.get(ordered, s)["y"].alias("y"), n.alias("n")))
+
+        def over(kinds: Column) -> Column:
+            total = lambda f: F.aggregate(kinds, F.lit(0.0), lambda s, p: s + F.aggregate(kinds, F.lit(0.0), lambda t, q: t + p["n"] * q["n"] * f(p, q)))
+            same = total(lambda p, q: F.signum(p["x"] - q["x"]) * F.signum(p["y"] - q["y"]))
+            nx, ny = total(lambda p, q: F.abs(F.signum(p["x"] - q["x"]))), total(lambda p, q: F.abs(F.signum(p["y"] - q["y"])))
+            return F.try_divide(same, F.sqrt(nx * ny))
+
+        return _with(_with(first, counted), over)
+
+    return _with(pairs, tau)
 
 
 # ---- order, sets, places ---------------------------------------------------------------------------------------------
@@ -226,14 +300,18 @@ def unique(a) -> Column:
 def duplicated(a, *, from_last: bool = False) -> Column:
     """Whether each element stands earlier (later) in the list too."""
     a = _c(a)
-    if from_last:
-        return F.transform(a, lambda e, i: F.array_contains(F.slice(a, i + 2, F.size(a)), e))
-    return F.transform(a, lambda e, i: F.array_position(a, e) <= i)
+    beside = 1 if from_last else -1
+    return _with(_tagged(a), lambda t: F.transform(a, lambda e, i: F.coalesce(_same(F.get(t, _below(t, _key(e, i)) + beside), e), F.lit(False))))
+
+
+def _same(tag: Column, e: Column) -> Column:
+    return tag.isNotNull() & tag["v"].eqNullSafe(e)
 
 
 def self_match(a) -> Column:
+    """The first place of each element's value; null elements match none."""
     a = _c(a)
-    return F.transform(a, lambda e: F.array_position(a, e))
+    return _with(_tagged(a), lambda t: F.transform(a, lambda e: F.when(e.isNotNull(), (F.get(t, _below(t, _key(e, -1)))["i"] + 1).cast("long"))))
 
 
 def match_table(a, table: Column) -> Column:
@@ -245,25 +323,29 @@ def set_intersect(a, b) -> Column:
     return F.array_intersect(_c(a), _c(b))
 
 
-def order(a, *, decreasing: bool = False) -> Column:
-    """Places of the elements in sorted order, nulls last, ties in place order."""
-    tagged = F.transform(_c(a), lambda e, i: F.struct(e.isNull().alias("n"), (-e if decreasing else e).alias("v"), (i + 1).alias("i")))
+def order(a, *, decreasing: bool = False, na_last: bool | None = True) -> Column:
+    """Places of the elements in sorted order, ties in place order; nulls last, first (``na_last`` False) or left out (None)."""
+    last = na_last is not False
+    tagged = F.transform(_c(a), lambda e, i: F.struct((e.isNull() if last else e.isNotNull()).alias("n"), (-e if decreasing else e).alias("v"), (i + 1).alias("i")))
+    if na_last is None:
+        tagged = F.filter(tagged, lambda s: s["v"].isNotNull())
     return F.transform(F.array_sort(tagged), lambda s: s["i"])
 
 
 def rank(a, ties: str = "average") -> Column:
+    """Each element's rank among those that aren't null; ties get the average, "min", "max" or the order of places ("first")."""
+    if ties not in ("average", "min", "max", "first"):
+        raise ValueError(f"ties can't be {ties}")
     a = _c(a)
-    less = lambda x: F.size(F.filter(a, lambda e: e < x))
-    same = lambda x: F.size(F.filter(a, lambda e: e == x))
-    if ties == "average":
-        return average_ranks(a)
-    if ties == "min":
-        return F.transform(a, lambda x: (less(x) + 1).cast("double"))
-    if ties == "max":
-        return F.transform(a, lambda x: (less(x) + same(x)).cast("double"))
-    if ties == "first":
-        return F.transform(a, lambda x, i: (less(x) + F.size(F.filter(F.slice(a, F.lit(1), i + 1), lambda e: e == x))).cast("double"))
-    raise ValueError(f"ties can't be {ties}")
+
+    def ranks(t: Column) -> Column:
+        nulls = F.size(F.filter(a, lambda e: e.isNull()))
+        low = lambda e: _below(t, _key(e, -1)) - nulls
+        high = lambda e: _below(t, _key(e, F.size(t))) - nulls
+        one = {"average": lambda e, i: (low(e) + high(e) + 1) / 2, "min": lambda e, i: low(e) + 1, "max": lambda e, i: high(e), "first": lambda e, i: _below(t, _key(e, i)) - nulls + 1}[ties]
+        return F.transform(a, lambda e, i: F.when(e.isNotNull(), one(e, i).cast("double")))
+
+    return _with(_tagged(a), ranks)
 
 
 def is_unsorted(a, *, strictly: bool = False) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import col
-from ..plans.sweep import chunked, merged, preceding, running, segments, swept
+from ..plans.sweep import chunked, merged, running, runs, segments, sliced, stretches, swept
 
 
 def numbered(df: DataFrame, *order: str) -> DataFrame:
@@ -68,22 +68,20 @@ def gaps(df: DataFrame, low: Column | int | None = None, high: Column | int | No
 
     Spaces without ranges are known only from ``spaces`` (column space); there both bounds together give a whole gap.
     """
+    whole = low is not None and high is not None
     low, high = col(low), col(high)
     some = df.filter("end >= start").select("space", "start", "end")
-    covered = reduce(some.withColumn("rid", F.lit(0).cast("long")), chunk=chunk)
-    known = some.select("space").distinct().withColumn("_some", F.lit(True))
-    if spaces is not None:
-        known = spaces.select("space").distinct().join(known, "space", "left")
-    else:
-        known = known.unionByName(df.select("space").distinct().withColumn("_some", F.lit(None).cast("boolean"))).groupBy("space").agg(F.max("_some").alias("_some"))
-    edges = known.withColumns({"_low": low, "_high": high})
-    before = edges.filter("_low is not null").select("space", F.col("_low").alias("start"), (F.col("_low") - 1).alias("end"))
-    behind = edges.filter("_high is not null and (_low is not null or _some)").select("space", (F.col("_high") + 1).alias("start"), F.col("_high").alias("end"))
-    rows = covered.select("space", "start", "end").unionByName(before).unionByName(behind)
-    rows = running(rows, {"_reach": ("max", F.col("end"))}, "start", ["start", "end"], before=["_reach"], chunk=chunk).join(edges, "space")
-    first = F.greatest(F.col("_reach") + 1, F.coalesce(F.col("_low"), F.col("_reach") + 1))
-    last = F.least(F.col("start") - 1, F.coalesce(F.col("_high"), F.col("start") - 1))
-    return rows.filter("_reach is not null").select("space", first.alias("start"), last.alias("end")).filter("end >= start")
+    hulls = some.groupBy("space").agg(F.min("start").alias("_from"), F.max("end").alias("_to"))
+    if spaces is not None or whole:
+        hulls = (spaces if spaces is not None else df).select("space").distinct().join(hulls, "space", "left")
+    frame = hulls.select("space", F.coalesce(low, "_from").alias("start"), F.coalesce(high, "_to").alias("end")).filter("end >= start")
+
+    def events(rows: DataFrame, covered: int, framed: int) -> DataFrame:
+        ends = F.array(*[F.struct(p.alias("pos"), F.lit(sign * covered).alias("c"), F.lit(sign * framed).alias("f")) for p, sign in ((F.col("start"), 1), (F.col("end") + 1, -1))])
+        return rows.select("space", F.explode(ends).alias("_e")).select("space", "_e.*")
+
+    cuts = (F.col("c") != 0) | (F.col("f") != 0)
+    return stretches(events(some, 1, 0).unionByName(events(frame, 0, 1)), ["c", "f"], lambda n: (n["f"] > 0) & (n["c"] == 0), keep=cuts, chunk=chunk)
 
 
 def disjoin(df: DataFrame, *, revmap: bool = False, chunk: int | None = None) -> DataFrame:
@@ -145,27 +143,27 @@ def disjoint_bins(df: DataFrame) -> DataFrame:
 # ---- set operations --------------------------------------------------------------------------------------------------
 
 
-def _two(x: DataFrame, y: DataFrame, chunk: int | None) -> DataFrame:
-    """Segments with the numbers of ranges of x (cx) and of y (cy) that cover them."""
+def _both(x: DataFrame, y: DataFrame, holds, chunk: int | None) -> DataFrame:
+    """The stretches on which a condition holds on the numbers of ranges of x and of y that cover a position."""
 
     def events(df: DataFrame, dx: int, dy: int) -> DataFrame:
         ends = F.array(*[F.struct(p.alias("pos"), F.lit(sign * dx).alias("cx"), F.lit(sign * dy).alias("cy")) for p, sign in ((F.col("start"), 1), (F.col("end") + 1, -1))])
         return df.filter("end >= start").select("space", F.explode(ends).alias("_e")).select("space", "_e.*")
 
     cuts = (F.col("cx") != 0) | (F.col("cy") != 0)
-    return segments(events(x, 1, 0).unionByName(events(y, 0, 1)), ["cx", "cy"], keep=cuts, chunk=chunk, dealt=True)
+    return stretches(events(x, 1, 0).unionByName(events(y, 0, 1)), ["cx", "cy"], lambda n: holds(n["cx"] > 0, n["cy"] > 0), keep=cuts, chunk=chunk)
 
 
 def union(x: DataFrame, y: DataFrame, *, chunk: int | None = None) -> DataFrame:
-    return merged(_two(x, y, chunk).filter("cx > 0 or cy > 0").drop("cx", "cy"))
+    return _both(x, y, lambda in_x, in_y: in_x | in_y, chunk)
 
 
 def intersect(x: DataFrame, y: DataFrame, *, chunk: int | None = None) -> DataFrame:
-    return merged(_two(x, y, chunk).filter("cx > 0 and cy > 0").drop("cx", "cy"))
+    return _both(x, y, lambda in_x, in_y: in_x & in_y, chunk)
 
 
 def setdiff(x: DataFrame, y: DataFrame, *, chunk: int | None = None) -> DataFrame:
-    return merged(_two(x, y, chunk).filter("cx > 0 and cy = 0").drop("cx", "cy"))
+    return _both(x, y, lambda in_x, in_y: in_x & ~in_y, chunk)
 
 
 # ---- coverage --------------------------------------------------------------------------------------------------------
@@ -191,7 +189,7 @@ def coverage(
     Runs go from 1 to ``width``, or to the largest end; positions outside are left out, zeros inside are kept.  With
     ``low`` None they go from the least start.  Integer weights give integers; others are summed as decimals, so that
     the result doesn't depend on the order of summing and no residue is left.  ``dealt`` runs keep the chunks of the sweep
-    (column ``_chunk``), which :func:`slice_runs` uses again.
+    (column ``_chunk``) and the value before each run (``_was``), which spares :func:`slice_runs` a sweep.
     """
     by = col(shift) if not isinstance(shift, str) else F.col(shift)
     w = F.lit(weight) if isinstance(weight, (int, float)) else col(weight)
@@ -203,11 +201,14 @@ def coverage(
     clipped = moved.drop("_width").join(lengths, "space").withColumns({"start": F.greatest(F.col("start"), bottom), "end": F.least("end", "_top")}).filter("end >= start")
     ends = F.array(F.struct(F.col("start").alias("pos"), F.col("w").alias("value")), F.struct((F.col("end") + 1).alias("pos"), (-F.col("w")).alias("value")))
     events = clipped.select("space", F.explode(ends).alias("_e")).select("space", "_e.pos", "_e.value")
-    frame = lengths.filter(F.col("_top") >= bottom).select("space", F.explode(F.array(bottom, F.col("_top") + 1)).alias("pos"), F.lit(0).cast(dict(events.dtypes)["value"]).alias("value"), F.lit(1).alias("_edge"))
+    frame = lengths.filter(F.col("_top") >= bottom).select("space", F.explode(F.array(F.struct(bottom.alias("pos"), F.lit(1).alias("_edge")), F.struct((F.col("_top") + 1).alias("pos"), F.lit(-1).alias("_edge")))).alias("_f"))
+    frame = frame.select("space", "_f.pos", F.lit(0).cast(dict(events.dtypes)["value"]).alias("value"), "_f._edge")
     # a run ends where the changes at a position don't cancel out, and at the frame's edges
-    cuts = (F.col("value") != 0) | (F.col("_edge") > 0)
-    runs = segments(events.withColumn("_edge", F.lit(0)).unionByName(frame), ["value", "_edge"], keep=cuts, chunk=chunk, dealt=dealt).drop("_edge")
-    return runs.withColumn("value", F.col("value").cast("double")) if real else runs
+    cuts = (F.col("value") != 0) | (F.col("_edge") != 0)
+    runs = segments(events.withColumn("_edge", F.lit(0)).unionByName(frame), ["value", "_edge"], keep=cuts, chunk=chunk, dealt=dealt)
+    if dealt:
+        runs = runs.withColumn("_was", F.when(F.col("_was__edge") > 0, F.col("_was_value"))).drop("_was_value", "_was__edge")
+    return runs.withColumns({k: F.col(k).cast("double") if real else F.col(k) for k in ("value", *["_was"] * dealt)}).drop("_edge")
 
 
 def window_coverage(df: DataFrame, low: int | None = None, high: int | None = None, *, weight=1, collapse: bool = True, chunk: int | None = None) -> DataFrame:
@@ -219,42 +220,52 @@ def window_coverage(df: DataFrame, low: int | None = None, high: int | None = No
     return out.withColumn("pos", F.explode(F.sequence("start", "end"))).select("space", "pos", "value")
 
 
-def slice_runs(runs: DataFrame, lower: float | None = None, upper: float | None = None, *, include_lower: bool = True, include_upper: bool = True, chunk: int | None = None) -> DataFrame:
+def slice_runs(table: DataFrame, lower: float | None = None, upper: float | None = None, *, include_lower: bool = True, include_upper: bool = True, chunk: int | None = None) -> DataFrame:
     """The longest stretches of a run table whose values lie in the bounds, as ranges."""
-    ok = F.col("value").isNotNull()
-    if lower is not None:
-        ok = ok & ((F.col("value") >= lower) if include_lower else (F.col("value") > lower))
-    if upper is not None:
-        ok = ok & ((F.col("value") <= upper) if include_upper else (F.col("value") < upper))
-    return merged(runs.filter(ok).drop("value"), chunk=chunk)
+
+    def ok(name: str) -> Column:
+        x = F.col(name)
+        out = x.isNotNull()
+        if lower is not None:
+            out = out & ((x >= lower) if include_lower else (x > lower))
+        if upper is not None:
+            out = out & ((x <= upper) if include_upper else (x < upper))
+        return F.coalesce(out, F.lit(False))
+
+    if "_was" in table.columns:
+        return sliced(table, ok("value"), ok("_was"))
+    return merged(table.filter(ok("value")).select("space", "start", "end"), chunk=chunk)
 
 
 # ---- run tables ------------------------------------------------------------------------------------------------------
 
 
-def align(*runs: DataFrame, chunk: int | None = None) -> DataFrame:
-    """Run tables side by side: common runs with the values v1, v2, ... (null where a table has no run)."""
-    from .overlaps import find
+def align(*tables: DataFrame, chunk: int | None = None) -> DataFrame:
+    """Run tables side by side: common runs with the values v1, v2, ... (null where a table has no run).
 
-    edges = None
-    for r in runs:
-        own = r.select("space", F.col("start"), F.col("end")).withColumn("rid", F.col("start"))
-        edges = own if edges is None else edges.unionByName(own)
-    out = disjoin(edges, chunk=chunk).withColumn("rid", F.col("start"))
-    for i, r in enumerate(runs, 1):
-        hits = find(out.select("space", "rid", "start", "end"), r.withColumn("rid", F.col("start")))
-        values = hits.join(r.select("space", F.col("start").alias("subject_id"), F.col("value").alias(f"v{i}")), ["space", "subject_id"])
-        out = out.join(values.select("space", F.col("query_id").alias("rid"), f"v{i}"), ["space", "rid"], "left")
-    return out.drop("rid")
+    One sweep over all starts and ends carries each table's last run along.
+    """
+    names = [f"_t{i}" for i in range(1, len(tables) + 1)]
+    kinds = [f"struct<s:bigint,e:bigint,v:{t.schema['value'].dataType.simpleString()}>" for t in tables]
+    cuts = None
+    for name, t in zip(names, tables, strict=True):
+        run = F.struct(F.col("start").cast("long").alias("s"), F.col("end").cast("long").alias("e"), F.col("value").alias("v"))
+        at = F.explode(F.array(F.struct(F.col("start").alias("pos"), run.alias("run")), F.struct((F.col("end") + 1).alias("pos"), F.lit(None).cast(kinds[names.index(name)]).alias("run"))))
+        own = t.select("space", at.alias("_a")).select("space", "_a.pos", *[F.col("_a.run").alias(n) if n == name else F.lit(None).cast(k).alias(n) for n, k in zip(names, kinds, strict=True)])
+        cuts = own if cuts is None else cuts.unionByName(own)
+    rows = chunked(cuts.groupBy("space", "pos").agg(*[F.max(n).alias(n) for n in names]), "pos", chunk=chunk)
+    rows = swept(rows, {n: ("max", F.col(n)) for n in names} | {"_next": ("next", F.col("pos"))}, ["pos"])
+    open_ = [F.col(n)["e"] >= F.col("pos") for n in names]
+    some = open_[0]
+    for one in open_[1:]:
+        some = F.coalesce(some, F.lit(False)) | F.coalesce(one, F.lit(False))
+    out = rows.filter(F.col("_next").isNotNull() & F.coalesce(some, F.lit(False)))
+    return out.select("space", F.col("pos").alias("start"), (F.col("_next") - 1).alias("end"), *[F.when(on, F.col(n)["v"]).alias(f"v{i}") for i, (n, on) in enumerate(zip(names, open_, strict=True), 1)])
 
 
 def runs_of(df: DataFrame, value: str = "value") -> DataFrame:
     """Run-length encoding of a vector (space, rid, value) with rows numbered from 1 without holes."""
-    rows = preceding(df, {"_there": F.lit(True), "_before": F.col(value)}, "rid", ["rid"])
-    first = F.col("_there").isNull() | ~F.col(value).eqNullSafe(F.col("_before"))
-    marked = running(rows, {"_island": ("sum", first.cast("long"))}, "rid", ["rid"])
-    out = marked.groupBy("space", "_island").agg(F.min("rid").alias("start"), F.max("rid").alias("end"), F.first(value).alias("value"))
-    return out.drop("_island")
+    return runs(df, value).withColumnRenamed(value, "value")
 
 
 def split_runs(runs: DataFrame) -> DataFrame:

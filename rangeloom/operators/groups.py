@@ -4,26 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.sweep import preceding, running
+
 # ---- partitionings ---------------------------------------------------------------------------------------------------
 
 
 def by_width(groups: DataFrame, width: str = "width") -> DataFrame:
     """Blocks one behind the other from a table (group_id, width): adds start and end."""
-    w = Window.orderBy("group_id").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(width).over(w)
-    return groups.withColumn("end", end.cast("long")).withColumn("start", F.col("end") - F.col(width) + 1)
+    out = running(groups, {"end": ("sum", F.col(width).cast("long"))}, "group_id", ["group_id"], by=())
+    return out.withColumn("start", F.col("end") - F.col(width) + 1)
 
 
 def by_end(groups: DataFrame, end: str = "end") -> DataFrame:
     """Blocks from a table (group_id, end); ends must not fall."""
     from ..model import fail_if
 
-    w = Window.orderBy("group_id")
-    before = F.coalesce(F.lag(end).over(w), F.lit(0))
-    return groups.withColumn("start", fail_if(F.col(end) < before, "ends must not fall", before + 1))
+    out = preceding(groups, {"_end": F.col(end)}, "group_id", ["group_id"], by=())
+    before = F.coalesce("_end", F.lit(0))
+    return out.withColumn("start", fail_if(F.col(end) < before, "ends must not fall", before + 1)).drop("_end")
 
 
 def tabulated(members: DataFrame, n: int, group: str = "group_id") -> DataFrame:
@@ -65,17 +66,28 @@ def low_to_high(frame: DataFrame, value: str) -> DataFrame:
 def dense_groups(frame: DataFrame, value: str) -> DataFrame:
     """Each row's group number and its rank: groups are counted in the order of their first rows."""
     first = frame.groupBy(value).agg(F.min("rid").alias("_first"))
-    ranked = first.withColumn("group_rank", F.row_number().over(Window.orderBy("_first")).cast("long"))
+    ranked = running(first, {"group_rank": ("sum", F.lit(1).cast("long"))}, "_first", ["_first"], by=())
     return frame.join(ranked, frame[value].eqNullSafe(ranked[value])).select(frame["*"], F.col("_first").alias("representative"), "group_rank")
 
 
-def crossed(frame: DataFrame, factors: Sequence[str], member: str = "rid") -> DataFrame:
-    """Members by every combination of the factors' levels, empty ones included."""
+def crossed(frame: DataFrame, factors: Sequence[str], member: str = "rid", *, most: int = 1_000_000, empty: bool = True) -> DataFrame:
+    """Members by every combination of the factors' levels, empty ones included: as many rows as the numbers of levels
+    multiplied, which must not be over ``most``.  Without ``empty``, only the combinations that have members."""
+    some = frame
+    for f in factors:
+        some = some.filter(F.col(f).isNotNull())
+    found = some.groupBy(*factors).agg(F.array_sort(F.collect_list(member)).alias("members"))
+    if not empty:
+        return found
+    n = 1
+    for k in frame.agg(*[F.count_distinct(f) for f in factors]).first():
+        n *= k
+    if n > most:
+        raise ValueError(f"{n} combinations of levels; at most {most} are listed")
     levels = None
     for f in factors:
         own = frame.select(f).filter(F.col(f).isNotNull()).distinct()
-        levels = own if levels is None else levels.crossJoin(own)
-    found = frame.groupBy(*factors).agg(F.array_sort(F.collect_list(member)).alias("members"))
+        levels = own if levels is None else levels.crossJoin(F.broadcast(own))
     return levels.join(found, list(factors), "left").withColumn("members", F.coalesce("members", F.array().cast("array<long>")))
 
 
@@ -91,7 +103,7 @@ def hits_by_query(hits: DataFrame, queries: DataFrame) -> DataFrame:
 
 def mapped_order(parts: DataFrame, order: str = "map_order") -> DataFrame:
     """A partitioning with a stored order of its objects: the place of each object."""
-    return parts.withColumn("place", F.row_number().over(Window.orderBy(order)).cast("long"))
+    return running(parts, {"place": ("sum", F.lit(1).cast("long"))}, order, [order], by=())
 
 
 # ---- splits ----------------------------------------------------------------------------------------------------------
@@ -121,6 +133,51 @@ def unsplit(lists: DataFrame, by: Sequence[str]) -> DataFrame:
     return lists.select(*by, F.posexplode("values").alias("place", "value")).withColumn("place", F.col("place") + 1)
 
 
+def placed(frame: DataFrame, by: Sequence[str], order: str = "rid", name: str = "place") -> DataFrame:
+    """Split in long form, for groups of any size: each row's place in its group, in row order; rows with a null key go."""
+    some = frame
+    for k in by:
+        some = some.filter(F.col(k).isNotNull())
+    return running(some, {name: ("sum", F.lit(1).cast("long"))}, order, [order], by=tuple(by))
+
+
+def in_line(frame: DataFrame, group: str, order: str = "rid", name: str = "pos") -> DataFrame:
+    """All groups one behind the other: each row's place in that line (groups in order, then rows)."""
+    widths = by_width(frame.groupBy(F.col(group).alias("group_id")).agg(F.count(F.lit(1)).alias("width")))
+    rows = placed(frame, [group], order, name).join(widths.select(F.col("group_id").alias(group), F.col("start").alias("_first")), group)
+    return rows.withColumn(name, F.col(name) + F.col("_first") - 1).drop("_first")
+
+
+def fragmented(rows: DataFrame, cuts: DataFrame, pos: str = "pos") -> DataFrame:
+    """Long lists cut by disjoint ranges (rid, start, end) over the line of their elements: adds range_id; elements in
+    no range go."""
+    from .nearest import find_run
+
+    line = lambda df, *more: df.select(F.lit(0).cast("long").alias("space"), *more)
+    hit = find_run(line(rows, F.col(pos).alias("rid"), F.col(pos).alias("pos")), line(cuts.filter("end >= start"), "start", "end", F.col("rid").alias("value")))
+    return rows.join(hit.filter("value is not null").select(F.col("rid").alias(pos), F.col("value").alias("range_id")), pos)
+
+
+def regrouped(rows: DataFrame, groups: DataFrame, group: str = "group_id", super_: str = "super_id", order: str = "rid") -> DataFrame:
+    """Long lists put together by a map (group, super): adds super and each row's place in it, groups in order."""
+    inner = placed(rows.join(groups, group), [group], order, "_place")
+    counts = inner.groupBy(super_, group).agg(F.count(F.lit(1)).alias("_n"))
+    before = running(counts, {"_before": ("sum", F.col("_n"))}, group, [group], before=["_before"], by=(super_,))
+    return inner.join(before.select(super_, group, "_before"), [super_, group]).withColumn("place", F.col("_place") + F.col("_before")).drop("_place", "_before")
+
+
+def assigned(frame: DataFrame, by: Sequence[str], new: DataFrame, value: str = "value") -> DataFrame:
+    """Split assignment: the values of each group replaced, in row order, by those of ``new`` (key columns, place, value).
+
+    A group's new values are used again from the first if they are fewer; groups without new values keep theirs.
+    """
+    counts = new.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    rows = placed(frame, by, "rid", "_k").join(counts, list(by), "left").withColumn("place", F.when(F.col("_n") > 0, F.pmod(F.col("_k") - 1, F.col("_n")) + 1))
+    fresh = new.select(*by, F.col("place").cast("long").alias("place"), F.struct(F.col(value).alias("v")).alias("_new"))
+    out = rows.join(fresh, [*by, "place"], "left").withColumn(value, F.when(F.col("_new").isNotNull(), F.col("_new.v")).otherwise(F.col(value)))
+    return out.select(*frame.columns)
+
+
 def relist(flat: DataFrame, skeleton: DataFrame, value: str = "value") -> DataFrame:
     """A flat vector (rid, value) cut into lists like a partitioning (group_id, start, end)."""
     expanded = skeleton.filter("end >= start").select("group_id", F.explode(F.sequence("start", "end")).alias("rid"))
@@ -138,10 +195,17 @@ def extract(flat: DataFrame, wanted: DataFrame, value: str = "value") -> DataFra
 
 
 def apply(frame: DataFrame, by: Sequence[str], function, schema: str) -> DataFrame:
-    """A Python function from each group's pandas frame to a frame of ``schema``."""
+    """A Python function from each group's pandas frame to a frame of ``schema``; a group must fit a task."""
     return frame.groupBy(*by).applyInPandas(function, schema)
 
 
+def apply_in_parts(frame: DataFrame, by: Sequence[str], function, schema: str, *, parts: int = 64) -> DataFrame:
+    """A Python function for groups of any size, which must give the same from its results on a group's parts as from the
+    whole group (a top-k, a sum): it runs on each of ``parts`` parts and then once more on what they give."""
+    salted = frame.withColumn("_salt", F.pmod(F.xxhash64(*frame.columns), F.lit(parts))).groupBy(*by, "_salt")
+    return salted.applyInPandas(lambda pdf: function(pdf.drop(columns=["_salt"])), schema).groupBy(*by).applyInPandas(function, schema)
+
+
 def tapply(frame: DataFrame, by: Sequence[str], **aggregates: Column) -> DataFrame:
     """Aggregates by one or more factors."""
     return frame.groupBy(*by).agg(*[e.alias(k) for k, e in aggregates.items()])

@@ -53,26 +53,51 @@ def find_run(query: DataFrame, runs: DataFrame, *, chunk: int | None = None) ->
     return out.select("space", "rid", "pos", *[F.when(inside, F.col(c)).alias(c) for c in ("start", "end", "value")])
 
 
+def _neighbours(x: DataFrame, subject: DataFrame, chunk: int | None) -> DataFrame:
+    """Per row of x, by one sweep and without pairs: touch (whether it overlaps or touches a subject), before (the largest
+    end before its start) and behind (the least start behind its end).
+
+    Axis 0 has the subjects' starts and is asked behind x's ends; axis 1 has the ends and is asked before x's starts.
+    """
+    marks = lambda axis, pos: subject.groupBy("space", F.lit(axis).alias("axis"), F.col(pos).alias("pos")).agg(F.count(F.lit(1)).alias("n"))
+    asks = lambda axis, pos: x.select("space", F.lit(axis).alias("axis"), F.col(pos).alias("pos"), F.lit(0).cast("long").alias("n"), F.lit(1 - axis).alias("kind"), "rid")
+    rows = marks(0, "start").unionByName(marks(1, "end")).select("*", F.col("axis").alias("kind"), F.lit(None).cast(dict(x.dtypes)["rid"]).alias("rid"))
+    rows = rows.unionByName(asks(0, "end")).unionByName(asks(1, "start")).withColumn("asks", F.col("rid").isNotNull())
+    mark = F.when(~F.col("asks"), F.struct("pos", "n"))
+    values = {"_sum": ("sum", F.col("n")), "_last": ("max", F.when(F.col("axis") == 1, mark)), "_next": ("next", F.when(F.col("axis") == 0, mark))}
+    rows = running(rows, values, "pos", ["pos", "kind", "asks"], chunk=chunk, by=("space", "axis")).filter("asks")
+    # starts up to a position behind the end, less ends before the position before the start
+    beside = lambda mark, pos: F.when(F.col(f"{mark}.pos") == pos, F.col(f"{mark}.n")).otherwise(F.lit(0))
+    hits = F.when(F.col("axis") == 0, F.col("_sum") + beside("_next", F.col("pos") + 1)).otherwise(beside("_last", F.col("pos") - 1) - F.col("_sum"))
+    return rows.groupBy("space", "rid").agg((F.sum(hits) > 0).alias("touch"), F.max("_last.pos").alias("before"), F.min("_next.pos").alias("behind"))
+
+
 def nearest(x: DataFrame, subject: DataFrame, *, all: bool = False, chunk: int | None = None) -> DataFrame:
     """Per row of x the nearest subject: one that it overlaps or touches, else the closer of those before and behind.
 
     One subject: the first it overlaps or touches; of two that are equally far the one before.  All: every subject
-    that is as near as the nearest.
+    that is as near as the nearest.  Pairs are made of those alone; for one subject, equal subjects count as one.
     """
-    bounds = lambda df, p: df.select("space", F.col("rid").alias("query_id" if p == "q" else "subject_id"), F.col("start").alias(f"{p}_start"), F.col("end").alias(f"{p}_end"))
-    touching = find(x, subject, maxgap=0)
-    sides = follow(x, subject, all=True, chunk=chunk).withColumn("_side", F.lit(1)).unionByName(precede(x, subject, all=True, chunk=chunk).withColumn("_side", F.lit(2)))
-    alone = sides.join(touching.select("space", "query_id").distinct(), ["space", "query_id"], "left_anti")
-    far = alone.join(bounds(x, "q"), ["space", "query_id"]).join(bounds(subject, "s"), ["space", "subject_id"]).withColumn("_d", distance("q_start", "q_end", "s_start", "s_end"))
-    least = far.groupBy("space", "query_id").agg(F.min("_d").alias("_d"))
-    near = far.join(least, ["space", "query_id", "_d"]).select("space", "query_id", "subject_id", "_side")
-    hits = touching.withColumn("_side", F.lit(0)).unionByName(near)
+    found = _neighbours(x, subject, chunk).join(x.select("space", "rid", "start", "end"), ["space", "rid"])
+    left, right = F.col("start") - F.col("before"), F.col("behind") - F.col("end")
+    use_left = F.col("before").isNotNull() & F.coalesce(left <= right, F.lit(True))
+    use_right = F.col("behind").isNotNull() & F.coalesce((right <= left) if all else (right < left), F.lit(True))
+    spots = F.explode(F.array(F.struct(F.lit(1).alias("axis"), F.when(use_left, F.col("before")).alias("pos")), F.struct(F.lit(0).alias("axis"), F.when(use_right, F.col("behind")).alias("pos"))))
+    sides = found.filter("not touch").select("space", F.col("rid").alias("query_id"), spots.alias("_s")).select("space", "query_id", "_s.*").filter("pos is not null")
+    near = found.filter("touch").select("space", "rid", "start", "end")
+    edges = F.explode(F.array(F.struct(F.lit(0).alias("axis"), F.col("start").alias("pos")), F.struct(F.lit(1).alias("axis"), F.col("end").alias("pos"))))
+    at = subject.select("space", F.col("rid").alias("subject_id"), edges.alias("_e")).select("space", "_e.*", "subject_id")
+    if all:
+        touching = find(near, subject, maxgap=0)
+    else:
+        first, last = F.min("subject_id"), F.max("subject_id")
+        at = at.groupBy("space", "axis", "pos").agg(F.when(F.col("axis") == 0, first).otherwise(last).alias("subject_id"))
+        firsts = subject.groupBy("space", "start", "end").agg(F.min("rid").alias("rid"))
+        touching = find(near, firsts, maxgap=0).groupBy("space", "query_id").agg(F.min("subject_id").alias("subject_id"))
+    hits = touching.unionByName(sides.join(at, ["space", "axis", "pos"]).select("space", "query_id", "subject_id"))
     if all:
-        return hits.select("space", "query_id", "subject_id").distinct()
-    # before: the last by number; overlapping and behind: the first
-    best = hits.groupBy("space", "query_id").agg(F.min(F.struct("_side", F.when(F.col("_side") == 1, -F.col("subject_id")).otherwise(F.col("subject_id")).alias("k"))).alias("_b"))
-    one = best.select("space", "query_id", F.abs("_b.k").alias("subject_id"))
-    return x.select("space", F.col("rid").alias("query_id")).join(one, ["space", "query_id"], "left")
+        return hits.distinct()  # an empty subject may stand on both sides
+    return x.select("space", F.col("rid").alias("query_id")).join(hits, ["space", "query_id"], "left")
 
 
 def distance_to_nearest(x: DataFrame, subject: DataFrame, *, all: bool = False, chunk: int | None = None) -> DataFrame:

@@ -34,13 +34,14 @@ def meets(type: str, maxgap: int, minoverlap: int) -> Column:
     return (ss >= qs) & (se <= qe) & (se - ss + 1 >= minoverlap) & (-slack <= g if g > 0 else F.lit(True))
 
 
-def find(query: DataFrame, subject: DataFrame, *, maxgap: int = -1, minoverlap: int = 0, type: str = "any", bins: Bins | None = None) -> DataFrame:
+def find(query: DataFrame, subject: DataFrame, *, maxgap: int = -1, minoverlap: int = 0, type: str = "any", bins: Bins | None = None, pairs: bool = True) -> DataFrame:
     """All hits: space, query_id, subject_id.
 
     "any": the ranges share a position, or with ``maxgap`` lie at most so many positions apart (0: touch), or with
     ``minoverlap`` share so many.  "start", "end", "equal": those ends differ by at most ``maxgap``, which needs no
     shared position.  "within": the query lies in the subject, with at most ``maxgap`` positions to spare if given;
-    "extend": the other way round.  Only spaces that both sides have can give hits.
+    "extend": the other way round.  Only spaces that both sides have can give hits.  Without ``pairs`` only the queries
+    that hit something are found (space, query_id), by a semi-join that makes no pairs; wide ones may come up repeatedly.
     """
     if type not in TYPES:
         raise ValueError(f"type must be one of {TYPES}")
@@ -53,8 +54,7 @@ def find(query: DataFrame, subject: DataFrame, *, maxgap: int = -1, minoverlap:
     exact = {"start": ["start"], "end": ["end"], "equal": ["start", "end"]}
     if type in exact and maxgap <= 0:
         keys = [F.col("q.space") == F.col("s.space")] + [F.col(f"q_{k}") == F.col(f"s_{k}") for k in exact[type]]
-        pairs = q.alias("q").join(s.alias("s"), keys).filter(meets(type, maxgap, minoverlap))
-        return pairs.select(F.col("q.space").alias("space"), "query_id", "subject_id")
+        return _joined(q, s, keys, meets(type, maxgap, minoverlap), pairs)
     bins = bins or Bins()
     g = max(maxgap, 0)
     if type in ("start", "end", "equal"):
@@ -67,12 +67,16 @@ def find(query: DataFrame, subject: DataFrame, *, maxgap: int = -1, minoverlap:
         low, high = edges(F.col("q_start"), F.col("q_end"))
         q_low, q_high = low - (maxgap + 1), high + (maxgap + 1)
         s_low, s_high = edges(F.col("s_start"), F.col("s_end"))
-    left = dealt(q, q_low, q_high, bins, "q").alias("q")
-    right = dealt(s, s_low, s_high, bins, "s").drop("_size").alias("s")
+    left, right = dealt(q, q_low, q_high, bins, "q"), dealt(s, s_low, s_high, bins, "s").drop("_size")
     same = [F.col(f"q.{k}") == F.col(f"s.{k}") for k in ("space", "_level", "_home", "_bin")]
     once = F.col("q._bin") == F.floor(F.greatest("q._low", "s._low") / F.col("q._size")).cast("long")
-    pairs = left.join(right, same).filter(once & meets(type, maxgap, minoverlap))
-    return pairs.select(F.col("q.space").alias("space"), "query_id", "subject_id")
+    return _joined(left, right, same, once & meets(type, maxgap, minoverlap), pairs)
+
+
+def _joined(q: DataFrame, s: DataFrame, keys: list[Column], hit: Column, pairs: bool) -> DataFrame:
+    if not pairs:
+        return q.alias("q").join(s.alias("s"), [*keys, hit], "left_semi").select("space", "query_id")
+    return q.alias("q").join(s.alias("s"), keys).filter(hit).select(F.col("q.space").alias("space"), "query_id", "subject_id")
 
 
 def select(query: DataFrame, hits: DataFrame, which: str) -> DataFrame:
@@ -127,9 +131,11 @@ def _ranked(query: DataFrame, subject: DataFrame, maxgap: int, chunk: int | None
     return out.join(hollow, ["space", "rid"], "left").select("space", "rid", (F.col("n") + F.coalesce("_twins", F.lit(0))).alias("n"))
 
 
-def touched(query: DataFrame, subject: DataFrame, **how) -> DataFrame:
-    """The numbers of the queries that hit something: space, rid."""
-    return find(query, subject, **how).select("space", F.col("query_id").alias("rid")).distinct()
+def touched(query: DataFrame, subject: DataFrame, *, chunk: int | None = None, **how) -> DataFrame:
+    """The numbers of the queries that hit something: space, rid.  No pairs are made."""
+    if how.get("type", "any") == "any" and not how.get("minoverlap", 0):
+        return _ranked(query, subject, how.get("maxgap", -1), chunk).filter("n > 0").select("space", "rid")
+    return find(query, subject, pairs=False, **how).select("space", F.col("query_id").alias("rid")).distinct()
 
 
 def any_overlap(query: DataFrame, subject: DataFrame, **how) -> DataFrame:
@@ -174,15 +180,41 @@ def find_pairs(query_pairs: DataFrame, subject: DataFrame, **how) -> DataFrame:
     return find(both, subject, **how).distinct()
 
 
-def find_circular(query: DataFrame, subject: DataFrame, length: int, **how) -> DataFrame:
-    """Overlaps on circles of the given length: both sides are moved into the first circle, and the query is tried there
-    and one circle to each side."""
+def find_circular(query: DataFrame, subject: DataFrame, length: int, *, type: str = "any", maxgap: int = -1, minoverlap: int = 0) -> DataFrame:
+    """Overlaps on circles of the given length, of any type.
+
+    Both sides are moved into the first circle.  Starts and ends are compared round the circle, so that ranges whose ends
+    differ by whole circles end at one place.  For the other types the query is tried in as many circles to each side as
+    the widest range needs.
+    """
     from ..functions.intra import to_first_circle
 
-    turns = F.explode(F.array(F.lit(-length), F.lit(0), F.lit(length)))
-    q = to_first_circle(query, length).withColumn("_turn", turns)
-    q = q.withColumns({"start": F.col("start") + F.col("_turn"), "end": F.col("end") + F.col("_turn")}).drop("_turn")
-    return find(q, to_first_circle(subject, length), **how).distinct()
+    g = max(maxgap, 0)
+    if type in ("start", "end", "equal"):
+        near = lambda a, b: F.least(F.pmod(F.col(a) - F.col(b), F.lit(length)), F.pmod(F.col(b) - F.col(a), F.lit(length))) <= g
+        place = "end" if type == "end" else "start"
+        q = to_first_circle(query, length).select("space", F.col("rid").alias("query_id"), F.col("start").alias("q_start"), F.col("end").alias("q_end"))
+        s = to_first_circle(subject, length).select("space", F.col("rid").alias("subject_id"), F.col("start").alias("s_start"), F.col("end").alias("s_end"))
+        # the places round the circle at which a query finds its subjects: with a tolerance, those near it
+        steps = F.sequence(F.lit(-min(g, length // 2)), F.lit(min(g, (length - 1) // 2)))
+        q = q.withColumn("_at", F.explode(F.transform(steps, lambda k: F.pmod(F.col(f"q_{place}") + k, F.lit(length)))))
+        s = s.withColumn("_at", F.pmod(F.col(f"s_{place}"), F.lit(length)))
+        pairs = q.join(s, ["space", "_at"])
+        if type == "equal":
+            pairs = pairs.filter(near("q_start", "s_start") & near("q_end", "s_end") & ((F.col("q_end") - F.col("q_start")) - (F.col("s_end") - F.col("s_start")) <= 2 * g) & ((F.col("s_end") - F.col("s_start")) - (F.col("q_end") - F.col("q_start")) <= 2 * g))
+        if minoverlap > 0:
+            # the most that both share in any turn
+            turn = F.floor((F.col("s_start") - F.col("q_start")) / length)
+            shared = lambda t: F.least(F.col("q_end") + t * length, F.col("s_end")) - F.greatest(F.col("q_start") + t * length, F.col("s_start")) + 1
+            pairs = pairs.filter(F.greatest(shared(turn), shared(turn + 1)) >= minoverlap)
+        return pairs.select("space", "query_id", "subject_id").distinct()
+    q, s = to_first_circle(query, length), to_first_circle(subject, length)
+    # a range of the first circle reaches into so many circles behind it
+    reach = lambda df: df.groupBy("space").agg(F.greatest(F.lit(1), F.max(F.ceil((F.col("end") + max(maxgap, 0) + 1) / length))).alias("_reach"))
+    far = reach(q).join(reach(s).withColumnRenamed("_reach", "_back"), "space")
+    q = q.join(far, "space").withColumn("_turn", F.explode(F.sequence(-F.col("_reach"), F.col("_back"))))
+    q = q.withColumns({"start": F.col("start") + F.col("_turn") * length, "end": F.col("end") + F.col("_turn") * length}).drop("_turn", "_reach", "_back")
+    return find(q, s, type=type, maxgap=maxgap, minoverlap=minoverlap).distinct()
 
 
 def find_grouped(query: DataFrame, subject: DataFrame, **how) -> DataFrame:
@@ -210,9 +242,13 @@ def find_local(query: DataFrame, subject: DataFrame, **how) -> DataFrame:
     return find(swap(query), swap(subject), **how)
 
 
-def in_partition(query: DataFrame, parts: DataFrame) -> DataFrame:
+def in_partition(query: DataFrame, parts: DataFrame, *, empty_queries: bool = False, empty_blocks: bool = False) -> DataFrame:
     """Hits of ranges with adjacent sorted blocks (rid, start, end): the first and last block of a range are found by
-    their starts, and those between follow by number."""
+    their starts, and those between follow by number.
+
+    Empty ranges and empty blocks are left out unless asked for: an empty range hits a block if it stands inside it
+    (behind its first position), an empty block is hit if it stands inside a range (at its first position or behind).
+    """
     from .nearest import last_at_or_before
 
     some = query.filter("end >= start")
@@ -223,7 +259,16 @@ def in_partition(query: DataFrame, parts: DataFrame) -> DataFrame:
     spans = some.select("space", "rid", "start").join(first.select("space", "rid", "_first"), ["space", "rid"]).join(last.select("space", "rid", "_last"), ["space", "rid"]).join(low, "space")
     spans = spans.filter("_last is not null and start <= _top")
     out = spans.select("space", F.col("rid").alias("query_id"), F.explode(F.sequence(F.coalesce("_first", "_low"), F.col("_last"))).alias("subject_id"))
-    return out.join(blocks.select("space", F.col("rid").alias("subject_id")), ["space", "subject_id"], "left_semi").select("space", "query_id", "subject_id")
+    out = out.join(blocks.select("space", F.col("rid").alias("subject_id")), ["space", "subject_id"], "left_semi").select("space", "query_id", "subject_id")
+    if empty_queries:
+        hollow = query.filter("end < start").select("space", "rid", F.col("start").alias("pos"))
+        hit = last_at_or_before(hollow.withColumn("pos", F.col("pos") - 1), blocks).join(hollow, ["space", "rid"])
+        tops = blocks.select("space", F.col("rid").alias("found"), F.col("end").alias("_end"))
+        out = out.unionByName(hit.join(tops, ["space", "found"]).filter("pos <= _end").select("space", F.col("rid").alias("query_id"), F.col("found").alias("subject_id")))
+    if empty_blocks:
+        bare = parts.filter("end < start").select("space", "rid", "start", "end")
+        out = out.unionByName(find(bare.withColumn("end", F.col("start")), some if not empty_queries else query, type="within").select("space", F.col("subject_id").alias("query_id"), F.col("query_id").alias("subject_id")))
+    return out
 
 
 def partition_overlaps(x: DataFrame, y: DataFrame) -> DataFrame:

@@ -87,26 +87,64 @@ def segments(events: DataFrame, changes: Sequence[str], *, keep: Column | None =
     """From events (position, changes) the segments between positions: start, end and the running sum of each change.
 
     Changes at one position are summed first, so a position that very many ranges share is a single row.  Of those rows
-    only the ones for which ``keep`` holds cut (the others must change nothing).  ``dealt`` keeps ``_chunk``.
+    only the ones for which ``keep`` holds cut (the others must change nothing).  ``dealt`` keeps ``_chunk`` and adds
+    what each sum was before, ``_was_...``.
     """
-    summed = events.groupBy(*by, "pos").agg(*[F.sum(c).alias(c) for c in changes])
-    rows = chunked(summed if keep is None else summed.filter(keep), "pos", chunk=chunk, by=by)
+    rows = _positions(events, changes, keep, chunk, by)
     values = {f"_r_{c}": ("sum", F.col(c)) for c in changes} | {"_next": ("next", F.col("pos"))}
     run = swept(rows, values, ["pos"], by=by).filter(F.col("_next").isNotNull())
-    return run.select(*by, *["_chunk"] * dealt, F.col("pos").alias("start"), (F.col("_next") - 1).alias("end"), *[F.col(f"_r_{c}").alias(c) for c in changes])
+    more = ["_chunk", *[(F.col(f"_r_{c}") - F.col(c)).alias(f"_was_{c}") for c in changes]] if dealt else []
+    return run.select(*by, *more, F.col("pos").alias("start"), (F.col("_next") - 1).alias("end"), *[F.col(f"_r_{c}").alias(c) for c in changes])
 
 
-def merged(parts: DataFrame, same: Sequence[str] = (), *, chunk: int | None = None, by: Sequence[str] = ("space",)) -> DataFrame:
-    """Merge disjoint segments that touch and agree in the columns ``same``; ``parts`` may be dealt already.
+def _positions(events: DataFrame, changes: Sequence[str], keep: Column | None, chunk: int | None, by: Sequence[str]) -> DataFrame:
+    summed = events.groupBy(*by, "pos").agg(*[F.sum(c).alias(c) for c in changes])
+    return chunked(summed if keep is None else summed.filter(keep), "pos", chunk=chunk, by=by)
+
 
-    A part that begins an island also tells where the one before ends; the last island of a group ends with its last
-    part.  So only the beginnings are left to be swept.
+def stretches(events: DataFrame, changes: Sequence[str], holds, *, keep: Column | None = None, chunk: int | None = None, by: Sequence[str] = ("space",)) -> DataFrame:
+    """From events (position, changes) the longest stretches on which a condition on the running sums holds: start, end.
+
+    ``holds`` makes the condition from a dictionary of columns; it must not hold where all sums are 0.
     """
+    rows = swept(_positions(events, changes, keep, chunk, by), {f"_r_{c}": ("sum", F.col(c)) for c in changes}, ["pos"], by=by)
+    now, was = holds({c: F.col(f"_r_{c}") for c in changes}), holds({c: F.col(f"_r_{c}") - F.col(c) for c in changes})
+    edges = rows.select(*by, "_chunk", "pos", now.alias("_now"), was.alias("_was")).filter("_now <> _was")
+    return swept(edges, {"_next": ("next", F.col("pos"))}, ["pos"], by=by).filter("_now").select(*by, F.col("pos").alias("start"), (F.col("_next") - 1).alias("end"))
+
+
+def sliced(runs: DataFrame, now: Column, was: Column, *, by: Sequence[str] = ("space",)) -> DataFrame:
+    """The longest stretches of dealt runs that cover a group without holes on which a condition holds: it is given for
+    each run and for the run before (false in the first)."""
+    edges = runs.select(*by, "_chunk", "start", now.alias("_now"), was.alias("_was")).filter("_now <> _was")
+    ends = runs.groupBy(*by).agg(F.max("end").alias("_top"))
+    rows = swept(edges, {"_next": ("next", F.col("start"))}, ["start"], by=by).filter("_now").join(ends, list(by))
+    return rows.select(*by, "start", F.coalesce(F.col("_next") - 1, F.col("_top")).alias("end"))
+
+
+def merged(parts: DataFrame, same: Sequence[str] = (), *, chunk: int | None = None, by: Sequence[str] = ("space",)) -> DataFrame:
+    """Merge disjoint segments that touch and agree in the columns ``same``; ``parts`` may be dealt already."""
     rows = parts if "_chunk" in parts.columns else chunked(parts, "start", chunk=chunk, by=by)
     key = F.struct(*[F.col(c) for c in same]) if same else F.lit(0)
     rows = _with_last(rows.withColumn("_key", key), {"_before": F.col("end"), "_other": F.col("_key")}, ["start"], by)
     first = F.col("_before").isNull() | (F.col("_before") != F.col("start") - 1) | ~F.col("_other").eqNullSafe(F.col("_key"))
+    return _islands(rows, first, by).select(*by, "start", "end", *same)
+
+
+def runs(rows: DataFrame, value: str, *, chunk: int | None = None, by: Sequence[str] = ("space",)) -> DataFrame:
+    """The runs of equal values in row order (column rid): start and end (the first and last row), value."""
+    rows = _with_last(chunked(rows, "rid", chunk=chunk, by=by), {"_before": F.col("rid"), "_other": F.col(value)}, ["rid"], by)
+    first = F.col("_before").isNull() | ~F.col("_other").eqNullSafe(F.col(value))
+    return _islands(rows.withColumns({"start": F.col("rid"), "end": F.col("rid")}), first, by).select(*by, "start", "end", value)
+
+
+def _islands(rows: DataFrame, first: Column, by: Sequence[str]) -> DataFrame:
+    """The rows that begin an island, each with the end of its island.
+
+    Such a row also tells where the island before ends (``_before``, the end of the row before); the last island of a
+    group ends with its last row.  So only the beginnings are left to be swept.
+    """
     ends = rows.groupBy(*by).agg(F.max("end").alias("_top"))
     island = F.struct(F.col("start").alias("s"), F.col("_before").alias("e"))
     rows = swept(rows.filter(first), {"_next": ("next", island)}, ["start"], by=by).join(ends, list(by))
-    return rows.select(*by, "start", F.coalesce("_next.e", "_top").alias("end"), *same)
+    return rows.withColumn("end", F.coalesce("_next.e", "_top"))

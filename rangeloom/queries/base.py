@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 from ..sources import derived
-from ..sources.derived import event_points, line_ranges, order_ranges, quantity_lists, table
+from ..sources.derived import customer_ranges, event_points, line_ranges, order_ranges, part_ranges, quantity_lists, table
 
 O, L, P, Q, T = order_ranges, line_ranges, event_points, quantity_lists, table
+C, K = customer_ranges, part_ranges
+#: Spaces of the frames of the pair-returning joins: so many that the hits grow with the tables and not with their square.
+FOLD = 997
 
 #: The derived frames as common table expressions with short column names.
 FRAMES = {
     "o": 'o AS MATERIALIZED (SELECT space, rid, start AS s, "end" AS e FROM (' + derived.SQL["order_ranges"] + "))",
     "l": 'l AS MATERIALIZED (SELECT space, rid, start AS s, "end" AS e, weight AS w FROM (' + derived.SQL["line_ranges"] + "))",
     "p": 'p AS MATERIALIZED (SELECT space, rid, start AS s, "end" AS e FROM (' + derived.SQL["event_points"] + "))",
+    "c": 'src AS MATERIALIZED (SELECT space, rid, start AS s, "end" AS e FROM (' + derived.SQL["customer_ranges"] + "))",
+    "a": f'a AS MATERIALIZED (SELECT space % {FOLD} AS space, rid, start AS s, "end" AS e FROM (' + derived.SQL["customer_ranges"] + "))",
+    "b": f'b AS MATERIALIZED (SELECT space % {FOLD} AS space, rid, start AS s, "end" AS e, weight AS w FROM (' + derived.SQL["part_ranges"] + "))",
     "q": "q AS MATERIALIZED (" + derived.SQL["quantity_lists"] + ")",
 }
 

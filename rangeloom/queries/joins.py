@@ -6,26 +6,15 @@ from pyspark.sql import functions as F
 
 from ..functions import compare
 from ..operators import algebra, groups, nearest, overlaps
-from .base import L, O, P, Registry, T
+from .base import C, FOLD, K, L, O, P, Registry, T
 
 R = Registry()
 add = R.add
 
 
-def some(s, d, every: int = 1, of: int = 0):
-    return O(s, d).filter(F.col("rid") % every == of)
-
-
-def lines(s, d, every: int = 10):
-    return L(s, d).filter(F.col("rid") % every == 0).select("space", "rid", "start", "end")
-
-
-#: Smaller frames for joins whose hits are returned one by one: a is every fifth order, b every tenth line.
-AB = "a AS MATERIALIZED (SELECT * FROM o WHERE rid % 5 = 0), b AS MATERIALIZED (SELECT * FROM l WHERE rid % 10 = 0)"
-
-
 def ab(s, d):
-    return some(s, d, 5), lines(s, d)
+    """All orders and all lines, in spaces so many that a range meets few others."""
+    return C(s, d, FOLD), K(s, d, FOLD)
 
 
 ANY = "a.s <= b.e AND b.s <= a.e"
@@ -36,7 +25,7 @@ def hits(on: str) -> str:
 
 
 def find(name: str, on: str, **how) -> None:
-    add(name, lambda s, d: overlaps.find(*ab(s, d), **how), hits(on), frames="ol", more=AB)
+    add(name, lambda s, d: overlaps.find(*ab(s, d), **how), hits(on), frames="ab")
 
 
 SHARED = "least(a.e, b.e) - greatest(a.s, b.s) + 1"
@@ -53,31 +42,40 @@ find("j4_find_extend", "b.s >= a.s AND b.e <= a.e", type="extend")
 find("j5_find_equal", "a.s = b.s AND a.e = b.e", type="equal")
 find("j5b_find_equal_maxgap", "abs(a.s - b.s) <= 2 AND abs(a.e - b.e) <= 2", type="equal", maxgap=2)
 for which, expr in (("first", "min(b.rid)"), ("last", "max(b.rid)"), ("arbitrary", "min(b.rid)")):
-    add(f"j6_select_{which}", lambda s, d, which=which: overlaps.select(ab(s, d)[0], overlaps.find(*ab(s, d)), which), f"SELECT a.space, a.rid AS query_id, {expr} AS subject_id FROM a LEFT JOIN b ON a.space = b.space AND {ANY} GROUP BY 1, 2", frames="ol", more=AB)
-add("j6_select_count", lambda s, d: overlaps.select(ab(s, d)[0], overlaps.find(*ab(s, d)), "count"), f"SELECT a.space, a.rid AS query_id, count(b.rid) AS n FROM a LEFT JOIN b ON a.space = b.space AND {ANY} GROUP BY 1, 2", frames="ol", more=AB)
-SELF = "a AS MATERIALIZED (SELECT * FROM o WHERE rid % 5 = 0), b AS (SELECT * FROM a)"
-add("j7_self", lambda s, d: overlaps.find_self(some(s, d, 5)), hits(ANY), more=SELF)
-add("j7b_self_drop", lambda s, d: overlaps.find_self(some(s, d, 5), drop_self=True, drop_redundant=True), hits(ANY + " AND a.rid < b.rid"), more=SELF)
-add("j8_points", lambda s, d: overlaps.find(overlaps.points(some(s, d, 5), "start"), lines(s, d)), hits("a.s <= b.e AND b.s <= a.s"), frames="ol", more=AB)
-add("j9_spaces_by_name", lambda s, d: overlaps.find(some(s, d, 5).filter("space < 5"), lines(s, d).filter("space > 2")), hits(ANY + " AND a.space IN (3, 4)"), frames="ol", more=AB)
+    add(f"j6_select_{which}", lambda s, d, which=which: overlaps.select(ab(s, d)[0], overlaps.find(*ab(s, d)), which), f"SELECT a.space, a.rid AS query_id, {expr} AS subject_id FROM a LEFT JOIN b ON a.space = b.space AND {ANY} GROUP BY 1, 2", frames="ab")
+add("j6_select_count", lambda s, d: overlaps.select(ab(s, d)[0], overlaps.find(*ab(s, d)), "count"), f"SELECT a.space, a.rid AS query_id, count(b.rid) AS n FROM a LEFT JOIN b ON a.space = b.space AND {ANY} GROUP BY 1, 2", frames="ab")
+SELF = "b AS (SELECT * FROM a)"
+add("j7_self", lambda s, d: overlaps.find_self(ab(s, d)[0]), hits(ANY), frames="a", more=SELF)
+add("j7b_self_drop", lambda s, d: overlaps.find_self(ab(s, d)[0], drop_self=True, drop_redundant=True), hits(ANY + " AND a.rid < b.rid"), frames="a", more=SELF)
+add("j8_points", lambda s, d: overlaps.find(overlaps.points(ab(s, d)[0], "start"), ab(s, d)[1]), hits("a.s <= b.e AND b.s <= a.s"), frames="ab")
+add("j9_spaces_by_name", lambda s, d: overlaps.find(C(s, d), K(s, d, FOLD)), hits(ANY).replace("FROM a JOIN", "FROM src a JOIN"), frames="cb")
 
 
 def pair_frame(s, d):
-    a = some(s, d, 5)
+    a = ab(s, d)[0]
     return a.select("space", "rid", F.struct("start", "end").alias("first"), F.struct((F.col("start") + 100).alias("start"), (F.col("end") + 100).alias("end")).alias("second"))
 
 
-add("j10_pairs_input", lambda s, d: overlaps.find_pairs(pair_frame(s, d), lines(s, d)), hits(f"(({ANY}) OR (a.s + 100 <= b.e AND b.s <= a.e + 100))"), frames="ol", more=AB)
-CIRC = AB + ", c AS (SELECT space, rid, (s - 1) % 365 + 1 AS s, (s - 1) % 365 + 1 + e - s AS e FROM a), k AS (SELECT space, rid, (s - 1) % 365 + 1 AS s, (s - 1) % 365 + 1 + e - s AS e FROM b)"
-add("j11_circular", lambda s, d: overlaps.find_circular(some(s, d, 50), lines(s, d, 100), 365), "SELECT DISTINCT c.space, c.rid AS query_id, k.rid AS subject_id FROM c JOIN k ON c.space = k.space AND EXISTS (SELECT 1 FROM (VALUES (-365), (0), (365)) t(v) WHERE c.s + v <= k.e AND k.s <= c.e + v) WHERE c.rid % 50 = 0 AND k.rid % 100 = 0", frames="ol", more=CIRC)
+add("j10_pairs_input", lambda s, d: overlaps.find_pairs(pair_frame(s, d), ab(s, d)[1]), hits(f"(({ANY}) OR (a.s + 100 <= b.e AND b.s <= a.e + 100))"), frames="ab")
+ROUND = "(s - 1) % 365 + 1 AS s, (s - 1) % 365 + 1 + e - s AS e"
+CIRC = f"c AS (SELECT space, rid, {ROUND} FROM a), k AS (SELECT space, rid, {ROUND} FROM b)"
+ON_CIRCLE = "SELECT c.space, c.rid AS query_id, count(DISTINCT k.rid) AS n, sum(DISTINCT k.rid)::BIGINT AS total FROM c JOIN k ON c.space = k.space AND {on} GROUP BY 1, 2"
+
+
+def circular(s, d, **how):
+    found = overlaps.find_circular(*ab(s, d), 365, **how)
+    return found.groupBy("space", "query_id").agg(F.count(F.lit(1)).alias("n"), F.sum("subject_id").alias("total"))
+
+
+add("j11_circular", circular, ON_CIRCLE.format(on="EXISTS (SELECT 1 FROM (VALUES (-365), (0), (365)) t(v) WHERE c.s + v <= k.e AND k.s <= c.e + v)"), frames="ab", more=CIRC)
+add("j11b_circular_end", lambda s, d: circular(s, d, type="end", maxgap=1), ON_CIRCLE.format(on="least(((c.e - k.e) % 365 + 365) % 365, ((k.e - c.e) % 365 + 365) % 365) <= 1"), frames="ab", more=CIRC)
 add(
     "j12_grouped_codes",
     lambda s, d: overlaps.find_grouped(*[x.withColumnRenamed("space", "group").withColumn("code", F.col("rid") % 3) for x in ab(s, d)]),
     f"SELECT a.space AS \"group\", a.rid AS query_id, b.rid AS subject_id FROM a JOIN b ON a.space = b.space AND {ANY} AND (a.rid % 3 = 0 OR b.rid % 3 = 0 OR a.rid % 3 = b.rid % 3)",
-    frames="ol",
-    more=AB,
+    frames="ab",
 )
-add("j13_local_ids", lambda s, d: overlaps.find_local(*ab(s, d)), "SELECT x.space, x.i AS query_id, y.i AS subject_id FROM x JOIN y ON x.space = y.space AND x.s <= y.e AND y.s <= x.e", frames="ol", more=AB + ", x AS (SELECT *, row_number() OVER (PARTITION BY space ORDER BY rid) AS i FROM a), y AS (SELECT *, row_number() OVER (PARTITION BY space ORDER BY rid) AS i FROM b)")
+add("j13_local_ids", lambda s, d: overlaps.find_local(*ab(s, d)), "SELECT x.space, x.i AS query_id, y.i AS subject_id FROM x JOIN y ON x.space = y.space AND x.s <= y.e AND y.s <= x.e", frames="ab", more="x AS (SELECT *, row_number() OVER (PARTITION BY space ORDER BY rid) AS i FROM a), y AS (SELECT *, row_number() OVER (PARTITION BY space ORDER BY rid) AS i FROM b)")
 
 
 def flagship(s, d):
@@ -87,15 +85,15 @@ def flagship(s, d):
 #: Counted per order: lines that end before it starts and lines that start behind its end are those that don't overlap.
 COUNT = """SELECT o.space, o.rid, o.s AS start, o.e AS "end", count(l.rid) AS n FROM o LEFT JOIN l ON o.space = l.space AND o.s <= l.e AND l.s <= o.e GROUP BY 1, 2, 3, 4"""
 add("count_overlaps", flagship, COUNT, frames="ol")
-add("j14_count_overlaps", lambda s, d: overlaps.count(*ab(s, d), maxgap=0), "SELECT a.space, a.rid, a.s AS start, a.e AS \"end\", count(b.rid) AS n FROM a LEFT JOIN b ON a.space = b.space AND a.s <= b.e + 1 AND b.s <= a.e + 1 GROUP BY 1, 2, 3, 4", frames="ol", more=AB)
-add("j15_any_overlap", lambda s, d: overlaps.any_overlap(some(s, d, 5), lines(s, d, 200)), f'SELECT space, rid, s AS start, e AS "end", EXISTS (SELECT 1 FROM b WHERE b.rid % 200 = 0 AND a.space = b.space AND {ANY}) AS hit FROM a', frames="ol", more=AB)
-add("j15b_within_any", lambda s, d: overlaps.any_overlap(some(s, d, 5), lines(s, d, 200), type="within"), 'SELECT space, rid, s AS start, e AS "end", EXISTS (SELECT 1 FROM b WHERE b.rid % 200 = 0 AND a.space = b.space AND a.s >= b.s AND a.e <= b.e) AS hit FROM a', frames="ol", more=AB)
-add("j15c_outside", lambda s, d: overlaps.any_overlap(some(s, d, 5), lines(s, d, 200)).select("space", "rid", (~F.col("hit")).alias("outside")), f"SELECT space, rid, NOT EXISTS (SELECT 1 FROM b WHERE b.rid % 200 = 0 AND a.space = b.space AND {ANY}) AS outside FROM a", frames="ol", more=AB)
-add("j16_subset", lambda s, d: overlaps.subset(O(s, d), lines(s, d, 200)), 'SELECT space, rid, s AS start, e AS "end" FROM o a WHERE EXISTS (SELECT 1 FROM l b WHERE b.rid % 200 = 0 AND a.space = b.space AND a.s <= b.e AND b.s <= a.e)', frames="ol")
-add("j16b_subset_invert", lambda s, d: overlaps.subset(O(s, d), lines(s, d, 200), invert=True), 'SELECT space, rid, s AS start, e AS "end" FROM o a WHERE NOT EXISTS (SELECT 1 FROM l b WHERE b.rid % 200 = 0 AND a.space = b.space AND a.s <= b.e AND b.s <= a.e)', frames="ol")
-add("j17_intersections", lambda s, d: overlaps.intersections(*ab(s, d)), f'SELECT a.space, a.rid AS query_id, b.rid AS subject_id, greatest(a.s, b.s) AS start, least(a.e, b.e) AS "end" FROM a JOIN b ON a.space = b.space AND {ANY}', frames="ol", more=AB)
-add("j18_merge", lambda s, d: overlaps.merge(some(s, d, 5), L(s, d).filter("rid % 10 = 0")).select("space", "q_rid", "q_start", "q_end", "s_rid", "s_start", "s_end", "s_weight"), f"SELECT a.space, a.rid AS q_rid, a.s AS q_start, a.e AS q_end, b.rid AS s_rid, b.s AS s_start, b.e AS s_end, b.w AS s_weight FROM a JOIN b ON a.space = b.space AND {ANY}", frames="ol", more=AB)
-add("j19_pairs", lambda s, d: overlaps.pairs(*ab(s, d)).select("space", F.col("first.rid").alias("a"), F.col("second.rid").alias("b"), (F.col("second.start") - F.col("first.start")).alias("delta")), f"SELECT a.space, a.rid AS a, b.rid AS b, b.s - a.s AS delta FROM a JOIN b ON a.space = b.space AND {ANY}", frames="ol", more=AB)
+add("j14_count_overlaps", lambda s, d: overlaps.count(*ab(s, d), maxgap=0), "SELECT a.space, a.rid, a.s AS start, a.e AS \"end\", count(b.rid) AS n FROM a LEFT JOIN b ON a.space = b.space AND a.s <= b.e + 1 AND b.s <= a.e + 1 GROUP BY 1, 2, 3, 4", frames="ab")
+add("j15_any_overlap", lambda s, d: overlaps.any_overlap(*ab(s, d)), f'SELECT space, rid, s AS start, e AS "end", EXISTS (SELECT 1 FROM b WHERE a.space = b.space AND {ANY}) AS hit FROM a', frames="ab")
+add("j15b_within_any", lambda s, d: overlaps.any_overlap(*ab(s, d), type="within"), 'SELECT space, rid, s AS start, e AS "end", EXISTS (SELECT 1 FROM b WHERE a.space = b.space AND a.s >= b.s AND a.e <= b.e) AS hit FROM a', frames="ab")
+add("j15c_outside", lambda s, d: overlaps.any_overlap(*ab(s, d)).select("space", "rid", (~F.col("hit")).alias("outside")), f"SELECT space, rid, NOT EXISTS (SELECT 1 FROM b WHERE a.space = b.space AND {ANY}) AS outside FROM a", frames="ab")
+add("j16_subset", lambda s, d: overlaps.subset(*ab(s, d)), 'SELECT space, rid, s AS start, e AS "end" FROM a WHERE EXISTS (SELECT 1 FROM b WHERE a.space = b.space AND a.s <= b.e AND b.s <= a.e)', frames="ab")
+add("j16b_subset_invert", lambda s, d: overlaps.subset(*ab(s, d), invert=True), 'SELECT space, rid, s AS start, e AS "end" FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE a.space = b.space AND a.s <= b.e AND b.s <= a.e)', frames="ab")
+add("j17_intersections", lambda s, d: overlaps.intersections(*ab(s, d)), f'SELECT a.space, a.rid AS query_id, b.rid AS subject_id, greatest(a.s, b.s) AS start, least(a.e, b.e) AS "end" FROM a JOIN b ON a.space = b.space AND {ANY}', frames="ab")
+add("j18_merge", lambda s, d: overlaps.merge(ab(s, d)[0], L(s, d, (F.col("l_partkey") % FOLD).cast("long"))).select("space", "q_rid", "q_start", "q_end", "s_rid", "s_start", "s_end", "s_weight"), f"SELECT a.space, a.rid AS q_rid, a.s AS q_start, a.e AS q_end, b.rid AS s_rid, b.s AS s_start, b.e AS s_end, b.w AS s_weight FROM a JOIN b ON a.space = b.space AND {ANY}", frames="ab")
+add("j19_pairs", lambda s, d: overlaps.pairs(*ab(s, d)).select("space", F.col("first.rid").alias("a"), F.col("second.rid").alias("b"), (F.col("second.start") - F.col("first.start")).alias("delta")), f"SELECT a.space, a.rid AS a, b.rid AS b, b.s - a.s AS delta FROM a JOIN b ON a.space = b.space AND {ANY}", frames="ab")
 
 
 def blocks(s, d):
@@ -120,30 +118,36 @@ add(
     "SELECT greatest(x.s, y.s) AS start, least(x.e, y.e) AS \"end\", x.i AS x_id, y.i AS y_id FROM (SELECT i + 1 AS i, i * 37 + 1 AS s, least((i + 1) * 37, 5000) AS e FROM (SELECT unnest(generate_series(0, 135)) AS i)) x JOIN (SELECT i + 1 AS i, i * 50 + 1 AS s, (i + 1) * 50 AS e FROM (SELECT unnest(generate_series(0, 99)) AS i)) y ON x.s <= y.e AND y.s <= x.e",
     frames="",
 )
-add("j22_prepared_subject", lambda s, d: overlaps.find_in_table(some(s, d, 5), overlaps.binned_table(lines(s, d))), hits(ANY), frames="ol", more=AB)
+add("j22_prepared_subject", lambda s, d: overlaps.find_in_table(ab(s, d)[0], overlaps.binned_table(ab(s, d)[1])), hits(ANY), frames="ab")
 
 # ---- nearest ---------------------------------------------------------------------------------------------------------
 
-add("j23_precede", lambda s, d: nearest.precede(some(s, d, 5), lines(s, d, 500)), "SELECT a.space, a.rid AS query_id, (SELECT b.rid FROM b WHERE b.rid % 500 = 0 AND b.space = a.space AND b.s > a.e ORDER BY b.s, b.rid LIMIT 1) AS subject_id FROM a", frames="ol", more=AB)
-add("j23b_precede_all", lambda s, d: nearest.precede(some(s, d, 5), lines(s, d, 100), all=True), "SELECT space, query_id, subject_id FROM (SELECT a.space, a.rid AS query_id, b.rid AS subject_id, rank() OVER (PARTITION BY a.space, a.rid ORDER BY b.s) AS r FROM a JOIN b ON a.space = b.space AND b.s > a.e WHERE b.rid % 100 = 0) WHERE r = 1", frames="ol", more=AB)
-add("j24_follow", lambda s, d: nearest.follow(some(s, d, 5), lines(s, d, 500)), "SELECT a.space, a.rid AS query_id, (SELECT b.rid FROM b WHERE b.rid % 500 = 0 AND b.space = a.space AND b.e < a.s ORDER BY b.e DESC, b.rid DESC LIMIT 1) AS subject_id FROM a", frames="ol", more=AB)
-add("j24b_follow_all", lambda s, d: nearest.follow(some(s, d, 5), lines(s, d, 100), all=True), "SELECT space, query_id, subject_id FROM (SELECT a.space, a.rid AS query_id, b.rid AS subject_id, rank() OVER (PARTITION BY a.space, a.rid ORDER BY b.e DESC) AS r FROM a JOIN b ON a.space = b.space AND b.e < a.s WHERE b.rid % 100 = 0) WHERE r = 1", frames="ol", more=AB)
+add("j23_precede", lambda s, d: nearest.precede(*ab(s, d)), "SELECT a.space, a.rid AS query_id, (SELECT b.rid FROM b WHERE b.space = a.space AND b.s > a.e ORDER BY b.s, b.rid LIMIT 1) AS subject_id FROM a", frames="ab")
+add("j23b_precede_all", lambda s, d: nearest.precede(*ab(s, d), all=True), "SELECT space, query_id, subject_id FROM (SELECT a.space, a.rid AS query_id, b.rid AS subject_id, rank() OVER (PARTITION BY a.space, a.rid ORDER BY b.s) AS r FROM a JOIN b ON a.space = b.space AND b.s > a.e) WHERE r = 1", frames="ab")
+add("j24_follow", lambda s, d: nearest.follow(*ab(s, d)), "SELECT a.space, a.rid AS query_id, (SELECT b.rid FROM b WHERE b.space = a.space AND b.e < a.s ORDER BY b.e DESC, b.rid DESC LIMIT 1) AS subject_id FROM a", frames="ab")
+add("j24b_follow_all", lambda s, d: nearest.follow(*ab(s, d), all=True), "SELECT space, query_id, subject_id FROM (SELECT a.space, a.rid AS query_id, b.rid AS subject_id, rank() OVER (PARTITION BY a.space, a.rid ORDER BY b.e DESC) AS r FROM a JOIN b ON a.space = b.space AND b.e < a.s) WHERE r = 1", frames="ab")
 DIST = "greatest(greatest(a.s, b.s) - least(a.e, b.e) - 1, 0)"
 #: Everything that overlaps or touches counts as nearest; else the least distance.
-NEAR = AB + """, j AS (SELECT a.space, a.rid AS q, b.rid AS t, a.s <= b.e + 1 AND b.s <= a.e + 1 AS touch, b.s > a.e AS behind, """ + DIST + """ AS dist FROM a JOIN b ON a.space = b.space WHERE b.rid % 500 = 0),
+NEAR = """j AS (SELECT a.space, a.rid AS q, b.rid AS t, a.s <= b.e + 1 AND b.s <= a.e + 1 AS touch, b.s > a.e AS behind, """ + DIST + """ AS dist FROM a JOIN b ON a.space = b.space),
 n AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY space, q ORDER BY touch DESC, CASE WHEN touch THEN 0 ELSE dist END) AS r FROM j) WHERE r = 1)"""
-add("j25_nearest_all", lambda s, d: nearest.nearest(some(s, d, 5), lines(s, d, 500), all=True), "SELECT space, q AS query_id, t AS subject_id FROM n", frames="ol", more=NEAR)
-add("j25b_nearest", lambda s, d: nearest.nearest(some(s, d, 5), lines(s, d, 500)), "SELECT a.space, a.rid AS query_id, (SELECT t FROM n WHERE n.space = a.space AND n.q = a.rid ORDER BY CASE WHEN touch THEN 0 WHEN behind THEN 2 ELSE 1 END, CASE WHEN touch OR behind THEN t ELSE -t END LIMIT 1) AS subject_id FROM a", frames="ol", more=NEAR)
+add("j25_nearest_all", lambda s, d: nearest.nearest(*ab(s, d), all=True), "SELECT space, q AS query_id, t AS subject_id FROM n", frames="ab", more=NEAR)
+add("j25b_nearest", lambda s, d: nearest.nearest(*ab(s, d)), "SELECT a.space, a.rid AS query_id, (SELECT t FROM n WHERE n.space = a.space AND n.q = a.rid ORDER BY CASE WHEN touch THEN 0 WHEN behind THEN 2 ELSE 1 END, CASE WHEN touch OR behind THEN t ELSE -t END LIMIT 1) AS subject_id FROM a", frames="ab", more=NEAR)
 add("j26_distance", lambda s, d: O(s, d).join(L(s, d).select("rid", F.col("start").alias("ys"), F.col("end").alias("ye")), "rid").select("rid", compare.distance("start", "end", "ys", "ye").alias("distance")), "SELECT a.rid, " + DIST + " AS distance FROM o a JOIN l b USING (rid)", frames="ol")
-add("j27_distance_to_nearest", lambda s, d: nearest.distance_to_nearest(some(s, d, 5), lines(s, d, 500), all=True), "SELECT space, q AS query_id, t AS subject_id, dist AS distance FROM n", frames="ol", more=NEAR)
-add("j28_select_nearest", lambda s, d: nearest.select_nearest(overlaps.find(some(s, d, 5), lines(s, d, 50), maxgap=10), some(s, d, 5), lines(s, d, 50)), "SELECT space, q AS query_id, t AS subject_id FROM (SELECT *, rank() OVER (PARTITION BY space, q ORDER BY dist) AS r FROM (SELECT a.space, a.rid AS q, b.rid AS t, " + DIST + " AS dist FROM a JOIN b ON a.space = b.space AND a.s <= b.e + 11 AND b.s <= a.e + 11 WHERE b.rid % 50 = 0)) WHERE r = 1", frames="ol", more=AB)
+add("j27_distance_to_nearest", lambda s, d: nearest.distance_to_nearest(*ab(s, d), all=True), "SELECT space, q AS query_id, t AS subject_id, dist AS distance FROM n", frames="ab", more=NEAR)
+add("j28_select_nearest", lambda s, d: nearest.select_nearest(overlaps.find(*ab(s, d), maxgap=10), *ab(s, d)), "SELECT space, q AS query_id, t AS subject_id FROM (SELECT *, rank() OVER (PARTITION BY space, q ORDER BY dist) AS r FROM (SELECT a.space, a.rid AS q, b.rid AS t, " + DIST + " AS dist FROM a JOIN b ON a.space = b.space AND a.s <= b.e + 11 AND b.s <= a.e + 11)) WHERE r = 1", frames="ab")
 add("j29_match", lambda s, d: compare.match(O(s, d), L(s, d).select("space", "rid", "start", "end")).select("rid", "match"), "SELECT o.rid, min(l.rid) AS match FROM o LEFT JOIN l ON o.space = l.space AND o.s = l.s AND o.e = l.e GROUP BY 1", frames="ol")
 add("j29b_self_match", lambda s, d: compare.self_match(L(s, d).select("space", "rid", "start", "end")).select("rid", "match", "duplicated"), "SELECT rid, m AS match, m < rid AS duplicated FROM (SELECT rid, min(rid) OVER (PARTITION BY space, s, e) AS m FROM l)", frames="l")
 add("j31_unique", lambda s, d: compare.unique(L(s, d)).select("space", "rid", "start", "end"), 'SELECT space, min(rid) AS rid, s AS start, e AS "end" FROM l GROUP BY space, s, e', frames="l")
+def regrouped(s, d):
+    """Lists in long form: all starts of a space, put together by a map of the spaces."""
+    rows = O(s, d).withColumnRenamed("space", "group_id")
+    return groups.regrouped(rows, s.range(8).select(F.col("id").alias("group_id"), (F.col("id") % 2).alias("super_id")))
+
+
 add(
     "j32_regroup",
-    lambda s, d: groups.regroup(groups.split(O(s, d), ["space"], "start").select(F.col("space").alias("group_id"), "values"), s.range(8).select(F.col("id").alias("group_id"), (F.col("id") % 2).alias("super_id"))).select("super_id", F.size("values").cast("long").alias("n"), F.get("values", F.lit(0)).alias("first"), F.element_at("values", -1).alias("last")),
-    "SELECT space % 2 AS super_id, count(*) AS n, arg_min(s, space * 1000000000 + rid) AS \"first\", arg_max(s, space * 1000000000 + rid) AS \"last\" FROM o GROUP BY 1",
+    lambda s, d: regrouped(s, d).groupBy("super_id").agg(F.count(F.lit(1)).alias("n"), F.min_by("start", "place").alias("first"), F.max_by("start", "place").alias("last"), F.sum(F.col("place") * F.col("start") % 1009).alias("digest")),
+    "SELECT super_id, count(*) AS n, arg_min(s, i) AS \"first\", arg_max(s, i) AS \"last\", sum(i * s % 1009)::BIGINT AS digest FROM (SELECT space % 2 AS super_id, s, row_number() OVER (PARTITION BY space % 2 ORDER BY space, rid) AS i FROM o) GROUP BY 1",
 )
 
 

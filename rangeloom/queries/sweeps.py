@@ -106,7 +106,7 @@ add("i20_coverage_circular", lambda s, d: algebra.coverage(algebra.circular(O(s,
 add("i21_coverage_weight_column", lambda s, d: algebra.coverage(L(s, d), weight="weight"), BIG, frames="l", more=cov("l", "w", "max(e)"))
 add("i22_coverage_list", lambda s, d: algebra.coverage(O(s, d).withColumn("len", 9000 + F.col("space") * 10), width="len"), BIG, more=cov("o", "1", "9000 + any_value(space) * 10"))
 add("i23_window_coverage", lambda s, d: algebra.window_coverage(O(s, d), collapse=False), "SELECT space, dd AS pos, value::BIGINT AS value FROM cov", more=cov("o", "1", "max(e)", "min(s)"))
-add("i24_slice", lambda s, d: algebra.slice_runs(algebra.coverage(O(s, d)), 3, 5), RUN.format(f="(SELECT * FROM cov WHERE value BETWEEN 3 AND 5)"), more=cov("o", "1", "max(e)"))
+add("i24_slice", lambda s, d: algebra.slice_runs(algebra.coverage(O(s, d), dealt=True), 3, 5), RUN.format(f="(SELECT * FROM cov WHERE value BETWEEN 3 AND 5)"), more=cov("o", "1", "max(e)"))
 
 # ---- masks -----------------------------------------------------------------------------------------------------------
 
