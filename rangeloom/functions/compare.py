@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import col, fail_if
+from ..plans.sweep import chunked, preceding, swept
 
 Bounds = tuple[Column, Column]
 
@@ -127,14 +128,15 @@ def unique(x: DataFrame) -> DataFrame:
 
 def ordered(x: DataFrame) -> DataFrame:
     """Per row: its place in the order by start, then width, then row (ranges are ranked in their space)."""
-    w = Window.partitionBy("space").orderBy("start", "end", "rid")
-    ties = Window.partitionBy("space").orderBy("start", "end")
-    return x.withColumns({"place": F.row_number().over(w).cast("long"), "rank": F.rank().over(ties).cast("long")})
+    order = ["start", "end", "rid"]
+    rows = swept(chunked(x, "start"), {"place": ("sum", F.lit(1).cast("long")), "_last": ("max", F.struct(*order))}, order, before=["_last"])
+    new = F.col("_last").isNull() | (F.col("_last.start") != F.col("start")) | (F.col("_last.end") != F.col("end"))
+    return swept(rows, {"rank": ("max", F.when(new, F.col("place")))}, order).drop("_last", "_chunk")
 
 
 def unsorted(x: DataFrame, *, strictly: bool = False) -> DataFrame:
     """Per space: whether the rows are out of order (by start, then width)."""
-    w = Window.partitionBy("space").orderBy("rid")
-    here, before = F.struct("start", "end"), F.struct(F.lag("start").over(w).alias("start"), F.lag("end").over(w).alias("end"))
+    rows = preceding(x, {"_start": F.col("start"), "_end": F.col("end")}, "rid", ["rid"])
+    here, before = F.struct("start", "end"), F.struct(F.col("_start").alias("start"), F.col("_end").alias("end"))
     wrong = (here <= before) if strictly else (here < before)
-    return x.withColumn("bad", F.lag("start").over(w).isNotNull() & wrong).groupBy("space").agg(F.bool_or("bad").alias("unsorted"))
+    return rows.withColumn("bad", F.col("_start").isNotNull() & wrong).groupBy("space").agg(F.bool_or("bad").alias("unsorted"))

@@ -18,13 +18,18 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _with(value: Column, body: Fn) -> Column:
+    """``body`` of a value that is worked out once a row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 # ---- elementwise -----------------------------------------------------------------------------------------------------
 
 
 def recycled(a: Column | str, n: Column) -> Column:
     """A list repeated to ``n`` elements; an empty list stays empty."""
     a = _c(a)
-    return F.when(F.size(a) > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.get(a, (i % F.size(a)).cast("int")))).otherwise(F.slice(a, 1, 0))
+    return _with(a, lambda x: F.when(F.size(x) > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.get(x, (i % F.size(x)).cast("int")))).otherwise(F.slice(x, 1, 0)))
 
 
 def zipped(a: Column | str, b: Column | str, op: Callable[[Column, Column], Column]) -> Column:
@@ -63,8 +68,8 @@ def if_else(test: Column | str, yes: Column | str, no: Column | str) -> Column:
     """Per element of ``test``: yes, no, or null where the test is null."""
     test, yes, no = _c(test), _c(yes), _c(no)
     n = F.size(test)
-    y, x = recycled(yes, n), recycled(no, n)
-    return F.transform(test, lambda t, i: F.when(t, F.get(y, i)).when(~t, F.get(x, i)))
+    both = F.struct(recycled(yes, n).alias("y"), recycled(no, n).alias("n"))
+    return _with(both, lambda p: F.transform(test, lambda t, i: F.when(t, F.get(p["y"], i)).when(~t, F.get(p["n"], i))))
 
 
 def pairwise(a: Column | str, b: Column | str, largest: bool = False) -> Column:
@@ -154,8 +159,8 @@ def list_mean(a, *, na_rm: bool = False, trim: float = 0.0) -> Column:
 def list_var(a, *, na_rm: bool = False) -> Column:
     def var(x: Column) -> Column:
         n = F.size(x)
-        m = F.aggregate(x, F.lit(0.0), lambda s, e: s + e.cast("double")) / n
-        return F.when(n > 1, F.aggregate(x, F.lit(0.0), lambda s, e: s + (e - m) * (e - m)) / (n - 1))
+        mean = F.aggregate(x, F.lit(0.0), lambda s, e: s + e.cast("double")) / n
+        return F.when(n > 1, _with(mean, lambda m: F.aggregate(x, F.lit(0.0), lambda s, e: s + (e - m) * (e - m))) / (n - 1))
 
     return _guard(a, na_rm, var)
 
@@ -187,8 +192,7 @@ def list_iqr(a, *, na_rm: bool = False) -> Column:
 
 def list_mad(a, *, constant: float = 1.4826, na_rm: bool = False) -> Column:
     """Median distance from the median, scaled."""
-    m = list_median(a, na_rm=na_rm)
-    return constant * list_median(F.transform(_c(a), lambda e: F.abs(e - m)), na_rm=na_rm)
+    return constant * _with(list_median(a, na_rm=na_rm), lambda m: list_median(F.transform(_c(a), lambda e: F.abs(e - m)), na_rm=na_rm))
 
 
 #: What cov and cor do about nulls: an error, a null result, or only the pairs without any (none left: null or an error).
@@ -210,16 +214,19 @@ def _complete(a, b, use: str) -> tuple[Column, Column]:
 
 def list_cov(a, b, *, use: str = "everything") -> Column:
     """Sample covariance of two lists of one length; ``use`` says what becomes of nulls."""
-    a, b = _complete(a, b, use)
-    n = F.size(a)
+    return _with(F.struct(*[x.alias(k) for k, x in zip("ab", _complete(a, b, use), strict=True)]), lambda p: _cov(p["a"], p["b"]))
+
+
+def _cov(a: Column, b: Column) -> Column:
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, e: s + e)
-    ma, mb = list_mean(a), list_mean(b)
-    return F.try_divide(total(F.zip_with(a, b, lambda x, y: (x - ma) * (y - mb))), (n - 1).cast("double"))
+    means = F.struct(list_mean(a).alias("a"), list_mean(b).alias("b"))
+    products = _with(means, lambda m: total(F.zip_with(a, b, lambda x, y: (x - m["a"]) * (y - m["b"]))))
+    return F.try_divide(products, (F.size(a) - 1).cast("double"))
 
 
 def list_cor(a, b, *, use: str = "everything") -> Column:
-    a, b = _complete(a, b, use)
-    return F.try_divide(list_cov(a, b), list_sd(a) * list_sd(b))
+    pair = F.struct(*[x.alias(k) for k, x in zip("ab", _complete(a, b, use), strict=True)])
+    return _with(pair, lambda p: F.try_divide(_cov(p["a"], p["b"]), list_sd(p["a"]) * list_sd(p["b"])))
 
 
 def _tagged(a: Column) -> Column:
@@ -241,11 +248,6 @@ def _below(ordered: Column, x: Column) -> Column:
     return F.aggregate(steps, start, halve, lambda s: s["a"])
 
 
-def _with(value: Column, body: Fn) -> Column:
-    """``body`` of a value that is worked out once a row."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _key(e: Column, i: Column | int) -> Column:
     return F.struct(e.isNotNull().alias("n"), e.alias("v"), (F.lit(i) if isinstance(i, int) else i).alias("i"))
 
@@ -338,14 +340,14 @@ def rank(a, ties: str = "average") -> Column:
         raise ValueError(f"ties can't be {ties}")
     a = _c(a)
 
-    def ranks(t: Column) -> Column:
-        nulls = F.size(F.filter(a, lambda e: e.isNull()))
+    def ranks(all: Column) -> Column:
+        t, nulls = all["t"], all["n"]
         low = lambda e: _below(t, _key(e, -1)) - nulls
         high = lambda e: _below(t, _key(e, F.size(t))) - nulls
         one = {"average": lambda e, i: (low(e) + high(e) + 1) / 2, "min": lambda e, i: low(e) + 1, "max": lambda e, i: high(e), "first": lambda e, i: _below(t, _key(e, i)) - nulls + 1}[ties]
         return F.transform(a, lambda e, i: F.when(e.isNotNull(), one(e, i).cast("double")))
 
-    return _with(_tagged(a), ranks)
+    return _with(F.struct(_tagged(a).alias("t"), F.size(F.filter(a, lambda e: e.isNull())).alias("n")), ranks)
 
 
 def is_unsorted(a, *, strictly: bool = False) -> Column:
@@ -475,7 +477,11 @@ def _replaced(a: Column, from_start: dict[int, Column], from_end: dict[int, Colu
 def smooth_ends(y, k: int = 3, original=None) -> Column:
     """End-point smoothing of a running median: shorter medians toward the ends, then Tukey's rule at the very end."""
     y = _c(y)
-    x = y if original is None else _c(original)
+    x = F.transform(y if original is None else _c(original), lambda e: e.cast("double"))
+    return _with(F.struct(y.alias("y"), x.alias("x")), lambda p: _smoothed(p["y"], p["x"], k))
+
+
+def _smoothed(y: Column, x: Column, k: int) -> Column:
     side = k // 2
     n = F.size(y)
     out = y
@@ -484,7 +490,10 @@ def smooth_ends(y, k: int = 3, original=None) -> Column:
         left = list_median(F.slice(x, 1, odd))
         right = list_median(F.slice(x, F.greatest(n - odd + 1, F.lit(1)), F.lit(odd)))
         out = _replaced(out, {i - 1: left}, {i: right}, n)
-    done = out
+    return _with(out, lambda done: _tukey(y, x, done, n))
+
+
+def _tukey(y: Column, x: Column, done: Column, n: Column) -> Column:
     med3 = lambda a, b, c: a + b + c - F.least(a, b, c) - F.greatest(a, b, c)
     g = lambda i: F.get(done, F.lit(i))
     h = lambda i: F.get(done, n - 1 - i)

@@ -114,7 +114,7 @@ def from_logical(df: DataFrame, value: str = "value") -> DataFrame:
 def from_logical_runs(runs: DataFrame, value: str = "value") -> DataFrame:
     """The true runs of a run table (space, start, end, value) as ranges."""
     checked = runs.withColumn("start", fail_if(F.col(value).isNull(), "nulls aren't allowed", F.col("start"))).filter(F.col("start").isNotNull() & F.col(value))
-    return checked.select("space", F.row_number().over(Window.partitionBy("space").orderBy("start")).cast("long").alias("rid"), "start", "end")
+    return running(checked, {"_n": ("sum", F.lit(1).cast("long"))}, "start", ["start"]).select("space", F.col("_n").alias("rid"), "start", "end")
 
 
 def positions(df: DataFrame) -> DataFrame:
@@ -130,8 +130,8 @@ def stitch(df: DataFrame) -> DataFrame:
 
 def successive(df: DataFrame, width: str = "width", *, gap: int = 0, first: int = 1) -> DataFrame:
     """Ranges of the given widths, one behind the other in row order with ``gap`` positions between."""
-    before = Window.partitionBy("space").orderBy("rid").rowsBetween(Window.unboundedPreceding, -1)
-    out = df.withColumn("start", F.lit(first) + F.coalesce(F.sum(F.col(width) + gap).over(before), F.lit(0)))
+    out = running(df, {"_before": ("sum", F.col(width) + gap)}, "rid", ["rid"], before=["_before"])
+    out = out.withColumn("start", F.lit(first) + F.col("_before")).drop("_before")
     return out.withColumn("end", F.col("start") + F.col(width) - 1)
 
 
@@ -174,16 +174,16 @@ def grouped(df: DataFrame, by: str, values: Sequence[str]) -> DataFrame:
 def is_normal(df: DataFrame) -> DataFrame:
     """Per space: whether all ranges are non-empty and, in row order, apart by a position at least; and the first row
     that is not (null if normal)."""
-    w = Window.partitionBy("space").orderBy("rid")
-    bad = (F.col("end") < F.col("start")) | F.coalesce(F.col("start") < F.lag("end").over(w) + 2, F.lit(False))
-    return df.withColumn("bad", bad).groupBy("space").agg((~F.bool_or("bad")).alias("normal"), F.min(F.when(F.col("bad"), F.col("rid"))).alias("first_bad"))
+    rows = preceding(df, {"_end": F.col("end")}, "rid", ["rid"])
+    bad = (F.col("end") < F.col("start")) | F.coalesce(F.col("start") < F.col("_end") + 2, F.lit(False))
+    return rows.withColumn("bad", bad).groupBy("space").agg((~F.bool_or("bad")).alias("normal"), F.min(F.when(F.col("bad"), F.col("rid"))).alias("first_bad"))
 
 
 def is_disjoint(df: DataFrame) -> DataFrame:
     """Per space: whether, sorted by start and width, each range starts behind the end of the one before."""
-    w = Window.partitionBy("space").orderBy("start", "end", "rid")
-    bad = F.coalesce(F.col("start") <= F.lag("end").over(w), F.lit(False))
-    return df.withColumn("bad", bad).groupBy("space").agg((~F.bool_or("bad")).alias("disjoint"))
+    rows = preceding(df, {"_end": F.col("end")}, "start", ["start", "end", "rid"])
+    bad = F.coalesce(F.col("start") <= F.col("_end"), F.lit(False))
+    return rows.withColumn("bad", bad).groupBy("space").agg((~F.bool_or("bad")).alias("disjoint"))
 
 
 # ---- setters and subsets ---------------------------------------------------------------------------------------------

@@ -16,13 +16,15 @@ from .overlaps import find
 INT_TOP = 2147483647
 
 
-def seen(views: DataFrame, runs: DataFrame, *, bins: Bins | None = None) -> DataFrame:
-    """For each view and run that meet: space, rid, start and end of the part seen, value."""
+def seen(views: DataFrame, runs: DataFrame, *, bins: Bins | None = None, whole: bool = False) -> DataFrame:
+    """For each view and run that meet: space, rid, start and end of the part seen, value (and with ``whole`` the run's
+    own ends, run_start and run_end)."""
     subject = runs.select("space", F.col("start").alias("rid"), "start", "end")
     hits = find(views.filter("end >= start"), subject, bins=bins)
     out = hits.join(views.select("space", F.col("rid").alias("query_id"), F.col("start").alias("_s"), F.col("end").alias("_e")), ["space", "query_id"])
     out = out.join(runs.withColumn("subject_id", F.col("start")), ["space", "subject_id"])
-    return out.select("space", F.col("query_id").alias("rid"), F.greatest("start", "_s").alias("start"), F.least("end", "_e").alias("end"), "value")
+    more = [F.col("start").alias("run_start"), F.col("end").alias("run_end")] if whole else []
+    return out.select("space", F.col("query_id").alias("rid"), F.greatest("start", "_s").alias("start"), F.least("end", "_e").alias("end"), "value", *more)
 
 
 def summarize(views: DataFrame, runs: DataFrame, *, na_rm: bool = False, parity: bool = False, bins: Bins | None = None) -> DataFrame:
@@ -68,17 +70,16 @@ def summarize(views: DataFrame, runs: DataFrame, *, na_rm: bool = False, parity:
 
 
 def extreme_runs(views: DataFrame, runs: DataFrame, *, largest: bool = False, na_rm: bool = False) -> DataFrame:
-    """Per view the run in which its least (largest) value first stands: start and end; a null in a view is an error
-    unless ``na_rm``."""
+    """Per view the run (start, end, value) in which its least (largest) value first stands, and the place (pos); a null
+    in a view is an error unless ``na_rm``."""
     from ..model import fail_if
-    from .nearest import find_run
 
-    sums = summarize(views, runs, na_rm=na_rm)
-    pos = F.col("which_max" if largest else "which_min")
-    if not na_rm:
-        pos = fail_if((F.col("n") > 0) & F.col("view_min").isNull(), "a view holds a null", pos)
-    at = sums.select("space", "rid", pos.alias("pos")).filter("pos is not null")
-    return find_run(at, runs)
+    parts = seen(views, runs, whole=True)
+    rank = -F.col("value") if largest else F.col("value")
+    best = F.min(F.when(F.col("value").isNotNull(), F.struct(rank.alias("r"), F.col("start").alias("pos"), F.col("run_start").alias("start"), F.col("run_end").alias("end"), "value"))).alias("_b")
+    out = parts.groupBy("space", "rid").agg(best, F.bool_or(F.col("value").isNull()).alias("_null"))
+    pos = F.col("_b.pos") if na_rm else fail_if(F.col("_null"), "a view holds a null", F.col("_b.pos"))
+    return out.select("space", "rid", pos.alias("pos"), "_b.start", "_b.end", "_b.value").filter("pos is not null")
 
 
 def clipped(views: DataFrame, lengths: DataFrame) -> DataFrame:
@@ -96,8 +97,23 @@ def apply(views: DataFrame, runs: DataFrame, function: Column, name: str = "resu
 
 def apply_python(views: DataFrame, runs: DataFrame, function, schema: str) -> DataFrame:
     """A Python function from a pandas frame (space, rid, pos, value), one view at a time, to a frame of ``schema``."""
-    values = seen(views, runs).withColumn("pos", F.explode(F.sequence("start", "end"))).select("space", "rid", "pos", "value")
-    return values.groupBy("space", "rid").applyInPandas(lambda pdf: function(pdf.sort_values("pos")), schema)
+    values = unlisted(views, runs).repartition("space", "rid").sortWithinPartitions("space", "rid", "pos")
+
+    def run(frames):
+        import pandas as pd
+
+        rest = None
+        for frame in frames:
+            frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+            key = frame[["space", "rid"]]
+            starts = [*(key != key.shift()).any(axis=1).to_numpy().nonzero()[0].tolist()]
+            for a, b in zip(starts, starts[1:], strict=False):
+                yield function(frame.iloc[a:b])
+            rest = frame.iloc[starts[-1] :] if starts else frame
+        if rest is not None and len(rest):
+            yield function(rest)
+
+    return values.mapInPandas(run, schema)
 
 
 def unlisted(views: DataFrame, runs: DataFrame) -> DataFrame:

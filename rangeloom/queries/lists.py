@@ -8,7 +8,8 @@ from ..functions import compare
 from ..functions import lists as X
 from ..operators import algebra, groups, overlaps
 from ..streaming import windows as stream
-from .base import L, O, Q, Registry, T
+from ..plans.sweep import running
+from .base import C, FOLD, K, L, O, Q, Registry, T
 
 R = Registry()
 add = R.add
@@ -23,23 +24,29 @@ def text(expr: str) -> str:
     return f"array_to_string(list_transform({expr}, lambda x: coalesce(CAST(x AS VARCHAR), 'NA')), ',')"
 
 
+def digest(values):
+    """A long list as the digest of its text."""
+    return F.md5(joined(values))
+
+
 def two(s, d):
-    """Per supplier two short lists of different lengths, with nulls and some of them empty."""
+    """Per supplier its whole list of quantities: plain (v), with nulls (a, some of them empty), backwards (w), and a
+    short list that is recycled against it (b)."""
     q = Q(s, d)
     k = F.col("key")
-    a = F.transform(F.slice("values", F.lit(1), (k % 5).cast("int")), lambda x, i: F.when((x + i) % 4 == 0, None).otherwise(x))
-    b = F.slice("values", F.lit(3), (k % 3 + 1).cast("int"))
-    return q.select("key", a.alias("a"), b.alias("b"), F.slice("values", 1, 9).alias("v"), F.slice("values", F.lit(1), (k % 4).cast("int")).alias("w"))
+    a = F.when(k % 5 > 0, F.transform("values", lambda x, i: F.when((x + i) % 4 == 0, None).otherwise(x))).otherwise(F.slice("values", 1, 0))
+    return q.select("key", a.alias("a"), F.slice("values", F.lit(3), (k % 3 + 1).cast("int")).alias("b"), F.col("values").alias("v"), F.reverse("values").alias("w"))
 
 
-TWO = """t AS MATERIALIZED (SELECT key, list_transform(vals[1:key % 5], lambda x, i: CASE WHEN (x + i - 1) % 4 = 0 THEN NULL ELSE x END) AS a, vals[3:3 + key % 3] AS b, vals[1:9] AS v, vals[1:key % 4] AS w FROM q)"""
+TWO = """t AS MATERIALIZED (SELECT key, CASE WHEN key % 5 > 0 THEN list_transform(vals, lambda x, i: CASE WHEN (x + i - 1) % 4 = 0 THEN NULL ELSE x END) ELSE [] END AS a, vals[3:3 + key % 3] AS b, vals AS v, list_reverse(vals) AS w FROM q)"""
 #: The same lists in long form: element by element.
 LONG = TWO + """, la AS MATERIALIZED (SELECT key, unnest(a) AS x, unnest(generate_series(1, len(a))) AS i FROM t), lv AS MATERIALIZED (SELECT key, unnest(v) AS x, unnest(generate_series(1, len(v))) AS i FROM t), ks AS (SELECT key FROM t)"""
 
 
-def q(name: str, column, sql: str, out: str = "r", more: str = TWO) -> None:
-    """A query with one column beside the key."""
-    add(name, lambda s, d: two(s, d).select("key", column().alias(out)), sql, frames="q", more=more)
+def q(name: str, column, sql: str, out: str = "r", more: str = TWO, text: bool = False) -> None:
+    """A query with one column beside the key; of a list's text (in SQL too) the digest."""
+    value = (lambda: F.md5(column())) if text else column
+    add(name, lambda s, d: two(s, d).select("key", value().alias(out)), f"SELECT key, md5(r) AS r FROM ({sql})" if text else sql, frames="q", more=more)
 
 
 def by_a(expr: str, na_rm: bool = False) -> str:
@@ -54,13 +61,13 @@ def by_v(expr: str, out: str = "r") -> str:
 
 REC = "CASE WHEN len(b) = 0 OR len(v) = 0 THEN [] ELSE list_transform(generate_series(1, greatest(len(b), len(v))), lambda i: {e}) END"
 BV, VV = "b[(i - 1) % len(b) + 1]", "v[(i - 1) % len(v) + 1]"
-q("l1_add", lambda: joined(X.zipped("v", "b", lambda x, y: x + y)), f"SELECT key, {text(REC.format(e=VV + ' + ' + BV))} AS r FROM t")
-q("l1b_compare", lambda: joined(X.zipped("v", "b", lambda x, y: (x < y).cast("int"))), f"SELECT key, {text(REC.format(e='CAST(' + VV + ' < ' + BV + ' AS INT)'))} AS r FROM t")
-q("l1c_floor_mod", lambda: joined(X.zipped(X.each("v", lambda x: x - 5), "b", lambda x, y: X.floor_mod(x, y).cast("long"))), f"SELECT key, {text(REC.format(e='((' + VV + ' - 5) % ' + BV + ' + ' + BV + ') % ' + BV))} AS r FROM t")
-q("l2_scalar", lambda: joined(X.with_scalar("a", "key", lambda x, k: x * k)), f"SELECT key, {text('list_transform(a, lambda x: x * key)')} AS r FROM t")
-q("l3_negate", lambda: joined(X.each("a", lambda x: -x)), f"SELECT key, {text('list_transform(a, lambda x: -x)')} AS r FROM t")
-q("l4_math", lambda: joined(X.each("v", lambda x: F.floor(F.sqrt(x.cast("double")) + F.abs(x - 9)))), f"SELECT key, {text('list_transform(v, lambda x: CAST(floor(sqrt(x) + abs(x - 9)) AS BIGINT))')} AS r FROM t")
-q("l5_round", lambda: joined(X.each("v", lambda x: F.round(X.signif((x * 1001).cast("double"), 2)).cast("long"))), f"SELECT key, {text('list_transform(v, lambda x: CAST(round(round(x * 1001 / pow(10, floor(log10(x * 1001)) - 1)) * pow(10, floor(log10(x * 1001)) - 1)) AS BIGINT))')} AS r FROM t")
+q("l1_add", lambda: joined(X.zipped("v", "b", lambda x, y: x + y)), f"SELECT key, {text(REC.format(e=VV + ' + ' + BV))} AS r FROM t", text=True)
+q("l1b_compare", lambda: joined(X.zipped("v", "b", lambda x, y: (x < y).cast("int"))), f"SELECT key, {text(REC.format(e='CAST(' + VV + ' < ' + BV + ' AS INT)'))} AS r FROM t", text=True)
+q("l1c_floor_mod", lambda: joined(X.zipped(X.each("v", lambda x: x - 5), "b", lambda x, y: X.floor_mod(x, y).cast("long"))), f"SELECT key, {text(REC.format(e='((' + VV + ' - 5) % ' + BV + ' + ' + BV + ') % ' + BV))} AS r FROM t", text=True)
+q("l2_scalar", lambda: joined(X.with_scalar("a", "key", lambda x, k: x * k)), f"SELECT key, {text('list_transform(a, lambda x: x * key)')} AS r FROM t", text=True)
+q("l3_negate", lambda: joined(X.each("a", lambda x: -x)), f"SELECT key, {text('list_transform(a, lambda x: -x)')} AS r FROM t", text=True)
+q("l4_math", lambda: joined(X.each("v", lambda x: F.floor(F.sqrt(x.cast("double")) + F.abs(x - 9)))), f"SELECT key, {text('list_transform(v, lambda x: CAST(floor(sqrt(x) + abs(x - 9)) AS BIGINT))')} AS r FROM t", text=True)
+q("l5_round", lambda: joined(X.each("v", lambda x: F.round(X.signif((x * 1001).cast("double"), 2)).cast("long"))), f"SELECT key, {text('list_transform(v, lambda x: CAST(round(round(x * 1001 / pow(10, floor(log10(x * 1001)) - 1)) * pow(10, floor(log10(x * 1001)) - 1)) AS BIGINT))')} AS r FROM t", text=True)
 add("l6_complex", lambda s, d: L(s, d).select("rid", *[F.round(e, 6).alias(k) for k, e in X.complex_parts(F.col("weight").cast("double"), F.col("space").cast("double")).items()]), "SELECT rid, round(sqrt(w * w + space * space), 6) AS mod, round(atan2(space, w), 6) AS arg, w::DOUBLE AS conj_re, CAST(0 - space AS DOUBLE) AS conj_im FROM l", frames="l")
 q("l7_sum", lambda: X.list_sum("a"), by_a("coalesce(sum(x), 0)::BIGINT"), more=LONG)
 q("l7b_sum_na_rm", lambda: X.list_sum("a", na_rm=True), by_a("coalesce(sum(x), 0)::BIGINT", True), more=LONG)
@@ -71,8 +78,8 @@ q("l8c_range", lambda: X.list_range("v")["high"] - X.list_range("v")["low"], by_
 q("l9_any", lambda: X.any_true(X.each("a", lambda x: x > 2)).cast("int"), by_a("CASE WHEN count(*) FILTER (x > 2) > 0 THEN 1 WHEN count(la.i) > count(x) THEN NULL ELSE 0 END", True), more=LONG)
 q("l9b_all", lambda: X.all_true(X.each("a", lambda x: x > 0)).cast("int"), by_a("CASE WHEN count(*) FILTER (NOT x > 0) > 0 THEN 0 WHEN count(la.i) > count(x) THEN NULL ELSE 1 END", True), more=LONG)
 q("l9c_any_null", lambda: X.any_null("a"), by_a("count(la.i) > count(x)", True), more=LONG)
-q("l10_which_min", lambda: X.which_min("a"), by_a("arg_min(i, x * 1000 + i) FILTER (x IS NOT NULL)", True), more=LONG)
-q("l10b_which_max", lambda: X.which_max("a"), by_a("arg_max(i, x * 1000 - i) FILTER (x IS NOT NULL)", True), more=LONG)
+q("l10_which_min", lambda: X.which_min("a"), by_a("arg_min(i, x * 1000000 + i) FILTER (x IS NOT NULL)", True), more=LONG)
+q("l10b_which_max", lambda: X.which_max("a"), by_a("arg_max(i, x * 1000000 - i) FILTER (x IS NOT NULL)", True), more=LONG)
 q("l11_mean", lambda: F.round(X.list_mean("a", na_rm=True), 9), by_a("round(avg(x), 9)", True), more=LONG)
 q("l12_var", lambda: F.round(X.list_var("v"), 6), by_v("round(var_samp(x), 6)"), more=LONG)
 q("l12b_sd", lambda: F.round(X.list_sd("v"), 6), by_v("round(stddev_samp(x), 6)"), more=LONG)
@@ -85,24 +92,24 @@ q("l13_median", lambda: X.list_median("v"), by_v("median(x)::DOUBLE"), more=LONG
 q("l14_quantile", lambda: F.round(X.list_quantile("v", 0.3), 6), by_v("round(quantile_cont(x, 0.3), 6)"), more=LONG)
 q("l14b_iqr", lambda: F.round(X.list_iqr("v"), 6), by_v("round(quantile_cont(x, 0.75) - quantile_cont(x, 0.25), 6)"), more=LONG)
 q("l14c_mad", lambda: F.round(X.list_mad("v"), 6), "SELECT key, round(1.4826 * median(abs(x - m)), 6) AS r FROM lv JOIN (SELECT key, median(x) AS m FROM lv GROUP BY key) USING (key) GROUP BY key", more=LONG)
-q("l15_pmin", lambda: joined(X.pairwise("a", F.transform("a", lambda x, i: i * 2 + 1))), "SELECT key, array_to_string(list_transform(a, lambda x, i: CASE WHEN x IS NULL THEN 'NA' ELSE CAST(least(x, i * 2 - 1) AS VARCHAR) END), ',') AS r FROM t")
-q("l16_if_else", lambda: joined(X.if_else(X.each("a", lambda x: x > 2), F.transform("a", lambda x, i: i + 1), F.array(F.lit(0)))), "SELECT key, array_to_string(list_transform(a, lambda x, i: CASE WHEN x IS NULL THEN 'NA' WHEN x > 2 THEN CAST(i AS VARCHAR) ELSE '0' END), ',') AS r FROM t")
-q("l17_which", lambda: joined(X.which(X.each("a", lambda x: x > 1))), by_a("coalesce(string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) FILTER (x > 1), '')", True), more=LONG)
-q("l18_is_null", lambda: joined(X.each(X.is_null("a"), lambda x: x.cast("int"))), f"SELECT key, {text('list_transform(a, lambda x: CAST(x IS NULL AS INT))')} AS r FROM t")
-q("l19_unique", lambda: joined(X.unique("v")), "SELECT key, string_agg(CAST(x AS VARCHAR), ',' ORDER BY i) AS r FROM (SELECT key, x, min(i) AS i FROM lv GROUP BY key, x) GROUP BY key", more=LONG)
-q("l19b_duplicated", lambda: joined(X.each(X.duplicated("v"), lambda x: x.cast("int"))), "SELECT key, string_agg(CASE WHEN i > m THEN '1' ELSE '0' END, ',' ORDER BY i) AS r FROM (SELECT *, min(i) OVER (PARTITION BY key, x) AS m FROM lv) GROUP BY key", more=LONG)
-q("l19c_duplicated_last", lambda: joined(X.each(X.duplicated("v", from_last=True), lambda x: x.cast("int"))), "SELECT key, string_agg(CASE WHEN i < m THEN '1' ELSE '0' END, ',' ORDER BY i) AS r FROM (SELECT *, max(i) OVER (PARTITION BY key, x) AS m FROM lv) GROUP BY key", more=LONG)
-q("l19d_self_match", lambda: joined(X.self_match("v")), "SELECT key, string_agg(CAST(m AS VARCHAR), ',' ORDER BY i) AS r FROM (SELECT *, min(i) OVER (PARTITION BY key, x) AS m FROM lv) GROUP BY key", more=LONG)
+q("l15_pmin", lambda: joined(X.pairwise("a", F.transform("a", lambda x, i: i * 2 + 1))), "SELECT key, array_to_string(list_transform(a, lambda x, i: CASE WHEN x IS NULL THEN 'NA' ELSE CAST(least(x, i * 2 - 1) AS VARCHAR) END), ',') AS r FROM t", text=True)
+q("l16_if_else", lambda: joined(X.if_else(X.each("a", lambda x: x > 2), F.transform("a", lambda x, i: i + 1), F.array(F.lit(0)))), "SELECT key, array_to_string(list_transform(a, lambda x, i: CASE WHEN x IS NULL THEN 'NA' WHEN x > 2 THEN CAST(i AS VARCHAR) ELSE '0' END), ',') AS r FROM t", text=True)
+q("l17_which", lambda: joined(X.which(X.each("a", lambda x: x > 1))), by_a("coalesce(string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) FILTER (x > 1), '')", True), more=LONG, text=True)
+q("l18_is_null", lambda: joined(X.each(X.is_null("a"), lambda x: x.cast("int"))), f"SELECT key, {text('list_transform(a, lambda x: CAST(x IS NULL AS INT))')} AS r FROM t", text=True)
+q("l19_unique", lambda: joined(X.unique("v")), "SELECT key, string_agg(CAST(x AS VARCHAR), ',' ORDER BY i) AS r FROM (SELECT key, x, min(i) AS i FROM lv GROUP BY key, x) GROUP BY key", more=LONG, text=True)
+q("l19b_duplicated", lambda: joined(X.each(X.duplicated("v"), lambda x: x.cast("int"))), "SELECT key, string_agg(CASE WHEN i > m THEN '1' ELSE '0' END, ',' ORDER BY i) AS r FROM (SELECT *, min(i) OVER (PARTITION BY key, x) AS m FROM lv) GROUP BY key", more=LONG, text=True)
+q("l19c_duplicated_last", lambda: joined(X.each(X.duplicated("v", from_last=True), lambda x: x.cast("int"))), "SELECT key, string_agg(CASE WHEN i < m THEN '1' ELSE '0' END, ',' ORDER BY i) AS r FROM (SELECT *, max(i) OVER (PARTITION BY key, x) AS m FROM lv) GROUP BY key", more=LONG, text=True)
+q("l19d_self_match", lambda: joined(X.self_match("v")), "SELECT key, string_agg(CAST(m AS VARCHAR), ',' ORDER BY i) AS r FROM (SELECT *, min(i) OVER (PARTITION BY key, x) AS m FROM lv) GROUP BY key", more=LONG, text=True)
 add("l20_table", lambda s, d: groups.contingency(two(s, d).select("key", F.col("v").alias("values")), "key"), "SELECT key, x AS value, count(*) AS n FROM lv GROUP BY key, x", frames="q", more=LONG)
-WORDS = "w AS MATERIALIZED (SELECT doc_id, string_split(text, ' ')[1:6] AS ws FROM documents)"
+WORDS = "w AS MATERIALIZED (SELECT doc_id, string_split(text, ' ') AS ws FROM documents)"
 
 
 def words(s, d):
-    return T(s, d, "documents").select("doc_id", F.slice(F.split("text", " "), 1, 6).alias("ws"))
+    return T(s, d, "documents").select("doc_id", F.split("text", " ").alias("ws"))
 
 
 def strings(name: str, column, expr: str) -> None:
-    add(name, lambda s, d: words(s, d).select("doc_id", column().alias("r")), f"SELECT doc_id, {expr} AS r FROM w", frames="", more=WORDS)
+    add(name, lambda s, d: words(s, d).select("doc_id", F.md5(column()).alias("r")), f"SELECT doc_id, md5({expr}) AS r FROM w", frames="", more=WORDS)
 
 
 def mapped(expr: str) -> str:
@@ -134,10 +141,10 @@ def status(s, d):
 
 
 ST = "st AS MATERIALIZED (SELECT CAST(o_orderkey AS BIGINT) AS rid, CASE WHEN o_orderkey % 7 > 0 THEN o_orderpriority END AS prio, CAST(o_custkey % 3 AS BIGINT) AS k FROM orders)"
-add("l31_split", lambda s, d: groups.split(status(s, d).filter("rid < 3000"), ["prio", "k"], "rid").select("prio", "k", joined(F.col("values")).alias("r")), "SELECT prio, k, string_agg(CAST(rid AS VARCHAR), ',' ORDER BY rid) AS r FROM st WHERE rid < 3000 AND prio IS NOT NULL GROUP BY 1, 2", frames="", more=ST)
-add("l31b_split_levels", lambda s, d: groups.split(status(s, d).filter("rid < 100 and k = 1"), ["k"], "rid", levels=s.range(4).select(F.col("id").alias("k"))).select("k", joined(F.col("values")).alias("r")), "SELECT v.k, coalesce(string_agg(CAST(rid AS VARCHAR), ',' ORDER BY rid), '') AS r FROM (SELECT unnest(generate_series(0, 3)) AS k) v LEFT JOIN st ON st.k = v.k AND rid < 100 AND st.k = 1 GROUP BY 1", frames="", more=ST)
-add("l31c_multisplit", lambda s, d: groups.multisplit(status(s, d).filter("rid < 3000").withColumn("ks", F.array("k", F.col("k") + 10)), "ks", "rid").select("key", F.size("values").cast("long").alias("n")), "SELECT key, count(*) AS n FROM (SELECT unnest([k, k + 10]) AS key FROM st WHERE rid < 3000) GROUP BY 1", frames="", more=ST)
-add("l31d_unsplit", lambda s, d: groups.unsplit(groups.split(status(s, d).filter("rid < 3000"), ["k"], "rid"), ["k"]), "SELECT k, (row_number() OVER (PARTITION BY k ORDER BY rid))::INT AS place, rid AS value FROM st WHERE rid < 3000", frames="", more=ST)
+add("l31_split", lambda s, d: groups.split(status(s, d), ["prio", "k"], "rid").select("prio", "k", digest(F.col("values")).alias("r")), "SELECT prio, k, md5(string_agg(CAST(rid AS VARCHAR), ',' ORDER BY rid)) AS r FROM st WHERE prio IS NOT NULL GROUP BY 1, 2", frames="", more=ST)
+add("l31b_split_levels", lambda s, d: groups.split(status(s, d).filter("k < 3"), ["k"], "rid", levels=s.range(4).select(F.col("id").alias("k"))).select("k", digest(F.col("values")).alias("r")), "SELECT v.k, md5(coalesce(string_agg(CAST(rid AS VARCHAR), ',' ORDER BY rid), '')) AS r FROM (SELECT unnest(generate_series(0, 3)) AS k) v LEFT JOIN st ON st.k = v.k GROUP BY 1", frames="", more=ST)
+add("l31c_multisplit", lambda s, d: groups.multisplit(status(s, d).withColumn("ks", F.array("k", F.col("k") + 10)), "ks", "rid").select("key", F.size("values").cast("long").alias("n")), "SELECT key, count(*) AS n FROM (SELECT unnest([k, k + 10]) AS key FROM st) GROUP BY 1", frames="", more=ST)
+add("l31d_unsplit", lambda s, d: groups.unsplit(groups.split(status(s, d), ["k"], "rid"), ["k"]), "SELECT k, (row_number() OVER (PARTITION BY k ORDER BY rid))::INT AS place, rid AS value FROM st", frames="", more=ST)
 add("l31e_relist", lambda s, d: groups.relist(L(s, d).select("rid", F.col("weight").alias("value")), s.createDataFrame([(1, 1, 4), (2, 5, 4), (3, 5, 12)], "group_id long, start long, end long")).select("group_id", joined(F.col("values")).alias("r")), "SELECT g AS group_id, coalesce((SELECT string_agg(CAST(w AS VARCHAR), ',' ORDER BY rid) FROM l WHERE rid BETWEEN a AND z), '') AS r FROM (VALUES (1, 1, 4), (2, 5, 4), (3, 5, 12)) v(g, a, z)", frames="l")
 add("l32_extract", lambda s, d: groups.extract(L(s, d).select("rid", F.col("weight").alias("value")), s.createDataFrame([(1, [3, 1, 3]), (2, []), (3, [9])], "group_id long, places array<long>")).select("group_id", joined(F.col("values")).alias("r")), "SELECT g AS group_id, coalesce(array_to_string(list_transform(p, lambda i: CAST((SELECT w FROM (SELECT list(w ORDER BY rid) AS ws FROM l), (SELECT 1)) AS VARCHAR)), ','), '') AS r FROM (SELECT 1 AS g, [1] AS p) WHERE false", frames="l")
 R.oracles["l32_extract"] = R.oracles["l32_extract"].split("SELECT g AS group_id")[0] + "SELECT g AS group_id, coalesce(string_agg(CAST(w AS VARCHAR), ',' ORDER BY o), '') AS r FROM (VALUES (1, 1, 3), (1, 2, 1), (1, 3, 3), (2, 0, NULL), (3, 1, 9)) v(g, o, i) LEFT JOIN l ON l.rid = v.i GROUP BY 1"
@@ -147,14 +154,14 @@ def _top(pdf):
     return pdf.nlargest(2, ["weight", "rid"])[["space", "rid", "weight"]]
 
 
-add("l33_apply", lambda s, d: groups.apply(L(s, d), ["space"], _top, "space long, rid long, weight long"), "SELECT space, rid, w AS weight FROM (SELECT *, row_number() OVER (PARTITION BY space ORDER BY w DESC, rid DESC) AS n FROM l) WHERE n <= 2", frames="l")
+add("l33_apply", lambda s, d: groups.apply_in_parts(L(s, d).select("space", "rid", "weight"), ["space"], _top, "space long, rid long, weight long"), "SELECT space, rid, w AS weight FROM (SELECT *, row_number() OVER (PARTITION BY space ORDER BY w DESC, rid DESC) AS n FROM l) WHERE n <= 2", frames="l")
 add("l33b_tapply", lambda s, d: groups.tapply(status(s, d), ["prio", "k"], n=F.count(F.lit(1)), top=F.max("rid")), "SELECT prio, k, count(*) AS n, max(rid) AS top FROM st GROUP BY 1, 2", frames="", more=ST)
 add("l34_stack", lambda s, d: groups.stacked({"a": O(s, d).filter("space = 1"), "b": L(s, d).filter("space = 2")}).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight")), "SELECT 'a' AS name, count(*) AS n, NULL::BIGINT AS weight FROM o WHERE space = 1 UNION ALL SELECT 'b', count(*), sum(w)::BIGINT FROM l WHERE space = 2", frames="ol")
 add("l34b_bind", lambda s, d: groups.bound(O(s, d).select("rid", "start"), L(s, d).select("rid", "weight"), ["rid"]), "SELECT rid, o.s AS start, l.w AS weight FROM o JOIN l USING (rid)", frames="ol")
-q("l35_concat", lambda: joined(F.concat("b", "w")), f"SELECT key, {text('list_concat(b, w)')} AS r FROM t")
-q("i16_intersect_lists", lambda: joined(F.array_sort(X.set_intersect("v", "b"))), "SELECT t.key, coalesce(string_agg(DISTINCT CAST(x AS VARCHAR), ',' ORDER BY CAST(x AS VARCHAR)), '') AS r FROM t LEFT JOIN lv ON lv.key = t.key AND list_contains(b, x) GROUP BY t.key", more=LONG)
+q("l35_concat", lambda: joined(F.concat("b", "w")), f"SELECT key, {text('list_concat(b, w)')} AS r FROM t", text=True)
+q("i16_intersect_lists", lambda: joined(F.array_sort(X.set_intersect("v", "b"))), "SELECT t.key, coalesce(string_agg(DISTINCT CAST(x AS VARCHAR), ',' ORDER BY CAST(x AS VARCHAR)), '') AS r FROM t LEFT JOIN lv ON lv.key = t.key AND list_contains(b, x) GROUP BY t.key", more=LONG, text=True)
 R.queries["i16_intersect_lists"] = lambda s, d: two(s, d).select("key", F.array_join(F.array_sort(F.transform(X.set_intersect("v", "b"), lambda x: x.cast("string"))), ",").alias("r"))
-q("j30_match_table", lambda: joined(X.match_table("v", F.array(F.lit(2), F.lit(1)).cast("array<bigint>"))), f"SELECT key, {text('list_transform(v, lambda x: CASE x WHEN 2 THEN 1 WHEN 1 THEN 2 END)')} AS r FROM t")
+q("j30_match_table", lambda: joined(X.match_table("v", F.array(F.lit(2), F.lit(1)).cast("array<bigint>"))), f"SELECT key, {text('list_transform(v, lambda x: CASE x WHEN 2 THEN 1 WHEN 1 THEN 2 END)')} AS r FROM t", text=True)
 
 # ---- running values --------------------------------------------------------------------------------------------------
 
@@ -168,35 +175,35 @@ def win(expr: str, keep: str, over: str = "ROWS BETWEEN CURRENT ROW AND 2 FOLLOW
 
 
 OVER = "OVER (PARTITION BY key ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)"
-q("w1_runsum", lambda: lst(X.running("v", 3, "sum")), win(f"sum(x) {OVER}", "c = 3"), more=LONG)
-q("w2_runmean", lambda: lst(X.running("v", 3, "mean")), win(f"avg(x) {OVER}", "c = 3"), more=LONG)
-q("w3_runwtsum", lambda: lst(X.running("v", 3, "wtsum", weights=[1, 2, 4])), win("x + 2 * lead(x, 1) OVER (PARTITION BY key ORDER BY i) + 4 * lead(x, 2) OVER (PARTITION BY key ORDER BY i)", "c = 3"), more=LONG)
-q("w4_runq", lambda: lst(X.running(F.reverse("v"), 3, "q", nth=2)), win(f"median(x) {OVER}", "c = 3").replace("ORDER BY i) AS r", "ORDER BY i DESC) AS r"), more=LONG)
+q("w1_runsum", lambda: lst(X.running("v", 3, "sum")), win(f"sum(x) {OVER}", "c = 3"), more=LONG, text=True)
+q("w2_runmean", lambda: lst(X.running("v", 3, "mean")), win(f"avg(x) {OVER}", "c = 3"), more=LONG, text=True)
+q("w3_runwtsum", lambda: lst(X.running("v", 3, "wtsum", weights=[1, 2, 4])), win("x + 2 * lead(x, 1) OVER (PARTITION BY key ORDER BY i) + 4 * lead(x, 2) OVER (PARTITION BY key ORDER BY i)", "c = 3"), more=LONG, text=True)
+q("w4_runq", lambda: lst(X.running(F.reverse("v"), 3, "q", nth=2)), win(f"median(x) {OVER}", "c = 3").replace("ORDER BY i) AS r", "ORDER BY i DESC) AS r"), more=LONG, text=True)
 # End rules of running medians follow a chain of medians: tested by hand-made values.
 add("w5_runmed", lambda s, d: two(s, d).select("key", lst(X.running_median(F.transform("v", lambda x: x * 7 % 13), 5)).alias("r")))
 add("w6_smooth_ends", lambda s, d: two(s, d).select("key", lst(X.smooth_ends(F.transform("v", lambda x: (x * 7 % 13).cast("double")), 5)).alias("r")))
 UP = "OVER (PARTITION BY key ORDER BY i)"
-q("w7_cumsum", lambda: lst(X.cumulate("v", "sum")), win(f"sum(x) {UP}", "true"), more=LONG)
-q("w7b_cummax", lambda: lst(X.cumulate(X.each("v", lambda x: x * 7 % 13), "max")), win(f"max(x * 7 % 13) {UP}", "true"), more=LONG)
-q("w7c_cumprod", lambda: lst(X.cumulate(F.slice("v", 1, 4), "prod")), win(f"product(x) {UP}", "i <= 4"), more=LONG)
-q("w8_diff", lambda: joined(X.diff("v", 2)), win(f"(lead(x, 2) {UP} - x) / 1000.0", "c = 3"), more=LONG)
+q("w7_cumsum", lambda: lst(X.cumulate("v", "sum")), win(f"sum(x) {UP}", "true"), more=LONG, text=True)
+q("w7b_cummax", lambda: lst(X.cumulate(X.each("v", lambda x: x * 7 % 13), "max")), win(f"max(x * 7 % 13) {UP}", "true"), more=LONG, text=True)
+q("w7c_cumprod", lambda: lst(X.cumulate(F.slice("v", 1, 4), "prod")), win(f"product(x) {UP}", "i <= 4"), more=LONG, text=True)
+q("w8_diff", lambda: joined(X.diff("v", 2)), win(f"(lead(x, 2) {UP} - x) / 1000.0", "c = 3"), more=LONG, text=True)
 RANK = {"average": "(2 * rank() OVER (PARTITION BY key ORDER BY x) + count(*) OVER (PARTITION BY key, x) - 1) / 2.0", "min": "rank() OVER (PARTITION BY key ORDER BY x)", "max": "rank() OVER (PARTITION BY key ORDER BY x) + count(*) OVER (PARTITION BY key, x) - 1", "first": "row_number() OVER (PARTITION BY key ORDER BY x, i)"}
 for how, expr in RANK.items():
-    q(f"w9_rank_{how}", lambda how=how: lst(X.rank("v", how)), win(expr, "true"), more=LONG)
-q("w10_order", lambda: joined(X.order(X.each("v", lambda x: x * 7 % 13))), "SELECT key, string_agg(CAST(i AS VARCHAR), ',' ORDER BY x * 7 % 13, i) AS r FROM lv GROUP BY key", more=LONG)
-add("w11_group_ranks", lambda s, d: groups.dense_groups(status(s, d).filter("rid < 2000"), "prio").select("rid", "representative", "group_rank"), "SELECT rid, m AS representative, (dense_rank() OVER (ORDER BY m))::BIGINT AS group_rank FROM (SELECT rid, min(rid) OVER (PARTITION BY prio) AS m FROM st WHERE rid < 2000)", frames="", more=ST)
-add("w12_running_reach", lambda s, d: __import__("rangeloom.plans.sweep", fromlist=["x"]).running(O(s, d), {"reach": ("max", F.col("end")), "total": ("sum", F.col("end") - F.col("start") + 1)}, "start", ["start", "end", "rid"], chunk=100).select("rid", "reach", "total"), "SELECT rid, max(e) OVER w AS reach, (sum(e - s + 1) OVER w)::BIGINT AS total FROM o WINDOW w AS (PARTITION BY space ORDER BY s, e, rid ROWS UNBOUNDED PRECEDING)")
+    q(f"w9_rank_{how}", lambda how=how: lst(X.rank("v", how)), win(expr, "true"), more=LONG, text=True)
+q("w10_order", lambda: joined(X.order(X.each("v", lambda x: x * 7 % 13))), "SELECT key, string_agg(CAST(i AS VARCHAR), ',' ORDER BY x * 7 % 13, i) AS r FROM lv GROUP BY key", more=LONG, text=True)
+add("w11_group_ranks", lambda s, d: groups.dense_groups(status(s, d), "prio").select("rid", "representative", "group_rank"), "SELECT rid, m AS representative, (dense_rank() OVER (ORDER BY m))::BIGINT AS group_rank FROM (SELECT rid, min(rid) OVER (PARTITION BY prio) AS m FROM st)", frames="", more=ST)
+add("w12_running_reach", lambda s, d: running(O(s, d), {"reach": ("max", F.col("end")), "total": ("sum", F.col("end") - F.col("start") + 1)}, "start", ["start", "end", "rid"], chunk=100).select("rid", "reach", "total"), "SELECT rid, max(e) OVER w AS reach, (sum(e - s + 1) OVER w)::BIGINT AS total FROM o WINDOW w AS (PARTITION BY space ORDER BY s, e, rid ROWS UNBOUNDED PRECEDING)")
 
 # ---- orders and parts ------------------------------------------------------------------------------------------------
 
 add("o1_order", lambda s, d: compare.ordered(O(s, d)).select("rid", "place", "rank"), "SELECT rid, row_number() OVER (PARTITION BY space ORDER BY s, e, rid) AS place, rank() OVER (PARTITION BY space ORDER BY s, e) AS rank FROM o")
 add("o2_is_unsorted", lambda s, d: compare.unsorted(O(s, d)), "SELECT space, bool_or(bad) AS unsorted FROM (SELECT space, coalesce(s < lag(s) OVER w OR (s = lag(s) OVER w AND e < lag(e) OVER w), false) AS bad FROM o WINDOW w AS (PARTITION BY space ORDER BY rid)) GROUP BY space")
 q("o2b_is_unsorted_lists", lambda: X.is_unsorted(X.each("v", lambda x: x * 7 % 13)), "SELECT key, coalesce(bool_or(x * 7 % 13 < p), false) AS r FROM (SELECT *, lag(x * 7 % 13) OVER (PARTITION BY key ORDER BY i) AS p FROM lv) GROUP BY key", more=LONG)
-q("o3_heads", lambda: F.concat_ws("/", joined(X.heads("v", 2)), joined(X.heads("v", -7))), f"SELECT key, {text('v[1:2]')} || '/' || {text('v[1:greatest(len(v) - 7, 0)]')} AS r FROM t")
-q("o3b_tails", lambda: F.concat_ws("/", joined(X.tails("v", 2)), joined(X.tails("v", -7))), f"SELECT key, {text('v[greatest(len(v) - 1, 1):len(v)]')} || '/' || {text('v[8:len(v)]')} AS r FROM t")
-q("o4_windows", lambda: joined(X.windows("v", start=2, end=-2)), f"SELECT key, {text('v[2:len(v) - 1]')} AS r FROM t")
-q("o5_reverse_elements", lambda: joined(X.reverse_if("v", F.col("key") % 2 == 0)), f"SELECT key, {text('CASE WHEN key % 2 = 0 THEN list_reverse(v) ELSE v END')} AS r FROM t")
-add("o6_mapped_order", lambda s, d: groups.mapped_order(status(s, d).filter("rid < 2000").withColumn("map_order", -F.col("rid"))).select("rid", "place"), "SELECT rid, row_number() OVER (ORDER BY -rid) AS place FROM st WHERE rid < 2000", frames="", more=ST)
+q("o3_heads", lambda: F.concat_ws("/", joined(X.heads("v", 2)), joined(X.heads("v", -7))), f"SELECT key, {text('v[1:2]')} || '/' || {text('v[1:greatest(len(v) - 7, 0)]')} AS r FROM t", text=True)
+q("o3b_tails", lambda: F.concat_ws("/", joined(X.tails("v", 2)), joined(X.tails("v", -7))), f"SELECT key, {text('v[greatest(len(v) - 1, 1):len(v)]')} || '/' || {text('v[8:len(v)]')} AS r FROM t", text=True)
+q("o4_windows", lambda: joined(X.windows("v", start=2, end=-2)), f"SELECT key, {text('v[2:len(v) - 1]')} AS r FROM t", text=True)
+q("o5_reverse_elements", lambda: joined(X.reverse_if("v", F.col("key") % 2 == 0)), f"SELECT key, {text('CASE WHEN key % 2 = 0 THEN list_reverse(v) ELSE v END')} AS r FROM t", text=True)
+add("o6_mapped_order", lambda s, d: groups.mapped_order(status(s, d).withColumn("map_order", -F.col("rid"))).select("rid", "place"), "SELECT rid, row_number() OVER (ORDER BY -rid) AS place FROM st", frames="", more=ST)
 
 # ---- groupings -------------------------------------------------------------------------------------------------------
 
@@ -210,14 +217,14 @@ add("g1_partition_by_width", lambda s, d: groups.by_width(counts(s, d)), 'SELECT
 add("g1b_partition_by_end", lambda s, d: groups.by_end(groups.by_width(counts(s, d)).select("group_id", "end")), 'SELECT group_id, z - width + 1 AS start, z AS "end" FROM pt', frames="", more=CT)
 add("g1c_tabulate", lambda s, d: groups.tabulated(T(s, d, "orders").select((F.col("o_custkey") % 20 + 1).cast("long").alias("group_id")), 25), "SELECT g AS group_id, coalesce(width, 0) AS width FROM (SELECT unnest(generate_series(1, 25)) AS g) LEFT JOIN ct ON group_id = g", frames="", more=CT)
 add("g2_group_lengths", lambda s, d: groups.lengths(O(s, d), "space"), "SELECT space, count(*) AS n FROM o GROUP BY 1")
-add("g3_members", lambda s, d: groups.members(O(s, d).filter("rid < 2000"), [1, 3], "space", "rid").select("space", joined(F.col("members")).alias("r")), "SELECT space, string_agg(CAST(rid AS VARCHAR), ',' ORDER BY rid) AS r FROM o WHERE rid < 2000 AND space IN (1, 3) GROUP BY 1")
+add("g3_members", lambda s, d: groups.members(O(s, d), [1, 3], "space", "rid").select("space", digest(F.col("members")).alias("r")), "SELECT space, md5(string_agg(CAST(rid AS VARCHAR), ',' ORDER BY rid)) AS r FROM o WHERE space IN (1, 3) GROUP BY 1")
 add("g4_to_group", lambda s, d: groups.with_group_length(O(s, d), "space").select("rid", "space", "group_length"), "SELECT rid, space, count(*) OVER (PARTITION BY space) AS group_length FROM o")
 add("g5_high_to_low", lambda s, d: groups.high_to_low(status(s, d), "prio").select("rid", "low"), "SELECT rid, CASE WHEN m < rid THEN m END AS low FROM (SELECT rid, min(rid) OVER (PARTITION BY prio) AS m FROM st)", frames="", more=ST)
-add("g5b_low_to_high", lambda s, d: groups.low_to_high(status(s, d).filter("rid < 2000"), "prio").select("rid", joined(F.col("high")).alias("r")), "SELECT m AS rid, string_agg(CAST(rid AS VARCHAR), ',' ORDER BY rid) AS r FROM (SELECT rid, min(rid) OVER (PARTITION BY prio) AS m FROM st WHERE rid < 2000) WHERE m < rid GROUP BY m", frames="", more=ST)
+add("g5b_low_to_high", lambda s, d: groups.low_to_high(status(s, d), "prio").select("rid", digest(F.col("high")).alias("r")), "SELECT m AS rid, md5(string_agg(CAST(rid AS VARCHAR), ',' ORDER BY rid)) AS r FROM (SELECT rid, min(rid) OVER (PARTITION BY prio) AS m FROM st) WHERE m < rid GROUP BY m", frames="", more=ST)
 add("g6_duplicated", lambda s, d: groups.high_to_low(status(s, d), "prio").select("rid", F.col("low").isNotNull().alias("duplicated")), "SELECT rid, rid > min(rid) OVER (PARTITION BY prio) AS duplicated FROM st", frames="", more=ST)
-add("g7_crossed_groups", lambda s, d: groups.crossed(status(s, d).filter("rid < 60"), ["prio", "k"]).select("prio", "k", joined(F.col("members")).alias("r")), "SELECT a.prio, b.k, coalesce(string_agg(CAST(rid AS VARCHAR), ',' ORDER BY rid), '') AS r FROM (SELECT DISTINCT prio FROM st WHERE rid < 60 AND prio IS NOT NULL) a CROSS JOIN (SELECT DISTINCT k FROM st WHERE rid < 60) b LEFT JOIN st ON st.prio = a.prio AND st.k = b.k AND rid < 60 GROUP BY 1, 2", frames="", more=ST)
+add("g7_crossed_groups", lambda s, d: groups.crossed(status(s, d), ["prio", "k"]).select("prio", "k", digest(F.col("members")).alias("r")), "SELECT a.prio, b.k, md5(coalesce(string_agg(CAST(rid AS VARCHAR), ',' ORDER BY rid), '')) AS r FROM (SELECT DISTINCT prio FROM st WHERE prio IS NOT NULL) a CROSS JOIN (SELECT DISTINCT k FROM st) b LEFT JOIN st ON st.prio = a.prio AND st.k = b.k GROUP BY 1, 2", frames="", more=ST)
 add("g8_truncate", lambda s, d: groups.truncated(O(s, d).select("rid", "space"), 50), "SELECT rid, space FROM o WHERE rid <= 50")
-add("g9_hits_by_query", lambda s, d: groups.hits_by_query(overlaps.find(O(s, d).filter("rid % 5 = 0"), L(s, d).filter("rid % 100 = 0")), O(s, d).filter("rid % 5 = 0")).select("space", "query_id", joined(F.col("subjects")).alias("r")), "SELECT a.space, a.rid AS query_id, coalesce(string_agg(CAST(b.rid AS VARCHAR), ',' ORDER BY b.rid), '') AS r FROM o a LEFT JOIN l b ON a.space = b.space AND a.s <= b.e AND b.s <= a.e AND b.rid % 100 = 0 WHERE a.rid % 5 = 0 GROUP BY 1, 2", frames="ol")
+add("g9_hits_by_query", lambda s, d: groups.hits_by_query(overlaps.find(C(s, d, FOLD), K(s, d, FOLD)), C(s, d, FOLD)).select("space", "query_id", joined(F.col("subjects")).alias("r")), "SELECT a.space, a.rid AS query_id, coalesce(string_agg(CAST(b.rid AS VARCHAR), ',' ORDER BY b.rid), '') AS r FROM a LEFT JOIN b ON a.space = b.space AND a.s <= b.e AND b.s <= a.e GROUP BY 1, 2", frames="ab")
 
 # ---- streaming forms, run as batches ---------------------------------------------------------------------------------
 

@@ -9,7 +9,7 @@ from ..functions import compare, intra
 from ..operators import algebra, groups, masks
 from ..sources import masks as readers
 from ..sources import scratch
-from .base import L, O, Registry, T
+from .base import C, L, O, Registry, T
 
 R = Registry()
 add = R.add
@@ -75,7 +75,7 @@ def runs(s, d):
 
 
 add("s6_from_logical_runs", lambda s, d: model.from_logical_runs(runs(s, d).withColumn("value", F.col("value") == 1)), 'SELECT space, row_number() OVER (ORDER BY s) AS rid, s AS start, e AS "end" FROM runs WHERE value = 1', more=RUNS_SQL)
-add("s7_positions", lambda s, d: model.positions(O(s, d).filter("space = 1")), "SELECT space, rid, unnest(generate_series(s, e)) AS pos FROM o WHERE space = 1 AND e >= s")
+add("s7_positions", lambda s, d: model.positions(O(s, d)), "SELECT space, rid, unnest(generate_series(s, e)) AS pos FROM o WHERE e >= s")
 add(
     "s8_stitch",
     lambda s, d: model.stitch(O(s, d).select("space", "rid", (F.col("rid") * 2).alias("start"), (F.col("rid") * 2 + F.col("start") % 20).alias("end"))),
@@ -93,23 +93,25 @@ add("s11_chunks", lambda s, d: model.chunks(s, 1003, n=10).unionByName(model.chu
 add("s12_centered", lambda s, d: model.centered(O(s, d), "start", 3), rng("s - 3", "s + 3"))
 ISLANDS = """i AS (SELECT *, sum(f) OVER (PARTITION BY space ORDER BY s, e, rid) AS g FROM (SELECT *, CASE WHEN pm IS NULL OR s - pm - 1 >= {gap} THEN 1 ELSE 0 END AS f FROM (
   SELECT *, max(e) OVER (PARTITION BY space ORDER BY s, e, rid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM {src})))"""
-add("s13_as_normal", lambda s, d: algebra.reduce(wide(s, d, 1).filter("rid % 40 = 0"), drop_empty=True), 'SELECT space, min(s) AS start, max(e) AS "end" FROM i GROUP BY space, g', more="src AS (SELECT * FROM o WHERE e >= s AND rid % 40 = 0), " + ISLANDS.format(gap=1, src="src"))
+add("s13_as_normal", lambda s, d: algebra.reduce(C(s, d).filter("end >= start"), drop_empty=True), 'SELECT space, min(s) AS start, max(e) AS "end" FROM i GROUP BY space, g', frames="c", more="full_src AS (SELECT * FROM src WHERE e >= s), " + ISLANDS.format(gap=1, src="full_src"))
 add("s14_grouped", lambda s, d: model.grouped(O(s, d), "space", ["start", "end"]).select("space", F.size("rows").cast("long").alias("n"), F.get("rows", F.lit(0))["start"].alias("first_start"), F.get("rows", F.size("rows") - 1)["end"].alias("last_end")), "SELECT space, count(*) AS n, arg_min(s, rid) AS first_start, arg_max(e, rid) AS last_end FROM o GROUP BY space")
 
 
 def _normal(s, d):
-    return algebra.reduce(O(s, d).filter("end >= start and rid % 200 = 0").withColumn("space", F.lit(1).cast("long")), drop_empty=True).select("start", "end")
+    """All orders in one mask: each customer's days stand in a stretch of its own."""
+    moved = C(s, d).filter("end >= start").select(F.lit(1).cast("long").alias("space"), "rid", *[(F.col("space") * 20000 + F.col(c)).alias(c) for c in ("start", "end")])
+    return algebra.reduce(moved, drop_empty=True).select("start", "end")
 
 
-NORMAL = "src AS (SELECT CAST(1 AS BIGINT) AS space, rid, s, e FROM o WHERE e >= s AND rid % 200 = 0), " + ISLANDS.format(gap=1, src="src") + ", n AS (SELECT min(s) AS s, max(e) AS e FROM i GROUP BY g)"
-add("s15_mask", lambda s, d: masks.mask(s, 20000, _normal(s, d), name="m").measured(), "SELECT CAST(1 AS BIGINT) AS mask_id, 'm' AS name, true AS active, sum(e - s + 1)::BIGINT AS masked_width, sum(e - s + 1) / 20000.0::DOUBLE AS masked_ratio, min(s) AS \"first\", max(e) AS \"last\" FROM n", more=NORMAL)
+NORMAL = "mv AS (SELECT 1 AS space, rid, space * 20000 + s AS s, space * 20000 + e AS e FROM src WHERE e >= s), " + ISLANDS.format(gap=1, src="mv") + ", n AS (SELECT min(s) AS s, max(e) AS e FROM i GROUP BY g)"
+add("s15_mask", lambda s, d: masks.mask(s, 4_000_000_000, _normal(s, d), name="m").measured(), "SELECT CAST(1 AS BIGINT) AS mask_id, 'm' AS name, true AS active, sum(e - s + 1)::BIGINT AS masked_width, sum(e - s + 1) / 4000000000.0::DOUBLE AS masked_ratio, min(s) AS \"first\", max(e) AS \"last\" FROM n", frames="c", more=NORMAL)
 
 # Files of the five mask formats are written from the orders and read back.
 
 
-def _file(s, d, name: str, line):
-    path = scratch.path(s, name)
-    line(O(s, d).filter("end >= start")).select(F.col("l").alias("value")).write.text(path)
+def _file(s, d, name: str, line, frame=None):
+    path, frame = scratch.path(s, name), O(s, d) if frame is None else frame
+    line(frame.filter("end >= start")).select(F.col("l").alias("value")).write.text(path)
     return path
 
 
@@ -147,8 +149,8 @@ def trf_file(s, d):
 
 
 def lift_file(s, d):
-    contigs = lambda df: algebra.reduce(df.filter("rid % 100 = 0"), min_gap=1).withColumn("l", _tab(F.col("start") - 1, F.lit("c"), W(), SEQ(), F.lit(20000)))
-    return _file(s, d, "lift", contigs)
+    contigs = lambda df: algebra.reduce(df, min_gap=1).withColumn("l", _tab(F.col("start") - 1, F.lit("c"), W(), SEQ(), F.lit(20000)))
+    return _file(s, d, "lift", contigs, C(s, d))
 
 
 add("s16_read_agp", lambda s, d: readers.agp(s, agp_file(s, d)), "SELECT 'chr' || space AS seqname, s AS start, e AS \"end\", CASE WHEN rid % 2 = 0 THEN 'clone' ELSE 'contig' END AS gap_type FROM o WHERE e >= s AND rid % 3 = 0")
@@ -158,14 +160,15 @@ add(
     lambda s, d: readers.lift(s, lift_file(s, d)),
     """SELECT 'chr' || space AS seqname, start, "end" FROM (SELECT space, coalesce(lag(e) OVER w, 0) + 1 AS start, s - 1 AS "end" FROM m WINDOW w AS (PARTITION BY space ORDER BY s)
        UNION ALL SELECT space, max(e) + 1, 20000 FROM m GROUP BY space) WHERE "end" >= start""",
-    more="src AS (SELECT * FROM o WHERE e >= s AND rid % 100 = 0), " + ISLANDS.format(gap=1, src="src") + ", m AS (SELECT space, min(s) AS s, max(e) AS e FROM i GROUP BY space, g)",
+    frames="c",
+    more="full_src AS (SELECT * FROM src WHERE e >= s), " + ISLANDS.format(gap=1, src="full_src") + ", m AS (SELECT space, min(s) AS s, max(e) AS e FROM i GROUP BY space, g)",
 )
 add("s19_read_rm", lambda s, d: readers.repeat_masker(s, rm_file(s, d)), "SELECT 'chr' || space AS seqname, s AS start, e AS \"end\", CAST(rid AS VARCHAR) AS id FROM o WHERE e >= s")
 add("s20_read_trf", lambda s, d: readers.tandem_repeats(s, trf_file(s, d)), "SELECT 'chr' || space AS seqname, s AS start, e AS \"end\" FROM o WHERE e >= s")
 add("s21_seqnames", lambda s, d: readers.seqnames(s, trf_file(s, d), "trf"), "SELECT DISTINCT 'chr' || space AS seqname FROM o WHERE e >= s")
 add("s22_empty_mask", lambda s, d: masks.empty(s, 100, name="x").measured().select("name", "masked_width"), "SELECT 'x' AS name, CAST(0 AS BIGINT) AS masked_width", frames="")
 add("s23_to_text", lambda s, d: O(s, d).select("rid", model.to_text().alias("text")), "SELECT rid, CASE WHEN s = e THEN CAST(s AS VARCHAR) ELSE s || '-' || e END AS text FROM o")
-add("s24_positions_frame", lambda s, d: model.positions(O(s, d).filter("space = 2")).groupBy("pos").agg(F.count(F.lit(1)).alias("n")), "SELECT pos, count(*) AS n FROM (SELECT unnest(generate_series(s, e)) AS pos FROM o WHERE space = 2 AND e >= s) GROUP BY pos")
+add("s24_positions_frame", lambda s, d: model.positions(O(s, d)).groupBy("pos").agg(F.count(F.lit(1)).alias("n")), "SELECT pos, count(*) AS n FROM (SELECT unnest(generate_series(s, e)) AS pos FROM o WHERE e >= s) GROUP BY pos")
 add("s25_summary", lambda s, d: model.sizes(O(s, d)), "SELECT space, count(*) AS length, sum(e - s + 1)::BIGINT AS width_sum, max(e - s + 1) = 0 AS all_empty FROM o GROUP BY space")
 
 # ---- accessors, setters, predicates ----------------------------------------------------------------------------------
@@ -188,7 +191,7 @@ add(
     lambda s, d: model.is_normal(O(s, d)),
     "SELECT space, NOT bool_or(bad) AS normal, min(rid) FILTER (bad) AS first_bad FROM (SELECT *, e < s OR coalesce(s < lag(e) OVER (PARTITION BY space ORDER BY rid) + 2, false) AS bad FROM o) GROUP BY space",
 )
-add("p10_is_disjoint", lambda s, d: model.is_disjoint(O(s, d).filter("rid % 500 = 0 or space = 1")), "SELECT space, NOT bool_or(bad) AS disjoint FROM (SELECT *, coalesce(s <= lag(e) OVER (PARTITION BY space ORDER BY s, e, rid), false) AS bad FROM o WHERE rid % 500 = 0 OR space = 1) GROUP BY space")
+add("p10_is_disjoint", lambda s, d: model.is_disjoint(C(s, d)), "SELECT space, NOT bool_or(bad) AS disjoint FROM (SELECT *, coalesce(s <= lag(e) OVER (PARTITION BY space ORDER BY s, e, rid), false) AS bad FROM src) GROUP BY space", frames="c")
 add("p11_squeeze", lambda s, d: L(s, d).select("space", "rid", "start", "end"), rng("s", "e", frm="l"), frames="l")
 add("p12_space", lambda s, d: O(s, d).select("space", "rid"), "SELECT space, rid FROM o")
 add(
