@@ -303,7 +303,13 @@ def duplicated(a, *, from_last: bool = False) -> Column:
     """Whether each element stands earlier (later) in the list too."""
     a = _c(a)
     beside = 1 if from_last else -1
-    return _with(_tagged(a), lambda t: F.transform(a, lambda e, i: F.coalesce(_same(F.get(t, _below(t, _key(e, i)) + beside), e), F.lit(False))))
+    return _with(_beside(a), lambda p: F.transform(p["a"], lambda e, i: F.coalesce(_same(F.get(p["t"], _below(p["t"], _key(e, i)) + beside), e), F.lit(False))))
+
+
+def _beside(a: Column) -> Column:
+    """A list (a), its elements sorted (t) and how many are null (n): columns of the row are not named inside lambdas, where
+    an output column of the same name would take their place."""
+    return F.struct(a.alias("a"), _tagged(a).alias("t"), F.size(F.filter(a, lambda e: e.isNull())).alias("n"))
 
 
 def _same(tag: Column, e: Column) -> Column:
@@ -313,7 +319,7 @@ def _same(tag: Column, e: Column) -> Column:
 def self_match(a) -> Column:
     """The first place of each element's value; null elements match none."""
     a = _c(a)
-    return _with(_tagged(a), lambda t: F.transform(a, lambda e: F.when(e.isNotNull(), (F.get(t, _below(t, _key(e, -1)))["i"] + 1).cast("long"))))
+    return _with(_beside(a), lambda p: F.transform(p["a"], lambda e: F.when(e.isNotNull(), (F.get(p["t"], _below(p["t"], _key(e, -1)))["i"] + 1).cast("long"))))
 
 
 def match_table(a, table: Column) -> Column:
@@ -345,9 +351,9 @@ def rank(a, ties: str = "average") -> Column:
         low = lambda e: _below(t, _key(e, -1)) - nulls
         high = lambda e: _below(t, _key(e, F.size(t))) - nulls
         one = {"average": lambda e, i: (low(e) + high(e) + 1) / 2, "min": lambda e, i: low(e) + 1, "max": lambda e, i: high(e), "first": lambda e, i: _below(t, _key(e, i)) - nulls + 1}[ties]
-        return F.transform(a, lambda e, i: F.when(e.isNotNull(), one(e, i).cast("double")))
+        return F.transform(all["a"], lambda e, i: F.when(e.isNotNull(), one(e, i).cast("double")))
 
-    return _with(F.struct(_tagged(a).alias("t"), F.size(F.filter(a, lambda e: e.isNull())).alias("n")), ranks)
+    return _with(_beside(a), ranks)
 
 
 def is_unsorted(a, *, strictly: bool = False) -> Column:

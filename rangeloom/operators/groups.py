@@ -143,7 +143,7 @@ def placed(frame: DataFrame, by: Sequence[str], order: str = "rid", name: str =
 
 def in_line(frame: DataFrame, group: str, order: str = "rid", name: str = "pos") -> DataFrame:
     """All groups one behind the other: each row's place in that line (groups in order, then rows)."""
-    widths = by_width(frame.groupBy(F.col(group).alias("group_id")).agg(F.count(F.lit(1)).alias("width")))
+    widths = by_width(frame.filter(F.col(group).isNotNull()).groupBy(F.col(group).alias("group_id")).agg(F.count(F.lit(1)).alias("width")))
     rows = placed(frame, [group], order, name).join(widths.select(F.col("group_id").alias(group), F.col("start").alias("_first")), group)
     return rows.withColumn(name, F.col(name) + F.col("_first") - 1).drop("_first")
 

@@ -185,7 +185,7 @@ add("w6_smooth_ends", lambda s, d: two(s, d).select("key", lst(X.smooth_ends(F.t
 UP = "OVER (PARTITION BY key ORDER BY i)"
 q("w7_cumsum", lambda: lst(X.cumulate("v", "sum")), win(f"sum(x) {UP}", "true"), more=LONG, text=True)
 q("w7b_cummax", lambda: lst(X.cumulate(X.each("v", lambda x: x * 7 % 13), "max")), win(f"max(x * 7 % 13) {UP}", "true"), more=LONG, text=True)
-q("w7c_cumprod", lambda: lst(X.cumulate(F.slice("v", 1, 4), "prod")), win(f"product(x) {UP}", "i <= 4"), more=LONG, text=True)
+q("w7c_cumprod", lambda: lst(X.cumulate(X.each("v", lambda x: x % 2 * 2 - 1), "prod")), win(f"product(x % 2 * 2 - 1) {UP}", "true"), more=LONG, text=True)
 q("w8_diff", lambda: joined(X.diff("v", 2)), win(f"(lead(x, 2) {UP} - x) / 1000.0", "c = 3"), more=LONG, text=True)
 RANK = {"average": "(2 * rank() OVER (PARTITION BY key ORDER BY x) + count(*) OVER (PARTITION BY key, x) - 1) / 2.0", "min": "rank() OVER (PARTITION BY key ORDER BY x)", "max": "rank() OVER (PARTITION BY key ORDER BY x) + count(*) OVER (PARTITION BY key, x) - 1", "first": "row_number() OVER (PARTITION BY key ORDER BY x, i)"}
 for how, expr in RANK.items():
