@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 #: Rows in a chunk, about, and the number of chunks that groups of fewer rows are cut into (of 64 rows at least).
 ROWS, SOME = 1 << 17, 8
 
-#: How a running value is made: "sum" and "max" of the rows before, "next": the least of the rows behind.
-_AGG = {"sum": F.sum, "max": F.max, "next": F.min}
+#: How a running value is made: "sum" and "max" of the rows before, "next": the least of the rows behind, "top": the
+#: largest of all rows.
+_AGG = {"sum": F.sum, "max": F.max, "next": F.min, "top": F.max}
 
 
 def chunked(df: DataFrame, at: str, *, chunk: int | None = None, by: Sequence[str] = ("space",)) -> DataFrame:
@@ -44,8 +45,9 @@ def chunked(df: DataFrame, at: str, *, chunk: int | None = None, by: Sequence[st
 def swept(rows: DataFrame, values: dict[str, tuple[str, Column]], order: Sequence[str], *, before: Sequence[str] = (), by: Sequence[str] = ("space",)) -> DataFrame:
     """Add running values along ``order`` in each group ``by`` to rows from :func:`chunked`, in one window pass.
 
-    ``values`` maps a new column to ("sum" | "max" | "next", expression).  Sums and maxima include the row itself unless
-    their column is named in ``before``; "next" is the least value of all rows behind.  A sum of no rows is 0, the others
+    ``values`` maps a new column to ("sum" | "max" | "next" | "top", expression).  Sums and maxima include the row itself unless
+    their column is named in ``before``; "next" is the least value of all rows behind, "top" the
+    largest of all.  A sum of no rows is 0, the others
     are null.
     """
     raw = {f"_v_{k}": e for k, (_, e) in values.items()}
@@ -53,12 +55,16 @@ def swept(rows: DataFrame, values: dict[str, tuple[str, Column]], order: Sequenc
     carry = rows.groupBy(*by, "_chunk").agg(*[_AGG[how](f"_v_{k}").alias(f"_c_{k}") for k, (how, _) in values.items()])
     earlier = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     later = Window.partitionBy(*by).orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
-    carry = carry.select(*by, "_chunk", *[_AGG[how](f"_c_{k}").over(later if how == "next" else earlier).alias(f"_c_{k}") for k, (how, _) in values.items()])
+    over = {"next": later, "top": Window.partitionBy(*by)}
+    carry = carry.select(*by, "_chunk", *[_AGG[how](f"_c_{k}").over(over.get(how, earlier)).alias(f"_c_{k}") for k, (how, _) in values.items()])
     rows = rows.join(carry, [*by, "_chunk"])
     inside = Window.partitionBy(*by, "_chunk").orderBy(*order)
     behind = Window.partitionBy(*by, "_chunk").orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
     done = {}
     for k, (how, _) in values.items():
+        if how == "top":
+            done[k] = F.col(f"_c_{k}")
+            continue
         frame = behind if how == "next" else inside.rowsBetween(Window.unboundedPreceding, -1 if k in before else 0)
         own, other = _AGG[how](f"_v_{k}").over(frame), F.col(f"_c_{k}")
         done[k] = {"max": F.greatest, "next": F.least}[how](other, own) if how != "sum" else F.coalesce(other, F.lit(0)) + F.coalesce(own, F.lit(0))
@@ -76,10 +82,10 @@ def preceding(df: DataFrame, values: dict[str, Column], at: str, order: Sequence
     return _with_last(chunked(df, at, chunk=chunk, by=by), values, order, by).drop("_chunk")
 
 
-def _with_last(rows: DataFrame, values: dict[str, Column], order: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """The row before is the largest of those before, if rows are compared by ``order`` first."""
+def _with_last(rows: DataFrame, values: dict[str, Column], order: Sequence[str], by: Sequence[str], more: dict | None = None) -> DataFrame:
+    """The row before is the largest of those before, if rows are compared by ``order`` first.  ``more`` is swept along."""
     own = F.struct(F.struct(*order).alias("o"), F.struct(*[e.alias(k) for k, e in values.items()]).alias("v"))
-    rows = swept(rows, {"_last": ("max", own)}, order, before=["_last"], by=by)
+    rows = swept(rows, {"_last": ("max", own)} | (more or {}), order, before=["_last"], by=by)
     return rows.withColumns({k: F.col("_last.v")[k] for k in values}).drop("_last")
 
 
@@ -116,9 +122,9 @@ def stretches(events: DataFrame, changes: Sequence[str], holds, *, keep: Column
 def sliced(runs: DataFrame, now: Column, was: Column, *, by: Sequence[str] = ("space",)) -> DataFrame:
     """The longest stretches of dealt runs that cover a group without holes on which a condition holds: it is given for
     each run and for the run before (false in the first)."""
-    edges = runs.select(*by, "_chunk", "start", now.alias("_now"), was.alias("_was")).filter("_now <> _was")
-    ends = runs.groupBy(*by).agg(F.max("end").alias("_top"))
-    rows = swept(edges, {"_next": ("next", F.col("start"))}, ["start"], by=by).filter("_now").join(ends, list(by))
+    rows = runs.select(*by, "_chunk", "start", "end", now.alias("_now"), was.alias("_was"))
+    turn = F.when(F.col("_now") != F.col("_was"), F.col("start"))
+    rows = swept(rows, {"_next": ("next", turn), "_top": ("top", F.col("end"))}, ["start"], by=by).filter("_now and not _was")
     return rows.select(*by, "start", F.coalesce(F.col("_next") - 1, F.col("_top")).alias("end"))
 
 
@@ -126,14 +132,14 @@ def merged(parts: DataFrame, same: Sequence[str] = (), *, chunk: int | None = No
     """Merge disjoint segments that touch and agree in the columns ``same``; ``parts`` may be dealt already."""
     rows = parts if "_chunk" in parts.columns else chunked(parts, "start", chunk=chunk, by=by)
     key = F.struct(*[F.col(c) for c in same]) if same else F.lit(0)
-    rows = _with_last(rows.withColumn("_key", key), {"_before": F.col("end"), "_other": F.col("_key")}, ["start"], by)
+    rows = _with_last(rows.withColumn("_key", key), {"_before": F.col("end"), "_other": F.col("_key")}, ["start"], by, {"_top": ("top", F.col("end"))})
     first = F.col("_before").isNull() | (F.col("_before") != F.col("start") - 1) | ~F.col("_other").eqNullSafe(F.col("_key"))
     return _islands(rows, first, by).select(*by, "start", "end", *same)
 
 
 def runs(rows: DataFrame, value: str, *, chunk: int | None = None, by: Sequence[str] = ("space",)) -> DataFrame:
     """The runs of equal values in row order (column rid): start and end (the first and last row), value."""
-    rows = _with_last(chunked(rows, "rid", chunk=chunk, by=by), {"_before": F.col("rid"), "_other": F.col(value)}, ["rid"], by)
+    rows = _with_last(chunked(rows, "rid", chunk=chunk, by=by), {"_before": F.col("rid"), "_other": F.col(value)}, ["rid"], by, {"_top": ("top", F.col("rid"))})
     first = F.col("_before").isNull() | ~F.col("_other").eqNullSafe(F.col(value))
     return _islands(rows.withColumns({"start": F.col("rid"), "end": F.col("rid")}), first, by).select(*by, "start", "end", value)
 
@@ -142,9 +148,8 @@ def _islands(rows: DataFrame, first: Column, by: Sequence[str]) -> DataFrame:
     """The rows that begin an island, each with the end of its island.
 
     Such a row also tells where the island before ends (``_before``, the end of the row before); the last island of a
-    group ends with its last row.  So only the beginnings are left to be swept.
+    group ends with its last row (``_top``).  So only the beginnings are left to be swept.
     """
-    ends = rows.groupBy(*by).agg(F.max("end").alias("_top"))
     island = F.struct(F.col("start").alias("s"), F.col("_before").alias("e"))
-    rows = swept(rows.filter(first), {"_next": ("next", island)}, ["start"], by=by).join(ends, list(by))
+    rows = swept(rows.filter(first), {"_next": ("next", island)}, ["start"], by=by)
     return rows.withColumn("end", F.coalesce("_next.e", "_top"))
