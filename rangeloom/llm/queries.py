@@ -126,5 +126,35 @@ FROM m LEFT JOIN k USING (vec_id)
 """
 
 
+#: Digests of the payloads in base32, five hexadecimal digits at a time.
+WARC_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS x FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY x) AS first FROM p)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(generate_series(0, 7), lambda i: array_to_string(list_transform([15, 10, 5, 0], lambda s:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(x, (5 * i + 1)::INT, 5))::INT >> s) & 31) + 1)::INT, 1)), '')), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+
+#: All pairs of texts that share a run, and the least id reachable by links.
+RUNS_SQL = r"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+n AS MATERIALIZED (SELECT w, min(doc_id) AS node, count(*) AS copies FROM d WHERE len(w) > 0 GROUP BY w),
+g AS MATERIALIZED (SELECT node, unnest(list_distinct(list_transform(generate_series(1, greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i:i + 4], ' ')))) AS run FROM n),
+z AS (SELECT node, count(*) AS n FROM g GROUP BY node),
+s AS (SELECT x.node AS a, y.node AS b, count(*) AS c FROM g x JOIN g y ON x.run = y.run AND x.node < y.node GROUP BY ALL),
+o AS MATERIALIZED (SELECT a, b FROM s JOIN z x ON x.node = a JOIN z y ON y.node = b WHERE 5 * c >= 4 * (x.n + y.n - c)),
+p AS MATERIALIZED (SELECT a, b FROM o UNION ALL SELECT b, a FROM o),
+r AS (SELECT node AS a, node AS b FROM n UNION SELECT r.a, p.b FROM r JOIN p ON p.a = r.b),
+m AS (SELECT a AS node, min(b) AS class_id FROM r GROUP BY a),
+k AS (SELECT p.a AS node, sum(n.copies) AS links FROM p JOIN n ON n.node = p.b GROUP BY p.a)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, (coalesce(links, 0) + coalesce(copies - 1, 0))::BIGINT AS n_links, doc_id = coalesce(class_id, doc_id) AS kept
+FROM d LEFT JOIN n USING (w) LEFT JOIN m USING (node) LEFT JOIN k USING (node)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": MIX_SQL, "op3_embedding_dedup": VECTORS_SQL, "op9_line_dedup": LINES_SQL}
+    return {"op1_mix_sources": MIX_SQL, "op3_embedding_dedup": VECTORS_SQL, "op7_warc": WARC_SQL, "op9_line_dedup": LINES_SQL, "op10_ngram_join": RUNS_SQL}
