@@ -179,9 +179,15 @@ q("w1_runsum", lambda: lst(X.running("v", 3, "sum")), win(f"sum(x) {OVER}", "c =
 q("w2_runmean", lambda: lst(X.running("v", 3, "mean")), win(f"avg(x) {OVER}", "c = 3"), more=LONG, text=True)
 q("w3_runwtsum", lambda: lst(X.running("v", 3, "wtsum", weights=[1, 2, 4])), win("x + 2 * lead(x, 1) OVER (PARTITION BY key ORDER BY i) + 4 * lead(x, 2) OVER (PARTITION BY key ORDER BY i)", "c = 3"), more=LONG, text=True)
 q("w4_runq", lambda: lst(X.running(F.reverse("v"), 3, "q", nth=2)), win(f"median(x) {OVER}", "c = 3").replace("ORDER BY i) AS r", "ORDER BY i DESC) AS r"), more=LONG, text=True)
-# End rules of running medians follow a chain of medians: tested by hand-made values.
-add("w5_runmed", lambda s, d: two(s, d).select("key", lst(X.running_median(F.transform("v", lambda x: x * 7 % 13), 5)).alias("r")))
-add("w6_smooth_ends", lambda s, d: two(s, d).select("key", lst(X.smooth_ends(F.transform("v", lambda x: (x * 7 % 13).cast("double")), 5)).alias("r")))
+#: Running medians of five, medians of three next to the ends (d), and Tukey's rule for the ends themselves.
+MEDIANS = """SELECT key, string_agg(CAST(CAST(round(r * 1000) AS BIGINT) AS VARCHAR), ',' ORDER BY i) AS r FROM (
+  SELECT key, i, CASE WHEN n < 3 OR i NOT IN (1, n) THEN d ELSE x + g + (3 * g - 2 * h) - least(x, g, 3 * g - 2 * h) - greatest(x, g, 3 * g - 2 * h) END AS r FROM (
+    SELECT *, CASE WHEN i = 1 THEN lead(d, 1) OVER u ELSE lag(d, 1) OVER u END AS g, CASE WHEN i = 1 THEN lead(d, 2) OVER u ELSE lag(d, 2) OVER u END AS h FROM (
+      SELECT key, i, x, n, CASE WHEN i IN (1, n) THEN x WHEN i IN (2, n - 1) THEN median(x) OVER (u ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) ELSE {inner} END AS d
+      FROM (SELECT key, i, CAST(x * 7 % 13 AS DOUBLE) AS x, count(*) OVER (PARTITION BY key) AS n FROM lv) WINDOW u AS (PARTITION BY key ORDER BY i)
+    ) WINDOW u AS (PARTITION BY key ORDER BY i))) GROUP BY key"""
+q("w5_runmed", lambda: lst(X.running_median(F.transform("v", lambda x: x * 7 % 13), 5)), MEDIANS.format(inner="median(x) OVER (u ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)"), more=LONG, text=True)
+q("w6_smooth_ends", lambda: lst(X.smooth_ends(F.transform("v", lambda x: (x * 7 % 13).cast("double")), 5)), MEDIANS.format(inner="x"), more=LONG, text=True)
 UP = "OVER (PARTITION BY key ORDER BY i)"
 q("w7_cumsum", lambda: lst(X.cumulate("v", "sum")), win(f"sum(x) {UP}", "true"), more=LONG, text=True)
 q("w7b_cummax", lambda: lst(X.cumulate(X.each("v", lambda x: x * 7 % 13), "max")), win(f"max(x * 7 % 13) {UP}", "true"), more=LONG, text=True)
