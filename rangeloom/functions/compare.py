@@ -115,8 +115,7 @@ def match(x: DataFrame, table: DataFrame) -> DataFrame:
 
 def self_match(x: DataFrame) -> DataFrame:
     """Per row: the least row with the same range, and whether the row repeats an earlier one."""
-    first = F.min("rid").over(Window.partitionBy("space", "start", "end"))
-    return x.withColumn("match", first).withColumn("duplicated", F.col("match") < F.col("rid"))
+    return match(x, x).select(*x.columns, "match", (F.col("match") < F.col("rid")).alias("duplicated"))
 
 
 def unique(x: DataFrame) -> DataFrame:

@@ -97,21 +97,27 @@ def apply(views: DataFrame, runs: DataFrame, function: Column, name: str = "resu
 
 def apply_python(views: DataFrame, runs: DataFrame, function, schema: str) -> DataFrame:
     """A Python function from a pandas frame (space, rid, pos, value), one view at a time, to a frame of ``schema``."""
-    values = unlisted(views, runs).repartition("space", "rid").sortWithinPartitions("space", "rid", "pos")
+    tasks = int(views.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number keeps small partitions apart: the function is the work
+    values = unlisted(views, runs).repartition(tasks, "space", "rid").sortWithinPartitions("space", "rid", "pos")
 
     def run(frames):
         import pandas as pd
 
-        rest = None
+        rest, done = None, []
         for frame in frames:
             frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
             key = frame[["space", "rid"]]
             starts = [*(key != key.shift()).any(axis=1).to_numpy().nonzero()[0].tolist()]
             for a, b in zip(starts, starts[1:], strict=False):
-                yield function(frame.iloc[a:b])
+                done.append(function(frame.iloc[a:b]))
+                if len(done) == 1000:  # one batch for many views: each batch costs as much as some hundred rows
+                    yield pd.concat(done, ignore_index=True)
+                    done = []
             rest = frame.iloc[starts[-1] :] if starts else frame
         if rest is not None and len(rest):
-            yield function(rest)
+            done.append(function(rest))
+        if done:
+            yield pd.concat(done, ignore_index=True)
 
     return values.mapInPandas(run, schema)
 

@@ -159,8 +159,7 @@ add("l33b_tapply", lambda s, d: groups.tapply(status(s, d), ["prio", "k"], n=F.c
 add("l34_stack", lambda s, d: groups.stacked({"a": O(s, d).filter("space = 1"), "b": L(s, d).filter("space = 2")}).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight")), "SELECT 'a' AS name, count(*) AS n, NULL::BIGINT AS weight FROM o WHERE space = 1 UNION ALL SELECT 'b', count(*), sum(w)::BIGINT FROM l WHERE space = 2", frames="ol")
 add("l34b_bind", lambda s, d: groups.bound(O(s, d).select("rid", "start"), L(s, d).select("rid", "weight"), ["rid"]), "SELECT rid, o.s AS start, l.w AS weight FROM o JOIN l USING (rid)", frames="ol")
 q("l35_concat", lambda: joined(F.concat("b", "w")), f"SELECT key, {text('list_concat(b, w)')} AS r FROM t", text=True)
-q("i16_intersect_lists", lambda: joined(F.array_sort(X.set_intersect("v", "b"))), "SELECT t.key, coalesce(string_agg(DISTINCT CAST(x AS VARCHAR), ',' ORDER BY CAST(x AS VARCHAR)), '') AS r FROM t LEFT JOIN lv ON lv.key = t.key AND list_contains(b, x) GROUP BY t.key", more=LONG, text=True)
-R.queries["i16_intersect_lists"] = lambda s, d: two(s, d).select("key", F.array_join(F.array_sort(F.transform(X.set_intersect("v", "b"), lambda x: x.cast("string"))), ",").alias("r"))
+q("i16_intersect_lists", lambda: joined(F.array_sort(X.each(X.set_intersect("v", "b"), lambda x: x.cast("string")))), "SELECT t.key, coalesce(string_agg(DISTINCT CAST(x AS VARCHAR), ',' ORDER BY CAST(x AS VARCHAR)), '') AS r FROM t LEFT JOIN lv ON lv.key = t.key AND list_contains(b, x) GROUP BY t.key", more=LONG, text=True)
 q("j30_match_table", lambda: joined(X.match_table("v", F.array(F.lit(2), F.lit(1)).cast("array<bigint>"))), f"SELECT key, {text('list_transform(v, lambda x: CASE x WHEN 2 THEN 1 WHEN 1 THEN 2 END)')} AS r FROM t", text=True)
 
 # ---- running values --------------------------------------------------------------------------------------------------
