@@ -159,3 +159,28 @@ def test_windows_on_a_stream(spark, tmp_path):
         for start in (i * 60 // 600 * 600, i * 60 // 600 * 600 - 600):
             want[start] = want.get(start, 0) + 1
     assert got == want
+
+
+def test_self_match_and_python_views(spark):
+    """Repeated ranges name their first row; a Python function sees each view once and whole, however batches fall."""
+    from rangeloom.functions import compare
+    from rangeloom.operators import views
+
+    pairs = [(1, 5), (2, 5), (1, 5), (1, 5), (2, 5), (9, 8)]
+    out = compare.self_match(frame(spark, pairs))
+    assert out.columns == ["space", "rid", "start", "end", "match", "duplicated"]
+    assert sorted((r.rid, r.match, r.duplicated) for r in out.collect()) == [(i, pairs.index(p) + 1, pairs.index(p) + 1 < i) for i, p in enumerate(pairs, 1)]
+
+    seen = [(a, a + a % 7) for a in range(1, 2400)]
+    runs = spark.range(1, 2410).select(F.lit(0).cast("long").alias("space"), F.col("id").alias("start"), F.col("id").alias("end"), (F.col("id") * 7 % 101).alias("value"))
+
+    def spread(pdf):
+        return pdf.head(1)[["space", "rid"]].assign(n=len(pdf), total=int(pdf["value"].sum()))
+
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        got = {r.rid: (r.n, r.total) for r in views.apply_python(frame(spark, seen), runs, spread, "space long, rid long, n long, total long").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert got == {i: (b - a + 1, sum(x * 7 % 101 for x in range(a, b + 1))) for i, (a, b) in enumerate(seen, 1)}
