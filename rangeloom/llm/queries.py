@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html, lines, mixing, ngram, quality, sharding, tokens, vectors, warc
+from . import decontam, divergence, html, lines, mixing, ngram, quality, search, sharding, tokens, urls, vectors, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,20 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "class_id", "n_links", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), min_docs=30, top=50)
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = urls.judge(table(spark, sf_dir, "pages"), min_support=0.01, min_confidence=0.8)
+    return out.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=50)
+    return out.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -156,5 +170,64 @@ FROM d LEFT JOIN n USING (w) LEFT JOIN m USING (node) LEFT JOIN k USING (node)
 """
 
 
+#: Counts by term in numbers of any size.
+DIVERGENCE_SQL = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+k AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM d) GROUP BY ALL HAVING count(*) >= 30),
+o AS (SELECT lang, source, term, count(*) AS c FROM (SELECT lang, source, unnest(w) AS term FROM d) SEMI JOIN k USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+f AS (SELECT lang, source, term, coalesce(c, 0) AS c, sum(coalesce(c, 0)) OVER (PARTITION BY lang, source) AS n FROM g JOIN k USING (lang) LEFT JOIN o USING (lang, source, term)),
+t AS (SELECT lang, term, sum(c) AS c FROM f GROUP BY ALL),
+l AS (SELECT lang, term, c, sum(c) OVER (PARTITION BY lang) AS n FROM t),
+p AS (SELECT lang, source, term, c, (1 + (1000000000::HUGEINT * (c + 5)) // (n + 5 * v))::BIGINT AS p FROM f JOIN v USING (lang)),
+q AS (SELECT lang, term, (1 + (1000000000::HUGEINT * (c + 5)) // (n + 5 * v))::BIGINT AS q FROM l JOIN v USING (lang)),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, p - q FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
+FROM r QUALIFY part = 'pair' OR rank <= 50
+"""
+
+
+#: All combinations of a labelled URL's tokens, counted.
+URLS_SQL = r"""
+WITH u AS (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+h AS (SELECT *, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+             coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path, coalesce(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1), '') AS query FROM u),
+list AS (FROM (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')) x(verdict, host, path)),
+m AS (SELECT h.*, arg_max({'n': x.host || x.path, 'v': x.verdict}, length(x.host || x.path) * 1000 + length(x.host)) AS r
+      FROM h LEFT JOIN list x ON (h.host = x.host OR ends_with(h.host, '.' || x.host)) AND starts_with(h.path, x.path) GROUP BY ALL),
+t AS MATERIALIZED (SELECT page_id, host, path, r, list_sort(list_distinct(
+        list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'h:' || x)
+        || list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: 'p:' || regexp_replace(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', '#', 'g'))
+        || list_transform(list_filter(string_split(query, '&'), lambda x: x <> ''), lambda x: 'q:' || regexp_extract(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^[^=]*')))) AS tokens FROM m),
+a AS MATERIALIZED (SELECT tokens, r.v AS verdict FROM t WHERE r IS NOT NULL AND len(tokens) BETWEEN 1 AND 16),
+b AS (SELECT verdict, list_filter(tokens, lambda x, i: (k >> (i - 1)) & 1 = 1) AS items FROM (SELECT *, unnest(range(1, 1 << len(tokens))) AS k FROM a)),
+n AS (SELECT items, count(*) AS n, count(*) FILTER (verdict = 'allow') AS ok FROM b GROUP BY items),
+s AS (SELECT items, 'allow' AS verdict, ok AS support, ok / n AS confidence FROM n UNION ALL SELECT items, 'block', n - ok, (n - ok) / n FROM n),
+f AS MATERIALIZED (FROM s WHERE confidence >= 0.8::DOUBLE AND support >= greatest(10, (SELECT ceil(count(*) * 0.01::DOUBLE) FROM a))),
+z AS MATERIALIZED (FROM f WHERE NOT EXISTS (FROM f o WHERE o.verdict = f.verdict AND len(o.items) = len(f.items) - 1 AND o.confidence >= f.confidence AND list_has_all(f.items, o.items))),
+y AS (SELECT page_id, host, path, arg_max(z.verdict, {'c': z.confidence, 's': z.support, 'n': len(z.items), 'a': z.verdict = 'allow', 'i': z.items}) AS v
+      FROM t JOIN z ON r IS NULL AND list_has_all(t.tokens, z.items) GROUP BY ALL)
+SELECT t.page_id, t.host, t.path, r.n AS rule, coalesce(r.v, y.v, 'allow') AS verdict FROM t LEFT JOIN y USING (page_id)
+"""
+
+
+#: Every document that shares a term is scored.
+SEARCH_SQL = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+c AS (SELECT count(*)::BIGINT AS nn, sum(len(w))::BIGINT AS ll FROM d WHERE len(w) > 0),
+i AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term FROM benchmark),
+p AS (SELECT doc_id, len(w)::BIGINT AS n, unnest(w) AS term FROM d),
+q AS (SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM p SEMI JOIN i USING (term) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln(((2 * nn + 2)::DOUBLE) / ((2 * count(*) + 1)::DOUBLE)))::BIGINT AS w FROM q, c GROUP BY term, nn),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nn) // ll))))::BIGINT AS score FROM i JOIN q USING (term) JOIN w USING (term), c GROUP BY ALL)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": MIX_SQL, "op3_embedding_dedup": VECTORS_SQL, "op7_warc": WARC_SQL, "op9_line_dedup": LINES_SQL, "op10_ngram_join": RUNS_SQL}
+    return {"op11_source_divergence": DIVERGENCE_SQL, "op12_url_filter": URLS_SQL, "op13_search": SEARCH_SQL, "op1_mix_sources": MIX_SQL, "op3_embedding_dedup": VECTORS_SQL, "op7_warc": WARC_SQL, "op9_line_dedup": LINES_SQL, "op10_ngram_join": RUNS_SQL}
