@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 from ..sources.scratch import path as new_path
 from ..sources.scratch import shared_root
@@ -18,6 +19,7 @@ from ..sources.scratch import shared_root
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_RE = re.compile(WORD)
 
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into the shared checkpoint folder and drop its lineage (for slim tables)."""
     sc = df.sparkSession.sparkContext
@@ -38,6 +40,14 @@ def hinted(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
+def shape(**kinds: DataType | str) -> StructType:
+    """A schema by field, for rows that Python returns: types as they are, whatever the names in a struct, or by name."""
+    out = StructType()
+    for name, kind in kinds.items():
+        out = out.add(name, kind)
+    return out
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like ``names`` that no column of ``df`` has (compared without case, as Spark does)."""
     taken = {c.lower() for c in df.columns}

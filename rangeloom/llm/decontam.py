@@ -10,9 +10,9 @@ Items go to the executors in passes of at most ``pass_chars`` characters; a larg
 documents, not more memory.
 
 Texts are compared in lower case with runs of white space as one blank.  Defined results: null, empty or blank texts and
-items match nothing; items of fewer than ``least_chars`` characters match exactly and between word boundaries only, or
-nothing without ``short_items`` (any text may hold such names and phrases); repeated items and rows each give their own
-result; of several occurrences in a document the nearest counts; null ids are ids like others; an empty table or
+items match nothing; every item has the budget int(rate * its characters), and those of fewer than ``least_chars``
+characters must besides occur from a word's beginning to a word's end (short names stand inside longer words by chance);
+items of fewer than ``least_words`` words match nothing; repeated items and rows each give their own result; of several occurrences in a document the nearest counts; null ids are ids like others; an empty table or
 benchmark gives an empty result.
 """
 
@@ -74,12 +74,23 @@ def least_distance(mask: dict[str, int], m: int, text: str) -> int:
     return best
 
 
+def edits(a: str, b: str) -> int:
+    """The edit distance of two short texts."""
+    before = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        now = [i]
+        for j, y in enumerate(b, 1):
+            now.append(min(before[j] + 1, now[j - 1] + 1, before[j - 1] + (x != y)))
+        before = now
+    return before[-1]
+
+
 class Item:
-    """An item, its pieces, and for each piece the nodes of the tree above it.  A short one has no budget."""
+    """An item, its pieces, and for each piece the nodes of the tree above it."""
 
     def __init__(self, key: int, text: str, rate: float, short: bool = False):
         self.key, self.text, self.short = key, text, short
-        k = 0 if short else int(len(text) * rate)
+        k = int(len(text) * rate)
         self.budget = k
         cuts = [len(text) * i // (k + 1) for i in range(k + 2)]
         self.pieces = [(cuts[i], text[cuts[i] : cuts[i + 1]]) for i in range(k + 1)]
@@ -106,7 +117,14 @@ class Item:
             distance = least_distance(mask, b - a, text[max(0, first + a - most) : first + b + most])
             if distance > most:
                 return None
-        return distance
+        return self.between_words(text, first) if self.short else distance
+
+    def between_words(self, text: str, first: int) -> int | None:
+        """The least distance, within the budget, of a stretch from a word's beginning to a word's end that starts and ends
+        where an occurrence at ``first`` may."""
+        k, last = self.budget, first + len(self.text)
+        near = [edits(self.text, text[a:b]) for a in range(max(0, first - k), first + k + 1) for b in range(max(a, last - k), min(len(text), last + k) + 1) if bounded(text, a, b)]
+        return min((d for d in near if d <= k), default=None)
 
 
 class Matcher:
@@ -137,8 +155,6 @@ class Matcher:
                 if best.get(i) == 0:
                     continue
                 item = self.items[i]
-                if item.short and not bounded(text, place, end + 1):
-                    continue
                 first = place - item.pieces[j][0]
                 if i in best and (i, first, -1) in tried:
                     continue  # the same alignment has been measured
@@ -172,17 +188,17 @@ def _hits(held, rate: float, n: int, least_chars: int):
 
 
 def find_leaks(
-    df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = 0.1, least_chars: int = 20, short_items: bool = True, pass_chars: int = 4 << 20
+    df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = 0.1, least_chars: int = 20, least_words: int = 1, pass_chars: int = 4 << 20
 ) -> DataFrame:
     """Per document and item that occurs in it: id, item, distance, item_chars (of the item as it is compared).
 
-    Items of fewer than ``least_chars`` characters must occur exactly, between word boundaries; without ``short_items``
-    they are left out.
+    Items of fewer than ``least_chars`` characters must occur between word boundaries; those of fewer than
+    ``least_words`` words are left out.
     """
     bounded_batches(df.sparkSession)
     spark = df.sparkSession
     kind, item_kind = df.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    items = benchmark.select(c(item_col).alias("item"), text_or_empty(item_text_col).alias("text")).filter(F.length("text") >= (1 if short_items else least_chars))
+    items = benchmark.select(c(item_col).alias("item"), text_or_empty(item_text_col).alias("text")).filter(F.length("text") > 0)
     items = cut(items.withColumn("place", F.monotonically_increasing_id()))
     passes = max(1, -(-int(items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]) // pass_chars))
     docs = df.select(text_or_empty(text_col).alias("text"), c(id_col).alias("id"))
@@ -190,7 +206,7 @@ def find_leaks(
     for p in range(passes):
         some = items.filter(F.pmod(F.xxhash64("place"), F.lit(passes)) == p).select("place", "text").orderBy("place").collect()
         normed = [(r[0], normal(r[1])) for r in some]
-        held = spark.sparkContext.broadcast([(k, t) for k, t in normed if t and (short_items or len(t) >= least_chars)])
+        held = spark.sparkContext.broadcast([(k, t) for k, t in normed if t and t.count(" ") + 1 >= least_words])
         hits = docs.mapInArrow(_hits(held, rate, 1, least_chars), f"id {kind}, place long, distance int, item_chars int")
         found = hits if found is None else found.unionByName(hits)
     named = items.select("place", "item")

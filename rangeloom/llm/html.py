@@ -48,6 +48,7 @@ ATTRIBUTE = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)(\s*=\s*)?")
 VALUE = re.compile(r"[^\s>]*")
 #: Words in class and id that tell what an element is for.
 NOISE = frozenset("ad ads advert advertisement alert banner breadcrumb breadcrumbs comment comments cookie cookies copyright disclaimer discussion footer header legal login menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion related reply replies share sharing sidebar signup social sponsor sponsored subscribe tags topbar widget".split())
+ASIDE = frozenset("nav aside footer form".split())
 GOOD = frozenset("article articletext body content entry main post story text".split())
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 SPLIT = re.compile(r"[^a-z]+")
@@ -64,6 +65,9 @@ class Node:
     linked: int = 0
     mark: int = 0
     around: bool = False  # an article or the main part stands in it
+    inside: bool = False  # so does an element whose name tells of content
+    aside: bool = False  # it stands in a menu, footer or the like
+    plain: int = 0  # characters in it outside links, menus, footers and the like
     kids: list[int] = field(default_factory=list)
 
 
@@ -238,8 +242,17 @@ def parse(page: str) -> list[Node]:
             parent = nodes[node.parent]
             parent.chars += node.chars
             parent.linked += node.linked
-            own = (node.tag in ("article", "main") or "article" in node.names) and not any(w in NOISE for w in node.names)
-            parent.around = parent.around or node.around or own
+            quiet = not any(w in NOISE for w in node.names)
+            parent.around = parent.around or node.around or (quiet and (node.tag in ("article", "main") or "article" in node.names))
+            parent.inside = parent.inside or node.inside or (quiet and any(w in GOOD for w in node.names))
+    for node in nodes[1:]:
+        named = node.tag != "#run" and not (node.around or node.inside) and (node.tag in ASIDE or any(w in NOISE for w in node.names))
+        node.aside = nodes[node.parent].aside or named
+        if node.text is not None and not node.aside:
+            node.plain = node.chars - node.linked
+    for node in reversed(nodes):
+        if node.parent >= 0:
+            nodes[node.parent].plain += node.plain
     return nodes
 
 
@@ -256,8 +269,9 @@ def _opens_again(page: str, tag: str, at: int, cut: Cutter) -> bool:
 # ---- potentials ------------------------------------------------------------------------------------------------------
 
 
-def looks(node: Node, whole: int) -> tuple[str, ...]:
-    """What can be seen of a node: names of features that hold."""
+def looks(node: Node, whole: int, rest: int = 0) -> tuple[str, ...]:
+    """What can be seen of a node in a page of ``whole`` characters, ``rest`` of them outside links, menus and the like:
+    names of features that hold."""
     out = ["always", f"tag {node.tag}"]
     if node.tag != "#run":
         noise = any(w in NOISE for w in node.names)
@@ -272,6 +286,8 @@ def looks(node: Node, whole: int) -> tuple[str, ...]:
     out.append(f"{kind} size {0 if size < 25 else 1 if size < 80 else 2 if size < 300 else 3}")
     if kind == "block" and whole and size > whole / 2:
         out.append("most of page")
+    if rest and node.plain > rest / 2:
+        out.append(f"{kind} most of rest")
     return tuple(out)
 
 
@@ -294,14 +310,14 @@ class Model:
 
 def marginals(nodes: list[Node], model: Model) -> list[float]:
     """Each node's probability of being content, by messages up and down the tree."""
-    n, whole = len(nodes), nodes[0].chars
+    n, whole, rest = len(nodes), nodes[0].chars, nodes[0].plain
     weights = model.weights
     exp = math.exp
     own = [0.0] * n
     pair = [(1.0, 1.0, 1.0, 1.0)] * n
     tables = {k: tuple(exp(v) for v in e) for k, e in model.edges.items()}
     for i, node in enumerate(nodes):
-        own[i] = max(-30.0, min(30.0, sum(weights.get(f, 0.0) for f in looks(node, whole))))
+        own[i] = max(-30.0, min(30.0, sum(weights.get(f, 0.0) for f in looks(node, whole, rest))))
         if i:
             pair[i] = tables[edge(nodes[node.parent], node)]
     # log-odds are messages up to scale: with odds r of the child, the parent sees (p01 r + p00) against (p11 r + p10)
@@ -361,7 +377,7 @@ def train(pages: list[str], *, copies: int = 6, rounds: int = 80, rate: float =
         n = a + b + d + e
         p1, c1 = (d + e) / n, (b + e) / n
         edges[k] = tuple(math.log(x / n / m) for x, m in ((a, (1 - p1) * (1 - c1)), (b, (1 - p1) * c1), (d, p1 * (1 - c1)), (e, p1 * c1)))
-    seen = [[looks(node, t[0].chars) for node in t] for t in trees]
+    seen = [[looks(node, t[0].chars, t[0].plain) for node in t] for t in trees]
     weights: dict[str, float] = {f: 0.0 for s in seen for fs in s for f in fs}
     mean, square = dict.fromkeys(weights, 0.0), dict.fromkeys(weights, 0.0)
     for step in range(1, rounds + 1):

@@ -37,4 +37,25 @@ PAGES = [
     <div class="sideBar"><p>@</p></div></div><div class="cookieBanner"><p>@ @</p></div></body>""",
     """<body><div class="site header-fixed"><div id="siteHeader"><p>~</p><a>~</a></div><div class="content-area"><div class="post-content" y><p>@</p><p>@ @</p><blockquote>@</blockquote><p>@ @</p></div></div><div class="relatedLinks"><a>~</a><a>~</a></div></div></body>""",
     """<body><div class="layout with-nav"><nav><a>~</a><a>~</a></nav><article y><h2>~</h2><p>@</p><p>~</p></article><section class="reader-comments"><div class="comment-body"><p>@ @</p></div><div class="comment-body"><p>@ @ @</p></div><div class="comment-body"><p>@</p></div></section></div></body>""",
+    # short articles, alone on their page or nearly so
+    """<body y><p>@</p></body>""",
+    """<body y><p>@ @ @ @</p></body>""",
+    """<body y><h1>~</h1><p>@ @ @</p></body>""",
+    """<body y>@ @</body>""",
+    """<body><main y><p>@</p></main></body>""",
+    """<body><main y><h1>~</h1><p>@ @ @</p></main><footer>~</footer></body>""",
+    """<body><div class="page" y><p>@</p></div></body>""",
+    """<body><div y><h2>~</h2><p>@ @ @ @</p></div></body>""",
+    """<body><article y><p>@ @</p></article></body>""",
+    """<body><nav><a>~</a></nav><div y><h1>~</h1><p>@</p><p>@ @ @</p></div><footer>~</footer></body>""",
+    """<body><nav><a>~</a><a>~</a></nav><div y><p>@</p></div><footer>@</footer></body>""",
+    """<body><ul class="menu"><li><a>~</a></li><li><a>~</a></li></ul><p y>@ @</p><div class="footer">~</div></body>""",
+    """<body><header><a>~</a></header><h1 y>~</h1><p y>@ @ @ @ @</p><footer><p>@</p></footer></body>""",
+    """<body><div id="nav"><a>~</a><a>~</a></div><h2 y>~</h2><p y>@</p><p y>@</p><div class="copyright">~</div></body>""",
+    """<body><nav><a>~</a></nav><section y><h1>~</h1><p>@ @ @</p></section><aside><p>@</p></aside></body>""",
+    """<body><div class="cookie-banner"><p>@ @</p></div><main y><h1>~</h1><p>@</p></main></body>""",
+    """<body><div><div y><p>@ @</p></div></div><div class="comments"><p>@</p><p>@ @ @</p></div></body>""",
+    """<body><form><p>~</p><input></form><div y><h1>~</h1><p>@ @</p></div><div class="related"><a>~</a></div></body>""",
+    """<body><nav><a>~</a><a>~</a><a>~</a></nav><footer>~ @</footer></body>""",
+    """<body><div class="menu"><a>~</a><a>~</a></div><div class="login"><form><p>~</p></form></div><div class="notice">@</div></body>""",
 ]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, c, cut, fresh, slices, text_or_empty, tidied
+from .common import bounded_batches, c, cut, fresh, shape, slices, text_or_empty, tidied
 
 BLANKS = b" \t\n\x0b\x0c\r"
 
@@ -98,9 +98,8 @@ def dedup_lines(
     """
     spark = df.sparkSession
     common = cut(common_lines(df, text_col=text_col, min_docs=min_docs, min_chars=min_chars).select("hash"))
-    kind = df.schema[id_col].dataType.simpleString()
     body = F.encode(text_or_empty(text_col), "UTF-8")
-    out = f"id {kind}, kept binary, n_lines long, n_dropped long"
+    out = shape(id=df.schema[id_col].dataType, kept="binary", n_lines="long", n_dropped="long")
     if common.limit(broadcast_limit + 1).count() <= broadcast_limit:
         held = spark.sparkContext.broadcast(frozenset(bytes(r[0]) for r in common.collect()))
         return df.select(body.alias("text"), c(id_col).alias("id")).mapInArrow(_with_set(held, ["id"]), out)

@@ -307,14 +307,14 @@ def keep_first(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     goes = joined.filter("worded and not (id <=> class_id)").select(F.col("node").alias(node), F.col("id").alias(ident)).distinct()
     goes = cut(goes)
     stay = df.withColumn(node, node_of(text_col))
-    same = (stay[node] == goes[node]) & F.col(id_col).eqNullSafe(goes[ident])
+    same = (stay[node] == goes[node]) & c(id_col).eqNullSafe(goes[ident])
     stay = stay.join(hinted(goes, broadcast_rows), same, "left_anti")
     kept = joined.filter("worded and id <=> class_id")
     if kept.groupBy("class_id").count().filter("count > 1").limit(1).count():
         # ids that repeat: of the rows that are equal in id and group, one stays
         first = cut(kept.groupBy("class_id").agg(F.min("node").alias("first")))
         (mark,) = fresh(stay, "first")
-        again = stay.join(first.select(F.col("class_id").alias(ident), F.col("first").alias(mark)), F.col(id_col).eqNullSafe(F.col(ident)), "left")
+        again = stay.join(first.select(F.col("class_id").alias(ident), F.col("first").alias(mark)), c(id_col).eqNullSafe(F.col(ident)), "left")
         worded = F.size(F.filter(F.split(text_or_empty(text_col), r"[\x20\x09-\x0D]+"), lambda w: w != "")) > 0
         blank = again.filter(~worded)
         stay = again.filter(worded & F.col(mark).eqNullSafe(F.col(node))).dropDuplicates([node, id_col]).unionByName(blank)

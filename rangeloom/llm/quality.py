@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import aside, bounded_batches, c, slices, stored, text_or_empty, tidied
+from .common import aside, bounded_batches, c, shape, slices, stored, text_or_empty, tidied
 
 BLOCK = 2048
 
@@ -188,7 +188,7 @@ def score(df: DataFrame, model: Model, *, text_col: str = "text", keep: list[str
     keep = df.columns if keep is None else keep
     held = df.sparkSession.sparkContext.broadcast(model)
     packed = df.select(c(text_col).cast("string").alias("text"), F.struct(*[c(k) for k in keep]).alias("row"))
-    out = packed.mapInArrow(_scores(held, None), f"row {packed.schema['row'].dataType.simpleString()}, score double")
+    out = packed.mapInArrow(_scores(held, None), shape(row=packed.schema["row"].dataType, score="double"))
     return out.select(*[F.col("row").getField(k).alias(new) for k, new in zip(keep, aside(keep, "score"), strict=True)], "score")
 
 
@@ -199,5 +199,5 @@ def keep_good(df: DataFrame, model: Model, *, text_col: str = "text", least: flo
     others = [x for x in df.columns if x != text_col]
     rest = F.struct(*[c(x) for x in others]) if others else F.struct(F.lit(0).alias("none"))
     packed = df.select(c(text_col).cast("string").alias("text"), rest.alias("row"))
-    good = packed.mapInArrow(_scores(held, least), f"text string, row {packed.schema['row'].dataType.simpleString()}")
+    good = packed.mapInArrow(_scores(held, least), shape(text="string", row=packed.schema["row"].dataType))
     return good.select(*[F.col("text").alias(x) if x == text_col else F.col("row").getField(x).alias(x) for x in df.columns])

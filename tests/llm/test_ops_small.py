@@ -585,17 +585,40 @@ def test_leaks(spark, pass_chars):
     assert decontam.find_leaks(df, bench.limit(0)).collect() == decontam.find_leaks(df.limit(0), bench).collect() == []
 
 
+def nearest_stretch(item, text):
+    """The least distance of the item to any stretch from a word's beginning to a word's end, tried one by one."""
+    p, t = decontam.normal(item), decontam.normal(text or "")
+    spans = [(a, b) for a in range(len(t)) for b in range(a + 1, min(len(t), a + len(p) + 2) + 1) if decontam.bounded(t, a, b)]
+    return min((decontam.edits(p, t[a:b]) for a, b in spans), default=99)
+
+
 def test_short_items(spark):
-    """Items under the least length match exactly at word boundaries; only who asks for it leaves them out."""
-    bench = spark.createDataFrame([(1, "Blue  whale"), (2, "42"), (3, "漢字"), (4, " \n"), (5, None), (6, "c++")], "item_id long, text string")
-    texts = ["a blue\nWHALE.", "blue whales", "the bluewhale", "is 42", "is 421 or x42", "(42)", "これは漢字です", "use c++ now", "blue whole", "c++", "", None]
+    """Items under the least length have the same budget as others and must stand between word boundaries."""
+    items = [(1, "Blue  whale"), (2, "42"), (3, "漢字"), (4, " \n"), (5, None), (6, "c++"), (7, "what is the sum"), (8, "abcdefghi"), (9, "a tale of 2 cities"), (10, "nineteen characters")]
+    texts = ["a blue\nWHALE.", "blue whales", "the bluewhale", "is 42", "is 421 or x42", "(42)", "これは漢字です", "use c++ now", "blue whole", "c++", "", None, "bluewhales"]
+    texts += ["so what is thx sum of it", "so whatis the sum", "what is a sum", "overwhat is the sum", "what was the sum", "abcdefghx", "xabcdefghi", "abcdefghi", "a tale of two cities", "a tale of 3 cities!", "nineteen-characters", "nineteen characterss", "nineten charaters"]
+    rng = random.Random(15)
+    for _ in range(60):
+        edited = list(rng.choice(["what is the sum", "a tale of 2 cities", "nineteen characters", "blue whale"]))
+        for _ in range(rng.randint(0, 2)):
+            at = rng.randrange(len(edited))
+            edited[at : at + rng.randint(0, 1)] = rng.choice(["", "x", " ", "q", "e"])
+        texts.append(rng.choice(["", "so ", "so"]) + "".join(edited) + rng.choice(["", " it", "s"]))
     df = documents(spark, [row(i, t) for i, t in enumerate(texts)])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = Counter()
+    for i, text in enumerate(texts):
+        for key, item in items:
+            if item and item.strip() and (d := nearest_stretch(item, text)) <= int(len(decontam.normal(item)) * 0.1):
+                want[i, key, d] += 1
     for size in (4, 1 << 20):
         found = decontam.find_leaks(df, bench, pass_chars=size).collect()
-        assert Counter((r.id, r.item, r.distance) for r in found) == Counter([(0, 1, 0), (3, 2, 0), (5, 2, 0), (6, 3, 0), (7, 6, 0), (9, 6, 0)])
-    assert {r.doc_id for r in decontam.without_leaks(df, bench).collect()} == {1, 2, 4, 8, 10, 11}
-    assert decontam.find_leaks(df, bench, short_items=False).collect() == []
-    assert decontam.without_leaks(df, bench, short_items=False).count() == len(texts)
+        assert Counter((r.id, r.item, r.distance) for r in found) == want
+    assert sum(d for _, _, d in want) > 15 and (13, 7, 1) in want and (16, 7, 0) not in want
+    assert {r.doc_id for r in decontam.without_leaks(df, bench).collect()} == set(range(len(texts))) - {i for i, _, _ in want}
+    for least, out in ((2, {2, 3, 6, 8}), (5, {1, 2, 3, 6, 7, 8, 10})):
+        found = decontam.find_leaks(df, bench, least_words=least).collect()
+        assert Counter((r.id, r.item, r.distance) for r in found) == Counter({k: n for k, n in want.items() if k[1] not in out})
 
 
 # ---- lines -----------------------------------------------------------------------------------------------------------
@@ -628,6 +651,8 @@ def test_lines(spark, broadcast_limit):
     assert clean.columns == df.columns
     assert Counter((r.doc_id, r.text) for r in clean.collect()) == Counter((r[0], want(r[1])[0].decode()) for r in rows)
     assert lines.dedup_lines(df.limit(0)).collect() == []
+    odd = lines.without_common_lines(df.withColumnsRenamed({"n_chars": "n chars", "lang": "meta.lang"}), min_docs=10)
+    assert odd.columns == ["doc_id", "text", "meta.lang", "source", "n chars"] and Counter((r.doc_id, r.text) for r in odd.collect()) == Counter((r.doc_id, r.text) for r in clean.collect())
 
 
 # ---- near copies -----------------------------------------------------------------------------------------------------

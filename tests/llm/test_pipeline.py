@@ -33,8 +33,8 @@ def corpus(spark, tmp_path_factory):
     rows += [row(3000 + i, " ".join(near[:i] + ["edited"] + near[i + 1 :]), None) for i in range(12)]
     rows += [row(4000 + i, good(4) + " " + items[i % 4] + " " + good(4), "c") for i in range(12)]
     folder = tmp_path_factory.mktemp("sf")
-    more = [(*r, i, "x") for i, r in enumerate(rows)]
-    docs = spark.createDataFrame(more, "doc_id long, text string, lang string, source string, n_chars long, Shard int, score string")
+    more = [(*r, i, "x", (1, "y"), "z", None) for i, r in enumerate(rows)]
+    docs = spark.createDataFrame(more, "doc_id long, text string, lang string, source string, n_chars long, Shard int, score string, `meta.lang` struct<`a b`:int,`c.d`:string>, `x-y` string, `n chars` int")
     docs.write.parquet(str(folder / "documents.parquet"))
     spark.createDataFrame([(100 + i, 1, 0) for i in range(0, 240, 2)] + [(1000 + i, 0, 1) for i in range(0, 160, 2)] + [(None, 1, None), (7, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
     spark.createDataFrame([(i, t) for i, t in enumerate(items)] + [(9, None), (10, ""), (11, "the")], "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
@@ -108,7 +108,7 @@ def test_stages(spark, corpus):
     assert all(mixed[s] <= 3 * plain[s] + 200 for s in plain)
     # shards: each row once, slots without gaps, equal texts together, clashing columns set aside
     last = kept["sharding"]
-    assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "_Shard", "score", "shard", "slot"]
+    assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "_Shard", "score", "meta.lang", "x-y", "n chars", "shard", "slot"]
     assert Counter(map(key, last)) == times
     slots = defaultdict(list)
     for r in last:
