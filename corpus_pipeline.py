@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and reread as the next
 stage's ``docs``.  All but the last return the columns of their input.
+
+In every stage a null text is an empty one, null ids and sources are values like others, rows that repeat are judged
+each, an empty table gives an empty result, and columns may have any names (those that a stage adds itself get an
+underscore before them).  Texts without words are no near duplicates of each other and hold no item; they have the
+score that the classifier gives an empty text, weigh nothing in the mix and one byte in a shard.
 """
 
 from __future__ import annotations
@@ -12,6 +17,10 @@ from rangeloom.llm import decontam, mixing, ngram, quality, sharding
 from rangeloom.llm.common import stored
 
 
+#: Words that a benchmark item must have to remove documents.
+LEAST_WORDS = 3
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts.
 
@@ -29,9 +38,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item occurs, with up to a tenth of its characters edited.
 
-    Documents are kept that hold no more than items of fewer than 20 characters: any text may.
+    Items of fewer than ``LEAST_WORDS`` words are names that clean documents hold too; they remove none.
     """
-    return decontam.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), rate=0.1, short_items=False)
+    return decontam.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), rate=0.1, least_words=LEAST_WORDS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
