@@ -13,7 +13,7 @@ positions are, so what is handed on stays small beside the rows.  (A chunk of ro
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,13 +33,29 @@ def chunked(df: DataFrame, at: str, *, chunk: int | None = None, by: Sequence[st
     """
     if chunk is not None:
         return df.withColumn("_chunk", F.floor(F.col(at) / chunk).cast("long")).repartition(*by, "_chunk")
+    stats, place = gridded(df, at, by=by)
+    rows = df.join(stats, list(by)) if by else df.crossJoin(F.broadcast(stats))  # one row
+    return rows.withColumn("_chunk", place(at)).drop(*GRID).repartition(*by, "_chunk")
+
+
+#: The columns of a grid: each group's least position, the width of its chunks and the number of its last one.
+GRID = ("_grid_low", "_grid_width", "_grid_top")
+
+
+def gridded(df: DataFrame, at: str, *, by: Sequence[str] = ("space",)) -> tuple[DataFrame, Callable[[str], Column]]:
+    """Each group's chunks of positions ``at``, found in one pass over the rows, a row per group; and how to tell a
+    position's chunk in rows joined to them (positions outside count to the first or last)."""
     n = F.count(F.lit(1))
     chunks = F.greatest(F.ceil(n / ROWS), F.least(F.lit(SOME), F.ceil(n / 64)))
-    width = F.greatest(F.ceil((F.max(at).cast("double") - F.min(at) + 1) / chunks), F.lit(1))
-    stats = df.groupBy(*by).agg(F.min(at).alias("_low"), width.cast("double").alias("_width"))
-    rows = df.join(stats, list(by)) if by else df.crossJoin(F.broadcast(stats))  # one row
-    place = F.floor((F.col(at).cast("double") - F.col("_low")) / F.col("_width")).cast("long")
-    return rows.withColumn("_chunk", place).drop("_low", "_width").repartition(*by, "_chunk")
+    low, width, top = GRID
+    size = F.greatest(F.ceil((F.max(at).cast("double") - F.min(at) + 1) / chunks), F.lit(1)).cast("double")
+    grid = df.groupBy(*by).agg(F.min(at).alias(low), size.alias(width), F.floor((F.max(at).cast("double") - F.min(at)) / size).cast("long").alias(top))
+
+    def place(position: str) -> Column:
+        cell = F.floor((F.col(position).cast("double") - F.col(low)) / F.col(width)).cast("long")
+        return F.greatest(F.least(cell, F.col(top)), F.lit(0))
+
+    return grid, place
 
 
 def swept(rows: DataFrame, values: dict[str, tuple[str, Column]], order: Sequence[str], *, before: Sequence[str] = (), by: Sequence[str] = ("space",)) -> DataFrame:

@@ -196,10 +196,10 @@ VW = "a AS (SELECT * FROM o), " + cov("l", "1", "max(e)").replace("cov AS (", "c
 G = " FROM j GROUP BY space, rid"
 add("v1_views", lambda s, d: views.clipped(O(s, d), subject(s, d).groupBy("space").agg(F.max("end").alias("length"))), 'SELECT a.space, rid, CASE WHEN s > t + 1 THEN t + 1 ELSE s END AS start, CASE WHEN s > t + 1 THEN t ELSE least(e, t) END AS "end" FROM a JOIN top USING (space)', frames="ol", more=VW)
 for name, column, expr in (("v2_view_mins", "view_min", "min(value)"), ("v3_view_maxs", "view_max", "max(value)"), ("v4_view_sums", "view_sum", "coalesce(sum(value), 0)::BIGINT"), ("v5_view_means", "view_mean", "avg(value)::DOUBLE"), ("v6_view_which_mins", "which_min", "arg_min(dd, value * 100000 + dd) FILTER (value IS NOT NULL)"), ("v6b_view_which_maxs", "which_max", "arg_max(dd, value * 100000 - dd) FILTER (value IS NOT NULL)")):
-    add(name, lambda s, d, column=column: views.summarize(O(s, d), subject(s, d), na_rm=True).select("space", "rid", column), f"SELECT space, rid, {expr} AS {column}{G}", frames="ol", more=VW)
+    add(name, lambda s, d, column=column: views.summarize(O(s, d), subject(s, d), na_rm=True, columns=[column]).select("space", "rid", column), f"SELECT space, rid, {expr} AS {column}{G}", frames="ol", more=VW)
 add(
     "v9_view_summary_nulls",
-    lambda s, d: views.summarize(O(s, d), subject(s, d)).select("space", "rid", "n", "view_min", "view_sum", "which_max"),
+    lambda s, d: views.summarize(O(s, d), subject(s, d), columns=["n", "view_min", "view_sum", "which_max"]).select("space", "rid", "n", "view_min", "view_sum", "which_max"),
     "SELECT space, rid, count(dd) AS n, CASE WHEN count(dd) = count(value) THEN min(value) END AS view_min, CASE WHEN count(dd) = count(value) THEN coalesce(sum(value), 0)::BIGINT END AS view_sum, arg_max(dd, value * 100000 - dd) FILTER (value IS NOT NULL AND dd < coalesce(nl, 1000000)) AS which_max FROM (SELECT *, min(CASE WHEN value IS NULL THEN dd END) OVER (PARTITION BY space, rid) AS nl FROM j) GROUP BY space, rid",
     frames="ol",
     more=VW,
@@ -214,7 +214,7 @@ def _spread(pdf):
 
 
 add("v8b_view_apply_python", lambda s, d: views.apply_python(O(s, d).filter("end >= start"), subject(s, d), _spread, "space long, rid long, spread double"), "SELECT space, rid, (max(value) - min(value))::DOUBLE AS spread FROM j WHERE dd IS NOT NULL GROUP BY space, rid", frames="ol", more=VW)
-add("v10_views_list", lambda s, d: views.summarize(O(s, d), subject(s, d), na_rm=True).groupBy("space").agg(F.sum("view_sum").alias("total")), "SELECT space, coalesce(sum(value), 0)::BIGINT AS total FROM j GROUP BY space", frames="ol", more=VW)
+add("v10_views_list", lambda s, d: views.summarize(O(s, d), subject(s, d), na_rm=True, columns=["view_sum"]).groupBy("space").agg(F.sum("view_sum").alias("total")), "SELECT space, coalesce(sum(value), 0)::BIGINT AS total FROM j GROUP BY space", frames="ol", more=VW)
 add("v11_unlist_views", lambda s, d: views.unlisted(O(s, d), subject(s, d)), "SELECT space, rid, dd AS pos, value FROM j WHERE dd IS NOT NULL", frames="ol", more=VW)
 add("v11b_view_matrix", lambda s, d: views.matrix(O(s, d), subject(s, d), 3).select("space", "rid", F.get("values", F.lit(0)).alias("c1"), F.get("values", F.lit(2)).alias("c3")), "SELECT space, rid, max(value) FILTER (i = 1) AS c1, max(value) FILTER (i = 3) AS c3 FROM (SELECT *, row_number() OVER (PARTITION BY space, rid ORDER BY dd) AS i FROM j) GROUP BY space, rid", frames="ol", more=VW)
 add("v12_paired_spaces", lambda s, d: views.paired(O(s, d), subject(s, d)), 'SELECT space, rid, s AS start, e AS "end" FROM a', frames="ol", more=VW)

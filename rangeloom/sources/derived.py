@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.sweep import running
+from .scratch import kept
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,9 +29,10 @@ def line_ranges(spark: SparkSession, sf_dir: str, space: Column | None = None) -
     lines = table(spark, sf_dir, "lineitem")
     start = day("l_shipdate")
     lines = running(lines, {"_rid": ("sum", F.lit(1).cast("long"))}, "l_orderkey", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"], by=())
-    return lines.select(
+    numbered = lines.select(
         ((F.col("l_suppkey") % 8).cast("long") if space is None else space).alias("space"), F.col("_rid").alias("rid"), start.alias("start"), (start + F.col("l_quantity").cast("int") - 1).cast("long").alias("end"), F.col("l_quantity").cast("long").alias("weight")
     )
+    return kept(numbered, "lines")  # numbering is a sweep of its own, below all sweeps that use it
 
 
 def customer_ranges(spark: SparkSession, sf_dir: str, fold: int | None = None) -> DataFrame:

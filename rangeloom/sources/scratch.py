@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -39,6 +39,16 @@ def path(spark: SparkSession, name: str) -> str:
     return f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str = "frame") -> DataFrame:
+    """``df`` computed once, into Parquet in the shared folder, and read from there: for what a plan reads several times.
+
+    Each of those readings would otherwise compute it anew, and plans stacked on plans would double with every step.
+    """
+    place = path(df.sparkSession, name)
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
 def forget(spark: SparkSession) -> bool:
     """Remove the intermediate files of this application, when no result that reads them is needed any more.
 
