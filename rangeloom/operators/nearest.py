@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.compare import distance
 from ..plans.sweep import running
-from .overlaps import find
+from ..sources.scratch import kept
+from .overlaps import find, one_hit
 
 
 def _asof(query: DataFrame, marks: DataFrame, *, strict: bool, chunk: int | None) -> DataFrame:
@@ -76,9 +77,9 @@ def nearest(x: DataFrame, subject: DataFrame, *, all: bool = False, chunk: int |
     """Per row of x the nearest subject: one that it overlaps or touches, else the closer of those before and behind.
 
     One subject: the first it overlaps or touches; of two that are equally far the one before.  All: every subject
-    that is as near as the nearest.  Pairs are made of those alone; for one subject, equal subjects count as one.
+    that is as near as the nearest.  Pairs are made of those alone, and none for one subject.
     """
-    found = _neighbours(x, subject, chunk).join(x.select("space", "rid", "start", "end"), ["space", "rid"])
+    found = kept(_neighbours(x, subject, chunk), "neighbours").join(x.select("space", "rid", "start", "end"), ["space", "rid"])
     left, right = F.col("start") - F.col("before"), F.col("behind") - F.col("end")
     use_left = F.col("before").isNotNull() & F.coalesce(left <= right, F.lit(True))
     use_right = F.col("behind").isNotNull() & F.coalesce((right <= left) if all else (right < left), F.lit(True))
@@ -92,8 +93,7 @@ def nearest(x: DataFrame, subject: DataFrame, *, all: bool = False, chunk: int |
     else:
         first, last = F.min("subject_id"), F.max("subject_id")
         at = at.groupBy("space", "axis", "pos").agg(F.when(F.col("axis") == 0, first).otherwise(last).alias("subject_id"))
-        firsts = subject.groupBy("space", "start", "end").agg(F.min("rid").alias("rid"))
-        touching = find(near, firsts, maxgap=0).groupBy("space", "query_id").agg(F.min("subject_id").alias("subject_id"))
+        touching = one_hit(near, subject, "first", maxgap=0, chunk=chunk)
     hits = touching.unionByName(sides.join(at, ["space", "axis", "pos"]).select("space", "query_id", "subject_id"))
     if all:
         return hits.distinct()  # an empty subject may stand on both sides

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..model import positions  # noqa: F401  (part of this module's vocabulary)
 from ..plans.binning import Bins, dealt, edges
+from ..plans.dominance import below
 from ..plans.sweep import running
 
 TYPES = ("any", "start", "end", "within", "extend", "equal")
@@ -43,12 +44,7 @@ def find(query: DataFrame, subject: DataFrame, *, maxgap: int = -1, minoverlap:
     "extend": the other way round.  Only spaces that both sides have can give hits.  Without ``pairs`` only the queries
     that hit something are found (space, query_id), by a semi-join that makes no pairs; wide ones may come up repeatedly.
     """
-    if type not in TYPES:
-        raise ValueError(f"type must be one of {TYPES}")
-    if type == "any" and maxgap != -1 and minoverlap != 0:
-        raise ValueError("give maxgap or minoverlap, not both")
-    if maxgap < -1 or minoverlap < 0:
-        raise ValueError("maxgap must be at least -1 and minoverlap at least 0")
+    _checked(type, maxgap, minoverlap)
     q = query.select("space", F.col("rid").alias("query_id"), F.col("start").alias("q_start"), F.col("end").alias("q_end"))
     s = subject.select("space", F.col("rid").alias("subject_id"), F.col("start").alias("s_start"), F.col("end").alias("s_end"))
     exact = {"start": ["start"], "end": ["end"], "equal": ["start", "end"]}
@@ -105,16 +101,114 @@ def points(df: DataFrame, pos: str) -> DataFrame:
 def count(query: DataFrame, subject: DataFrame, *, chunk: int | None = None, **how) -> DataFrame:
     """Per query row, with all its columns: n, the number of subjects that it hits.
 
-    For overlaps of any kind no pairs are made: a query hits the subjects that start before its end, less those that
-    end before its start, and both numbers are running counts over sorted positions.
+    No pairs are made: overlaps of any kind, shared starts and shared ends are differences of running counts over sorted
+    positions; within, extend and equal are counts of points at or below others in two coordinates.  (Only least overlaps
+    of shared starts or ends are counted from pairs.)
     """
-    if how.get("type", "any") == "any" and not how.get("minoverlap", 0):
-        counts = _ranked(query, subject, how.get("maxgap", -1), chunk)
-    else:
+    counts = _counted(query, subject, chunk, **how)
+    if counts is None:
         counts = find(query, subject, **how).groupBy("space", F.col("query_id").alias("rid")).agg(F.count(F.lit(1)).alias("n"))
     return query.join(counts, ["space", "rid"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
+def _checked(type: str, maxgap: int, minoverlap: int) -> None:
+    if type not in TYPES:
+        raise ValueError(f"type must be one of {TYPES}")
+    if type == "any" and maxgap != -1 and minoverlap != 0:
+        raise ValueError("give maxgap or minoverlap, not both")
+    if maxgap < -1 or minoverlap < 0:
+        raise ValueError("maxgap must be at least -1 and minoverlap at least 0")
+
+
+def _counted(query: DataFrame, subject: DataFrame, chunk: int | None, *, maxgap: int = -1, minoverlap: int = 0, type: str = "any") -> DataFrame | None:
+    """Hits per query (space, rid, n; those without may be left out), or nothing if only pairs can tell."""
+    _checked(type, maxgap, minoverlap)
+    wide = lambda df: df.filter(F.col("end") - F.col("start") + 1 >= minoverlap) if minoverlap else df
+    start, end, width, g = F.col("start"), F.col("end"), F.col("end") - F.col("start"), max(maxgap, 0)
+    if type == "any":
+        # both share m positions: both have as many, and the one ends that far behind the other's start
+        return _ranked(wide(query), wide(subject), -minoverlap if minoverlap else maxgap, chunk)
+    if type == "within":
+        query = wide(query)
+    elif type == "extend":
+        subject = wide(subject)
+    elif minoverlap:
+        return None
+    if type in ("start", "end") and g:
+        return _beside(query, subject, type, g, chunk)
+    if type in ("start", "end", "equal") and not g:
+        keys = ["start", "end"] if type == "equal" else [type]
+        each = subject.groupBy("space", *keys).agg(F.count(F.lit(1)).alias("n"))
+        return query.join(each, ["space", *keys]).select("space", "rid", "n")
+    # each case: what stands for x and y of a subject, and the signed corners of a query
+    if type == "within" and not g:
+        cases = [(start, -end, [(1, start, -end)])]
+    elif type == "extend" and not g:
+        cases = [(-start, end, [(1, -start, end)])]
+    elif type == "equal":
+        cases = [(start, end, [(1, start + g, end + g), (-1, start - g - 1, end + g), (-1, start + g, end - g - 1), (1, start - g - 1, end - g - 1)])]
+    elif type == "within":
+        # a triangle: starts up to g before, no wider than g more, less what ends too early
+        cases = [(start, width, [(1, start, width + g), (-1, start - g - 1, width + g)]), (start, end, [(-1, start, end - 1), (1, start - g - 1, end - 1)])]
+    else:
+        cases = [(-start, -width, [(1, -start, g - width), (-1, -start - g - 1, g - width)]), (-start, -end, [(-1, -start, -end - 1), (1, -start - g - 1, -end - 1)])]
+    sums = None
+    for x, y, corners in cases:
+        points = subject.select("space", x.cast("long").alias("x"), y.cast("long").alias("y"), F.lit(1).cast("long").alias("value"))
+        corner = F.explode(F.array(*[F.struct(F.lit(sign).alias("sign"), ax.cast("long").alias("x"), ay.cast("long").alias("y")) for sign, ax, ay in corners]))
+        asks = query.select("space", "rid", corner.alias("_c")).select("space", F.struct("space", "rid", "_c.sign").alias("ask"), "_c.x", "_c.y")
+        # corners of one sign stay apart by their places
+        asks = asks.withColumn("ask", F.struct("ask.space", "ask.rid", "ask.sign", "x", "y")) if len(corners) > 1 else asks
+        found = below(points, asks, "sum", chunk=chunk).select("ask.space", "ask.rid", (F.col("ask.sign") * F.col("value")).alias("n"))
+        sums = found if sums is None else sums.unionByName(found)
+    return sums.groupBy("space", "rid").agg(F.sum("n").alias("n"))
+
+
+def _beside(query: DataFrame, subject: DataFrame, point: str, g: int, chunk: int | None) -> DataFrame:
+    """How many subjects start (end) at most g positions from a query's start (end)."""
+    marks = subject.groupBy("space", F.col(point).alias("pos")).agg(F.count(F.lit(1)).alias("_one"))
+    marks = marks.select("space", "pos", F.lit(0).alias("_kind"), F.lit(None).cast(query.schema["rid"].dataType).alias("rid"), F.lit(0).alias("_sign"), "_one")
+    edge = F.explode(F.array(F.struct((F.col(point) + g).alias("pos"), F.lit(1).alias("sign")), F.struct((F.col(point) - g - 1).alias("pos"), F.lit(-1).alias("sign"))))
+    asks = query.select("space", "rid", edge.alias("_e")).select("space", "_e.pos", F.lit(1).alias("_kind"), "rid", F.col("_e.sign").alias("_sign"), F.lit(0).cast("long").alias("_one"))
+    rows = running(marks.unionByName(asks), {"_before": ("sum", F.col("_one"))}, "pos", ["pos", "_kind"], chunk=chunk)
+    return rows.filter("_kind = 1").groupBy("space", "rid").agg(F.sum(F.col("_sign") * F.col("_before")).alias("n"))
+
+
+def one_hit(query: DataFrame, subject: DataFrame, which: str = "first", *, maxgap: int = -1, minoverlap: int = 0, type: str = "any", chunk: int | None = None) -> DataFrame:
+    """Per query row one subject that it hits, or null: the first or last by number, or an arbitrary one (here the first):
+    space, query_id, subject_id.
+
+    No pairs are made for overlaps of any kind, within and extend, and for equal starts and ends: the answer is the least
+    (largest) number of the points at or below another in two coordinates.  With a tolerance the other types take it
+    from pairs.
+    """
+    if which not in ("first", "last", "arbitrary"):
+        raise ValueError("which must be first, last or arbitrary")
+    _checked(type, maxgap, minoverlap)
+    fold = "max" if which == "last" else "min"
+    agg = F.max if which == "last" else F.min
+    wide = lambda df: df.filter(F.col("end") - F.col("start") + 1 >= minoverlap) if minoverlap else df
+    start, end = F.col("start"), F.col("end")
+    key = ["space", F.col("rid").alias("query_id")]
+    if type in ("start", "end", "equal") and maxgap <= 0 and not minoverlap:
+        keys = ["start", "end"] if type == "equal" else [type]
+        each = subject.groupBy("space", *keys).agg(agg("rid").alias("subject_id"))
+        return query.join(each, ["space", *keys], "left").select(*key, "subject_id")
+    if type == "any":
+        far = 1 - minoverlap if minoverlap else maxgap + 1
+        asked, points, ask, point = wide(query), wide(subject), (end + far, far - start), (start, -end)
+    elif type == "within" and maxgap <= 0:
+        asked, points, ask, point = wide(query), subject, (start, -end), (start, -end)
+    elif type == "extend" and maxgap <= 0:
+        asked, points, ask, point = query, wide(subject), (-start, end), (-start, end)
+    else:
+        return select(query, find(query, subject, maxgap=maxgap, minoverlap=minoverlap, type=type), which)
+    points = points.select("space", point[0].cast("long").alias("x"), point[1].cast("long").alias("y"), F.col("rid").alias("value"))
+    asks = asked.select("space", F.struct("space", "rid").alias("ask"), ask[0].cast("long").alias("x"), ask[1].cast("long").alias("y"))
+    found = below(points, asks, fold, chunk=chunk).select("ask.space", F.col("ask.rid").alias("query_id"), F.col("value").alias("subject_id"))
+    return query.select(*key).join(found, ["space", "query_id"], "left")
+
+
 def _ranked(query: DataFrame, subject: DataFrame, maxgap: int, chunk: int | None) -> DataFrame:
     """Counts by rank: axis 0 has the subjects' starts, axis 1 their ends; queries stand behind equal positions."""
     ends = lambda first, last: F.explode(F.array(F.struct(F.lit(0).alias("axis"), first.alias("pos")), F.struct(F.lit(1).alias("axis"), last.alias("pos"))))
@@ -133,8 +227,9 @@ def _ranked(query: DataFrame, subject: DataFrame, maxgap: int, chunk: int | None
 
 def touched(query: DataFrame, subject: DataFrame, *, chunk: int | None = None, **how) -> DataFrame:
     """The numbers of the queries that hit something: space, rid.  No pairs are made."""
-    if how.get("type", "any") == "any" and not how.get("minoverlap", 0):
-        return _ranked(query, subject, how.get("maxgap", -1), chunk).filter("n > 0").select("space", "rid")
+    counts = _counted(query, subject, chunk, **how)
+    if counts is not None:
+        return counts.filter("n > 0").select("space", "rid")
     return find(query, subject, pairs=False, **how).select("space", F.col("query_id").alias("rid")).distinct()
 
 

@@ -41,9 +41,9 @@ find("j3b_find_within_maxgap", "a.s >= b.s AND a.e <= b.e AND (a.s - b.s) + (b.e
 find("j4_find_extend", "b.s >= a.s AND b.e <= a.e", type="extend")
 find("j5_find_equal", "a.s = b.s AND a.e = b.e", type="equal")
 find("j5b_find_equal_maxgap", "abs(a.s - b.s) <= 2 AND abs(a.e - b.e) <= 2", type="equal", maxgap=2)
-for which, expr in (("first", "min(b.rid)"), ("last", "max(b.rid)"), ("arbitrary", "min(b.rid)")):
-    add(f"j6_select_{which}", lambda s, d, which=which: overlaps.select(ab(s, d)[0], overlaps.find(*ab(s, d)), which), f"SELECT a.space, a.rid AS query_id, {expr} AS subject_id FROM a LEFT JOIN b ON a.space = b.space AND {ANY} GROUP BY 1, 2", frames="ab")
-add("j6_select_count", lambda s, d: overlaps.select(ab(s, d)[0], overlaps.find(*ab(s, d)), "count"), f"SELECT a.space, a.rid AS query_id, count(b.rid) AS n FROM a LEFT JOIN b ON a.space = b.space AND {ANY} GROUP BY 1, 2", frames="ab")
+for which, expr in (("first", "min(l.rid)"), ("last", "max(l.rid)"), ("arbitrary", "min(l.rid)")):
+    add(f"j6_select_{which}", lambda s, d, which=which: overlaps.one_hit(O(s, d), L(s, d), which), f"SELECT o.space, o.rid AS query_id, {expr} AS subject_id FROM o LEFT JOIN l ON o.space = l.space AND o.s <= l.e AND l.s <= o.e GROUP BY 1, 2", frames="ol")
+add("j6_select_count", lambda s, d: overlaps.count(O(s, d), L(s, d)).select("space", F.col("rid").alias("query_id"), "n"), "SELECT o.space, o.rid AS query_id, count(l.rid) AS n FROM o LEFT JOIN l ON o.space = l.space AND o.s <= l.e AND l.s <= o.e GROUP BY 1, 2", frames="ol")
 SELF = "b AS (SELECT * FROM a)"
 add("j7_self", lambda s, d: overlaps.find_self(ab(s, d)[0]), hits(ANY), frames="a", more=SELF)
 add("j7b_self_drop", lambda s, d: overlaps.find_self(ab(s, d)[0], drop_self=True, drop_redundant=True), hits(ANY + " AND a.rid < b.rid"), frames="a", more=SELF)
@@ -86,6 +86,15 @@ def flagship(s, d):
 COUNT = """SELECT o.space, o.rid, o.s AS start, o.e AS "end", count(l.rid) AS n FROM o LEFT JOIN l ON o.space = l.space AND o.s <= l.e AND l.s <= o.e GROUP BY 1, 2, 3, 4"""
 add("count_overlaps", flagship, COUNT, frames="ol")
 add("j14_count_overlaps", lambda s, d: overlaps.count(*ab(s, d), maxgap=0), "SELECT a.space, a.rid, a.s AS start, a.e AS \"end\", count(b.rid) AS n FROM a LEFT JOIN b ON a.space = b.space AND a.s <= b.e + 1 AND b.s <= a.e + 1 GROUP BY 1, 2, 3, 4", frames="ab")
+for name, on, how in (
+    ("j14b_count_within", "o.s >= l.s AND o.e <= l.e", {"type": "within"}),
+    ("j14c_count_extend", "l.s >= o.s AND l.e <= o.e AND l.e - l.s + 1 >= 3", {"type": "extend", "minoverlap": 3}),
+    ("j14d_count_minoverlap", "least(o.e, l.e) - greatest(o.s, l.s) + 1 >= 5", {"minoverlap": 5}),
+    ("j14e_count_within_maxgap", "o.s >= l.s AND o.e <= l.e AND (o.s - l.s) + (l.e - o.e) <= 9", {"type": "within", "maxgap": 9}),
+    ("j14f_count_equal_maxgap", "abs(o.s - l.s) <= 2 AND abs(o.e - l.e) <= 2", {"type": "equal", "maxgap": 2}),
+    ("j14g_count_start_maxgap", "abs(o.s - l.s) <= 2", {"type": "start", "maxgap": 2}),
+):
+    add(name, lambda s, d, how=how: overlaps.count(O(s, d), L(s, d), **how).select("space", "rid", "n"), f"SELECT o.space, o.rid, count(l.rid) AS n FROM o LEFT JOIN l ON o.space = l.space AND {on} GROUP BY 1, 2", frames="ol")
 add("j15_any_overlap", lambda s, d: overlaps.any_overlap(*ab(s, d)), f'SELECT space, rid, s AS start, e AS "end", EXISTS (SELECT 1 FROM b WHERE a.space = b.space AND {ANY}) AS hit FROM a', frames="ab")
 add("j15b_within_any", lambda s, d: overlaps.any_overlap(*ab(s, d), type="within"), 'SELECT space, rid, s AS start, e AS "end", EXISTS (SELECT 1 FROM b WHERE a.space = b.space AND a.s >= b.s AND a.e <= b.e) AS hit FROM a', frames="ab")
 add("j15c_outside", lambda s, d: overlaps.any_overlap(*ab(s, d)).select("space", "rid", (~F.col("hit")).alias("outside")), f"SELECT space, rid, NOT EXISTS (SELECT 1 FROM b WHERE a.space = b.space AND {ANY}) AS outside FROM a", frames="ab")
