@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import positions  # noqa: F401  (part of this module's vocabulary)
-from ..plans.binning import Bins, dealt, edges
+from ..plans.binning import KEYS, Bins, cut_blocks, dealt, edges, fitted, tune
 from ..plans.dominance import below
 from ..plans.sweep import running
+from ..sources.scratch import kept
 
 TYPES = ("any", "start", "end", "within", "extend", "equal")
 
 
-def meets(type: str, maxgap: int, minoverlap: int) -> Column:
-    """Whether the pair (q_start, q_end, s_start, s_end) is a hit."""
-    qs, qe, ss, se = (F.col(c) for c in ("q_start", "q_end", "s_start", "s_end"))
+def meets(type: str, maxgap: int, minoverlap: int, start: str = "q_start", end: str = "q_end") -> Column:
+    """Whether the pair (q_start, q_end, s_start, s_end) is a hit; the query's ends may have other names."""
+    qs, qe, ss, se = (F.col(c) for c in (start, end, "s_start", "s_end"))
     shared = F.least(qe, se) - F.greatest(qs, ss) + 1
     g = max(maxgap, 0)
     enough = shared >= minoverlap if minoverlap > 0 else F.lit(True)
@@ -44,14 +48,21 @@ def find(query: DataFrame, subject: DataFrame, *, maxgap: int = -1, minoverlap:
     "extend": the other way round.  Only spaces that both sides have can give hits.  Without ``pairs`` only the queries
     that hit something are found (space, query_id), by a semi-join that makes no pairs; wide ones may come up repeatedly.
     """
+    out = _hits(query, subject, maxgap=maxgap, minoverlap=minoverlap, type=type, bins=bins, pairs=pairs)
+    return out.select("space", "query_id", "subject_id") if pairs else out
+
+
+def _hits(query: DataFrame, subject: DataFrame, *, maxgap: int = -1, minoverlap: int = 0, type: str = "any", bins: Bins | None = None, pairs: bool = True, more: Sequence[str] = (), where: Column | None = None) -> DataFrame:
+    """The hits with q_start, q_end, s_start, s_end and what ``more`` names of either side (q_..., s_...); ``where`` is a
+    further condition on these, checked where a pair meets."""
     _checked(type, maxgap, minoverlap)
-    q = query.select("space", F.col("rid").alias("query_id"), F.col("start").alias("q_start"), F.col("end").alias("q_end"))
-    s = subject.select("space", F.col("rid").alias("subject_id"), F.col("start").alias("s_start"), F.col("end").alias("s_end"))
+    q = query.select("space", F.col("rid").alias("query_id"), F.col("start").alias("q_start"), F.col("end").alias("q_end"), *[F.col(x).alias(f"q_{x}") for x in more if x in query.columns])
+    s = subject.select("space", F.col("rid").alias("subject_id"), F.col("start").alias("s_start"), F.col("end").alias("s_end"), *[F.col(x).alias(f"s_{x}") for x in more if x in subject.columns])
+    hit = meets(type, maxgap, minoverlap) if where is None else meets(type, maxgap, minoverlap) & where
     exact = {"start": ["start"], "end": ["end"], "equal": ["start", "end"]}
     if type in exact and maxgap <= 0:
         keys = [F.col("q.space") == F.col("s.space")] + [F.col(f"q_{k}") == F.col(f"s_{k}") for k in exact[type]]
-        return _joined(q, s, keys, meets(type, maxgap, minoverlap), pairs)
-    bins = bins or Bins()
+        return _joined(q, s, keys, hit, pairs)
     g = max(maxgap, 0)
     if type in ("start", "end", "equal"):
         point = "end" if type == "end" else "start"
@@ -63,16 +74,25 @@ def find(query: DataFrame, subject: DataFrame, *, maxgap: int = -1, minoverlap:
         low, high = edges(F.col("q_start"), F.col("q_end"))
         q_low, q_high = low - (maxgap + 1), high + (maxgap + 1)
         s_low, s_high = edges(F.col("s_start"), F.col("s_end"))
-    left, right = dealt(q, q_low, q_high, bins, "q"), dealt(s, s_low, s_high, bins, "s").drop("_size")
-    same = [F.col(f"q.{k}") == F.col(f"s.{k}") for k in ("space", "_level", "_home", "_bin")]
+    return _met(q.withColumns({"_low": q_low, "_high": q_high}), s.withColumns({"_low": s_low, "_high": s_high}), hit, bins, pairs)
+
+
+def _met(q: DataFrame, s: DataFrame, hit: Column, bins: Bins | None, pairs: bool = True) -> DataFrame:
+    """Pairs of rows that meet between _low and _high, by bins fitted to both sides, of which the overfull are cut."""
+    q, s = kept(q, "queries"), kept(s, "subjects")  # read for the bins' width, their counts and the join
+    bins = bins or fitted(*[df.select((F.col("_high") - F.col("_low") + 1).alias("_extent")) for df in (q, s)])
+    left, right = dealt(q, F.col("_low"), F.col("_high"), bins, "q"), dealt(s, F.col("_low"), F.col("_high"), bins, "s").drop("_size")
+    left, right, blocks = cut_blocks(left, right, "query_id", "subject_id")
+    same = [F.col(f"q.{k}") == F.col(f"s.{k}") for k in (*KEYS, *blocks)]
     once = F.col("q._bin") == F.floor(F.greatest("q._low", "s._low") / F.col("q._size")).cast("long")
-    return _joined(left, right, same, once & meets(type, maxgap, minoverlap), pairs)
+    return _joined(left, right, same, once & hit, pairs)
 
 
 def _joined(q: DataFrame, s: DataFrame, keys: list[Column], hit: Column, pairs: bool) -> DataFrame:
     if not pairs:
         return q.alias("q").join(s.alias("s"), [*keys, hit], "left_semi").select("space", "query_id")
-    return q.alias("q").join(s.alias("s"), keys).filter(hit).select(F.col("q.space").alias("space"), "query_id", "subject_id")
+    named = [x for df in (q, s) for x in df.columns if x != "space" and not x.startswith("_")]
+    return q.alias("q").join(s.alias("s"), keys).filter(hit).select(F.col("q.space").alias("space"), *named)
 
 
 def select(query: DataFrame, hits: DataFrame, which: str) -> DataFrame:
@@ -87,10 +107,10 @@ def select(query: DataFrame, hits: DataFrame, which: str) -> DataFrame:
 
 def find_self(x: DataFrame, *, drop_self: bool = False, drop_redundant: bool = False, **how) -> DataFrame:
     """Hits among the ranges of one frame; of A-B and B-A the one with the smaller query number stays if asked."""
-    hits = find(x, x, **how)
+    where = F.col("query_id") <= F.col("subject_id") if drop_redundant else F.lit(True)
     if drop_self:
-        hits = hits.filter("query_id <> subject_id")
-    return hits.filter("query_id <= subject_id") if drop_redundant else hits
+        where = where & (F.col("query_id") != F.col("subject_id"))
+    return _hits(x, x, where=where, **how).select("space", "query_id", "subject_id")
 
 
 def points(df: DataFrame, pos: str) -> DataFrame:
@@ -265,51 +285,83 @@ def pairs(query: DataFrame, subject: DataFrame, **how) -> DataFrame:
 
 def intersections(query: DataFrame, subject: DataFrame, **how) -> DataFrame:
     """For each hit what both ranges share: space, query_id, subject_id, start, end."""
-    wide = merge(query.select("space", "rid", "start", "end"), subject.select("space", "rid", "start", "end"), **how)
-    return wide.select("space", F.col("q_rid").alias("query_id"), F.col("s_rid").alias("subject_id"), F.greatest("q_start", "s_start").alias("start"), F.least("q_end", "s_end").alias("end"))
+    hits = _hits(query, subject, **how)
+    return hits.select("space", "query_id", "subject_id", F.greatest("q_start", "s_start").alias("start"), F.least("q_end", "s_end").alias("end"))
 
 
 def find_pairs(query_pairs: DataFrame, subject: DataFrame, **how) -> DataFrame:
     """Queries that are pairs of ranges (rid, first, second as structs of start and end): a pair hits what either hits."""
-    both = query_pairs.select("space", "rid", F.explode(F.array("first", "second")).alias("_r")).select("space", "rid", "_r.start", "_r.end")
-    return find(both, subject, **how).distinct()
+    part = lambda name, i: F.struct(F.lit(i).alias("part"), F.col(f"{name}.start").alias("start"), F.col(f"{name}.end").alias("end"))
+    both = query_pairs.select("space", "rid", "first", F.explode(F.array(part("first", 0), part("second", 1))).alias("_r")).select("space", "rid", "first", "_r.*")
+    # what the first of a pair hits already isn't told again for the second
+    known = meets(how.get("type", "any"), how.get("maxgap", -1), how.get("minoverlap", 0), "q_first.start", "q_first.end")
+    where = (F.col("q_part") == 0) | ~F.coalesce(known, F.lit(False))
+    subject = subject.select("space", "rid", "start", "end")
+    return _hits(both, subject, more=["part", "first"], where=where, **how).select("space", "query_id", "subject_id")
+
+
+def _on_circle(df: DataFrame, low: Column, high: Column, length: int) -> DataFrame:
+    """A row per piece, one or two, of what lies between low and high on a circle: _low and _high (1 to length), _piece (its
+    number) and _pieces (all of them)."""
+    first = F.pmod(low - 1, F.lit(length)) + 1
+    last = first + (high - low)
+    piece = lambda a, z: F.struct(F.lit(a).cast("long").alias("low") if isinstance(a, int) else a.cast("long").alias("low"), F.lit(z).cast("long").alias("high") if isinstance(z, int) else z.cast("long").alias("high"))
+    pieces = F.when(high - low + 1 >= length, F.array(piece(1, length))).when(last <= length, F.array(piece(first, last))).otherwise(F.array(piece(first, length), piece(1, last - length)))
+    out = df.withColumn("_pieces", pieces).select("*", F.posexplode("_pieces").alias("_piece", "_p"))
+    return out.withColumns({"_low": F.col("_p.low"), "_high": F.col("_p.high")}).drop("_p")
+
+
+def _first_meeting() -> Column:
+    """Whether the two pieces meet and no earlier ones of the same ranges: two ranges on a circle may meet in four places."""
+    at = lambda side, i: F.get(F.col(f"{side}._pieces"), F.lit(i) if isinstance(i, int) else i)
+    meet = lambda a, b: F.coalesce((a["low"] <= b["high"]) & (b["low"] <= a["high"]), F.lit(False))
+    out = meet(at("q", F.col("q._piece")), at("s", F.col("s._piece")))
+    for i in (0, 1):
+        for j in (0, 1):
+            earlier = (F.col("q._piece") > i) | ((F.col("q._piece") == i) & (F.col("s._piece") > j))
+            out = out & ~(earlier & meet(at("q", i), at("s", j)))
+    return out
 
 
-def find_circular(query: DataFrame, subject: DataFrame, length: int, *, type: str = "any", maxgap: int = -1, minoverlap: int = 0) -> DataFrame:
+def find_circular(query: DataFrame, subject: DataFrame, length: int, *, type: str = "any", maxgap: int = -1, minoverlap: int = 0, bins: Bins | None = None) -> DataFrame:
     """Overlaps on circles of the given length, of any type.
 
-    Both sides are moved into the first circle.  Starts and ends are compared round the circle, so that ranges whose ends
-    differ by whole circles end at one place.  For the other types the query is tried in as many circles to each side as
-    the widest range needs.
+    Starts and ends are compared round the circle, so that ranges whose ends differ by whole circles end at one place.
+    For the other types a pair hits if it does with the query moved on by some number of circles, which two quotients
+    tell.  Ranges stand in bins on the circle, those that go over its end in two pieces, so the work doesn't depend on how
+    often they go round or on ``maxgap``; a pair is kept where its first pieces meet.
     """
-    from ..functions.intra import to_first_circle
-
-    g = max(maxgap, 0)
+    _checked(type, maxgap, minoverlap)
+    q = query.select("space", F.col("rid").alias("query_id"), F.col("start").alias("q_start"), F.col("end").alias("q_end"))
+    s = subject.select("space", F.col("rid").alias("subject_id"), F.col("start").alias("s_start"), F.col("end").alias("s_end"))
+    qs, qe, ss, se = (F.col(x) for x in ("q_start", "q_end", "s_start", "s_end"))
+    g, q_width, s_width = max(maxgap, 0), qe - qs + 1, se - ss + 1
+    turns = lambda low, high: F.floor(high / length) >= F.ceil(low / length)  # noqa: E731  whole circles between two moves
     if type in ("start", "end", "equal"):
-        near = lambda a, b: F.least(F.pmod(F.col(a) - F.col(b), F.lit(length)), F.pmod(F.col(b) - F.col(a), F.lit(length))) <= g
-        place = "end" if type == "end" else "start"
-        q = to_first_circle(query, length).select("space", F.col("rid").alias("query_id"), F.col("start").alias("q_start"), F.col("end").alias("q_end"))
-        s = to_first_circle(subject, length).select("space", F.col("rid").alias("subject_id"), F.col("start").alias("s_start"), F.col("end").alias("s_end"))
-        # the places round the circle at which a query finds its subjects: with a tolerance, those near it
-        steps = F.sequence(F.lit(-min(g, length // 2)), F.lit(min(g, (length - 1) // 2)))
-        q = q.withColumn("_at", F.explode(F.transform(steps, lambda k: F.pmod(F.col(f"q_{place}") + k, F.lit(length)))))
-        s = s.withColumn("_at", F.pmod(F.col(f"s_{place}"), F.lit(length)))
-        pairs = q.join(s, ["space", "_at"])
+        near = lambda a, b: F.least(F.pmod(a - b, F.lit(length)), F.pmod(b - a, F.lit(length))) <= g
+        at_q, at_s = (qe, se) if type == "end" else (qs, ss)
+        left, right = _on_circle(q, at_q - g, at_q + g, length), _on_circle(s, at_s, at_s, length)
+        hit = near(at_q, at_s)
         if type == "equal":
-            pairs = pairs.filter(near("q_start", "s_start") & near("q_end", "s_end") & ((F.col("q_end") - F.col("q_start")) - (F.col("s_end") - F.col("s_start")) <= 2 * g) & ((F.col("s_end") - F.col("s_start")) - (F.col("q_end") - F.col("q_start")) <= 2 * g))
+            hit = hit & near(qe, se) & (F.abs(q_width - s_width) <= 2 * g)
         if minoverlap > 0:
             # the most that both share in any turn
-            turn = F.floor((F.col("s_start") - F.col("q_start")) / length)
-            shared = lambda t: F.least(F.col("q_end") + t * length, F.col("s_end")) - F.greatest(F.col("q_start") + t * length, F.col("s_start")) + 1
-            pairs = pairs.filter(F.greatest(shared(turn), shared(turn + 1)) >= minoverlap)
-        return pairs.select("space", "query_id", "subject_id").distinct()
-    q, s = to_first_circle(query, length), to_first_circle(subject, length)
-    # a range of the first circle reaches into so many circles behind it
-    reach = lambda df: df.groupBy("space").agg(F.greatest(F.lit(1), F.max(F.ceil((F.col("end") + max(maxgap, 0) + 1) / length))).alias("_reach"))
-    far = reach(q).join(reach(s).withColumnRenamed("_reach", "_back"), "space")
-    q = q.join(far, "space").withColumn("_turn", F.explode(F.sequence(-F.col("_reach"), F.col("_back"))))
-    q = q.withColumns({"start": F.col("start") + F.col("_turn") * length, "end": F.col("end") + F.col("_turn") * length}).drop("_turn", "_reach", "_back")
-    return find(q, s, type=type, maxgap=maxgap, minoverlap=minoverlap).distinct()
+            turn = F.floor((ss - qs) / length)
+            shared = lambda t: F.least(qe + t * length, se) - F.greatest(qs + t * length, ss) + 1
+            hit = hit & (F.greatest(shared(turn), shared(turn + 1)) >= minoverlap)
+    else:
+        far = maxgap + 1 if type == "any" else 0
+        (q_low, q_high), (s_low, s_high) = edges(qs, qe), edges(ss, se)
+        left, right = _on_circle(q, q_low - far, q_high + far, length), _on_circle(s, s_low, s_high, length)
+        if type == "any" and minoverlap:
+            hit = (q_width >= minoverlap) & (s_width >= minoverlap) & turns(minoverlap - 1 + ss - qe, se - qs + 1 - minoverlap)
+        elif type == "any":
+            hit = turns(ss - qe - far, se + far - qs)
+        else:
+            slack = s_width - q_width if type == "within" else q_width - s_width
+            low, high = (ss - qs, se - qe) if type == "within" else (se - qe, ss - qs)
+            hit = turns(low, high) & ((q_width if type == "within" else s_width) >= minoverlap) & (slack <= g if g else F.lit(True))
+    return _met(left, right, hit & _first_meeting(), bins).select("space", "query_id", "subject_id")
 
 
 def find_grouped(query: DataFrame, subject: DataFrame, **how) -> DataFrame:
@@ -317,13 +369,10 @@ def find_grouped(query: DataFrame, subject: DataFrame, **how) -> DataFrame:
     any.  Returns group, query_id, subject_id."""
 
     def keyed(df: DataFrame) -> DataFrame:
-        return df.select(F.col("group").alias("space"), "rid", "start", "end")
+        return df.select(F.col("group").alias("space"), "rid", "start", "end", "code")
 
-    hits = find(keyed(query), keyed(subject), **how)
-    q = query.select(F.col("group").alias("space"), F.col("rid").alias("query_id"), F.col("code").alias("_q"))
-    s = subject.select(F.col("group").alias("space"), F.col("rid").alias("subject_id"), F.col("code").alias("_s"))
-    out = hits.join(q, ["space", "query_id"]).join(s, ["space", "subject_id"]).filter("_q = 0 or _s = 0 or _q = _s")
-    return out.select(F.col("space").alias("group"), "query_id", "subject_id")
+    agree = (F.col("q_code") == 0) | (F.col("s_code") == 0) | (F.col("q_code") == F.col("s_code"))
+    return _hits(keyed(query), keyed(subject), more=["code"], where=agree, **how).select(F.col("space").alias("group"), "query_id", "subject_id")
 
 
 def local_ids(df: DataFrame) -> DataFrame:
@@ -376,18 +425,48 @@ def partition_overlaps(x: DataFrame, y: DataFrame) -> DataFrame:
     return pieces.drop("rid").join(a, ["space", "start"], "left").join(b, ["space", "start"], "left")
 
 
-def binned_table(subject: DataFrame, bins: Bins | None = None) -> DataFrame:
-    """A subject prepared for many joins: its bin table, to be cached or written with ``bucketBy(n, "space", "_bin")``."""
+@dataclass(frozen=True)
+class Index:
+    """A subject prepared for many joins: a table of its ranges in bins, stored in buckets by bin."""
+
+    spark: SparkSession
+    table: str
+    bins: Bins
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.table)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
+
+def build_index(subject: DataFrame, table: str, *, buckets: int = 200, bins: Bins | None = None, path: str | None = None) -> Index:
+    """Write a subject's bin table, bucketed and sorted by bin, under ``table`` (with its files at ``path`` if given).
+
+    Joins with it move the queries alone.  The bins are kept with the table, so that :func:`open_index` finds them.
+    """
+    spark = subject.sparkSession
+    bins = bins or tune(subject)
     s = subject.select("space", F.col("rid").alias("subject_id"), F.col("start").alias("s_start"), F.col("end").alias("s_end"))
-    return dealt(s, *edges(F.col("s_start"), F.col("s_end")), bins or Bins(), "s")
+    rows = dealt(s, *edges(F.col("s_start"), F.col("s_end")), bins, "s").drop("_size")
+    writer = rows.repartition(buckets, *KEYS).write.bucketBy(buckets, *KEYS).sortBy(*KEYS).format("parquet").mode("overwrite")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+    spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('bins.width' = '{bins.width}', 'bins.levels' = '{bins.levels}')")
+    return Index(spark, table, bins)
+
+
+def open_index(spark: SparkSession, table: str) -> Index:
+    """The index that :func:`build_index` has written."""
+    found = {r[0]: r[1] for r in spark.sql(f"SHOW TBLPROPERTIES {table}").collect()}
+    return Index(spark, table, Bins(int(found["bins.width"]), int(found["bins.levels"])))
 
 
-def find_in_table(query: DataFrame, table: DataFrame, *, maxgap: int = -1, minoverlap: int = 0, bins: Bins | None = None) -> DataFrame:
-    """Overlaps of any kind with a subject from :func:`binned_table` (made with the same bins)."""
+def find_in_index(query: DataFrame, index: Index, *, maxgap: int = -1, minoverlap: int = 0) -> DataFrame:
+    """Overlaps of any kind with an indexed subject: space, query_id, subject_id."""
+    _checked("any", maxgap, minoverlap)
     q = query.select("space", F.col("rid").alias("query_id"), F.col("start").alias("q_start"), F.col("end").alias("q_end"))
     low, high = edges(F.col("q_start"), F.col("q_end"))
-    left = dealt(q, low - (maxgap + 1), high + (maxgap + 1), bins or Bins(), "q").alias("q")
-    same = [F.col(f"q.{k}") == F.col(f"s.{k}") for k in ("space", "_level", "_home", "_bin")]
+    left = dealt(q, low - (maxgap + 1), high + (maxgap + 1), index.bins, "q")
+    same = [F.col(f"q.{k}") == F.col(f"s.{k}") for k in KEYS]
     once = F.col("q._bin") == F.floor(F.greatest("q._low", "s._low") / F.col("q._size")).cast("long")
-    hits = left.join(table.drop("_size").alias("s"), same).filter(once & meets("any", maxgap, minoverlap))
-    return hits.select(F.col("q.space").alias("space"), "query_id", "subject_id")
+    return _joined(left, index.read(), same, once & meets("any", maxgap, minoverlap), True).select("space", "query_id", "subject_id")

@@ -7,6 +7,9 @@ Wide ranges would fill very many bins, so there are levels, each with bins ``STE
 range's own level is the finest on which it fills few bins.  A pair meets on the higher of its two levels: there one side
 stands in bins of its own level and the other, if its level is lower, in one or two wide ones.  The join key says which
 side is at home (``_home``), so that two narrow ranges never meet in a wide bin.
+
+Bins are fitted to the data: their width and number of levels come from the widths on both sides, and bins in which very
+many rows of either side stand are cut into sub-blocks, so that a rectangle of tasks takes the place of one.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import kept
+
 STEP = 32
 
 
@@ -37,11 +42,19 @@ class Bins:
 
 
 def tune(*sides: DataFrame) -> Bins:
-    """Bins for given data, from one pass over the widths: about the upper quartile wide, levels up to the widest."""
-    top, largest = 1, 1
-    for df in sides:
-        row = df.select((F.col("end") - F.col("start") + 2).alias("w")).agg(F.percentile_approx("w", 0.75, 100), F.max("w")).first()
-        top, largest = max(top, row[0] or 1), max(largest, row[1] or 1)
+    """Bins for given data (start, end), from one pass over the widths."""
+    return fitted(*[df.select((F.col("end") - F.col("start") + 1).alias("_extent")) for df in sides])
+
+
+def fitted(*extents: DataFrame) -> Bins:
+    """Bins for rows of which ``_extent`` tells how far they reach: as wide as the upper quartile on the wider side, and
+    levels up to the widest."""
+    each = [df.select(F.lit(i).alias("_side"), "_extent") for i, df in enumerate(extents)]
+    both = each[0]
+    for more in each[1:]:
+        both = both.unionByName(more)
+    rows = both.groupBy("_side").agg(F.percentile_approx("_extent", 0.75, 100), F.max("_extent")).collect()
+    top, largest = max((1, *(r[1] or 1 for r in rows))), max((1, *(r[2] or 1 for r in rows)))
     levels = 1
     while top * 8 * STEP ** (levels - 1) < largest:
         levels += 1
@@ -53,6 +66,32 @@ def edges(start: Column, end: Column) -> tuple[Column, Column]:
     return F.least(start, end), F.greatest(start, end)
 
 
+#: The join keys of both sides, and the rows of one side in a bin from which it is cut.
+KEYS = ("space", "_level", "_home", "_bin")
+BLOCK = 1 << 14
+
+
+def cut_blocks(left: DataFrame, right: DataFrame, left_id: str, right_id: str, *, block: int = BLOCK, most: int = 100_000) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both dealt sides with the further join keys that cut overfull bins: a left row stands in one row of a rectangle of
+    blocks, a right row in one column, and each pair meets in one block.
+
+    Bins are counted once, with partial sums before the shuffle.  Their list is broadcast if it is found to be short.
+    """
+    sides = [df.select(*KEYS, F.lit(a).cast("long").alias("_l"), F.lit(1 - a).cast("long").alias("_r")) for df, a in ((left, 1), (right, 0))]
+    full = sides[0].unionByName(sides[1]).groupBy(*KEYS).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r")).filter((F.greatest("_l", "_r") > block) & (F.least("_l", "_r") > 0))
+    full = kept(full.select(*KEYS, F.ceil(F.col("_l") / block).cast("int").alias("_rows"), F.ceil(F.col("_r") / block).cast("int").alias("_columns")), "full-bins")
+    n = full.limit(most + 1).count()
+    if n == 0:
+        return left, right, []
+    full = F.broadcast(full) if n <= most else full
+    one = lambda name: F.coalesce(name, F.lit(1))
+    own = lambda key, name: F.pmod(F.xxhash64(key), one(name)).cast("int")
+    all_ = lambda name: F.explode(F.sequence(F.lit(0), one(name) - 1))
+    left = left.join(full, list(KEYS), "left").withColumn("_row", own(left_id, "_rows")).withColumn("_column", all_("_columns")).drop("_rows", "_columns")
+    right = right.join(full, list(KEYS), "left").withColumn("_column", own(right_id, "_columns")).withColumn("_row", all_("_rows")).drop("_rows", "_columns")
+    return left, right, ["_row", "_column"]
+
+
 def dealt(df: DataFrame, low: Column, high: Column, bins: Bins, side: str) -> DataFrame:
     """One side of the join: rows with _low, _level, _home and _bin.
 
