@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructType
 
 from ..model import col
-from ..plans.sweep import chunked, merged, running, runs, segments, sliced, stretches, swept
+from ..plans.sweep import ROWS, chunked, merged, preceding, running, runs, segments, sliced, stretches, swept
+from ..sources.scratch import kept
 
 
 def numbered(df: DataFrame, *order: str) -> DataFrame:
@@ -104,40 +106,96 @@ def disjoin(df: DataFrame, *, revmap: bool = False, chunk: int | None = None) ->
     return out.join(back, ["space", "start"])
 
 
-def disjoint_bins(df: DataFrame) -> DataFrame:
-    """The lowest bin in which each range overlaps no earlier one, in order of start.
-
-    Ranges whose islands are apart don't touch each other's bins, so each island is coloured on its own.  If the rows
-    of a space are sorted by start already their order decides ties, else start and end.
+def _coloured(frame, state):
+    """Bins of rows in order, and what is still open behind them.  ``state``: the open ends and their bins from before."""
+    import heapq
+
+    busy = [(int(e), int(k)) for e, k in zip(state[0], state[1], strict=True)] if state else []
+    heapq.heapify(busy)
+    top = state[2] if state else 0
+    free = sorted(set(range(top)) - {k for _, k in busy})
+    bins = []
+    for s, e in zip(frame["start"].tolist(), frame["end"].tolist(), strict=True):
+        while busy and busy[0][0] < s:
+            heapq.heappush(free, heapq.heappop(busy)[1])
+        if free:
+            k = heapq.heappop(free)
+        else:
+            k, top = top, top + 1
+        heapq.heappush(busy, (e, k))
+        bins.append(k + 1)
+    return bins, ([e for e, _ in busy], [k for _, k in busy], top)
+
+
+def disjoint_bins(df: DataFrame, *, piece: int = ROWS, chunk: int | None = None) -> DataFrame:
+    """The lowest bin in which each range overlaps no earlier one, in order of start: space, rid, start, end, bin.
+
+    Ranges whose islands are apart don't touch each other's bins.  Islands are coloured in parallel, many to a task, and
+    an island of more than ``piece`` rows is coloured piece by piece: what is open at a piece's end (as many ends as ranges
+    overlap there) is handed on to the next, so each task holds a piece.  If the rows of a space are sorted by start already
+    their order decides ties, else start and end.
     """
-    from .. import model  # noqa: F401
-
-    w = Window.partitionBy("space").orderBy("rid")
-    state = df.withColumn("_bad", F.coalesce(F.col("start") < F.lag("start").over(w), F.lit(False))).groupBy("space").agg((~F.bool_or("_bad")).alias("_sorted"))
-    rows = islands(df, min_gap=0).join(state, "space")
-    rows = rows.select("space", "rid", "start", "end", "_sorted", F.col("island.start").alias("_i"), F.col("island.rid").alias("_j"))
-
-    def colour(pdf):
-        import heapq
-
-        pdf = pdf.sort_values(["start", "rid"] if bool(pdf["_sorted"].iloc[0]) else ["start", "end", "rid"])
-        free: list[int] = []
-        busy: list[tuple[int, int]] = []
-        out, top = [], 0
-        for s, e in zip(pdf["start"], pdf["end"], strict=True):
-            while busy and busy[0][0] < s:
-                heapq.heappush(free, heapq.heappop(busy)[1])
-            if free:
-                bin = heapq.heappop(free)
-            else:
-                top += 1
-                bin = top
-            out.append(bin)
-            heapq.heappush(busy, (e, bin))
-        return pdf.assign(bin=out)[["space", "rid", "start", "end", "bin"]]
-
-    kind = dict(df.dtypes)
-    return rows.groupBy("space", "_i", "_j").applyInPandas(colour, f"space {kind['space']}, rid long, start long, end long, bin long")
+    df = kept(df.select("space", "rid", "start", "end"), "ranges")
+    back = preceding(df, {"_before": F.col("start")}, "rid", ["rid"], chunk=chunk)
+    mixed = back.groupBy("space").agg(F.coalesce(F.bool_or(F.col("start") < F.col("_before")), F.lit(False)).alias("_mixed"))
+    rows = df.join(mixed, "space").withColumn("_tie", F.when(F.col("_mixed"), F.col("end")).otherwise(F.lit(0)))
+    order = ["start", "_tie", "rid"]
+    rows = swept(chunked(rows, "start", chunk=chunk), {"_reach": ("max", F.col("end")), "_row": ("sum", F.lit(1).cast("long"))}, order, before=["_reach"])
+    first = F.col("_reach").isNull() | (F.col("start") > F.col("_reach"))
+    rows = swept(rows, {"_island": ("max", F.when(first, F.col("_row")))}, order)
+    part = F.floor((F.col("_row") - F.col("_island")) / piece)
+    rows = kept(rows.select("space", "rid", "start", "end", "_row", "_island", part.cast("long").alias("_part")), "islands")
+    space, rid = (rows.schema[x].dataType for x in ("space", "rid"))
+    shape = StructType().add("space", space).add("rid", rid).add("start", "long").add("end", "long").add("bin", "long").add("_island", "long").add("_ends", ArrayType(LongType())).add("_bins", ArrayType(LongType())).add("_top", "integer")
+
+    def told(frame, bins, state, island, more: bool):
+        """A row per range; the last one of a piece that another may follow has what is open."""
+        out = frame[["space", "rid", "start", "end"]].assign(bin=bins, _island=island)
+        none = [None] * (len(out) - 1)
+        ends, held, top = state if more else (None, None, None)
+        return out.assign(_ends=[*none, ends], _bins=[*none, held], _top=[*none, top])
+
+    def begun(frame):
+        import pandas as pd
+
+        frame = frame.sort_values("_row")
+        done = []
+        for island, one in frame.groupby("_island", sort=False):
+            bins, state = _coloured(one, None)
+            done.append(told(one, bins, state, island, len(one) == piece))
+        return pd.concat(done, ignore_index=True).astype({"_top": "Int32"})
+
+    def gone_on(frame, before):
+        frame = frame.sort_values("_row")
+        open_ = before.iloc[0]
+        bins, state = _coloured(frame, (open_["_ends"], open_["_bins"], int(open_["_top"])))
+        return told(frame, bins, state, frame["_island"].iloc[0], len(frame) == piece).astype({"_top": "Int32"})
+
+    last = rows.agg(F.max("_part")).first()[0] or 0
+    # islands side by side share a task; the islands of a group begin within ``piece`` rows
+    whole = rows.filter("_part = 0").withColumn("_group", F.floor(F.col("_island") / piece))
+    step = kept(whole.groupBy("space", "_group").applyInPandas(begun, shape), "bins")
+    columns = ["space", "rid", "start", "end", "bin"]
+    out = step.select(*columns)
+    for k in range(1, last + 1):
+        state = step.filter("_ends is not null").select("space", "_island", "_ends", "_bins", "_top")
+        keys = ["space", "_island"]
+        step = kept(rows.filter(F.col("_part") == k).groupBy(*keys).cogroup(state.groupBy(*keys)).applyInPandas(_only_both(gone_on, shape), shape), "bins")
+        out = out.unionByName(step.select(*columns))
+    return out
+
+
+def _only_both(function, shape: StructType):
+    """For cogrouped rows: nothing where there are no rows to go on with."""
+
+    def run(frame, before):
+        import pandas as pd
+
+        if frame.empty:
+            return pd.DataFrame({f.name: [] for f in shape})
+        return function(frame, before)
+
+    return run
 
 
 # ---- set operations --------------------------------------------------------------------------------------------------

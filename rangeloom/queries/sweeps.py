@@ -63,7 +63,6 @@ CUTS = """ct AS (SELECT DISTINCT space, p FROM (SELECT space, s AS p FROM src UN
 dj AS MATERIALIZED (SELECT * FROM sg WHERE EXISTS (SELECT 1 FROM src WHERE src.space = sg.space AND src.e >= src.s AND src.s <= a AND src.e >= z AND z >= a))"""
 add("i6_disjoin", lambda s, d: algebra.disjoin(C(s, d)), 'SELECT space, a AS start, z AS "end" FROM dj', frames="c", more=CUTS)
 add("i6b_disjoin_revmap", lambda s, d: algebra.disjoin(C(s, d), revmap=True).withColumn("revmap", F.array_join(F.transform("revmap", lambda x: x.cast("string")), ",")), "SELECT dj.space, a AS start, z AS \"end\", string_agg(CAST(rid AS VARCHAR), ',' ORDER BY rid) AS revmap FROM dj JOIN src ON src.space = dj.space AND src.e >= src.s AND src.s <= a AND src.e >= z GROUP BY 1, 2, 3", frames="c", more=CUTS)
-# Colouring is sequential: no SQL; tested against a plain loop.
 #: Range after range of a space: the first bin whose last end lies before it, or a new one.
 BINS = """i AS (SELECT space, bool_and(ok) AS f FROM (SELECT space, coalesce(s >= lag(s) OVER (PARTITION BY space ORDER BY rid), true) AS ok FROM o) GROUP BY space),
 n AS MATERIALIZED (SELECT space, rid, s, e, row_number() OVER (PARTITION BY space ORDER BY s, CASE WHEN f THEN 0 ELSE e END, rid) AS n FROM o JOIN i USING (space)),
@@ -72,6 +71,7 @@ r AS (SELECT space, rid, s, e, n, 1 AS bin, [e] AS ends FROM n WHERE n = 1
   SELECT space, rid, s, e, n, b, CASE WHEN b > len(ends) THEN list_append(ends, e) ELSE list_transform(ends, lambda x, j: CASE WHEN j = b THEN e ELSE x END) END
   FROM (SELECT n.*, r.ends, coalesce(list_position(list_transform(r.ends, lambda x: x < n.s), true), len(r.ends) + 1) AS b FROM r JOIN n ON n.space = r.space AND n.n = r.n + 1))"""
 add("i7_disjoint_bins", lambda s, d: algebra.disjoint_bins(O(s, d)), 'SELECT space, rid, s AS start, e AS "end", CAST(bin AS BIGINT) AS bin FROM r', more=BINS, recursive=True)
+add("i7b_disjoint_bins_lines", lambda s, d: algebra.disjoint_bins(L(s, d)).select("space", "rid", "bin"), "SELECT space, rid, CAST(bin AS BIGINT) AS bin FROM r", frames="l", more=BINS.replace("FROM o)", "FROM l)").replace("FROM o JOIN", "FROM l JOIN"), recursive=True)
 
 
 def two(s, d):

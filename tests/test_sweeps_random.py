@@ -60,3 +60,30 @@ def test_disjoin_and_bins(spark):
         for j, b in enumerate(full, 1):
             if i < j and a[0] <= b[1] and b[0] <= a[1]:
                 assert bins[i] != bins[j]
+
+
+def test_a_long_island_is_coloured_piece_by_piece(spark):
+    """One island over all rows, many short ones beside it, both orders of rows."""
+    import heapq
+
+    rng = random.Random(51)
+    for in_order in (True, False):
+        spans = [(a, a + rng.choice([-1, 0, 5, 30, 200])) for a in sorted(rng.randint(0, 900) for _ in range(600))] + [(5000 + 10 * i, 5000 + 10 * i + rng.randint(-1, 12)) for i in range(200)]
+        if not in_order:
+            rng.shuffle(spans)
+        order = sorted(range(len(spans)), key=lambda i: (spans[i][0], 0 if in_order else spans[i][1], i))
+        free, busy, top, want = [], [], 0, {}
+        for i in order:
+            while busy and busy[0][0] < spans[i][0]:
+                heapq.heappush(free, heapq.heappop(busy)[1])
+            if not free:
+                top += 1
+                heapq.heappush(free, top)
+            want[i + 1] = heapq.heappop(free)
+            heapq.heappush(busy, (spans[i][1], want[i + 1]))
+        df = frame(spark, spans).unionByName(frame(spark, spans[:40], space=1))
+        for piece in (7, 64, 100_000):
+            got = {r.rid: r.bin for r in algebra.disjoint_bins(df, piece=piece).filter("space = 0").collect()}
+            assert got == want
+            if piece == 64:
+                break
