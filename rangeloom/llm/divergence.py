@@ -6,7 +6,7 @@ terms' UTF-8, which settles ties.  Counts are encoded against these arrays (a bi
 dense vector per group and array.  Shares are whole numbers, so sums over arrays are exact in any order.
 
 At scale: a group's counts meet an array's terms in the task of that array; arrays have at most about ``width`` terms,
-and many sources are dealt to several tasks for one array.  Pairs of sources meet in blocks of about 64 x 64 an array.
+and an array with many sources or counts is dealt by source to several tasks.  Pairs of sources meet in blocks of about 64 x 64 an array.
 Nothing but the first term of each array (at most about 100,000) is broadcast.
 
 Defined results: a null text, language or source is empty; rows are documents, so repeated rows count each; a group whose
@@ -241,7 +241,8 @@ def audit(
     arrays = arrays.mapInArrow(_placed(held), "first binary, terms array<binary>, totals array<long>, part int").drop("first")
 
     groups = cut(named.select("lang", "source").distinct().withColumn("head", head_of(F.col("lang"))))
-    salts = max(1, -(-groups.count() // 2000))
+    firsts = len(held.value)
+    salts = max(1, -(-groups.count() // 2000), -(-counted.count() // (500_000 * max(firsts, 1))))
     salt = F.pmod(F.xxhash64("source"), F.lit(salts)).cast("int")
     none = lambda kind: F.lit(None).cast(kind)
     theirs = counted.mapInArrow(_placed(held), "key binary, source string, tf long, docs long, part int")
