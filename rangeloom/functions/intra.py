@@ -114,10 +114,10 @@ def grow(df: DataFrame, by) -> DataFrame:
 
 def reverse(df: DataFrame, low=None, high=None) -> DataFrame:
     """Mirror inside [low, high]; by default inside each space's hull."""
-    hull = Window.partitionBy("space")
-    low = col(low) if low is not None else F.min("start").over(hull)
-    high = col(high) if high is not None else F.max("end").over(hull)
-    return _with(df.withColumns({"_a": low, "_b": high}), F.col("_a") + F.col("_b") - F.col("end"), F.col("_a") + F.col("_b") - F.col("start")).drop("_a", "_b")
+    if low is None or high is None:
+        df = df.join(df.groupBy("space").agg(F.min("start").alias("_a"), F.max("end").alias("_b")), "space")
+    given = {name: col(x) for name, x in (("_a", low), ("_b", high)) if x is not None}
+    return _with(df.withColumns(given) if given else df, F.col("_a") + F.col("_b") - F.col("end"), F.col("_a") + F.col("_b") - F.col("start")).drop("_a", "_b")
 
 
 def tile(df: DataFrame, *, n=None, size=None) -> DataFrame:

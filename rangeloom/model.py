@@ -257,8 +257,14 @@ def concat(*frames: DataFrame) -> DataFrame:
     for i, df in enumerate(frames):
         part = df.withColumn("part", F.lit(i))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    w = Window.partitionBy("space").orderBy("part", "rid")
-    return out.withColumn("rid", F.row_number().over(w).cast("long")).drop("part")
+    from .plans.sweep import running
+
+    rows = running(out, {"_number": ("sum", F.lit(1).cast("long"))}, "rid", ["rid"], by=("space", "part"))
+    # a row per space and frame
+    w = Window.partitionBy("space").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = out.groupBy("space", "part").agg(F.count(F.lit(1)).alias("_n")).select("space", "part", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    numbered = rows.join(before, ["space", "part"]).withColumn("rid", F.col("_number") + F.col("_before"))
+    return numbered.select(*[c for c in out.columns if c != "part"])
 
 
 def sizes(df: DataFrame) -> DataFrame:

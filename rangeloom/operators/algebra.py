@@ -333,8 +333,15 @@ def split_runs(runs: DataFrame) -> DataFrame:
 
 def order_runs(runs: DataFrame) -> DataFrame:
     """The runs in order of their values (ties by start): place, start, end."""
-    w = Window.partitionBy("space").orderBy("value", "start")
-    return runs.withColumn("place", F.row_number().over(w).cast("long"))
+    if dict(runs.dtypes)["value"].split("(")[0] not in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal"):
+        w = Window.partitionBy("space").orderBy("value", "start")  # only numbers can be dealt to chunks
+        return runs.withColumn("place", F.row_number().over(w).cast("long"))
+    null = F.col("value").isNull()
+    rows = runs.withColumns({"_null": null, "_at": F.coalesce(F.col("value").cast("double"), F.lit(0.0))})
+    rows = running(rows, {"_place": ("sum", F.lit(1).cast("long"))}, "_at", ["_at", "start"], by=("space", "_null"))
+    nulls = runs.groupBy("space").agg(F.count(F.when(null, 1)).alias("_nulls"))
+    place = F.col("_place") + F.when(F.col("_null"), F.lit(0)).otherwise(F.col("_nulls"))
+    return rows.join(nulls, "space").select(*runs.columns, place.alias("place"))
 
 
 def dice(runs: DataFrame, parts: DataFrame) -> DataFrame:

@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import intra
+from ..plans.sweep import preceding
 from .algebra import gaps as _gaps
 from .algebra import reduce
 
@@ -90,8 +91,8 @@ def _gaps_by_width(ranges: DataFrame, masks: DataFrame, spaces: DataFrame) -> Da
 def mask(spark: SparkSession, width: int, ranges: DataFrame, *, name: str | None = None, desc: str | None = None) -> Masks:
     """One active mask from normal ranges (start, end); ranges that aren't normal or leave [1, width] are an error."""
     head = spark.createDataFrame([(1, name, desc, True, width)], MASKS)
-    w = Window.orderBy("start", "end")
-    wrong = (F.col("end") < F.col("start")) | (F.col("start") < 1) | (F.col("end") > width) | F.coalesce(F.col("start") < F.lag("end").over(w) + 2, F.lit(False))
+    ranges = preceding(ranges.select("start", "end"), {"_before": F.col("end")}, "start", ["start", "end"], by=())
+    wrong = (F.col("end") < F.col("start")) | (F.col("start") < 1) | (F.col("end") > width) | F.coalesce(F.col("start") < F.col("_before") + 2, F.lit(False))
     checked = ranges.withColumn("start", F.when(wrong, F.raise_error(F.lit("the ranges of a mask must be normal")).cast("long")).otherwise(F.col("start")))
     return Masks(head, checked.select(F.lit(1).cast("long").alias("mask_id"), "start", "end"))
 

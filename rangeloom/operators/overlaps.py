@@ -377,7 +377,7 @@ def find_grouped(query: DataFrame, subject: DataFrame, **how) -> DataFrame:
 
 def local_ids(df: DataFrame) -> DataFrame:
     """Add ``local``, a row's place in its space."""
-    return df.withColumn("local", F.row_number().over(Window.partitionBy("space").orderBy("rid")).cast("long"))
+    return running(df, {"local": ("sum", F.lit(1).cast("long"))}, "rid", ["rid"])
 
 
 def find_local(query: DataFrame, subject: DataFrame, **how) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.binning import Bins
@@ -215,6 +215,6 @@ def combined(*views: DataFrame) -> DataFrame:
     from ..model import concat
 
     out = concat(*views)
-    w = Window.partitionBy("space")
-    wrong = F.min("subject").over(w) != F.max("subject").over(w)
-    return out.withColumn("subject", F.when(wrong, F.raise_error(F.lit("views on different subjects")).cast(dict(out.dtypes)["subject"])).otherwise(F.col("subject")))
+    seen_ = out.groupBy("space").agg(F.min("subject").alias("_one"), F.max("subject").alias("_other"))
+    wrong = F.col("_one") != F.col("_other")
+    return out.join(seen_, "space").withColumn("subject", F.when(wrong, F.raise_error(F.lit("views on different subjects")).cast(dict(out.dtypes)["subject"])).otherwise(F.col("subject"))).drop("_one", "_other")

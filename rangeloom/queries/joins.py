@@ -116,16 +116,17 @@ BLOCKS = "k AS MATERIALIZED (SELECT sp AS space, i + 1 AS rid, i * 37 + 1 AS s,
 add("j20_partition_subject", lambda s, d: overlaps.in_partition(O(s, d), blocks(s, d)), "SELECT o.space, o.rid AS query_id, k.rid AS subject_id FROM o JOIN k ON o.space = k.space AND o.s <= k.e AND k.s <= o.e WHERE o.e >= o.s", more=BLOCKS)
 
 
-def _cuts(s, size):
+def _cuts(s, d, size):
+    """The numbers of all lines in chunks of a size."""
     from .. import model
 
-    return model.chunks(s, 5000, size=size)
+    return model.chunks(s, T(s, d, "lineitem").count(), size=size)
 
 
 add(
     "j21_partition_partition",
-    lambda s, d: overlaps.partition_overlaps(_cuts(s, 37), _cuts(s, 50)).drop("space"),
-    "SELECT greatest(x.s, y.s) AS start, least(x.e, y.e) AS \"end\", x.i AS x_id, y.i AS y_id FROM (SELECT i + 1 AS i, i * 37 + 1 AS s, least((i + 1) * 37, 5000) AS e FROM (SELECT unnest(generate_series(0, 135)) AS i)) x JOIN (SELECT i + 1 AS i, i * 50 + 1 AS s, (i + 1) * 50 AS e FROM (SELECT unnest(generate_series(0, 99)) AS i)) y ON x.s <= y.e AND y.s <= x.e",
+    lambda s, d: overlaps.partition_overlaps(_cuts(s, d, 37), _cuts(s, d, 50)).drop("space"),
+    "SELECT greatest(x.s, y.s) AS start, least(x.e, y.e) AS \"end\", x.i AS x_id, y.i AS y_id FROM (SELECT i + 1 AS i, i * 37 + 1 AS s, least((i + 1) * 37, c) AS e FROM (SELECT unnest(generate_series(0, (SELECT count(*) - 1 FROM lineitem) // 37)) AS i), (SELECT count(*) AS c FROM lineitem)) x JOIN (SELECT i + 1 AS i, i * 50 + 1 AS s, least((i + 1) * 50, c) AS e FROM (SELECT unnest(generate_series(0, (SELECT count(*) - 1 FROM lineitem) // 50)) AS i), (SELECT count(*) AS c FROM lineitem)) y ON x.s <= y.e AND y.s <= x.e",
     frames="",
 )
 

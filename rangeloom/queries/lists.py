@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import compare
 from ..functions import lists as X
+from ..functions import moving, ranks
 from ..operators import algebra, groups, overlaps
 from ..streaming import windows as stream
 from ..plans.sweep import running
@@ -187,6 +188,30 @@ MEDIANS = """SELECT key, string_agg(CAST(CAST(round(r * 1000) AS BIGINT) AS VARC
     ) WINDOW u AS (PARTITION BY key ORDER BY i))) GROUP BY key"""
 q("w5_runmed", lambda: lst(X.running_median(F.transform("v", lambda x: x * 7 % 13), 5)), MEDIANS.format(inner="median(x) OVER (u ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)"), more=LONG, text=True)
 q("w6_smooth_ends", lambda: lst(X.smooth_ends(F.transform("v", lambda x: (x * 7 % 13).cast("double")), 5)), MEDIANS.format(inner="x"), more=LONG, text=True)
+# The same over vectors in long form: the weights of a space's lines, one behind the other.
+LINES = "x AS (SELECT space, w, row_number() OVER (PARTITION BY space ORDER BY rid) AS place FROM l)"
+NEXT = "OVER (PARTITION BY space ORDER BY place ROWS BETWEEN CURRENT ROW AND {} FOLLOWING)"
+
+
+def moved(name: str, k: int, how: str, expr: str, **more) -> None:
+    over = NEXT.format(k - 1)
+    add(name, lambda s, d: moving.moving(L(s, d), k, how, value="weight", **more), f"SELECT space, place, CAST({expr.format(over=over)} AS DOUBLE) AS result FROM x QUALIFY count(*) {over} = {k}", frames="l", more=LINES)
+
+
+moved("w1b_moving_sum", 25, "sum", "sum(w) {over}")
+moved("w2b_moving_mean", 25, "mean", "avg(w) {over}")
+moved("w3b_moving_wtsum", 3, "wtsum", "w + 2 * lead(w, 1) OVER (PARTITION BY space ORDER BY place) + 4 * lead(w, 2) OVER (PARTITION BY space ORDER BY place)", weights=[1, 2, 4])
+moved("w4b_moving_q", 9, "q", "list_sort(list(w) {over})[3]", nth=3)
+MEDIAN_OF = """SELECT space, place, CASE WHEN place IN (1, n) THEN m1 + g + (3 * g - 2 * h) - least(m1, g, 3 * g - 2 * h) - greatest(m1, g, 3 * g - 2 * h) ELSE m1 END AS result FROM (
+  SELECT *, CASE WHEN place = 1 THEN lead(m1, 1) OVER u ELSE lag(m1, 1) OVER u END AS g, CASE WHEN place = 1 THEN lead(m1, 2) OVER u ELSE lag(m1, 2) OVER u END AS h FROM (
+    SELECT space, place, n, CASE WHEN place IN (1, n) THEN w::DOUBLE WHEN place IN (2, n - 1) THEN median(w) OVER (u ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) ELSE median(w) OVER (u ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) END AS m1
+    FROM (SELECT *, count(*) OVER (PARTITION BY space) AS n FROM x) WINDOW u AS (PARTITION BY space ORDER BY place)) WINDOW u AS (PARTITION BY space ORDER BY place))"""
+add("w5b_moving_median", lambda s, d: moving.moving_median(L(s, d), 5, value="weight"), MEDIAN_OF, frames="l", more=LINES)
+RANKED = {"average": "rank() OVER u + (count(*) OVER (PARTITION BY space, w) - 1) / 2.0", "first": "row_number() OVER (PARTITION BY space ORDER BY w, rid)", "dense": "dense_rank() OVER u"}
+for method, expr in RANKED.items():
+    add(f"w9b_long_rank_{method}", lambda s, d, method=method: ranks.ranks(L(s, d), "weight", method=method).select("space", "rid", "rank"), f"SELECT space, rid, ({expr})::DOUBLE AS rank FROM l WINDOW u AS (PARTITION BY space ORDER BY w)", frames="l")
+add("l14d_long_quantiles", lambda s, d: ranks.quantiles(L(s, d), "weight", [0.1, 0.5, 0.9]).select("space", "p", F.round("quantile", 6).alias("quantile")), " UNION ALL ".join(f"SELECT space, {p}::DOUBLE AS p, round(quantile_cont(w::DOUBLE, {p}), 6) AS quantile FROM l GROUP BY space" for p in (0.1, 0.5, 0.9)), frames="l")
+add("l12g_long_kendall", lambda s, d: ranks.kendall(O(s, d).withColumn("width", F.col("end") - F.col("start")), "start", "width").select("space", F.round("tau", 9).alias("tau")), "SELECT a.space, round(sum(sign(a.s - b.s) * sign(a.e - a.s - b.e + b.s)) / sqrt(count(*) FILTER (a.s <> b.s) * count(*) FILTER (a.e - a.s <> b.e - b.s)::DOUBLE), 9) AS tau FROM o a JOIN o b ON a.space = b.space AND a.rid < b.rid GROUP BY 1")
 UP = "OVER (PARTITION BY key ORDER BY i)"
 q("w7_cumsum", lambda: lst(X.cumulate("v", "sum")), win(f"sum(x) {UP}", "true"), more=LONG, text=True)
 q("w7b_cummax", lambda: lst(X.cumulate(X.each("v", lambda x: x * 7 % 13), "max")), win(f"max(x * 7 % 13) {UP}", "true"), more=LONG, text=True)

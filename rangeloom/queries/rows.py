@@ -88,12 +88,12 @@ add(
     """SELECT space, rid, st AS start, st + w - 1 AS "end" FROM (SELECT space, rid, w, (10 + coalesce(sum(w + 2) OVER (PARTITION BY space ORDER BY rid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS st
        FROM (SELECT space, rid, e - s + 1 AS w FROM o))""",
 )
-add("s10_sliding", lambda s, d: model.sliding(s, 1000, 20, 7), 'SELECT CAST(0 AS BIGINT) AS space, i + 1 AS rid, i * 7 + 1 AS start, i * 7 + 20 AS "end" FROM (SELECT unnest(generate_series(0, (1000 - 20) // 7)) AS i)', frames="")
-add("s11_chunks", lambda s, d: model.chunks(s, 1003, n=10).unionByName(model.chunks(s, 1003, size=100).withColumn("space", F.lit(1).cast("long"))), 'SELECT CAST(0 AS BIGINT) AS space, i + 1 AS rid, (i * 1003) // 10 + 1 AS start, ((i + 1) * 1003) // 10 AS "end" FROM (SELECT unnest(generate_series(0, 9)) AS i) UNION ALL SELECT 1, i + 1, i * 100 + 1, least((i + 1) * 100, 1003) FROM (SELECT unnest(generate_series(0, 10)) AS i)', frames="")
+add("s10_sliding", lambda s, d: model.sliding(s, T(s, d, "lineitem").count(), 20, 7), 'SELECT CAST(0 AS BIGINT) AS space, i + 1 AS rid, i * 7 + 1 AS start, i * 7 + 20 AS "end" FROM (SELECT unnest(generate_series(0, ((SELECT count(*) FROM lineitem) - 20) // 7)) AS i)', frames="")
+add("s11_chunks", lambda s, d: model.chunks(s, T(s, d, "lineitem").count(), n=10).unionByName(model.chunks(s, T(s, d, "lineitem").count(), size=100).withColumn("space", F.lit(1).cast("long"))), 'SELECT CAST(0 AS BIGINT) AS space, i + 1 AS rid, (i * c) // 10 + 1 AS start, ((i + 1) * c) // 10 AS "end" FROM (SELECT unnest(generate_series(0, 9)) AS i), (SELECT count(*) AS c FROM lineitem) UNION ALL SELECT 1, i + 1, i * 100 + 1, least((i + 1) * 100, c) FROM (SELECT unnest(generate_series(0, (SELECT count(*) - 1 FROM lineitem) // 100)) AS i), (SELECT count(*) AS c FROM lineitem)', frames="")
 add("s12_centered", lambda s, d: model.centered(O(s, d), "start", 3), rng("s - 3", "s + 3"))
 ISLANDS = """i AS (SELECT *, sum(f) OVER (PARTITION BY space ORDER BY s, e, rid) AS g FROM (SELECT *, CASE WHEN pm IS NULL OR s - pm - 1 >= {gap} THEN 1 ELSE 0 END AS f FROM (
   SELECT *, max(e) OVER (PARTITION BY space ORDER BY s, e, rid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM {src})))"""
-add("s13_as_normal", lambda s, d: algebra.reduce(C(s, d).filter("end >= start"), drop_empty=True), 'SELECT space, min(s) AS start, max(e) AS "end" FROM i GROUP BY space, g', frames="c", more="full_src AS (SELECT * FROM src WHERE e >= s), " + ISLANDS.format(gap=1, src="full_src"))
+add("s13_as_normal", lambda s, d: algebra.reduce(C(s, d), drop_empty=True), 'SELECT space, min(s) FILTER (e >= s) AS start, max(e) AS "end" FROM i GROUP BY space, g HAVING bool_or(e >= s)', frames="c", more=ISLANDS.format(gap=1, src="src"))
 add("s14_grouped", lambda s, d: model.grouped(O(s, d), "space", ["start", "end"]).select("space", F.size("rows").cast("long").alias("n"), F.get("rows", F.lit(0))["start"].alias("first_start"), F.get("rows", F.size("rows") - 1)["end"].alias("last_end")), "SELECT space, count(*) AS n, arg_min(s, rid) AS first_start, arg_max(e, rid) AS last_end FROM o GROUP BY space")
 
 
@@ -166,7 +166,7 @@ add(
 add("s19_read_rm", lambda s, d: readers.repeat_masker(s, rm_file(s, d)), "SELECT 'chr' || space AS seqname, s AS start, e AS \"end\", CAST(rid AS VARCHAR) AS id FROM o WHERE e >= s")
 add("s20_read_trf", lambda s, d: readers.tandem_repeats(s, trf_file(s, d)), "SELECT 'chr' || space AS seqname, s AS start, e AS \"end\" FROM o WHERE e >= s")
 add("s21_seqnames", lambda s, d: readers.seqnames(s, trf_file(s, d), "trf"), "SELECT DISTINCT 'chr' || space AS seqname FROM o WHERE e >= s")
-add("s22_empty_mask", lambda s, d: masks.empty(s, 100, name="x").measured().select("name", "masked_width"), "SELECT 'x' AS name, CAST(0 AS BIGINT) AS masked_width", frames="")
+add("s22_empty_mask", lambda s, d: masks.empty(s, T(s, d, "lineitem").count(), name="x").measured().select("name", "masked_width", "masked_ratio"), "SELECT 'x' AS name, CAST(0 AS BIGINT) AS masked_width, 0 / count(*)::DOUBLE AS masked_ratio FROM lineitem", frames="")
 add("s23_to_text", lambda s, d: O(s, d).select("rid", model.to_text().alias("text")), "SELECT rid, CASE WHEN s = e THEN CAST(s AS VARCHAR) ELSE s || '-' || e END AS text FROM o")
 add("s24_positions_frame", lambda s, d: model.positions(O(s, d)).groupBy("pos").agg(F.count(F.lit(1)).alias("n")), "SELECT pos, count(*) AS n FROM (SELECT unnest(generate_series(s, e)) AS pos FROM o WHERE e >= s) GROUP BY pos")
 add("s25_summary", lambda s, d: model.sizes(O(s, d)), "SELECT space, count(*) AS length, sum(e - s + 1)::BIGINT AS width_sum, max(e - s + 1) = 0 AS all_empty FROM o GROUP BY space")
@@ -176,8 +176,8 @@ add("s25_summary", lambda s, d: model.sizes(O(s, d)), "SELECT space, count(*) AS
 add("p1_getters", lambda s, d: O(s, d).select("rid", model.width().alias("width"), model.mid().alias("mid")), "SELECT rid, e - s + 1 AS width, s + CAST(trunc((e - s) / 2.0) AS BIGINT) AS mid FROM o")
 add("p2_setters", lambda s, d: model.set_width(model.set_end(model.set_start(O(s, d), F.col("start") - 1), F.col("end") + 2), 9), rng("s - 1", "s + 7"))
 add("p3_update", lambda s, d: model.update(O(s, d), end=F.col("end") + 1, width=4), rng("e - 2", "e + 1"))
-add("p4_take_ranges", lambda s, d: model.take_ranges(O(s, d), s.createDataFrame([(5, 20), (15, 30), (50, 49)], "start long, end long")), rng("s", "e", frm="o JOIN (SELECT unnest(generate_series(5, 20)) AS rid UNION ALL SELECT unnest(generate_series(15, 30))) USING (rid)"))
-add("p4b_take", lambda s, d: model.take(O(s, d), s.createDataFrame([(1, 9), (2, 3), (3, 9)], "n long, rid long")), 'SELECT n, rid, space, s AS start, e AS "end" FROM o JOIN (VALUES (1, 9), (2, 3), (3, 9)) t(n, rid) USING (rid)')
+add("p4_take_ranges", lambda s, d: model.take_ranges(O(s, d), O(s, d).select(F.col("rid").alias("start"), (F.col("rid") + F.col("rid") % 4 - 1).alias("end"))), rng("s", "e", frm="o JOIN (SELECT unnest(generate_series(rid, rid + rid % 4 - 1)) AS rid FROM o) USING (rid)"))
+add("p4b_take", lambda s, d: model.take(O(s, d), O(s, d).select((-F.col("rid")).alias("n"), "rid")), 'SELECT -rid AS n, rid, space, s AS start, e AS "end" FROM o')
 add("p5_assign", lambda s, d: model.assign(O(s, d), O(s, d).filter("rid % 5 = 0").withColumn("start", F.col("end"))), rng("CASE WHEN rid % 5 = 0 THEN e ELSE s END", "e"))
 add("p6_element", lambda s, d: O(s, d).filter("space = 3"), rng("s", "e", where=" WHERE space = 3"))
 add(
@@ -223,7 +223,7 @@ def code():
 
 add("p15_pcompare", lambda s, d: near_pairs(s, d).select("rid", code().cast("int").alias("code"), compare.letter(code()).alias("letter")), f"SELECT rid, CAST({CODE} AS INT) AS code, substr('abcdefghijklm', CAST({CODE} AS INT) + 7, 1) AS letter FROM y", frames="ol", more=NEAR)
 add("p16_comparisons", lambda s, d: near_pairs(s, d).select("rid", (F.struct("xs", "xe") < F.struct("ys", "ye")).alias("lt"), (F.struct("xs", "xe") <= F.struct("ys", "ye")).alias("le"), (F.struct("xs", "xe") == F.struct("ys", "ye")).alias("eq")), "SELECT rid, xs < ys OR (xs = ys AND xe < ye) AS lt, xs < ys OR (xs = ys AND xe <= ye) AS le, xs = ys AND xe = ye AS eq FROM y", frames="ol", more=NEAR)
-add("p17_selection", lambda s, d: groups.selection(L(s, d), s.createDataFrame([(1, 1, 9000, 9010), (2, 2, 9500, 9500)], "space long, rid long, start long, end long"), ["weight"]), "SELECT space, rid, w AS weight FROM l WHERE (space = 1 AND s <= 9010 AND e >= 9000) OR (space = 2 AND s <= 9500 AND e >= 9500)", frames="l")
+add("p17_selection", lambda s, d: groups.selection(L(s, d), O(s, d).filter("end - start = 3"), ["weight"]), "SELECT space, rid, w AS weight FROM l WHERE EXISTS (SELECT 1 FROM o WHERE o.space = l.space AND o.e - o.s = 3 AND l.s <= o.e AND o.s <= l.e)", frames="ol")
 add("p18_names", lambda s, d: groups.renamed(groups.described(O(s, d), "start", unit="day"), {"start": "day_from", "end": "day_to"}), "SELECT space, rid, s AS day_from, e AS day_to FROM o")
 add("p19_transform", lambda s, d: groups.transformed(L(s, d).select("rid", "weight"), double=F.col("weight") * 2, plus=F.col("double") + 1), "SELECT rid, w AS weight, w * 2 AS double, w * 2 + 1 AS plus FROM l", frames="l")
 
