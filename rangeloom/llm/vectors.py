@@ -259,8 +259,9 @@ def near_duplicates(
 ) -> DataFrame:
     """Per vector: id, n_links (other vectors linked directly), component_id (least id reachable by links, itself included).
 
-    The codebooks are fitted on ``sample`` vectors and grow with the table, so that a cell has about ``cell_rows``
-    vectors, up to an eighth as many words as the sample has vectors (6 million cells a label by default).
+    The codebooks are fitted on ``sample`` vectors and grow with the table, so that a vector's cell has about
+    ``cell_rows`` vectors (labels count by the vectors in them: one that holds nearly all decides), up to an eighth as many
+    words as the sample has vectors (6 million cells a label by default).
     """
     bounded_batches(df.sparkSession)
     spark = df.sparkSession
@@ -273,11 +274,13 @@ def near_duplicates(
     counts = valid.groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
     # of equal vectors one row stays; copies are told apart by nothing but their ids
     nodes = stored(valid.select("node", "group", "vec").dropDuplicates(["node"]).join(counts, "node"), "vector-nodes")
-    n, groups = nodes.agg(F.count(F.lit(1)), F.count_distinct("group")).first()
+    each = nodes.groupBy("group").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    # how many vectors the label of a vector has, over all vectors
+    peers = each.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0] or 1.0
     got = [r[0] for r in nodes.orderBy(F.xxhash64("node"), "node").limit(sample).select("vec").collect()]
     if not got:
         return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    words = int(min(max(2, sample // 8), max(2, np.ceil(np.sqrt(n / groups / cell_rows)))))
+    words = int(min(max(2, sample // 8), max(2, np.ceil(np.sqrt(peers / cell_rows)))))
     index = build(_vectors(pa.array(got, pa.binary())), words, threshold, recall)
     held = spark.sparkContext.broadcast(index)
     placed = stored(nodes.select("group", "node", "copies", "vec").mapInArrow(_place(held), "`group` string, node binary, copies long, visits array<int>"), "cells")

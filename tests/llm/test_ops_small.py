@@ -184,6 +184,25 @@ def test_vectors(spark, block_rows):
     assert vectors.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_codebooks_follow_the_large_label(spark, monkeypatch):
+    """One label with nearly all vectors and many small ones: cells are sized for the vectors' own label."""
+    rng = np.random.default_rng(16)
+    base = rng.normal(size=(60, 8))
+    rows = [(i, (base[i % 60] + rng.normal(size=8) * 0.02).tolist(), "large") for i in range(900)] + [(1000 + i, rng.normal(size=8).tolist(), f"small{i // 2}") for i in range(240)]
+    words = []
+    build = vectors.build
+    monkeypatch.setattr(vectors, "build", lambda sample, k, *more: words.append(k) or build(sample, k, *more))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = {r.id: r.n_links for r in vectors.near_duplicates(df, threshold=0.93).collect()}
+    peers = (900**2 + 120 * 2**2) / 1140
+    assert words == [math.ceil(math.sqrt(peers / 32))] and words[0] > 2
+    unit = np.array([v for _, v, _ in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.93) & (np.array([r[2] for r in rows])[:, None] == np.array([r[2] for r in rows])[None, :])
+    want = {r[0]: int(near[i].sum()) - 1 for i, r in enumerate(rows)}
+    assert sum(got.values()) >= 0.99 * sum(want.values()) and all(got[i] <= want[i] for i in want)
+
+
 def test_traversal_order():
     rng = np.random.default_rng(5)
     x, a, b = rng.standard_normal((20, 8)), rng.standard_normal((6, 4)), rng.standard_normal((7, 4))
