@@ -7,8 +7,9 @@ and behind it, and the values are finished inside the chunks.
 Rows move once, when they are dealt to chunks: the sums and the rows read the same exchange, and further sweeps along the
 same positions (``dealt`` frames, which have the column ``_chunk``) need no other.
 
-Chunks are as wide as a group's rows need: each group has about a chunk per ``ROWS`` rows, however sparse or dense its
-positions are, so what is handed on stays small beside the rows.  (A chunk of rows that crowd together may hold more.)
+Chunks are as wide as a group's rows need: each group has about a chunk per ``ROWS`` rows, so what is handed on stays small
+beside the rows.  Where a group's rows crowd together is counted first, in pieces of its positions, and chunks are narrow
+there; only rows that crowd inside a piece, a thousandth of a group's positions, can make a chunk larger.
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ from pyspark.sql import functions as F
 #: Rows in a chunk, about, and the number of chunks that groups of fewer rows are cut into (of 64 rows at least).
 ROWS, SOME = 1 << 17, 8
 
+#: Pieces of equal width in which the rows of a group are counted that has more than two chunks' rows.
+PIECES = 1024
+
 #: How a running value is made: "sum" and "max" of the rows before, "next": the least of the rows behind, "top": the
 #: largest of all rows.
 _AGG = {"sum": F.sum, "max": F.max, "next": F.min, "top": F.max}
@@ -33,31 +37,58 @@ def chunked(df: DataFrame, at: str, *, chunk: int | None = None, by: Sequence[st
     """
     if chunk is not None:
         return df.withColumn("_chunk", F.floor(F.col(at) / chunk).cast("long")).repartition(*by, "_chunk")
-    stats, place = gridded(df, at, by=by)
-    rows = df.join(stats, list(by)) if by else df.crossJoin(F.broadcast(stats))  # one row
-    return rows.withColumn("_chunk", place(at)).drop(*GRID).repartition(*by, "_chunk")
+    grid, place = gridded(df, at, by=by)
+    return _with_group(df, grid, by).withColumn("_chunk", place(at)).drop(*GRID).repartition(*by, "_chunk")
 
 
-#: The columns of a grid: each group's least position, the width of its chunks and the number of its last one.
-GRID = ("_grid_low", "_grid_width", "_grid_top")
+#: The columns of a grid: each group's least position, the width of its cells, the number of the last one, and the rows up
+#: to each cell's end (from 0; null where cells are chunks).
+GRID = ("_grid_low", "_grid_width", "_grid_top", "_grid_rows")
 
 
 def gridded(df: DataFrame, at: str, *, by: Sequence[str] = ("space",)) -> tuple[DataFrame, Callable[[str], Column]]:
-    """Each group's chunks of positions ``at``, found in one pass over the rows, a row per group; and how to tell a
-    position's chunk in rows joined to them (positions outside count to the first or last)."""
+    """Each group's chunks of positions ``at``, a row per group; and how to tell a position's chunk in rows joined to them
+    (positions outside count to the first or last).
+
+    A group of at most two chunks' rows is cut evenly.  The rows of others are counted in ``PIECES`` cells, and a position's
+    chunk is the number of rows before it, taken to be even inside a cell, over ``ROWS``.  Both are exact counts, so that
+    tasks that run again deal the same rows to the same chunks.
+    """
+    low, width, top, upto = GRID
     n = F.count(F.lit(1))
-    chunks = F.greatest(F.ceil(n / ROWS), F.least(F.lit(SOME), F.ceil(n / 64)))
-    low, width, top = GRID
-    size = F.greatest(F.ceil((F.max(at).cast("double") - F.min(at) + 1) / chunks), F.lit(1)).cast("double")
-    grid = df.groupBy(*by).agg(F.min(at).alias(low), size.alias(width), F.floor((F.max(at).cast("double") - F.min(at)) / size).cast("long").alias(top))
+    cells = F.when(n > 2 * ROWS, F.lit(PIECES)).otherwise(F.least(F.lit(SOME), F.ceil(n / 64)))
+    size = F.greatest(F.ceil((F.max(at).cast("double") - F.min(at) + 1) / cells), F.lit(1)).cast("double")
+    last = F.floor((F.max(at).cast("double") - F.min(at)) / size).cast("long")
+    grid = df.groupBy(*by).agg(F.min(at).alias(low), size.alias(width), last.alias(top), n.alias("_n"))
+
+    def cell(position: str) -> Column:
+        found = F.floor((F.col(position).cast("double") - F.col(low)) / F.col(width)).cast("long")
+        return F.greatest(F.least(found, F.col(top)), F.lit(0))
+
+    large = grid.filter(F.col("_n") > 2 * ROWS)
+    counts = _with_group(df.select(*by, at), large, by).groupBy(*by, cell(at).alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
+    along = Window.partitionBy(*by).orderBy("_cell")  # at most PIECES rows a group
+    counts = counts.select(*by, "_cell", F.sum("_n").over(along).alias("_upto"), F.lead("_cell").over(along).alias("_other"))
+    steps = F.array_sort(F.collect_list(F.struct("_cell", "_upto", (F.coalesce("_other", F.col("_cell") + 1) - F.col("_cell")).cast("int").alias("_times"))))
+    filled = F.flatten(F.transform(steps, lambda x: F.array_repeat(x["_upto"], x["_times"])))
+    rows = counts.groupBy(*by).agg(F.concat(F.array(F.lit(0).cast("long")), filled).alias(upto)).filter(F.size(upto) > 1)  # without groups there is a row even of no counts
+    grid = grid.drop("_n").join(rows, list(by) if by else F.lit(True), "left")
 
     def place(position: str) -> Column:
-        cell = F.floor((F.col(position).cast("double") - F.col(low)) / F.col(width)).cast("long")
-        return F.greatest(F.least(cell, F.col(top)), F.lit(0))
+        at_cell = cell(position)
+        share = (F.col(position).cast("double") - F.col(low)) / F.col(width) - at_cell
+        share = F.greatest(F.least(share, F.lit(1.0)), F.lit(0.0))
+        before, end = F.get(F.col(upto), at_cell.cast("int")), F.get(F.col(upto), at_cell.cast("int") + 1)
+        return F.when(F.col(upto).isNull(), at_cell).otherwise(F.floor((before + share * (end - before)) / ROWS).cast("long"))
 
     return grid, place
 
 
+def _with_group(df: DataFrame, groups: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows with the columns of their group; without groups ``groups`` has a row at most."""
+    return df.join(groups, list(by)) if by else df.crossJoin(F.broadcast(groups))
+
+
 def swept(rows: DataFrame, values: dict[str, tuple[str, Column]], order: Sequence[str], *, before: Sequence[str] = (), by: Sequence[str] = ("space",)) -> DataFrame:
     """Add running values along ``order`` in each group ``by`` to rows from :func:`chunked`, in one window pass.
 
