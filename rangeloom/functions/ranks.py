@@ -21,7 +21,7 @@ def counted(df: DataFrame, value: str, *, by: Sequence[str] = ("space",), chunk:
     """The different values of each vector: by, value, n (how often), before (elements of lesser value), place (among the
     different values, from 1) and size (elements in all)."""
     each = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    rows = running(each, {"_upto": ("sum", F.col("n")), "place": ("sum", F.lit(1).cast("long"))}, "value", ["value"], chunk=chunk, by=by)
+    rows = running(each, {"_upto": ("sum", F.col("n")), "place": ("sum", F.lit(1).cast("long"))}, "value", ["value"], chunk=chunk, by=by, derived=True)
     sizes = each.groupBy(*by).agg(F.sum("n").alias("size"))
     return rows.join(sizes, list(by)).select(*by, "value", "n", (F.col("_upto") - F.col("n")).alias("before"), "place", "size")
 

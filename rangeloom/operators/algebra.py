@@ -22,14 +22,14 @@ def hull(df: DataFrame, *, revmap: bool = False) -> DataFrame:
     return df.groupBy("space").agg(F.min("start").alias("start"), F.max("end").alias("end"), *more)
 
 
-def islands(df: DataFrame, *, min_gap: int = 1, chunk: int | None = None) -> DataFrame:
+def islands(df: DataFrame, *, min_gap: int = 1, chunk: int | None = None, derived: bool = False) -> DataFrame:
     """Add ``island``, the row (start, end, rid) that begins the island to which each range belongs.
 
     In order of start and end, a range begins an island if it starts at least ``min_gap`` positions behind everything
     before it.
     """
     order = ["start", "end", "rid"]
-    rows = swept(chunked(df, "start", chunk=chunk), {"_reach": ("max", F.col("end"))}, order, before=["_reach"])
+    rows = swept(chunked(df, "start", chunk=chunk, derived=derived), {"_reach": ("max", F.col("end"))}, order, before=["_reach"])
     first = F.col("_reach").isNull() | (F.col("start") - F.col("_reach") - 1 >= min_gap)
     rows = swept(rows, {"island": ("max", F.when(first, F.struct(*order)))}, order)
     return rows.drop("_reach", "_chunk")
@@ -43,7 +43,7 @@ def reduce(df: DataFrame, *, drop_empty: bool = False, min_gap: int = 1, revmap:
     """
     if not revmap:
         df = df.groupBy("space", "start", "end").agg(F.min("rid").alias("rid"))
-    rows = islands(df, min_gap=min_gap, chunk=chunk)
+    rows = islands(df, min_gap=min_gap, chunk=chunk, derived=not revmap)
     full = F.col("end") >= F.col("start")
     start = F.min(F.when(full, F.col("start"))) if drop_empty else F.min("start")
     more = [F.transform(F.array_sort(F.collect_list(F.struct("start", "end", "rid"))), lambda x: x["rid"]).alias("revmap")] if revmap else []
@@ -60,7 +60,7 @@ def inframe(df: DataFrame, *, chunk: int | None = None) -> DataFrame:
     """Each range's start after the gaps between the reduced ranges are squeezed out (which then begin at 1)."""
     rows = islands(df, chunk=chunk)
     whole = rows.groupBy("space", "island").agg(F.min("start").alias("_from"), F.max("end").alias("_to"))
-    sums = running(whole, {"_before": ("sum", F.col("_to") - F.col("_from") + 1)}, "_from", ["_from", "_to", "island"], before=["_before"], chunk=chunk)
+    sums = running(whole, {"_before": ("sum", F.col("_to") - F.col("_from") + 1)}, "_from", ["_from", "_to", "island"], before=["_before"], chunk=chunk, derived=True)
     out = rows.join(sums.select("space", "island", "_from", "_before"), ["space", "island"])
     return out.withColumn("inframe", F.col("start") - F.col("_from") + F.col("_before") + 1).drop("island", "_from", "_before")
 
@@ -311,7 +311,7 @@ def align(*tables: DataFrame, chunk: int | None = None) -> DataFrame:
         at = F.explode(F.array(F.struct(F.col("start").alias("pos"), run.alias("run")), F.struct((F.col("end") + 1).alias("pos"), F.lit(None).cast(kinds[names.index(name)]).alias("run"))))
         own = t.select("space", at.alias("_a")).select("space", "_a.pos", *[F.col("_a.run").alias(n) if n == name else F.lit(None).cast(k).alias(n) for n, k in zip(names, kinds, strict=True)])
         cuts = own if cuts is None else cuts.unionByName(own)
-    rows = chunked(cuts.groupBy("space", "pos").agg(*[F.max(n).alias(n) for n in names]), "pos", chunk=chunk)
+    rows = chunked(cuts.groupBy("space", "pos").agg(*[F.max(n).alias(n) for n in names]), "pos", chunk=chunk, derived=True)
     rows = swept(rows, {n: ("max", F.col(n)) for n in names} | {"_next": ("next", F.col("pos"))}, ["pos"])
     open_ = [F.col(n)["e"] >= F.col("pos") for n in names]
     some = open_[0]

@@ -14,7 +14,7 @@ from ..plans.sweep import preceding, running
 
 def by_width(groups: DataFrame, width: str = "width") -> DataFrame:
     """Blocks one behind the other from a table (group_id, width): adds start and end."""
-    out = running(groups, {"end": ("sum", F.col(width).cast("long"))}, "group_id", ["group_id"], by=())
+    out = running(groups, {"end": ("sum", F.col(width).cast("long"))}, "group_id", ["group_id"], by=(), derived=True)
     return out.withColumn("start", F.col("end") - F.col(width) + 1)
 
 
@@ -66,7 +66,7 @@ def low_to_high(frame: DataFrame, value: str) -> DataFrame:
 def dense_groups(frame: DataFrame, value: str) -> DataFrame:
     """Each row's group number and its rank: groups are counted in the order of their first rows."""
     first = frame.groupBy(value).agg(F.min("rid").alias("_first"))
-    ranked = running(first, {"group_rank": ("sum", F.lit(1).cast("long"))}, "_first", ["_first"], by=())
+    ranked = running(first, {"group_rank": ("sum", F.lit(1).cast("long"))}, "_first", ["_first"], by=(), derived=True)
     return frame.join(ranked, frame[value].eqNullSafe(ranked[value])).select(frame["*"], F.col("_first").alias("representative"), "group_rank")
 
 
@@ -162,7 +162,7 @@ def regrouped(rows: DataFrame, groups: DataFrame, group: str = "group_id", super
     """Long lists put together by a map (group, super): adds super and each row's place in it, groups in order."""
     inner = placed(rows.join(groups, group), [group], order, "_place")
     counts = inner.groupBy(super_, group).agg(F.count(F.lit(1)).alias("_n"))
-    before = running(counts, {"_before": ("sum", F.col("_n"))}, group, [group], before=["_before"], by=(super_,))
+    before = running(counts, {"_before": ("sum", F.col("_n"))}, group, [group], before=["_before"], by=(super_,), derived=True)
     return inner.join(before.select(super_, group, "_before"), [super_, group]).withColumn("place", F.col("_place") + F.col("_before")).drop("_place", "_before")
 
 

@@ -15,7 +15,7 @@ def _asof(query: DataFrame, marks: DataFrame, *, strict: bool, chunk: int | None
     """Per query (space, rid, pos): near, the largest mark at or before pos (strictly before it if ``strict``)."""
     q = query.select("space", F.col("pos"), F.lit(0 if strict else 1).alias("_kind"), F.col("rid"), F.lit(None).cast("long").alias("_mark"))
     m = marks.select("space", "pos").distinct().select("space", "pos", F.lit(1 if strict else 0).alias("_kind"), F.lit(None).cast("long").alias("rid"), F.col("pos").alias("_mark"))
-    rows = running(q.unionByName(m), {"near": ("max", F.col("_mark"))}, "pos", ["pos", "_kind"], chunk=chunk)
+    rows = running(q.unionByName(m), {"near": ("max", F.col("_mark"))}, "pos", ["pos", "_kind"], chunk=chunk, derived=True)
     return rows.filter(F.col("rid").isNotNull() & (F.col("_kind") == (0 if strict else 1))).select("space", "rid", "near")
 
 

@@ -10,6 +10,9 @@ same positions (``dealt`` frames, which have the column ``_chunk``) need no othe
 Chunks are as wide as a group's rows need: each group has about a chunk per ``ROWS`` rows, so what is handed on stays small
 beside the rows.  Where a group's rows crowd together is counted first, in pieces of its positions, and chunks are narrow
 there; only rows that crowd inside a piece, a thousandth of a group's positions, can make a chunk larger.
+
+Finding the chunks reads the rows several times.  Rows that come from a shuffle or another sweep are therefore stored first
+(``derived``): sweeps stacked on sweeps then cost their sum, and not a power of what one costs.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import kept
+
 #: Rows in a chunk, about, and the number of chunks that groups of fewer rows are cut into (of 64 rows at least).
 ROWS, SOME = 1 << 17, 8
 
@@ -30,13 +35,16 @@ PIECES = 1024
 _AGG = {"sum": F.sum, "max": F.max, "next": F.min, "top": F.max}
 
 
-def chunked(df: DataFrame, at: str, *, chunk: int | None = None, by: Sequence[str] = ("space",)) -> DataFrame:
+def chunked(df: DataFrame, at: str, *, chunk: int | None = None, by: Sequence[str] = ("space",), derived: bool = False) -> DataFrame:
     """Deal rows to chunks of positions ``at``: adds ``_chunk`` and moves the rows there.
 
-    ``chunk`` is the number of positions in a chunk; if it isn't given, one pass over the rows finds each group's.
+    ``chunk`` is the number of positions in a chunk; if it isn't given, the rows are counted to find each group's, and
+    stored before that if they are ``derived`` (if it costs more to make them again than to read them).
     """
     if chunk is not None:
         return df.withColumn("_chunk", F.floor(F.col(at) / chunk).cast("long")).repartition(*by, "_chunk")
+    if derived:
+        df = kept(df, "swept")
     grid, place = gridded(df, at, by=by)
     return _with_group(df, grid, by).withColumn("_chunk", place(at)).drop(*GRID).repartition(*by, "_chunk")
 
@@ -118,9 +126,9 @@ def swept(rows: DataFrame, values: dict[str, tuple[str, Column]], order: Sequenc
     return rows.withColumns(done).drop(*raw, *[f"_c_{k}" for k in values])
 
 
-def running(df: DataFrame, values: dict[str, tuple[str, Column]], at: str, order: Sequence[str], *, before: Sequence[str] = (), chunk: int | None = None, by: Sequence[str] = ("space",)) -> DataFrame:
-    """:func:`swept` over rows that aren't dealt yet; ``order`` starts with position ``at``."""
-    return swept(chunked(df, at, chunk=chunk, by=by), values, order, before=before, by=by).drop("_chunk")
+def running(df: DataFrame, values: dict[str, tuple[str, Column]], at: str, order: Sequence[str], *, before: Sequence[str] = (), chunk: int | None = None, by: Sequence[str] = ("space",), derived: bool = False) -> DataFrame:
+    """:func:`swept` over rows that aren't dealt yet; ``order`` starts with position ``at``.  ``derived``: see :func:`chunked`."""
+    return swept(chunked(df, at, chunk=chunk, by=by, derived=derived), values, order, before=before, by=by).drop("_chunk")
 
 
 def preceding(df: DataFrame, values: dict[str, Column], at: str, order: Sequence[str], *, chunk: int | None = None, by: Sequence[str] = ("space",)) -> DataFrame:
@@ -152,7 +160,7 @@ def segments(events: DataFrame, changes: Sequence[str], *, keep: Column | None =
 
 def _positions(events: DataFrame, changes: Sequence[str], keep: Column | None, chunk: int | None, by: Sequence[str]) -> DataFrame:
     summed = events.groupBy(*by, "pos").agg(*[F.sum(c).alias(c) for c in changes])
-    return chunked(summed if keep is None else summed.filter(keep), "pos", chunk=chunk, by=by)
+    return chunked(summed if keep is None else summed.filter(keep), "pos", chunk=chunk, by=by, derived=True)
 
 
 def stretches(events: DataFrame, changes: Sequence[str], holds, *, keep: Column | None = None, chunk: int | None = None, by: Sequence[str] = ("space",)) -> DataFrame:
@@ -177,7 +185,7 @@ def sliced(runs: DataFrame, now: Column, was: Column, *, by: Sequence[str] = ("s
 
 def merged(parts: DataFrame, same: Sequence[str] = (), *, chunk: int | None = None, by: Sequence[str] = ("space",)) -> DataFrame:
     """Merge disjoint segments that touch and agree in the columns ``same``; ``parts`` may be dealt already."""
-    rows = parts if "_chunk" in parts.columns else chunked(parts, "start", chunk=chunk, by=by)
+    rows = parts if "_chunk" in parts.columns else chunked(parts, "start", chunk=chunk, by=by, derived=True)
     key = F.struct(*[F.col(c) for c in same]) if same else F.lit(0)
     rows = _with_last(rows.withColumn("_key", key), {"_before": F.col("end"), "_other": F.col("_key")}, ["start"], by, {"_top": ("top", F.col("end"))})
     first = F.col("_before").isNull() | (F.col("_before") != F.col("start") - 1) | ~F.col("_other").eqNullSafe(F.col("_key"))
