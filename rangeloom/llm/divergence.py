@@ -210,7 +210,8 @@ def _apart(scale: int, smooth: int):
         for k, x in enumerate(left):
             others = right if first != second else left[k + 1 :]
             for y in others:
-                a.append(names[x]), b.append(names[y]), value.append(int(np.abs(share[x] - share[y]).sum()))
+                low_name, high_name = sorted((names[x], names[y]))  # the same way round in each array, however its rows come
+                a.append(low_name), b.append(high_name), value.append(int(np.abs(share[x] - share[y]).sum()))
         return pa.table({"head": pa.array([cells["head"][0].as_py()] * len(a), pa.binary()), "a": pa.array(a, pa.string()), "b": pa.array(b, pa.string()), "value": pa.array(value, pa.int64())})
 
     return run

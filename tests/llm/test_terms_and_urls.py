@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from corpus_helpers import words
 from pyspark.sql import functions as F
@@ -78,6 +79,31 @@ def test_audit(spark, how):
     assert Counter(tuple(r) for r in got.collect()) == plain_audit(rows, 6, 7)
 
 
+def test_a_pair_is_summed_over_arrays_in_whatever_order_its_sources_come(spark):
+    """Without adaptive coalescing the rows of different arrays come in different orders."""
+    rng = random.Random(14)
+    rows = [(" ".join(rng.choice(["aa", "bb", "é", "dd", "cc", "ee"]) for _ in range(3)), "l", f"s{i % 140}") for i in range(1400)]
+    df = spark.createDataFrame(rows, "text string, lang string, source string").repartition(5)
+    changed = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in changed}
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        got = divergence.audit(df, min_docs=30, top=7, width=2).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert Counter(tuple(r) for r in got) == plain_audit(rows, 30, 7)
+
+
+def test_a_pair_is_named_one_way():
+    rows = [{"head": b"l", "source": s, "block": 0, "i": 0, "j": 0, "low": 0, "width": 2, "n_group": 3, "v": 2, "ids": [0], "counts": [n]} for s, n in (("ç", 1), ("a", 2), ("", 3))]
+    kind = pa.schema([("head", pa.binary()), ("source", pa.string()), ("block", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("low", pa.int32()), ("width", pa.int32()), ("n_group", pa.int64()), ("v", pa.int64()), ("ids", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
+    run = divergence._apart(10**9, 5)
+    one, other = (sorted(run(pa.Table.from_pylist(x, kind)).to_pylist(), key=str) for x in (rows, rows[::-1]))
+    assert one == other and len(one) == 3
+
+
 def test_audit_of_nothing(spark):
     df = spark.createDataFrame([("a b", "en", "s"), (None, None, None)], "text string, lang string, source string")
     assert divergence.audit(df.limit(0)).collect() == []
