@@ -22,6 +22,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -121,6 +122,9 @@ def unpack_run(content: bytes, first: int, count: int) -> np.ndarray:
 #: letters are those that composing and lower-casing leave letters (a capital dotted I, say, would leave a mark behind it).
 LETTER_MARK = r"([A-Za-zÀ-ÖØ-öø-įı-ſ])([.,!?;:%*#$&]+)"
 
+#: Words of such letters: composing leaves them as they are, and each letter has one in lower case.
+LATIN = "^[A-Za-zÀ-ÖØ-öø-įı-ſ]+$"
+
 #: The normaliser and the splitter with which a text's ids are its pieces' ids in a row.
 KNOWN_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 KNOWN_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
@@ -154,74 +158,110 @@ class TextEncoder:
 class WordEncoder:
     """Encodes texts piece by piece and remembers the pieces: for tokenizers of which :func:`cuts_at_spaces` holds.
 
-    A text's ids are its pieces' ids in a row, and each distinct piece is encoded by the library once.  The memory of
-    pieces is emptied when it holds ``most`` pieces.
+    A text's ids are its pieces' ids in a row.  A piece is encoded by the library when it is met first, a word of Latin
+    letters in lower case, as the normaliser would make it.  When the memory would hold more than ``most`` pieces, the half
+    met least often leaves it, and so do pieces of more than ``LONG`` ids, which hardly come again.
     """
 
-    def __init__(self, tokenizer, most: int = 400_000):
+    #: Words that go through the library as one text, and ids of a piece that isn't kept for long.
+    JOINED, LONG = 1000, 16
+
+    def __init__(self, tokenizer, most: int = 800_000):
         self.tokenizer = tokenizer
         self.most = most
+        # which ids end a word, if the vocabulary tells
+        self.ends = None
+        if suffix := getattr(tokenizer.model, "end_of_word_suffix", None):
+            vocabulary = tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, "?")
+            self.ends[[i for word, i in vocabulary.items() if word.endswith(suffix)]] = True
         self._empty()
 
     def _empty(self) -> None:
+        # piece i has the ids from byte stop[i] to byte stop[i + 1]; piece 0 is the end id
         self.place: dict[str, int] = {}
         self.ids = np.zeros(1 << 20, "u4")
-        self.used = 0
-        self.start, self.size = np.zeros(self.most * 2, "i8"), np.zeros(self.most * 2, "i8")
+        self.stop, self.met = np.zeros(1 << 16, "i8"), np.zeros(1 << 16, "i4")
+        self.stop[1] = 4
+
+    def _used(self) -> int:
+        return int(self.stop[len(self.place) + 1]) // 4
+
+    def _leave(self) -> None:
+        """Forget the pieces met least often; those that stay lose half of their count."""
+        n = len(self.place)
+        size, met = np.diff(self.stop[: n + 2])[1:] // 4, self.met[1 : n + 1].copy()
+        met[size > self.LONG] = -1
+        stays = np.sort(np.argsort(-met, kind="stable")[: min(self.most // 2, int((met >= 0).sum()))])
+        words, ids, first = list(self.place), self.ids, self.stop[1 : n + 1][stays] // 4
+        kept = size[stays]
+        flat = ids[np.arange(kept.sum()) + np.repeat(first - (np.cumsum(kept) - kept), kept)]
+        self._empty()
+        self._keep([words[i] for i in stays.tolist()], flat, kept)
+        self.met[1 : len(stays) + 1] = met[stays] // 2
 
     def _learn(self, words: list[str]) -> None:
         # words of letters alone are one piece each: many go through the library as one text
         plain = [w for w in words if w.isalpha() and w.lower().isalpha()]
         other = [w for w in words if not (w.isalpha() and w.lower().isalpha())]
-        for a in range(0, len(plain), 5000):
-            some = plain[a : a + 5000]
-            got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            sizes = np.bincount(np.array(got.word_ids, "i8"), minlength=len(some))
-            if len(sizes) == len(some) and sizes.all():
-                self._keep(some, np.array(got.ids, "u4"), sizes)
-            else:
-                other += some
+        for a in range(0, len(plain), self.JOINED):
+            other += self._joined(plain[a : a + self.JOINED])
         for a in range(0, len(other), 20_000):
             some = other[a : a + 20_000]
-            got = [e.ids for e in self.tokenizer.encode_batch(some, add_special_tokens=False)]
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
             sizes = np.fromiter(map(len, got), "i8", len(got))
             self._keep(some, np.fromiter((x for ids in got for x in ids), "u4", int(sizes.sum())), sizes)
 
+    def _joined(self, words: list[str]) -> list[str]:
+        """Keep words of letters alone, encoded as one text; returns them if the ids can't be told apart."""
+        text = " ".join(words)
+        if self.ends is None:
+            got = self.tokenizer.encode(text, add_special_tokens=False)
+            flat, sizes = np.array(got.ids, "u4"), np.bincount(np.array(got.word_ids, "i8"), minlength=len(words))
+        else:
+            flat = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "u4")
+            sizes = np.diff(np.flatnonzero(self.ends[flat]) + 1, prepend=0)
+        if len(sizes) != len(words) or sizes.sum() != len(flat) or not sizes.all():
+            return words
+        self._keep(words, flat, sizes)
+        return []
+
     def _keep(self, words: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
-        while self.used + len(flat) > len(self.ids):
+        n, used = len(self.place), self._used()
+        while used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used : self.used + len(flat)] = flat
-        n = len(self.place)
-        while n + len(words) > len(self.start):
-            self.start, self.size = np.concatenate([self.start, self.start]), np.concatenate([self.size, self.size])
-        self.start[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
-        self.size[n : n + len(words)] = sizes
-        self.used += len(flat)
-        self.place.update(zip(words, range(n, n + len(words)), strict=True))
+        while n + len(words) + 2 > len(self.stop):
+            self.stop, self.met = np.concatenate([self.stop, np.zeros_like(self.stop)]), np.concatenate([self.met, np.zeros_like(self.met)])
+        self.ids[used : used + len(flat)] = flat
+        self.stop[n + 2 : n + 2 + len(words)] = 4 * (used + np.cumsum(sizes))
+        self.place.update(zip(words, range(n + 1, n + 1 + len(words)), strict=True))
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, each text's followed by ``end_id``, and the number of ids of each text."""
+        if len(texts) == 0:
+            return np.zeros(0, "u4"), np.zeros(0, "i8")
         pieces = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, LETTER_MARK, r"\1 \2"))
-        counts = pc.list_value_length(pieces).to_numpy(zero_copy_only=False).astype("i8")
+        ends = np.cumsum(pc.list_value_length(pieces).to_numpy(zero_copy_only=False), dtype="i8")
         coded = pieces.flatten().dictionary_encode()
-        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self.place) + len(words) > self.most:
-            self._empty()
-        place = self.place
-        if new := [w for w in words if w not in place]:
-            self._learn(new)
-        at = np.fromiter((place[w] for w in words), "i8", len(words))[coded.indices.to_numpy(zero_copy_only=False)] if words else np.zeros(0, "i8")
-        start, size = self.start[at], self.size[at]
-        # each text ends with one more piece: the end id, kept behind the remembered ids
-        ends = np.cumsum(counts)
-        start, size = np.insert(start, ends, self.used), np.insert(size, ends, 1)
-        if self.used == len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(1024, "u4")])
-        self.ids[self.used] = end_id
-        stop = np.cumsum(size)
-        out = self.ids[np.arange(stop[-1] if len(stop) else 0) + np.repeat(start - (stop - size), size)]
-        last = stop[ends + np.arange(len(ends))]
-        return out, np.diff(last, prepend=0)
+        met = coded.dictionary
+        met = pc.if_else(pc.match_substring_regex(met, LATIN), pc.utf8_lower(met), met).dictionary_encode()
+        words = met.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.place) + len(words) > self.most or self._used() > 16 * self.most:
+            self._leave()
+        at = np.fromiter(map(self.place.get, words, repeat(0)), "i4", len(words))
+        if len(new := np.flatnonzero(at == 0)):
+            some = [words[i] for i in new.tolist()]
+            self._learn(some)
+            at[new] = np.fromiter(map(self.place.__getitem__, some), "i4", len(some))
+        self.met[at] += 1
+        # each text ends with one more piece: the end id
+        self.ids[0] = end_id
+        row = np.insert(at[met.indices.to_numpy(zero_copy_only=False)][coded.indices.to_numpy(zero_copy_only=False)], ends, 0)
+        n = len(self.place) + 1
+        memory = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(self.stop), pa.py_buffer(self.ids)])
+        _, stop, ids = memory.take(pa.array(row)).buffers()
+        last = np.frombuffer(stop, "i8", len(row) + 1)[1 + ends + np.arange(len(ends))] // 4
+        return np.frombuffer(ids, "u4", int(last[-1])), np.diff(last, prepend=0)
 
 
 _encoders: dict[str, WordEncoder | TextEncoder] = {}

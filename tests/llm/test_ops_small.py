@@ -325,6 +325,91 @@ def test_ids_are_the_librarys():
         assert sizes.tolist() == list(map(len, want)) and flat.tolist() == [x for ids in want for x in ids]
 
 
+class Counting:
+    """A tokenizer that counts the words it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.model, self.given = tokenizer, tokenizer.model, Counter()
+
+    def __getattr__(self, name):
+        return getattr(self.tokenizer, name)
+
+    def encode(self, text, **kw):
+        self.given.update(text.split())
+        return self.tokenizer.encode(text, **kw)
+
+    def encode_batch(self, texts, **kw):
+        self.given.update(w for t in texts for w in t.split())
+        return self.tokenizer.encode_batch(texts, **kw)
+
+    def encode_batch_fast(self, texts, **kw):
+        self.given.update(w for t in texts for w in t.split())
+        return self.tokenizer.encode_batch_fast(texts, **kw)
+
+
+def test_common_words_are_encoded_once():
+    """Words that come again and again, in several spellings, among more other words than the memory holds."""
+    public = pytest.importorskip("public_tokenizers")
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public.path(VOCABULARY))
+    rng = random.Random(73)
+    word = lambda: "".join(rng.choice("aeiourstnlmé") for _ in range(rng.randint(4, 9)))
+    common = sorted({word() for _ in range(300)})
+    counted = Counting(library)
+    codes = tokens.WordEncoder(counted, most=2000)
+    for _ in range(12):
+        some = [f(w) for w in common for f in (str, str.upper, str.capitalize)] + [word() + word() for _ in range(700)] + ["9" * rng.randint(40, 60) for _ in range(5)]
+        rng.shuffle(some)
+        texts = ["", *(" ".join(some[a : a + 40]) + rng.choice(["", ".", " ?!"]) for a in range(0, len(some), 40)), "", " \n"]
+        flat, sizes = codes.encode(pa.array(texts), 2)
+        want = [[*e.ids, 2] for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert sizes.tolist() == list(map(len, want)) and flat.tolist() == [x for ids in want for x in ids]
+        assert len(codes.place) <= 2000
+    for w in common:
+        assert sum(counted.given[f(w)] for f in (str, str.upper, str.capitalize)) == 1, w
+    flat, sizes = codes.encode(pa.array(["", " "]), 5)
+    assert flat.tolist() == [5, 5] and sizes.tolist() == [1, 1]
+    flat, sizes = codes.encode(pa.array([], pa.string()), 5)
+    assert len(flat) == len(sizes) == 0
+
+
+def test_words_of_a_vocabulary_that_marks_no_ends():
+    """Where no suffix ends a word, the library tells which ids are a word's."""
+    public = pytest.importorskip("public_tokenizers")
+    import json
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    told = json.loads(Tokenizer.from_file(public.path("byte_bpe_50k.json")).to_str())
+    told |= {"normalizer": tokens.KNOWN_NORMALIZER, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [tokens.KNOWN_SPLIT, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}, "post_processor": None}
+    library = Tokenizer.from_str(json.dumps(told))
+    assert tokens.cuts_at_spaces(library) and not library.model.end_of_word_suffix
+    texts = ["Some wondrously long words, said Éva (twice).", "", "ΑΣ some WORDS 12 漢字"]
+    flat, sizes = tokens.WordEncoder(library).encode(pa.array(texts), 2)
+    want = [[*e.ids, 2] for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert sizes.tolist() == list(map(len, want)) and flat.tolist() == [x for ids in want for x in ids]
+
+
+def test_latin_letters_have_one_lower_case():
+    """Lower-casing before the library gives what its normaliser gives, whatever Latin letters stand beside."""
+    public = pytest.importorskip("public_tokenizers")
+    import re
+
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    from tokenizers import Tokenizer
+
+    normal = Tokenizer.from_file(public.path(VOCABULARY)).normalizer
+    letters = [chr(i) for i in range(0x250) if re.match(tokens.LATIN, chr(i))]
+    rng = random.Random(74)
+    some = letters + ["".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(20_000)]
+    assert pc.all(pc.match_substring_regex(pa.array(some), tokens.LATIN)).as_py() and len(letters) > 200
+    assert pc.utf8_lower(pa.array(some)).to_pylist() == [normal.normalize_str(w) for w in some]
+
+
 def test_tokens(spark):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
