@@ -1,11 +1,13 @@
 """Source divergence audit: how far the sources of a language are apart in their use of words, and by which words.
 
-Terms are counted once, by language, source and term.  The terms that enough documents of a language hold are sorted and
-cut into arrays of neighbours: the dictionary.  A term's place in it is its number, so numbers have the order of the
-terms' UTF-8, which settles ties.  Counts are encoded against these arrays (a binary search each) and binned into one
-dense vector per group and array.  Shares are whole numbers, so sums over arrays are exact in any order.
-
-At scale: a group's counts meet an array's terms in the task of that array; arrays have at most about ``width`` terms,
+Terms are counted once, by language, source and term.  Only counts of the terms that enough documents of a language hold
+are stored.  These terms are sorted and cut into arrays of neighbours: the dictionary.  A term's place in it is its
+number, so numbers have the order of the terms' UTF-8, which settles ties.  Counts are encoded against these arrays (a
+binary search each) and binned into one dense vector per group and array.  Shares are whole numbers, so sums over arrays
+are exact in any order.
+
+At scale: a term's counts, one a source, meet in one task where its documents are summed (in a window, which spills; pairs of
+sources bound them).  A group's counts meet an array's terms in the task of that array; arrays have at most about ``width`` terms,
 and an array with many sources or counts is dealt by source to several tasks.  Pairs of sources meet in blocks of about 64 x 64 an array.
 Nothing but the first term of each array (at most about 100,000) is broadcast.
 
@@ -43,11 +45,11 @@ def _counts(hold: int):
 
     def emitted(held: dict[tuple[str, str], tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
         for (lang, source), (tf, docs) in held.items():
-            head, terms = lang_key(lang), list(tf)
+            head, terms, times = lang_key(lang), list(tf), list(tf.values())
             for a in range(0, len(terms), 50_000):
                 some = terms[a : a + 50_000]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([head + t for t in some], pa.binary()), pa.array([source] * len(some), pa.string()), pa.array([tf[t] for t in some], pa.int64()), pa.array([docs[t] for t in some], pa.int64())],
+                    [pa.array([head + t for t in some], pa.binary()), pa.repeat(pa.scalar(source, pa.string()), len(some)), pa.array(times[a : a + 50_000], pa.int64()), pa.array([docs[t] for t in some], pa.int64())],
                     ["key", "source", "tf", "docs"],
                 )
 
@@ -232,8 +234,11 @@ def audit(
     named = df.select(text_or_empty(text_col).alias("text"), text_or_empty(lang_col).alias("lang"), text_or_empty(source_col).alias("source"))
     head_of = lambda lang: F.unhex(F.md5(lang))
     counted = named.select(F.encode("text", "UTF-8").alias("text"), "lang", "source").mapInArrow(_counts(hold), "key binary, source string, tf long, docs long")
-    counted = stored(counted.groupBy("key", "source").agg(F.sum("tf").alias("tf"), F.sum("docs").alias("docs")), "term-counts")
-    kept = cut(counted.groupBy("key").agg(F.sum("docs").alias("docs"), F.sum("tf").alias("total")).filter(F.col("docs") >= min_docs).select("key", "total"))
+    counted = counted.groupBy("key", "source").agg(F.sum("tf").alias("tf"), F.sum("docs").alias("docs"))
+    same = Window.partitionBy("hash", "key")  # the hash first: keys of a language begin alike, numbers sort faster
+    counted = counted.withColumn("hash", F.xxhash64("key")).withColumn("all_docs", F.sum("docs").over(same)).filter(F.col("all_docs") >= min_docs)
+    counted = stored(counted.select("key", "source", "tf"), "term-counts")
+    kept = cut(counted.groupBy("key").agg(F.sum("tf").alias("total")))
     n_kept = kept.count()
     width = max(width, -(-n_kept // 50_000))
     ranges = max(1, min(-(-n_kept // (8 * width)), 10_000))
@@ -246,10 +251,11 @@ def audit(
     salts = max(1, -(-groups.count() // 2000), -(-counted.count() // (500_000 * max(firsts, 1))))
     salt = F.pmod(F.xxhash64("source"), F.lit(salts)).cast("int")
     none = lambda kind: F.lit(None).cast(kind)
-    theirs = counted.mapInArrow(_placed(held), "key binary, source string, tf long, docs long, part int")
-    theirs = theirs.select(F.lit(1).alias("kind"), "part", "source", "key", "tf", none("array<binary>").alias("terms"), none("array<long>").alias("totals"), salt.alias("salt"))
+    theirs = counted.mapInArrow(_placed(held), "key binary, source string, tf long, part int")
+    # lists of counts are empty, not null: Arrow's writer goes over all nulls of a batch again with each row
+    theirs = theirs.select(F.lit(1).alias("kind"), "part", "source", "key", "tf", F.array().cast("array<binary>").alias("terms"), F.array().cast("array<long>").alias("totals"), salt.alias("salt"))
     own = arrays.select(F.lit(0).alias("kind"), "part", none("string").alias("source"), none("binary").alias("key"), none("long").alias("tf"), "terms", "totals", F.explode(F.array(*[F.lit(i) for i in range(salts)]) if salts < 100 else F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    met = own.unionByName(theirs).repartition("part", "salt").sortWithinPartitions("part", "salt", "kind", "source", "key").drop("salt")
+    met = own.unionByName(theirs).repartition("part", "salt").sortWithinPartitions("part", "salt", "kind", "source").drop("salt")
     cells = stored(met.mapInArrow(tidied(_encoded), "head binary, source string, part int, ids array<int>, counts array<long>, totals array<long>, n long"), "term-cells")
 
     entries = arrays.select("part", F.posexplode("terms").alias("pos", "key"), "totals").select("part", "pos", F.substring("key", 1, HEAD).alias("head"), "key", F.element_at("totals", F.col("pos") + 1).alias("total"))

@@ -104,6 +104,30 @@ def test_a_pair_is_named_one_way():
     assert one == other and len(one) == 3
 
 
+def test_counts_of_terms_in_few_documents_are_not_stored(spark, monkeypatch):
+    """Most terms are in few documents; their counts are not sorted and encoded with the others."""
+    rows, seen, store = audit_rows(random.Random(8)), {}, divergence.stored
+
+    def watched(df, name):
+        seen[name] = store(df, name)
+        return seen[name]
+
+    monkeypatch.setattr(divergence, "stored", watched)
+    df = spark.createDataFrame(rows, "text string, lang string, source string").repartition(5)
+    got = divergence.audit(df, min_docs=30, top=7).collect()
+    assert Counter(tuple(r) for r in got) == plain_audit(rows, 30, 7)
+    docs, want = defaultdict(set), Counter()
+    for i, (text, lang, _) in enumerate(rows):
+        for t in LETTER_RE.findall(text or ""):
+            docs[lang or "", t.translate(UPPER)].add(i)
+    for text, lang, source in rows:
+        for t in (t.translate(UPPER) for t in LETTER_RE.findall(text or "")):
+            if len(docs[lang or "", t]) >= 30:
+                want[divergence.lang_key(lang or "") + t.encode(), source or ""] += 1
+    assert len(docs) > len({k for k, _ in want}) > 10
+    assert {(bytes(r.key), r.source): r.tf for r in seen["term-counts"].collect()} == want
+
+
 def test_audit_of_nothing(spark):
     df = spark.createDataFrame([("a b", "en", "s"), (None, None, None)], "text string, lang string, source string")
     assert divergence.audit(df.limit(0)).collect() == []
