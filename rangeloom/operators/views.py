@@ -16,7 +16,7 @@ from ..plans.binning import Bins
 from ..plans.extremes import between
 from ..plans.sweep import running
 from ..sources.scratch import kept
-from .overlaps import find
+from .overlaps import merge
 
 #: What an empty view's extremes are in the integer vocabulary (largest and least 32-bit numbers).
 INT_TOP = 2147483647
@@ -25,12 +25,10 @@ INT_TOP = 2147483647
 def seen(views: DataFrame, runs: DataFrame, *, bins: Bins | None = None, whole: bool = False) -> DataFrame:
     """For each view and run that meet: space, rid, start and end of the part seen, value (and with ``whole`` the run's
     own ends, run_start and run_end)."""
-    subject = runs.select("space", F.col("start").alias("rid"), "start", "end")
-    hits = find(views.filter("end >= start"), subject, bins=bins)
-    out = hits.join(views.select("space", F.col("rid").alias("query_id"), F.col("start").alias("_s"), F.col("end").alias("_e")), ["space", "query_id"])
-    out = out.join(runs.withColumn("subject_id", F.col("start")), ["space", "subject_id"])
-    more = [F.col("start").alias("run_start"), F.col("end").alias("run_end")] if whole else []
-    return out.select("space", F.col("query_id").alias("rid"), F.greatest("start", "_s").alias("start"), F.least("end", "_e").alias("end"), "value", *more)
+    views, runs = kept(views.filter("end >= start").select("space", "rid", "start", "end"), "views"), kept(runs, "runs")
+    out = merge(views, runs.select("space", F.col("start").alias("rid"), "start", "end", "value"), bins=bins)  # a run's value goes with it
+    more = [F.col("s_start").alias("run_start"), F.col("s_end").alias("run_end")] if whole else []
+    return out.select("space", F.col("q_rid").alias("rid"), F.greatest("s_start", "q_start").alias("start"), F.least("s_end", "q_end").alias("end"), F.col("s_value").alias("value"), *more)
 
 
 #: What :func:`summarize` can tell of a view.
@@ -160,8 +158,12 @@ def apply(views: DataFrame, runs: DataFrame, function: Column, name: str = "resu
     return views.join(values.groupBy("space", "rid").agg(function.alias(name)), ["space", "rid"], "left")
 
 
-def apply_python(views: DataFrame, runs: DataFrame, function, schema: str) -> DataFrame:
-    """A Python function from a pandas frame (space, rid, pos, value), one view at a time, to a frame of ``schema``."""
+def apply_python(views: DataFrame, runs: DataFrame, function, schema: str, *, together: bool = False) -> DataFrame:
+    """A Python function from a pandas frame (space, rid, pos, value), one view at a time, to a frame of ``schema``.
+
+    With ``together`` the function gets many whole views at once, one behind the other, and tells them apart itself: a
+    call costs as much as some hundred rows, which views of a few positions don't bear.
+    """
     tasks = int(views.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number keeps small partitions apart: the function is the work
     values = unlisted(views, runs).repartition(tasks, "space", "rid").sortWithinPartitions("space", "rid", "pos")
 
@@ -173,6 +175,9 @@ def apply_python(views: DataFrame, runs: DataFrame, function, schema: str) -> Da
             frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
             key = frame[["space", "rid"]]
             starts = [*(key != key.shift()).any(axis=1).to_numpy().nonzero()[0].tolist()]
+            if together and len(starts) > 1:
+                yield function(frame.iloc[: starts[-1]])
+                starts = starts[-1:]
             for a, b in zip(starts, starts[1:], strict=False):
                 done.append(function(frame.iloc[a:b]))
                 if len(done) == 1000:  # one batch for many views: each batch costs as much as some hundred rows

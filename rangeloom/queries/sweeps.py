@@ -208,12 +208,12 @@ add("v7_view_range_maxs", lambda s, d: views.extreme_runs(O(s, d), subject(s, d)
 add("v8_view_apply", lambda s, d: views.apply(O(s, d), subject(s, d), F.count_distinct("value")).select("space", "rid", F.coalesce("result", F.lit(0)).alias("result")), f"SELECT space, rid, count(DISTINCT value) AS result{G}", frames="ol", more=VW)
 
 
-def _spread(pdf):
-    v = pdf["value"].dropna()
-    return pdf.head(1)[["space", "rid"]].assign(spread=float(v.max() - v.min()) if len(v) else float("nan"))
+def _spreads(pdf):
+    v = pdf.groupby(["space", "rid"], sort=False)["value"]
+    return (v.max() - v.min()).astype("float64").reset_index(name="spread")
 
 
-add("v8b_view_apply_python", lambda s, d: views.apply_python(O(s, d).filter("end >= start"), subject(s, d), _spread, "space long, rid long, spread double"), "SELECT space, rid, (max(value) - min(value))::DOUBLE AS spread FROM j WHERE dd IS NOT NULL GROUP BY space, rid", frames="ol", more=VW)
+add("v8b_view_apply_python", lambda s, d: views.apply_python(O(s, d).filter("end >= start"), subject(s, d), _spreads, "space long, rid long, spread double", together=True), "SELECT space, rid, (max(value) - min(value))::DOUBLE AS spread FROM j WHERE dd IS NOT NULL GROUP BY space, rid", frames="ol", more=VW)
 add("v10_views_list", lambda s, d: views.summarize(O(s, d), subject(s, d), na_rm=True, columns=["view_sum"]).groupBy("space").agg(F.sum("view_sum").alias("total")), "SELECT space, coalesce(sum(value), 0)::BIGINT AS total FROM j GROUP BY space", frames="ol", more=VW)
 add("v11_unlist_views", lambda s, d: views.unlisted(O(s, d), subject(s, d)), "SELECT space, rid, dd AS pos, value FROM j WHERE dd IS NOT NULL", frames="ol", more=VW)
 add("v11b_view_matrix", lambda s, d: views.matrix(O(s, d), subject(s, d), 3).select("space", "rid", F.get("values", F.lit(0)).alias("c1"), F.get("values", F.lit(2)).alias("c3")), "SELECT space, rid, max(value) FILTER (i = 1) AS c1, max(value) FILTER (i = 3) AS c3 FROM (SELECT *, row_number() OVER (PARTITION BY space, rid ORDER BY dd) AS i FROM j) GROUP BY space, rid", frames="ol", more=VW)
